@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_classifier, quality_rules
+from . import exact_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules
 
 #: Tokenizer files are read where they are installed.
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +82,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
@@ -89,6 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": op4_quality_classifier,
         "op6_packing": op6_packing,
         "op8_quality_rules": op8_quality_rules,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
+        "pipeline": pipeline,
     }
 
 
