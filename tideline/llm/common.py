@@ -86,12 +86,16 @@ class WordCoder:
         self.index: dict[bytes, int] = {}
         self.words: list[bytes] = []
 
-    def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all words, and where each text's codes start (one more entry at the end)."""
+    def code(self, texts: list[str], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all words, and where each text's codes start (one more entry at the end).
+
+        table: what each byte of the UTF-8 text is read as.
+        """
         index, words = self.index, self.words
         parts, starts = [], np.zeros(len(texts) + 1, dtype=np.int64)
         for i, text in enumerate(texts):
-            found = text.encode("utf-8", "surrogatepass").split()
+            raw = text.encode("utf-8", "surrogatepass")
+            found = (raw if table is None else raw.translate(table)).split()
             for w in set(found):
                 if w not in index:
                     index[w] = len(words)

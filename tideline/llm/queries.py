@@ -5,19 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules
+from . import exact_dedup, html_extraction, mixing, ngram_jaccard, packing, pii, quality_classifier, quality_rules, token_counts, toxicity
 
 #: Tokenizer files are read where they are installed.
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+COUNTING_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -69,6 +74,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), COUNTING_VOCABULARY)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.pack(docs, PACKING_TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -78,6 +87,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"))
 
 
+def spans_text(spans: str | Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    part = lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["stop"].cast("string"))
+    return F.array_join(F.transform(spans, part), ",")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    plain = F.transform("terms", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
+    everything = spans_text(F.concat("spans", plain)).alias("spans")
+    return found.select("doc_id", *counts, F.sha2(spans_text("spans"), 256).alias("base_sha256"), everything)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -86,6 +110,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(read(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,12 +122,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_mixing": op3_mixing,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
+        "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
         "op9_ngram_jaccard": op9_ngram_jaccard,
+        "op10_html_extraction": op10_html_extraction,
         "pipeline": pipeline,
     }
 
