@@ -5,12 +5,13 @@ cost nothing. The sets' signatures are cut into bands; the number of bands and r
 chosen for a target recall at the threshold (bands_for). Sets that agree on a band meet in
 a bucket, and pairs are verified on the full sets:
 
-1. every set of a bucket against the bucket's smallest set: linear in the bucket, and
-   already enough to connect a group of near copies, whatever its size;
+1. every set of a bucket against the bucket's hub, the set that meets the most others: linear
+   in the bucket, and mostly enough to connect a group of near copies, whatever its size;
 2. connected components of the links found;
-3. in buckets that still hold several components, all pairs across components, less those
-   that sizes or the triangle inequality of the Jaccard distance rule out. So nothing that
-   banding proposes goes untested between components;
+3. under hubs that still hold several components, the pairs across components that can reach
+   the threshold: those that share enough n-grams which the hub lacks (found by prefixes of
+   these n-grams, with hubs of their own first), or come close enough by the hub's alone.
+   So nothing that banding proposes stays undecided;
 4. inside a component all pairs are counted by block products of membership matrices, which
    gives each document its number of links without a row per pair.
 """
@@ -36,6 +37,8 @@ MAX_HASHES = 128
 #: Sets in a block of step 4.
 BLOCK = 128
 SEED = 20_240
+#: For comparisons of sizes with products of the threshold.
+EPSILON = 1e-9
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,13 +149,18 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_
     return found.mapInArrow(make, "set_id binary, grams array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, similarity: the exact Jaccard similarity of each pair."""
+def with_grams(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) with the n-gram sets of both: ga, gb."""
     left = sets.select(F.col("set_id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("set_id").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    return both.select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb, common, similarity: the sizes, common n-grams and exact Jaccard similarity of each pair."""
+    both = with_grams(pairs.select("a", "b"), sets)
+    both = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("common"))
+    return both.withColumn("similarity", F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
 
 
 def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
@@ -224,6 +232,68 @@ def links_inside(members: DataFrame, sets: DataFrame, threshold: float) -> DataF
     return counted.groupBy("set_id").agg(F.sum("linked").alias("linked"))
 
 
+def with_hubs(met: DataFrame) -> DataFrame:
+    """bucket, set_id, n, hub: in each bucket the set that meets the most sets over all its buckets.
+
+    Near copies agree with their common original more often than with each other, so the
+    original, or a copy close to it, becomes the hub of most buckets of its group.
+    """
+    degree = met.groupBy("set_id").agg(F.sum("members").alias("degree"))
+    hubs = met.join(degree, "set_id").groupBy("bucket").agg(F.max(F.struct("degree", "set_id")).alias("top"))
+    return met.join(hubs.select("bucket", F.col("top.set_id").alias("hub")), "bucket").select("bucket", "set_id", "n", "hub")
+
+
+def fits(x, y, threshold: float):
+    """Whether sets of these sizes can reach the threshold."""
+    return F.least(x, y) >= F.lit(threshold - EPSILON) * F.greatest(x, y)
+
+
+def labelled(rows: DataFrame, comps: DataFrame, key: str, name: str = "comp") -> DataFrame:
+    """Adds the component of the set in key: the set itself where it has no links."""
+    known = comps.select(F.col("set_id").alias(key), F.col("comp").alias("__comp"))
+    return rows.join(known, key, "left").withColumn(name, F.coalesce("__comp", key)).drop("__comp")
+
+
+def open_hubs(tested: DataFrame, comps: DataFrame) -> DataFrame:
+    """The tested (set a, hub b) of hubs that still hold several components, with the component of a."""
+    rows = labelled(labelled(tested, comps, "a"), comps, "b", "hub_comp")
+    mixed = rows.groupBy("b").agg(F.min(F.least("comp", "hub_comp")).alias("c0"), F.max(F.greatest("comp", "hub_comp")).alias("c1"))
+    return rows.drop("hub_comp").join(mixed.where("c0 <> c1").select("b"), "b")
+
+
+def pairs_within_hub(opened: DataFrame, threshold: float) -> DataFrame:
+    """Pairs across components that could reach the threshold by n-grams of their hub alone.
+
+    x and y need t / (1 + t) * (|x| + |y|) common n-grams. If x isn't linked to hub h, its
+    n-grams in h suffice only for a y that is smaller than h; few sets come that close.
+    """
+    share = threshold / (1 + threshold)
+    most = F.floor(F.col("common") / share - F.col("na") + EPSILON)
+    least = opened.groupBy("b").agg(F.min("na").alias("least"))
+    x = opened.where(F.col("similarity") < threshold).withColumn("most", most).where((F.col("most") < F.col("nb")) & (F.col("most") >= F.col("na") * (threshold - EPSILON)))
+    x = x.join(least, "b").where("most >= least").select("b", F.col("a").alias("xa"), F.col("na").alias("xn"), "most", F.col("comp").alias("xc"))
+    y = opened.where("na < nb").select("b", F.col("a").alias("ya"), F.col("na").alias("yn"), F.col("common").alias("yo"), F.col("comp").alias("yc"))
+    both = x.join(y, "b").where((F.col("xc") != F.col("yc")) & (F.col("yn") <= F.col("most")) & fits(F.col("xn"), F.col("yn"), threshold))
+    both = both.where(F.col("yo") >= F.lit(share) * (F.col("xn") + F.col("yn")) - EPSILON)
+    return both.select(F.least("xa", "ya").alias("a"), F.greatest("xa", "ya").alias("b")).distinct()
+
+
+def beside_hub(opened: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """bucket, set_id, n, members, comp: buckets of sets that share an n-gram which their hub lacks.
+
+    All other linked pairs share at least c = t * |x| - |x & h| such n-grams, so in any fixed
+    order one of the first |x - h| - c + 1 of them: no more than that prefix is indexed.
+    """
+    need = F.ceil(F.col("na") * (threshold - EPSILON))
+    prefix = F.when(need - F.col("common") > 1, F.col("na") - need + 1).otherwise(F.col("na") - F.col("common"))
+    rest = F.slice(F.array_sort(F.array_except("ga", "gb")), F.lit(1), prefix.cast("int"))
+    rows = with_grams(opened.select("a", "b", "na", "common", "comp"), grams)
+    rows = rows.select(F.col("a").alias("set_id"), F.col("na").alias("n"), "comp", "b", F.explode(rest).alias("gram"))
+    rows = rows.select(F.xxhash64("b", "gram").alias("bucket"), "set_id", "n", "comp")
+    mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket", "members")
+    return rows.join(mixed, "bucket")
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = THRESHOLD,
@@ -246,31 +316,38 @@ def near_duplicates(
     reps = scratch.save(reps, "sets")
 
     placed = reps.select("set_id", "n", F.explode("bands").alias("bucket"))
-    hubs = placed.groupBy("bucket").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "hub")
-    shared = scratch.save(placed.join(hubs, "bucket"), "buckets")
+    crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = scratch.save(placed.join(crowded, "bucket"), "meetings")
+    shared = scratch.save(with_hubs(met), "buckets")
     wanted = shared.select("set_id").distinct().join(reps.select("set_id", F.col("rep_id").alias("id")), "set_id")
     grams = scratch.save(full_sets(docs, wanted, words, id_col, text_col).dropDuplicates(["set_id"]), "grams")
 
-    lengths = reps.select(F.col("set_id").alias("hub"), F.col("n").alias("hub_n"))
-    fits = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
-    to_hub = shared.where("set_id <> hub").select("set_id", "hub", "n").distinct().join(lengths, "hub").where(fits(F.col("n"), F.col("hub_n")))
-    tested = scratch.save(verified(to_hub.select(F.col("set_id").alias("a"), F.col("hub").alias("b")), grams), "hub-pairs")
-    links = tested.where(F.col("similarity") >= threshold)
+    to_hub = shared.where("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
+    tested = scratch.save(verified(to_hub, grams), "hub-pairs")
+    links = tested.where(F.col("similarity") >= threshold).select("a", "b")
     comps = components(links, scratch)
 
-    own = comps.select("set_id", "comp")
-    state = shared.join(own, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    opened = scratch.save(open_hubs(tested, comps), "open")
+    other = scratch.save(beside_hub(opened, grams, threshold), "beside")
+    second = labelled(with_hubs(other).select(F.col("set_id").alias("a"), "n", F.col("hub").alias("b")).where("a <> b").distinct(), comps, "a", "ca")
+    sizes = reps.select(F.col("set_id").alias("b"), F.col("n").alias("nb"))
+    second = labelled(second, comps, "b", "cb").where("ca <> cb").join(sizes, "b").where(fits(F.col("n"), F.col("nb"), threshold))
+    second = second.select("a", "b").union(pairs_within_hub(opened, threshold)).distinct()
+    more = scratch.save(verified(second, grams).where(F.col("similarity") >= threshold).select("a", "b"), "second-pairs")
+    if more.limit(1).count():
+        links = links.union(more)
+        comps = components(links, scratch)
+
+    # What these hubs leave open is tested pair by pair.
+    state = labelled(other.select("bucket", "set_id", "n"), comps, "set_id")
     mixed = state.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-    near_hub = tested.select(F.col("a").alias("set_id"), F.col("b").alias("hub"), "similarity")
-    state = state.join(mixed, "bucket").join(near_hub, ["set_id", "hub"], "left").where("set_id <> hub")
-    state = scratch.save(state.select("bucket", "set_id", "n", "comp", "similarity"), "open-buckets")
+    state = scratch.save(state.join(mixed, "bucket"), "left-open")
     x, y = state.alias("x"), state.alias("y")
-    near = F.coalesce(F.abs(F.col("x.similarity") - F.col("y.similarity")) <= F.lit(1 - threshold + 1e-9), F.lit(True))
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n"), F.col("y.n")) & near)
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n"), F.col("y.n"), threshold))
     rest = rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    more = scratch.save(verified(rest, grams).where(F.col("similarity") >= threshold), "other-pairs")
+    more = scratch.save(verified(rest, grams).where(F.col("similarity") >= threshold).select("a", "b"), "last-pairs")
     if more.limit(1).count():
-        comps = components(links.unionByName(more), scratch)
+        comps = components(links.union(more), scratch)
 
     members = reps.select("set_id", "rep_id", "copies").join(comps, "set_id")
     whole = members.groupBy("comp").agg(F.min("rep_id").alias("class_id"), F.count(F.lit(1)).alias("of"))
