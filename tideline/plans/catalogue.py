@@ -1,15 +1,208 @@
-"""All registered queries and their SQL."""
+"""All registered queries over the star-schema tables, and the SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.functions import dates, text
+from tideline.operators import catalog, costs, lines, margin, orders, ranking, sales, shipping, stock
+from tideline.plans import periods
+from tideline.plans.oracles import BEFORE, NOW, SQL
+from tideline.plans.question import read_question
+from tideline.plans.service import Snapshot, run
+from tideline.sources import star_schema as star
+
+#: Columns that are ratios get four places, other fractions two.
+RATIOS = ("fraction", "without_cost", "real_freight")
+TODAY = date(1997, 12, 10)
+
+
+def shown(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns (all by default), fractions rounded: money is exact to the cent, ratios to four places."""
+    kinds = dict(df.dtypes)
+    one = lambda c: F.round(c, 4 if c in RATIOS else 2).alias(c) if kinds[c] == "double" else F.col(c)
+    return df.select(*[one(c) for c in names or df.columns])
+
+
+def priced(s: SparkSession, d: str) -> DataFrame:
+    return margin.priced_lines(star.orders(s, d), star.shipments(s, d), star.RULES, *NOW)
+
+
+def units(s: SparkSession, d: str) -> DataFrame:
+    return sales.units_by_item(star.orders(s, d), date(1997, 11, 10), TODAY)
+
+
+def sku_weekly(s: SparkSession, d: str) -> DataFrame:
+    found = sales.sales_by_sku(star.orders(s, d), star.sku_map(s, d), *NOW, week_of=F.weekofyear)
+    weeks = found.select("sku", "units", "revenue", F.explode("by_week").alias("week", "week_units"))
+    return shown(weeks)
+
+
+def coverage_window(s: SparkSession, d: str) -> DataFrame:
+    bounds = sales.date_bounds(star.order_heads(s, d))
+    return bounds.select("oldest_date", "newest_date")
+
+
+def period_clip(s: SparkSession, d: str) -> DataFrame:
+    """Sales of a period that reaches beyond the data, clipped to it on the driver."""
+    snapshot = Snapshot.of(star.orders(s, d), star.shipments(s, d), star.RULES)
+    found = periods.coverage(periods.Period(date(1994, 1, 1), date(1995, 6, 30)), snapshot.window)
+    rows = sales.sales_summary(snapshot.orders, found.covered.start, found.covered.end)
+    return shown(rows.withColumns({"coverage": F.lit(found.kind), "covered_from": F.lit(found.covered.start), "covered_to": F.lit(found.covered.end)}))
+
+
+def question_revenue(s: SparkSession, d: str) -> DataFrame:
+    """A question, read on the driver and run: the revenue of March 1997."""
+    query = read_question("Qual foi o faturamento em março de 1997?", TODAY).query or read_question("faturamento entre 01/03/1997 e 31/03/1997", TODAY).query
+    return shown(run(query, Snapshot.of(star.orders(s, d), star.shipments(s, d), star.RULES)).rows)
+
+
+def fixed_windows(s: SparkSession, d: str) -> DataFrame:
+    from tideline.operators.dashboard import fixed_windows as windows
+
+    return shown(sales.windows_summary(star.orders(s, d), windows(TODAY, *NOW)))
+
+
+def cost_rule_match(s: SparkSession, d: str) -> DataFrame:
+    rows = lines.order_lines(star.orders(s, d)).withColumn("rule", costs.rule_of("title", "seller_sku", star.RULES))
+    rows = rows.select(F.coalesce("rule.rule_id", F.lit("none")).alias("rule_id"), F.coalesce("rule.via", F.lit("none")).alias("via"))
+    return rows.groupBy("rule_id", "via").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def kit_multiplier(s: SparkSession, d: str) -> DataFrame:
+    title = F.concat(F.lit("Kit com "), (F.col("p_partkey") % 30).cast("string"), F.lit(" Garrafas "), "p_name")
+    part = star.read(s, d, "part")
+    return part.select("p_partkey", text.bottles(title).alias("bottles"), text.normal_title(F.concat("p_name", F.lit(" Kit com 6 Un"))).alias("normal"))
+
+
+def unit_cost(s: SparkSession, d: str) -> DataFrame:
+    rows = priced(s, d).where("unit_cost is not null")
+    return shown(rows.groupBy("rule_id", "logistic_type").agg(F.min("unit_cost").alias("low"), F.max("unit_cost").alias("high"), F.count(F.lit(1)).alias("lines")))
+
+
+def freight_share(s: SparkSession, d: str) -> DataFrame:
+    rows = lines.sale_lines(star.orders(s, d), star.shipments(s, d)).where(dates.in_period("civil_date", *NOW))
+    return shown(rows.groupBy("sku").agg(margin.total("freight_share").alias("freight"), F.count("freight_share").alias("lines_known"), F.count(F.lit(1)).alias("lines")))
+
+
+def page_window(s: SparkSession, d: str) -> DataFrame:
+    """Rows 401 to 600 by id: a page is a range of ordinals."""
+    o = star.order_heads(s, d)
+    return shown(o.where(F.col("ordinal").between(400, 599)).select("id", "status", "ordinal", "total_amount"))
+
+
+def civil_day_shift(s: SparkSession, d: str) -> DataFrame:
+    """Order times as UTC instants, by the civil day of the seller's zone."""
+    ts = F.col("o_orderdate").cast("string")
+    moment = F.to_timestamp(F.concat(ts, F.lit("Z"))) + F.make_dt_interval(hours=F.col("o_orderkey") % 24)
+    o = star.read(s, d, "orders").select(dates.civil_day(moment).alias("civil_day"))
+    return o.groupBy("civil_day").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def slim_projection(s: SparkSession, d: str) -> DataFrame:
+    rows = orders.slim_orders(star.orders(s, d))
+    return shown(rows.select("id", "status", F.size("order_items").cast("long").alias("lines"), F.col("buyer.nickname").alias("nickname"), F.col("shipping.id").alias("shipment"), "paid_amount"))
+
+
+def dedup_first_wins(s: SparkSession, d: str) -> DataFrame:
+    o = star.order_heads(s, d).select("id", "ordinal", "total_amount")
+    again = o.where("ordinal % 3 = 0").withColumns({"total_amount": F.col("total_amount") + 1, "ordinal": F.col("ordinal") + 1_000_000_000})
+    return shown(lines.first_seen(o.unionByName(again)).select("id", "total_amount"))
+
+
+def merge_refresh(s: SparkSession, d: str) -> DataFrame:
+    merged = orders.merge_orders(star.order_heads(s, d).drop("cancel_detail"), star.refreshed(s, d))
+    return shown(merged.groupBy("status").agg(F.count(F.lit(1)).alias("orders"), margin.total("total_amount").alias("amount")))
+
+
+def merge_upsert(s: SparkSession, d: str) -> DataFrame:
+    known = star.shipments(s, d)
+    found = known.where("cast(shipment_id as long) % 14 = 0").withColumn("custo_frete", F.lit(9.5))
+    merged = shipping.merge_shipments(known, found)
+    return shown(merged.groupBy("logistic_type").agg(F.count(F.lit(1)).alias("shipments"), F.count("custo_frete").alias("known"), margin.total("custo_frete").alias("cost")))
+
+
+def event_hours(s: SparkSession, d: str) -> DataFrame:
+    """The ingest stream's events by hour and type."""
+    e = star.read(s, d, "events")
+    return shown(e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("events"), margin.total("value").alias("amount")))
+
+
+def stock_view(view: str, mode: str):
+    def build(s: SparkSession, d: str) -> DataFrame:
+        return shown(stock.stock_by_sku(star.listings(s, d), None, view=view, mode=mode), "sku", "listings", "stock", "max_price")
+
+    return build
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "sales_summary": lambda s, d: shown(sales.sales_summary(star.orders(s, d), *NOW)),
+    "sales_summary_empty_period": lambda s, d: shown(sales.sales_summary(star.orders(s, d), date(2031, 1, 1), date(2031, 1, 31))),
+    "gross_net_period": lambda s, d: shown(sales.gross_and_net(star.order_heads(s, d), *NOW)),
+    "sales_by_first_item": lambda s, d: shown(sales.sales_by_first_item(star.orders(s, d), *NOW)),
+    "sku_detail": lambda s, d: shown(sales.sku_detail(star.orders(s, d), star.sku_map(s, d), "Brand#13", *NOW)),
+    "sku_weekly": sku_weekly,
+    "revenue_monthly_text": lambda s, d: shown(sales.revenue_by_text_month(star.order_heads(s, d))),
+    "revenue_daily_month": lambda s, d: shown(sales.revenue_by_day(star.order_heads(s, d), 1997, 3)),
+    "cancel_reasons": lambda s, d: shown(sales.cancel_reasons(star.order_heads(s, d).where("status = 'cancelled'"))),
+    "units_by_item": lambda s, d: shown(sales.units_by_item(star.orders(s, d), *NOW)),
+    "status_counts": lambda s, d: sales.status_counts(star.order_heads(s, d)),
+    "dedup_first_wins": dedup_first_wins,
+    "slim_projection": slim_projection,
+    "coverage_window": coverage_window,
+    "period_clip": period_clip,
+    "compare_periods": lambda s, d: shown(sales.compare_periods(star.orders(s, d), NOW, BEFORE)),
+    "fixed_windows": fixed_windows,
+    "question_revenue": question_revenue,
+    "cost_rule_match": cost_rule_match,
+    "kit_multiplier": kit_multiplier,
+    "unit_cost": unit_cost,
+    "shipment_base": lambda s, d: shown(lines.shipment_base(star.orders(s, d))),
+    "freight_share": freight_share,
+    "freight_coverage": lambda s, d: shown(shipping.freight_coverage(star.order_heads(s, d), star.shipments(s, d))),
+    "margin_total": lambda s, d: shown(margin.margin_total(priced(s, d)), *"revenue marketplace_fee shipping_fee cost units margin margin_pct revenue_without_cost without_cost real_freight available warnings".split()),
+    "margin_by_sku": lambda s, d: shown(margin.margin_by_sku(priced(s, d)), *"sku label revenue marketplace_fee shipping_fee cost units freight_real freight_estimated margin margin_pct".split()),
+    "margin_rollup": lambda s, d: shown(margin.margin_sets(priced(s, d)), *"is_total sku revenue cost margin revenue_without_cost".split()),
+    "margin_best": lambda s, d: shown(margin.best_margins(margin.margin_by_sku(priced(s, d))), "sku", "margin"),
+    "margin_worst": lambda s, d: shown(margin.worst_margins(margin.margin_by_sku(priced(s, d))), "sku", "margin"),
+    "no_cost_report": lambda s, d: shown(margin.without_cost_titles(priced(s, d))),
+    "ranking_revenue": lambda s, d: shown(ranking.ranking(priced(s, d), "revenue"), *"position sku label revenue units orders items cost_coverage".split()),
+    "ranking_units": lambda s, d: shown(ranking.ranking(priced(s, d), "units", 10), *"position sku units orders".split()),
+    "ranking_margin": lambda s, d: shown(ranking.ranking(priced(s, d), "margin", 20), *"position sku margin margin_pct".split()),
+    "ranking_everything": lambda s, d: shown(ranking.ranking(priced(s, d), "revenue", everything=True), *"sku revenue cost_coverage margin".split()),
+    "margin_coverage": lambda s, d: shown(ranking.margin_coverage(ranking.ranking_rows(priced(s, d)))),
+    "margin_route_totals": lambda s, d: shown(ranking.margin_totals(ranking.ranking_rows(priced(s, d)))),
+    "catalog_counts": lambda s, d: catalog.catalog_counts(star.listings(s, d)),
+    "slim_listings": lambda s, d: shown(catalog.slim_listings(star.listings(s, d)), "id", "title", "status", "price", "available_quantity", "inventory_id"),
+    "consolidated": lambda s, d: shown(catalog.consolidated(star.listings(s, d), star.orders(s, d))),
+    "stock_own_legacy": stock_view("own", stock.LEGACY),
+    "stock_own_safe": stock_view("own", stock.SAFE),
+    "stock_full_safe": stock_view("full", stock.SAFE),
+    "stock_consolidated": lambda s, d: stock.consolidate(stock.stock_lines(star.listings(s, d))),
+    "stock_audit_safe": lambda s, d: stock.audit(stock.stock_lines(star.listings(s, d))).drop("reason"),
+    "stock_alerts": lambda s, d: stock.alerts(stock.stock_lines(star.listings(s, d))),
+    "stock_class": lambda s, d: shown(stock.stock_by_sku(star.listings(s, d), units(s, d)).withColumn("days_of_stock", F.col("days_of_stock").cast("double")), "sku", "stock", "sold", "velocity", "days_of_stock", "class"),
+    "pending_shipments": lambda s, d: shipping.pending_shipments(star.order_heads(s, d), star.shipments(s, d), None),
+    "pending_batch": lambda s, d: shipping.pending_shipments(star.order_heads(s, d), star.shipments(s, d), 50),
+    "shipments_by_type": lambda s, d: shipping.shipments_by_type(star.shipments(s, d)),
+    "merge_refresh": merge_refresh,
+    "merge_counters": lambda s, d: orders.change_counts(star.order_heads(s, d).drop("cancel_detail"), star.refreshed(s, d)),
+    "merge_upsert": merge_upsert,
+    "known_orders": lambda s, d: orders.known_orders(star.refreshed(s, d), star.order_heads(s, d)).select("id"),
+    "unknown_orders": lambda s, d: orders.unknown_orders(star.refreshed(s, d), star.order_heads(s, d)).select("id"),
+    "page_window": page_window,
+    "civil_day_shift": civil_day_shift,
+    "event_hours": event_hours,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
