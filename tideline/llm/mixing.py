@@ -71,10 +71,11 @@ def mix(
 ) -> DataFrame:
     """Every document as often as its Poisson number says, in one global random order.
 
-    Adds copy (0, 1, ...) and shuffle_key; sorted by shuffle_key the rows are in the global
-    order, and each output partition is sorted so. The same rows give the same copies; rows
+    Adds copy (0, 1, ...) and shuffle_key, in place of input columns of these names; sorted by
+    shuffle_key the rows are in the global order, and each output partition is sorted so. The same rows give the same copies; rows
     with the same id get the same number. A document without id hashes as one of its own.
     """
+    docs = docs.drop("copy", "shuffle_key")
     table = poisson_table(source_rates(docs, weights, total, source_col))
     table = table.select(F.col("source").alias("__src"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     held = small_join(docs.withColumn("__src", F.col(source_col)), table, "__src", F.col(id_col))
