@@ -16,20 +16,30 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCoder, text_chunks
+from .common import WordCoder, sum_by_part, text_chunks
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
 #: Words whose ids a Python worker keeps; then it starts anew, which costs time and nothing else.
 KEPT_WORDS = 1 << 20
+#: Words that a worker keeps beyond the end of a task, where the memory is for others.
+IDLE_WORDS = 1 << 19
 
 # The pre-tokens of the tokenizer file, and the names of its added tokens.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 ADDED = ("<|startoftext|>", "<|endoftext|>")
+#: Words that normalisation does no more to than to lower their case.
+PLAIN = regex.compile(r"[\x21-\x7E¡-ÿ]+")
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of all parts in a row."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and never joins words over it.
 
@@ -54,35 +64,47 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.coder.clear()
-        self.pre: dict[str, np.ndarray] = {}
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.at = np.zeros(1, dtype=np.int64)
+        self.pre: dict[str, int] = {}
+        self.pre_ids, self.pre_at = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.ids, self.at = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def tokenized(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn_pre_tokens(self, found: list[str]) -> None:
+        """Numbers new pre-tokens and appends their ids to the table."""
+        parts, ends = [self.pre_ids], [self.pre_at]
         for i in range(0, len(found), 5_000):
             part = found[i : i + 5_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) == len(part):
-                self.pre.update(zip(part, np.split(ids, ends[:-1]), strict=True))
-            else:  # a pre-token that the tokenizer splits by itself
-                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.pre[p] = np.array(e.ids, dtype=np.uint32)
+            ids = self.tokenized([" ".join(part)])[0]
+            end = np.flatnonzero(self.is_end[ids]) + 1
+            if len(end) != len(part):  # a pre-token that the tokenizer splits by itself
+                single = self.tokenized(part)
+                ids, end = np.concatenate(single), np.cumsum([len(x) for x in single])
+            parts.append(ids)
+            ends.append(end + ends[-1][-1])
+        self.pre.update(zip(found, range(len(self.pre), len(self.pre) + len(found)), strict=True))
+        self.pre_ids, self.pre_at = np.concatenate(parts), np.concatenate(ends)
 
     def learn(self, words: list[bytes]) -> None:
         """Appends the ids of new words to the table."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [t.isalnum() and t.isascii() or not any(a in t for a in ADDED) and regex.fullmatch(r"[\x21-\x7E¡-ÿ]+", t) is not None for t in texts]
+        plain = [t.isalnum() and t.isascii() or not any(a in t for a in ADDED) and PLAIN.fullmatch(t) is not None for t in texts]
         split = [PRE_TOKEN.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
         self.learn_pre_tokens([p for p in dict.fromkeys(p for s in split for p in s) if p not in self.pre])
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        parts: list[np.ndarray] = []
-        sizes = np.zeros(len(words), dtype=np.int64)
-        for k, (s, p) in enumerate(zip(split, plain, strict=True)):
-            own = [self.pre[x] for x in s] if p else [np.array(next(whole).ids, dtype=np.uint32)]
-            sizes[k] = sum(map(len, own))
-            parts += own
-        self.ids = np.concatenate([self.ids, *parts])
+        n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        codes = np.fromiter((self.pre[x] for s in split for x in s), dtype=np.int64, count=int(n.sum()))
+        size = self.pre_at[codes + 1] - self.pre_at[codes]
+        sizes = sum_by_part(size, np.concatenate([[0], np.cumsum(n)]))
+        ids = gather(self.pre_ids, self.pre_at[codes], size)
+        odd = [i for i, p in enumerate(plain) if not p]
+        if odd:
+            # Their ids go in where the words stand.
+            whole = self.tokenized([texts[i] for i in odd])
+            places = (np.cumsum(sizes) - sizes)[odd]
+            ids = np.insert(ids, np.repeat(places, [len(w) for w in whole]), np.concatenate(whole))
+            sizes[odd] = [len(w) for w in whole]
+        self.ids = np.concatenate([self.ids, ids])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +117,7 @@ class WordEncoder:
             self.learn(self.coder.words[known:])
         sizes = self.at[codes + 1] - self.at[codes]
         ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes)])
-        index = np.arange(ends[-1]) + np.repeat(self.at[codes] - ends[:-1], sizes)
-        return self.ids[index], ends[starts]
+        return gather(self.ids, self.at[codes], sizes), ends[starts]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -143,6 +164,8 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE_TOKENS, i
                     [pa.array(c, type=t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)],
                     names=["doc_id", "start", "length", "doc_tokens", "ids"],
                 )
+        if len(by.coder.words) > IDLE_WORDS:
+            by.clear()
 
     pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
     pieces = pieces.withColumn("bucket", F.log2(F.col("length")).cast("int")).sortWithinPartitions(F.desc("length"))
