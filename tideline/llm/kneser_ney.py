@@ -199,7 +199,7 @@ def collect(parts: DataFrame, slot_bits: int = SLOT_BITS) -> Model:
     table = rows.toArrow()
     hashes, values = table.column(0).to_numpy().astype(np.uint32), table.column(1).to_numpy()
     order = np.argsort(hashes)
-    return Model(hashes[order], values[order])
+    return Model(hashes[order], values[order].astype(np.float32))
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", slot_bits: int = SLOT_BITS) -> Model:
