@@ -15,11 +15,10 @@ from pyspark.sql import SparkSession
 
 from tideline.plans import catalogue
 
-RUNS = 3
+RUNS = 1
 HEADLINE = (
-    "sales_summary", "gross_net_period", "sales_by_first_item", "sku_weekly", "revenue_monthly_text", "cancel_reasons",
-    "units_by_item", "compare_periods", "fixed_windows", "freight_share", "margin_total", "margin_by_sku", "ranking_revenue",
-    "ranking_margin", "margin_route_totals", "consolidated", "stock_own_safe", "stock_class", "pending_shipments", "merge_refresh",
+    "sales_summary", "gross_net_period", "sku_weekly", "units_by_item", "compare_periods", "freight_share", "margin_total",
+    "margin_by_sku", "ranking_revenue", "consolidated", "stock_class", "pending_shipments", "merge_refresh",
 )
 
 
