@@ -1,8 +1,8 @@
 """Quality rules: word statistics, repetition, and language-specific bands of n-gram perplexity.
 
 The model (kneser_ney) is counted over all documents. A document is rejected when a base
-rule fails, or when its log perplexity leaves its language's band: the quartiles of the
-language, widened on both sides by WIDTH times their distance and MARGIN.
+rule fails, or when its log perplexity leaves its language's band: the quantiles LOW and
+HIGH of the language's documents that pass the base rules.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 
-#: The band: quartiles widened by this many times their distance, and by this much more.
-WIDTH = 3.0
-MARGIN = 0.2
+#: The band: quantiles of the language's documents that pass the base rules.
+LOW = 0.01
+HIGH = 0.95
+#: Parts of a nat to which quantiles are rounded up; the lower one is taken a part lower, so that its document is inside.
+CELLS = 1000
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -102,7 +104,7 @@ def measure(docs: DataFrame, model: kneser_ney.Model, id_col: str, lang_col: str
     return docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", width: float = WIDTH, margin: float = MARGIN) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """One row per document: id, the statistics, base_failed, log_perplexity, band_low, band_high, kept.
 
     Null and empty texts have no words: base_failed, not kept, no perplexity. Documents
@@ -112,11 +114,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
     scratch = Scratch(docs.sparkSession, "quality-rules")
     model = kneser_ney.train(docs, lang_col, text_col)
     measured = scratch.save(measure(docs, model, id_col, lang_col, text_col), "measured")
-    bands = kneser_ney.quantiles_by_language(measured, [0.25, 0.75])
-    reach = (F.col("q1") - F.col("q0")) * width + margin
-    bands = scratch.save(bands.select("lang", (F.col("q0") - reach).alias("band_low"), (F.col("q1") + reach).alias("band_high")), "bands")
-    judged = small_join(measured, bands, "lang", F.col("id"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    bands = kneser_ney.quantiles_by_language(measured.where(~failed), [low, high], cells=CELLS)
+    bands = scratch.save(bands.select("lang", (F.col("q0") - 1 / CELLS).alias("band_low"), F.col("q1").alias("band_high")), "bands")
+    judged = small_join(measured, bands, "lang", F.col("id"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return judged.withColumn("base_failed", failed).select(
         F.col("id").alias(id_col), *STATS, "base_failed", "log_perplexity", "band_low", "band_high", (~F.col("base_failed") & inside).alias("kept")
