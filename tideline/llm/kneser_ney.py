@@ -9,16 +9,17 @@ suffix is a mask, and all tables but the first counts are plain DataFrame aggreg
     counts of the longest n-grams -> for each shorter order, the number of distinct
     characters to the left -> totals by context -> joins of counts with totals and discounts.
 
-The finished model is an array of hashes in order, with a value for each. It has at most
-2 ** SLOT_BITS entries by construction (one for each value of the hash's upper bits, the
-more frequent n-gram first), so it can be broadcast whatever the corpus's size.
+The finished model keeps every n-gram under its full key. It is cut into shards by the two
+characters before the predicted one, so that all an n-gram's probability needs stands in
+one shard (the two shortest orders stand in each). Shards are broadcast one by one, and
+workers hold one at a time, so neither driver nor worker ever holds more than a shard.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,8 @@ from .common import Scratch, WordCoder, small_join, sum_by_part, text_chunks
 ORDER = 4
 BITS = 12
 SYMBOLS = 1 << BITS
-SLOT_BITS = 22
+#: Entries of a shard, about.
+SHARD_ROWS = 1 << 21
 SPACE = 32
 
 
@@ -130,40 +132,51 @@ def estimate(top: DataFrame, scratch: Scratch) -> DataFrame:
     return model
 
 
-def language_salt(lang: str | None) -> np.uint64:
-    return np.frombuffer(hashlib.blake2b(repr(lang).encode(), digest_size=8).digest(), dtype=np.uint64)[0]
+def shard_of(pair, shards: int):
+    """The shard of an n-gram from the two characters before its last; for numbers and columns alike."""
+    return pair * 2654435761 % 2147483647 % shards
 
 
-def hashed(salt: np.uint64, level: int, kind: int, keys: np.ndarray) -> np.ndarray:
-    """32-bit hashes of n-grams of one language, level and kind."""
-    from .common import mix64
+@dataclass
+class Shard:
+    """For each language, level and kind the keys in order, with their values."""
+
+    tables: dict[tuple[str | None, int, int], tuple[np.ndarray, np.ndarray]]
 
-    with np.errstate(over="ignore"):
-        x = keys.astype(np.uint64) * np.uint64(16) + np.uint64(level * 2 + kind)
-        return (mix64(mix64(x) ^ salt) >> np.uint64(32)).astype(np.uint32)
+    def find(self, lang: str | None, level: int, kind: int, keys: np.ndarray, default: float) -> np.ndarray:
+        known, values = self.tables.get((lang, level, kind), (None, None))
+        if known is None:
+            return np.full(len(keys), default)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, values[at], default)
 
 
 @dataclass
 class Model:
-    """Sorted 32-bit hashes of n-grams and contexts, with their values."""
+    """The broadcast shards."""
 
-    hashes: np.ndarray
-    values: np.ndarray
+    shards: list[Any]
 
-    def find(self, salt: np.uint64, level: int, kind: int, keys: np.ndarray, default: float) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(keys), default)
-        wanted = hashed(salt, level, kind, keys)
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == wanted, self.values[at], default)
+    def load(self, i: int) -> Shard:
+        if len(self.shards) == 1:
+            return self.shards[0].value
+        found = self.shards[i].value
+        del self.shards[i]._value  # of several shards a worker keeps none
+        return found
 
     def log_probability(self, lang: str | None, keys: np.ndarray) -> np.ndarray:
         """Natural logarithms of the interpolated probabilities of n-grams (distinct ones, for speed)."""
-        salt = language_salt(lang)
         p = np.full(len(keys), 1.0 / SYMBOLS)
-        for k in range(1, ORDER + 1):
-            own = keys & ((1 << BITS * k) - 1)
-            p = self.find(salt, k, 0, own, 0.0) + self.find(salt, k, 1, own >> BITS, 1.0) * p
+        place = shard_of(keys >> BITS & (1 << 2 * BITS) - 1, max(1, len(self.shards)))
+        for i in range(len(self.shards)):
+            at = np.flatnonzero(place == i)
+            if not len(at):
+                continue
+            shard, own, q = self.load(i), keys[at], p[at]
+            for k in range(1, ORDER + 1):
+                part = own & ((1 << BITS * k) - 1)
+                q = shard.find(lang, k, 0, part, 0.0) + shard.find(lang, k, 1, part >> BITS, 1.0) * q
+            p[at] = q
         return np.log(p)
 
     def score(self, lang: str | None, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,31 +194,37 @@ class Model:
         return sum_by_part(by_word[codes], starts), sum_by_part(np.diff(at)[codes], starts)
 
 
-def collect(parts: DataFrame, slot_bits: int = SLOT_BITS) -> Model:
-    """The model as arrays: of the n-grams that share the upper slot_bits of their hash, the most frequent."""
-
-    def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = batch.to_pandas()
-            found = np.zeros(len(d), dtype=np.int64)
-            for (lang, level, kind), rows in d.groupby(["lang", "level", "kind"], dropna=False, sort=False).indices.items():
-                salt = language_salt(None if lang != lang else lang)
-                found[rows] = hashed(salt, level, kind, d["key"].to_numpy()[rows])
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(d["value"]), pa.array(d["n"])], names=["hash", "value", "n"])
-
-    rows = parts.mapInArrow(hash_all, "hash long, value double, n long")
-    best = F.max(F.struct("n", "hash", "value")).alias("best")
-    rows = rows.groupBy(F.shiftright("hash", 32 - slot_bits).alias("slot")).agg(best).select("best.hash", "best.value")
-    table = rows.toArrow()
-    hashes, values = table.column(0).to_numpy().astype(np.uint32), table.column(1).to_numpy()
-    order = np.argsort(hashes)
-    return Model(hashes[order], values[order].astype(np.float32))
-
-
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", slot_bits: int = SLOT_BITS) -> Model:
+def shard(rows: pa.Table) -> Shard:
+    """The shard of rows of lang, level, kind, key and value."""
+    langs = rows.column("lang").combine_chunks().dictionary_encode()
+    names = [*langs.dictionary.to_pylist(), None]
+    lang = langs.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
+    level, kind, key, value = (rows.column(c).to_numpy() for c in ("level", "kind", "key", "value"))
+    order = np.lexsort((key, kind, level, lang))
+    lang, level, kind, key, value = (x[order] for x in (lang, level, kind, key, value))
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(lang) != 0) | (np.diff(level) != 0) | (np.diff(kind) != 0)])) if len(key) else []
+    ends = [*first[1:], len(key)]
+    return Shard({(names[lang[a]], int(level[a]), int(kind[a])): (key[a:b], value[a:b]) for a, b in zip(first, ends, strict=True)} if len(key) else {})
+
+
+def collect(parts: DataFrame, shard_rows: int = SHARD_ROWS) -> Model:
+    """The model of all entries, broadcast shard by shard."""
+    total = parts.count()
+    shards = max(1, -(-total // shard_rows))
+    rows = parts.select("lang", "level", "kind", "key", F.col("value").cast("float").alias("value"))
+    pair = F.when(F.col("kind") == 0, F.shiftright("key", BITS)).otherwise(F.col("key")).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+    rows = rows.withColumn("shard", F.when(F.col("level") > 2, shard_of(pair, shards)))
+    held = []
+    for i in range(shards):
+        own = rows if shards == 1 else rows.where((F.col("shard") == i) | F.col("shard").isNull())
+        held.append(parts.sparkSession.sparkContext.broadcast(shard(own.drop("shard").toArrow())))
+    return Model(held)
+
+
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> Model:
     """A model for each language of the documents; null texts count as empty, no language as one of its own."""
     scratch = Scratch(docs.sparkSession, "kneser-ney")
-    return collect(estimate(count_ngrams(docs, lang_col, text_col), scratch), slot_bits)
+    return collect(estimate(count_ngrams(docs, lang_col, text_col), scratch), shard_rows)
 
 
 def quantiles_by_language(scored: DataFrame, wanted: list[float], lang: str = "lang", value: str = "log_perplexity", cells: int = 1000) -> DataFrame:

@@ -36,15 +36,13 @@ def trusted_only(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
 
 def perplexities(docs: DataFrame, model: kneser_ney.Model, id_col: str, lang_col: str, text_col: str) -> DataFrame:
     """id, lang, n_symbols, log_perplexity (null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, langs, texts = batch.column(0), batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
             for lang, rows in kneser_ney.by_language(langs):
                 for begin, end in text_chunks([texts[i] for i in rows], 16_000_000):
                     own = rows[begin:end]
-                    logs, n = shared.value.score(lang, [texts[i] for i in own])
+                    logs, n = model.score(lang, [texts[i] for i in own])
                     value = np.where(n > 0, -logs / np.maximum(n, 1), np.nan)
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(own)), pa.array([lang] * len(own), type=pa.string()), pa.array(n), pa.array(value, from_pandas=True)],

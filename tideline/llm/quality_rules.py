@@ -80,7 +80,6 @@ def text_statistics(texts: list[str], codes: np.ndarray, starts: np.ndarray, wor
 
 def measure(docs: DataFrame, model: kneser_ney.Model, id_col: str, lang_col: str, text_col: str) -> DataFrame:
     """id, lang, the statistics and log_perplexity (null without words), in one pass over the texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +92,7 @@ def measure(docs: DataFrame, model: kneser_ney.Model, id_col: str, lang_col: str
                     coder = WordCoder()
                     codes, starts = coder.code(part)
                     found = text_statistics(part, codes, starts, coder.words)
-                    logs, n = shared.value.score_codes(lang, codes, starts, coder.words)
+                    logs, n = model.score_codes(lang, codes, starts, coder.words)
                     value = np.where(n > 0, -logs / np.maximum(n, 1), np.nan)
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(own)), pa.array([lang] * len(own), type=pa.string()), *[pa.array(found[c]) for c in STATS], pa.array(value, from_pandas=True)],
