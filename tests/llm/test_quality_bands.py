@@ -24,4 +24,4 @@ def test_marked_words_leave_the_band(spark):
     junk = [" ".join(r.choice(vocabulary)[:3] + r.choice("#*$%&") * 2 for _ in range(40)) for _ in range(6)]
     docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts + junk)], "doc_id long, lang string, text string")
     kept = {x.doc_id: x.kept for x in quality_rules.judge(docs).collect()}
-    assert not any(kept[200 + i] for i in range(6)) and sum(kept[i] for i in range(200)) >= 190
+    assert not any(kept[200 + i] for i in range(6)) and sum(kept[i] for i in range(200)) >= 176  # each of two bands leaves out 6 % at most

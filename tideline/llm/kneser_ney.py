@@ -2,7 +2,9 @@
 
 A word is read as " word " with a fixed number of spaces before it; every character and
 the closing space is predicted from the ORDER - 1 characters before. Character n-grams
-need no vocabulary, judge unseen words, and their tables stay small beside the text. An
+need no vocabulary, judge unseen words, and their tables stay small beside the text. A
+model of running text reads a whole text, its words parted by one space, as one word of
+RUNNING_ORDER: it sees across words, so the order of words counts. An
 n-gram is a 64-bit number of ORDER fields of BITS bits, so its context is a shift and its
 suffix is a mask, and all tables but the first counts are plain DataFrame aggregations:
 
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordCoder, small_join, sum_by_part, text_chunks
 
 ORDER = 4
+RUNNING_ORDER = 5
 BITS = 12
 SYMBOLS = 1 << BITS
 #: Entries of a shard, about.
@@ -43,18 +46,36 @@ def symbols(text: str) -> np.ndarray:
     return np.where(points < SYMBOLS, points, (points * 2654435761 >> 7) % SYMBOLS)
 
 
-def word_ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def order_of(running: bool) -> int:
+    return RUNNING_ORDER if running else ORDER
+
+
+def units(texts: list[str], running: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Codes of the texts' words, where each text's codes start, and the words; of running text the whole text is one word."""
+    if not running:
+        coder = WordCoder()
+        return *coder.code(texts), coder.words
+    lines = [b" ".join(t.encode("utf-8", "surrogatepass").split()) for t in texts]
+    starts = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(np.array([bool(x) for x in lines], dtype=np.int64))])
+    return np.arange(starts[-1]), starts, [x for x in lines if x]
+
+
+def chunk_chars(running: bool) -> int:
+    return 2_000_000 if running else 16_000_000
+
+
+def word_ngrams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all n-grams of the words, and where each word's keys start (one more entry at the end)."""
     texts = [w.decode("utf-8", "surrogatepass") for w in words]
-    pad = " " * (ORDER - 1)
+    pad = " " * (order - 1)
     line = symbols(pad + "".join(t + " " + pad for t in texts))
-    keys = np.zeros(max(0, len(line) - ORDER + 1), dtype=np.int64)
-    for k in range(ORDER):
+    keys = np.zeros(max(0, len(line) - order + 1), dtype=np.int64)
+    for k in range(order):
         keys = keys << BITS | line[k : k + len(keys)]
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     starts = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes)])
-    # Word i begins after (ORDER - 1) further spaces for each word before it.
-    index = np.arange(starts[-1]) + np.repeat(np.arange(len(texts)) * (ORDER - 1), sizes)
+    # Word i begins after (order - 1) further spaces for each word before it.
+    index = np.arange(starts[-1]) + np.repeat(np.arange(len(texts)) * (order - 1), sizes)
     return keys[index], starts
 
 
@@ -63,7 +84,7 @@ def by_language(langs: list[str | None]) -> Iterator[tuple[str | None, np.ndarra
         yield (None if lang is None or lang != lang else lang), rows.to_numpy()
 
 
-def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", running: bool = False) -> DataFrame:
     """lang, key, n: counts of the longest n-grams, those of one batch already added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,18 +92,16 @@ def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
             langs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lang, rows in by_language(langs):
                 own = [texts[i] for i in rows]
-                for begin, end in text_chunks(own, 16_000_000):
-                    coder = WordCoder()
-                    codes, _ = coder.code(own[begin:end])
+                for begin, end in text_chunks(own, chunk_chars(running)):
+                    codes, _, words = units(own[begin:end], running)
                     if not len(codes):
                         continue
-                    keys, starts = word_ngrams(coder.words)
-                    times = np.repeat(np.bincount(codes, minlength=len(coder.words)), np.diff(starts))
-                    order = np.argsort(keys)
-                    keys, times = keys[order], times[order]
-                    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                    keys, starts = word_ngrams(words, order_of(running))
+                    times = np.repeat(np.bincount(codes, minlength=len(words)), np.diff(starts))
+                    where, distinct = pd.factorize(keys)
+                    n = np.bincount(where, weights=times).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(first), type=pa.string()), pa.array(keys[first]), pa.array(np.add.reduceat(times, first).astype(np.int64))],
+                        [pa.array([lang] * len(distinct), type=pa.string()), pa.array(distinct), pa.array(n)],
                         names=["lang", "key", "n"],
                     )
 
@@ -102,15 +121,15 @@ def discounts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang").agg(*n).select("lang", *[sane(x, i).alias(f"d{i}") for i, x in enumerate(d, 1)])
 
 
-def estimate(top: DataFrame, scratch: Scratch) -> DataFrame:
+def estimate(top: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame:
     """lang, level, kind, key, value, n: all parts of the model.
 
     kind 0: (count - discount) / total of an n-gram of that level; kind 1: the weight that
     its context, key, gives to the next shorter level.
     """
     parts, level = [], top
-    for k in range(ORDER, 0, -1):
-        if k < ORDER:
+    for k in range(order, 0, -1):
+        if k < order:
             shorter = F.col("key").bitwiseAND(F.lit((1 << BITS * k) - 1))
             level = level.groupBy("lang", shorter.alias("key")).agg(F.count(F.lit(1)).alias("n"))
         level = scratch.save(level, f"level{k}")
@@ -156,6 +175,7 @@ class Model:
     """The broadcast shards."""
 
     shards: list[Any]
+    running: bool = False
 
     def load(self, i: int) -> Shard:
         if len(self.shards) == 1:
@@ -173,7 +193,7 @@ class Model:
             if not len(at):
                 continue
             shard, own, q = self.load(i), keys[at], p[at]
-            for k in range(1, ORDER + 1):
+            for k in range(1, order_of(self.running) + 1):
                 part = own & ((1 << BITS * k) - 1)
                 q = shard.find(lang, k, 0, part, 0.0) + shard.find(lang, k, 1, part >> BITS, 1.0) * q
             p[at] = q
@@ -181,15 +201,14 @@ class Model:
 
     def score(self, lang: str | None, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of log probabilities and number of predicted characters of each text."""
-        coder = WordCoder()
-        codes, starts = coder.code(texts)
-        return self.score_codes(lang, codes, starts, coder.words)
+        parts = [self.score_codes(lang, *units(texts[b:e], self.running)) for b, e in text_chunks(texts, chunk_chars(self.running))]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
 
     def score_codes(self, lang: str | None, codes: np.ndarray, starts: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not len(codes):
             return np.zeros(len(starts) - 1), np.zeros(len(starts) - 1, dtype=np.int64)
-        keys, at = word_ngrams(words)
-        distinct, where = np.unique(keys, return_inverse=True)
+        keys, at = word_ngrams(words, order_of(self.running))
+        where, distinct = pd.factorize(keys)
         by_word = sum_by_part(self.log_probability(lang, distinct)[where], at)
         return sum_by_part(by_word[codes], starts), sum_by_part(np.diff(at)[codes], starts)
 
@@ -207,7 +226,7 @@ def shard(rows: pa.Table) -> Shard:
     return Shard({(names[lang[a]], int(level[a]), int(kind[a])): (key[a:b], value[a:b]) for a, b in zip(first, ends, strict=True)} if len(key) else {})
 
 
-def collect(parts: DataFrame, shard_rows: int = SHARD_ROWS) -> Model:
+def collect(parts: DataFrame, shard_rows: int = SHARD_ROWS, running: bool = False) -> Model:
     """The model of all entries, broadcast shard by shard."""
     total = parts.count()
     shards = max(1, -(-total // shard_rows))
@@ -218,13 +237,13 @@ def collect(parts: DataFrame, shard_rows: int = SHARD_ROWS) -> Model:
     for i in range(shards):
         own = rows if shards == 1 else rows.where((F.col("shard") == i) | F.col("shard").isNull())
         held.append(parts.sparkSession.sparkContext.broadcast(shard(own.drop("shard").toArrow())))
-    return Model(held)
+    return Model(held, running)
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> Model:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_rows: int = SHARD_ROWS, running: bool = False) -> Model:
     """A model for each language of the documents; null texts count as empty, no language as one of its own."""
     scratch = Scratch(docs.sparkSession, "kneser-ney")
-    return collect(estimate(count_ngrams(docs, lang_col, text_col), scratch), shard_rows)
+    return collect(estimate(count_ngrams(docs, lang_col, text_col, running), scratch, order_of(running)), shard_rows, running)
 
 
 def quantiles_by_language(scored: DataFrame, wanted: list[float], lang: str = "lang", value: str = "log_perplexity", cells: int = 1000) -> DataFrame:

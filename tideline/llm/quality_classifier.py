@@ -1,4 +1,4 @@
-"""Quality classifier: perplexity under a Kneser-Ney model of trusted text.
+"""Quality classifier: perplexity under a Kneser-Ney model of trusted running text.
 
 The counts of the trusted documents are joined, shard by shard, with totals, discounts and
 shorter orders (kneser_ney.estimate); every document's perplexity then follows, and a
@@ -40,7 +40,7 @@ def perplexities(docs: DataFrame, model: kneser_ney.Model, id_col: str, lang_col
         for batch in batches:
             ids, langs, texts = batch.column(0), batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
             for lang, rows in kneser_ney.by_language(langs):
-                for begin, end in text_chunks([texts[i] for i in rows], 16_000_000):
+                for begin, end in text_chunks([texts[i] for i in rows]):
                     own = rows[begin:end]
                     logs, n = model.score(lang, [texts[i] for i in own])
                     value = np.where(n > 0, -logs / np.maximum(n, 1), np.nan)
@@ -70,7 +70,7 @@ def classify(
     """
     scratch = Scratch(docs.sparkSession, "quality-classifier")
     trusted = trusted_only(docs.select(id_col, lang_col, text_col), labels, id_col)
-    model = kneser_ney.train(trusted, lang_col, text_col)
+    model = kneser_ney.train(trusted, lang_col, text_col, running=True)
     scored = scratch.save(perplexities(docs, model, id_col, lang_col, text_col), "scored")
     known = trusted_only(scored.withColumnRenamed("id", id_col), labels, id_col)
     limits = kneser_ney.quantiles_by_language(known, [quantile]).select("lang", (F.col("q0") + margin).alias("limit"))

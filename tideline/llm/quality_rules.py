@@ -1,8 +1,9 @@
 """Quality rules: word statistics, repetition, and language-specific bands of n-gram perplexity.
 
-The model (kneser_ney) is counted over all documents. A document is rejected when a base
-rule fails, or when its log perplexity leaves its language's band: the quantiles LOW and
-HIGH of the language's documents that pass the base rules.
+Two models (kneser_ney) are counted: one of words over all documents, and one of running
+text, which sees the order of words, over each distinct text once. A document is rejected
+when a base rule fails, or when either log perplexity leaves its language's band: the
+quantiles LOW and HIGH of the language's documents that pass the base rules.
 """
 
 from __future__ import annotations
@@ -78,8 +79,8 @@ def text_statistics(texts: list[str], codes: np.ndarray, starts: np.ndarray, wor
     }
 
 
-def measure(docs: DataFrame, model: kneser_ney.Model, id_col: str, lang_col: str, text_col: str) -> DataFrame:
-    """id, lang, the statistics and log_perplexity (null without words), in one pass over the texts."""
+def measure(docs: DataFrame, model: kneser_ney.Model, running: kneser_ney.Model, id_col: str, lang_col: str, text_col: str) -> DataFrame:
+    """id, lang, the statistics, log_perplexity and running_perplexity (null without words), in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,17 +95,19 @@ def measure(docs: DataFrame, model: kneser_ney.Model, id_col: str, lang_col: str
                     found = text_statistics(part, codes, starts, coder.words)
                     logs, n = model.score_codes(lang, codes, starts, coder.words)
                     value = np.where(n > 0, -logs / np.maximum(n, 1), np.nan)
+                    logs, n = running.score(lang, part)
+                    whole = np.where(n > 0, -logs / np.maximum(n, 1), np.nan)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(own)), pa.array([lang] * len(own), type=pa.string()), *[pa.array(found[c]) for c in STATS], pa.array(value, from_pandas=True)],
-                        names=["id", "lang", *STATS, "log_perplexity"],
+                        [ids.take(pa.array(own)), pa.array([lang] * len(own), type=pa.string()), *[pa.array(found[c]) for c in STATS], pa.array(value, from_pandas=True), pa.array(whole, from_pandas=True)],
+                        names=["id", "lang", *STATS, "log_perplexity", "running_perplexity"],
                     )
 
-    schema = f"id long, lang string, {', '.join(f'{c} long' for c in STATS)}, log_perplexity double"
+    schema = f"id long, lang string, {', '.join(f'{c} long' for c in STATS)}, log_perplexity double, running_perplexity double"
     return docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row per document: id, the statistics, base_failed, log_perplexity, band_low, band_high, kept.
+    """One row per document: id, the statistics, base_failed, log_perplexity, band_low, band_high, running_perplexity, running_low, running_high, kept.
 
     Null and empty texts have no words: base_failed, not kept, no perplexity. Documents
     without a language are one more language. Repeated rows are judged alike, each by its
@@ -112,14 +115,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
     model = kneser_ney.train(docs, lang_col, text_col)
-    measured = scratch.save(measure(docs, model, id_col, lang_col, text_col), "measured")
+    running = kneser_ney.train(docs.select(lang_col, text_col).distinct(), lang_col, text_col, running=True)
+    measured = scratch.save(measure(docs, model, running, id_col, lang_col, text_col), "measured")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    bands = kneser_ney.quantiles_by_language(measured.where(~failed), [low, high], cells=CELLS)
-    bands = scratch.save(bands.select("lang", (F.col("q0") - 1 / CELLS).alias("band_low"), F.col("q1").alias("band_high")), "bands")
-    judged = small_join(measured, bands, "lang", F.col("id"))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
+    judged, inside = measured, F.lit(True)
+    for value, name in (("log_perplexity", "band"), ("running_perplexity", "running")):
+        bands = kneser_ney.quantiles_by_language(measured.where(~failed), [low, high], value=value, cells=CELLS)
+        bands = scratch.save(bands.select("lang", (F.col("q0") - 1 / CELLS).alias(f"{name}_low"), F.col("q1").alias(f"{name}_high")), f"{name}s")
+        judged = small_join(judged, bands, "lang", F.col("id"))
+        inside &= F.coalesce(F.col(value).between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(False))
     return judged.withColumn("base_failed", failed).select(
-        F.col("id").alias(id_col), *STATS, "base_failed", "log_perplexity", "band_low", "band_high", (~F.col("base_failed") & inside).alias("kept")
+        F.col("id").alias(id_col), *STATS, "base_failed", "log_perplexity", "band_low", "band_high", "running_perplexity", "running_low", "running_high", (~F.col("base_failed") & inside).alias("kept")
     )
 
 
