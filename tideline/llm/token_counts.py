@@ -6,15 +6,19 @@ lattice, no back pointers. Ties go by the tokenizer's own rule: among equal scor
 piece that starts first, that is the longest, stays; a character without a piece of its own
 is an unknown one, scored below all pieces, and counts as its UTF-8 bytes.
 
-The vocabulary is that of a sentencepiece model file, read as a unigram model. No piece
-holds a space after another character, so a text falls into segments (spaces, then other
-characters) which can be counted by themselves, once for all their occurrences. Scores are
-added exactly, as integers: the library's single-precision sums forget small differences
-after an unknown character, which would make a word's count depend on the words before.
+The pieces are those of a sentencepiece model file. The file's own scores are the ranks of
+merges and no probabilities, so a unigram model is made of them by a rule: the piece of
+rank r has the log probability of Zipf's law, -log(r * sum of 1 / r) (zipf_scores). Nothing is
+trained. Scores are whole multiples of 1 / UNITS, which single-precision sums hold exactly up
+to a million, so the counts are those of the library in its unigram mode over the same
+scores, wherever a word stands. No piece holds a space after another character, so a text
+falls into segments (spaces, then other characters) which are counted by themselves, once for
+all their occurrences.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,33 +33,40 @@ from .common import sum_by_part, text_chunks
 SPACE = "▁"
 #: How much lower than the lowest piece an unknown character scores (fixed value).
 UNKNOWN_PENALTY = 10
+#: Parts of a nat to which scores are rounded.
+UNITS = 16
 #: Segments whose counts a Python worker keeps; then it starts anew.
-KEPT_SEGMENTS = 1 << 20
+KEPT_SEGMENTS = 1 << 18
 SEGMENT = re.compile(r" +[^ ]*")
 
 
+def zipf_scores(pieces: list[str]) -> dict[str, int]:
+    """Scores of the pieces, most frequent first, in whole units: the log probabilities of Zipf's law."""
+    norm = math.log(math.fsum(1 / r for r in range(1, len(pieces) + 1)))
+    return {p: round(-(math.log(r) + norm) * UNITS) for r, p in enumerate(pieces, 1)}
+
+
 class PieceCounter:
-    def __init__(self, pieces: dict[str, float]):
-        """pieces: the normal pieces with their scores."""
+    def __init__(self, pieces: dict[str, int]):
+        """pieces: the normal pieces with their scores in whole units, so that sums and ties are exact."""
         if not pieces:
             raise ValueError("the vocabulary is empty")
-        # Scores as whole multiples of 1e-6, so that sums and ties are exact.
-        exact = {p: round(s * 1_000_000) for p, s in pieces.items()}
-        self.unknown = min(exact.values()) - UNKNOWN_PENALTY * 1_000_000
-        self.single = {p for p in exact if len(p) == 1}
+        self.unknown = min(pieces.values()) - UNKNOWN_PENALTY * UNITS
+        self.single = {p for p in pieces if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
-        for p, s in exact.items():
+        for p, s in pieces.items():
             self.automaton.add_word(p, (len(p), s))
         self.automaton.make_automaton()
         self.clear()
 
     @classmethod
     def from_file(cls, path: str) -> PieceCounter:
+        """The file's pieces in its order, which is that of their merges, by Zipf's law."""
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
         special = lambda i: sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i)
-        return cls({sp.id_to_piece(i): sp.get_score(i) for i in range(sp.vocab_size()) if not special(i)})
+        return cls(zipf_scores([sp.id_to_piece(i) for i in range(sp.vocab_size()) if not special(i)]))
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
@@ -94,6 +105,8 @@ class PieceCounter:
             self.clear()
         parts, starts = [], np.zeros(len(texts) + 1, dtype=np.int64)
         for i, text in enumerate(texts):
+            if SPACE in text:  # the mark itself reads as a space
+                text = text.replace(SPACE, " ")
             if not text:
                 found = []
             elif "  " in text or text[0] == " " or text[-1] == " ":
