@@ -121,15 +121,15 @@ def test_quality_classifier_separates(spark, documents):
 
 
 def test_token_counts_by_plain_dynamic_programming():
-    pieces = {"▁a": -1.0, "▁": -2.0, "a": -1.5, "ab": -1.2, "b": -3.0, "▁ab": -2.5, "c": -2.5, "bc": -2.2, "▁▁": -2.1}
+    pieces = {"▁a": -10, "▁": -20, "a": -15, "ab": -12, "b": -30, "▁ab": -25, "c": -25, "bc": -22, "▁▁": -21}
     counter = token_counts.PieceCounter(pieces)
-    low = min(pieces.values()) - 10
+    low = min(pieces.values()) - token_counts.UNKNOWN_PENALTY * token_counts.UNITS
 
     def slow(text):
         if not text:
             return 0
         s = "▁" + text.replace(" ", "▁")
-        best = [(0.0, 0)] + [None] * len(s)
+        best = [(0, 0)] + [None] * len(s)
         for end in range(1, len(s) + 1):
             for start in range(end):
                 p = s[start:end]
@@ -139,7 +139,7 @@ def test_token_counts_by_plain_dynamic_programming():
                     step = (best[start][0] + low, best[start][1] + len(p.encode()))
                 else:
                     continue
-                if best[end] is None or step[0] > best[end][0] + 1e-9:
+                if best[end] is None or step[0] > best[end][0]:
                     best[end] = step
         return best[-1][1]
 
@@ -193,10 +193,10 @@ def test_terms_that_reveal(spark):
     filler = [f"plain words number {'abcdefghij'[i % 10] * 4} here and there" for i in range(300)]
     told = ["write to Zorblax at boss@corp.example now", "the great zorblax uses boss@corp.example daily", "and there boss@corp.example"]
     docs = docs_of(spark, *filler, *told)
-    rows = {r.doc_id: r for r in pii.detect(docs).collect()}
+    rows = {r.doc_id: r for r in pii.detect(docs, evidence=10.0).collect()}
     words = {told[i][t.start : t.stop].lower() for i in range(3) for t in rows[300 + i].terms}
     assert words == {"zorblax"}
-    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs, evidence=10.0).collect()}
     assert clean[300] == "write to  at [email] now" and clean[5] == filler[5]
 
 

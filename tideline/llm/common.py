@@ -7,6 +7,8 @@ import uuid
 from itertools import count
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,3 +132,16 @@ def text_chunks(texts: list[str], max_chars: int = 4_000_000):
         total += len(t)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def chunks_of(column: pa.Array, max_bytes: int = 4_000_000):
+    """(first row, texts) of a batch's texts, about max_bytes at a time, so that no batch is turned into Python strings whole; null is ''."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and total + n > max_bytes:
+            yield begin, [t or "" for t in column.slice(begin, i - begin).to_pylist()]
+            begin, total = i, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, [t or "" for t in column.slice(begin).to_pylist()]

@@ -1,13 +1,19 @@
 """Personal data: patterns for the base kinds, and terms that reveal them.
 
 Base spans (mail and network addresses, card and phone numbers) are found by pattern. A
-value found is a protected entity; a word that stands near it can give it away. How much
-it does is estimated from the corpus: with n(x) the documents that hold x,
-
-    disclosure(t, e) = PMI(t, e) / IC(e) = 1 - log(n(t) / n(t, e)) / log(N / n(e)),
-
-1 where the word never stands without the entity, 0 where they are independent. Words that
-reach GENERALISE near an entity are generalised, those that reach REMOVE are removed.
+value found is a protected entity, and so is its class (an address's domain, a number's
+leading digits, a network), so that values of one document count as well. A word anywhere in
+a document can give its entities away. How much it does is estimated from the corpus: with
+n(x) the documents that hold x, among N,
+
+    PMI(t, e) = log2(N * n(t, e) / (n(t) * n(e))),  IC(e) = log2(N / n(e)),
+    disclosure(t, e) = PMI(t, e) / IC(e),
+
+1 where the word never stands without the entity, 0 where they are independent. All counts
+are of whole documents. What few documents suggest may be chance: a pair counts only with
+EVIDENCE bits of it, n(t, e) * PMI(t, e), and with SUPPORT different texts. In documents of
+the entity, words that reach GENERALISE are generalised to their class, those that reach
+REMOVE are removed.
 """
 
 from __future__ import annotations
@@ -18,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordCoder, text_chunks
+from .common import Scratch, WordCoder, chunks_of
 
 # The base kinds in order, and their patterns. They are matched part by part,
 # so that no run of characters is read again and again.
@@ -34,21 +40,20 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: Characters on either side of an entity in which words are its neighbours.
-REACH = 64
-#: Distinct texts in which word and entity have to stand together.
+#: Distinct texts in which word and entity have to stand together (told apart by the least and the greatest hash).
 SUPPORT = 2
+#: Bits of evidence that a pair needs.
+EVIDENCE = 20.0
 #: Disclosure from which words are generalised, and from which they are removed.
 GENERALISE = 0.85
 REMOVE = 0.97
-#: Letters of a term, at least.
-TERM_LETTERS = 3
-NEAR_WORD = re.compile(r"[A-Za-z\x80-\U0010ffff]{%d,}" % TERM_LETTERS)
-#: Slots of the filter through which the corpus is counted: fixed, whatever the number of terms.
+#: Words are runs of letters and digits, whatever their case.
+WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+#: Slots of the filters through which words are counted and found: fixed, whatever the number of terms.
 FILTER_BITS = 22
 SEED = 31
 
-_ONLY_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+_WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def luhn(digits: str) -> bool:
@@ -100,83 +105,91 @@ def find_phones(text: str) -> list[tuple[int, int]]:
 FINDERS = dict(zip(KINDS, (find_emails, find_ips, find_cards, find_phones), strict=True))
 
 
-def entity_key(kind: str, value: str) -> int:
-    plain = value.lower() if kind == "email" else value if kind == "ip" else NOT_DIGIT.sub("", value)
-    return xxhash.xxh3_64_intdigest(f"{kind}:{plain}", SEED) - (1 << 63)
+def entity_keys(kind: str, value: str) -> tuple[int, int]:
+    """Of a value and of its class: mail domain, network, first six digits of a card or four of a phone number."""
+    if kind == "email":
+        plain = value.lower()
+        group = plain.rpartition("@")[2]
+    elif kind == "ip":
+        plain = ".".join(part.lstrip("0") or "0" for part in value.split("."))
+        group = ".".join(plain.split(".")[:2])
+    else:
+        plain = NOT_DIGIT.sub("", value)
+        group = plain[: 6 if kind == "card" else 4]
+    one, many = (xxhash.xxh3_64_intdigest(x, SEED) - (1 << 63) for x in (f"{kind}:{plain}", f"{kind} class:{group}"))
+    return one, many
 
 
 def term_key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word, SEED) - (1 << 63)
 
 
-def _is_letter(c: str) -> bool:
-    return ord(c) >= 128 or c.isalpha()
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    return [(k, s, e) for k, f in FINDERS.items() for s, e in f(text)]
 
 
-def neighbours(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
-    """For each span, (term, start, end) of the words around it that lie in no span."""
-    taken = sorted(spans)
-    starts = np.array([s for s, _ in taken])
-    reach = np.maximum.accumulate([e for _, e in taken]) if taken else starts
-    out = []
-    for s, e in spans:
-        words = []
-        for low, high in ((max(0, s - REACH), s), (e, min(len(text), e + REACH))):
-            for m in NEAR_WORD.finditer(text, low, high):
-                a, b = m.span()
-                cut = a == low and low and _is_letter(text[low - 1]) or b == high and high < len(text) and _is_letter(text[high])
-                k = int(np.searchsorted(starts, b)) - 1
-                if not cut and not (k >= 0 and reach[k] > a):
-                    words.append((term_key(m[0].lower().encode("utf-8", "surrogatepass")), a, b))
-        out.append(words)
-    return out
+def words_beside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
+    """(term, start, end) of all words outside the spans."""
+    covered = np.zeros(len(text) + 1, dtype=bool)
+    for _, s, e in spans:
+        covered[s:e] = True
+    return [(term_key(m[0].casefold().encode("utf-8", "surrogatepass")), *m.span()) for m in WORD.finditer(text) if not covered[m.start() : m.end()].any()]
 
 
-FOUND = "id long, content long, spans array<struct<kind string, start int, stop int, entity long>>, near array<struct<entity long, term long, start int, stop int>>"
+FOUND = (
+    "id long, content long, spans array<struct<kind string, start int, stop int>>, entities array<long>,"
+    " words array<struct<term long, start int, stop int>>, text string"
+)
+_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+_WORDS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
 
 
 def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, content (hash of the text), base spans by kind and start, and the words near them."""
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("entity", pa.int64())]))
-    word = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+    """id, content (hash of the text), base spans by kind and start; where there are any also entities, the other words, and the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, spans, near = [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                content.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
-                own = [(k, s, e, entity_key(k, text[s:e])) for k, f in FINDERS.items() for s, e in f(text)]
-                spans.append([dict(zip(("kind", "start", "stop", "entity"), x, strict=True)) for x in own])
-                around = neighbours(text, [(s, e) for _, s, e, _ in own])
-                near.append([{"entity": x[3], "term": t, "start": a, "stop": b} for x, words in zip(own, around, strict=True) for t, a, b in words])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, type=pa.int64()), pa.array(spans, type=span), pa.array(near, type=word)], names=["id", "content", "spans", "near"])
+            for begin, texts in chunks_of(batch.column(2)):
+                spans, entities, words, held = [], [], [], []
+                for text in texts:
+                    own = base_spans(text)
+                    spans.append([{"kind": k, "start": s, "stop": e} for k, s, e in own])
+                    entities.append(sorted({x for k, s, e in own for x in entity_keys(k, text[s:e])}))
+                    words.append([{"term": t, "start": s, "stop": e} for t, s, e in words_beside(text, own)] if own else [])
+                    held.append(text if own else None)
+                columns = [pa.array(spans, type=_SPAN), pa.array(entities, type=pa.list_(pa.int64())), pa.array(words, type=_WORDS), pa.array(held, type=pa.string())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, len(texts)) for i in (0, 1)), *columns], names=["id", "content", "spans", "entities", "words", "text"])
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long"), content_hash(text), text).mapInArrow(run, FOUND)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, FOUND)
 
+def content_hash(text) -> Column:
+    """Tells texts apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-def slots_of(keys: DataFrame, spark) -> np.ndarray:
-    """A filter of 2 ** FILTER_BITS slots that passes all keys; what else it passes a join removes."""
+
+def slots_of(keys: DataFrame) -> np.ndarray:
+    """A filter of 2 ** FILTER_BITS slots that passes all terms; what else it passes a join removes."""
     slots = keys.select(F.pmod(F.col("term"), F.lit(1 << FILTER_BITS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
     table = np.zeros(1 << FILTER_BITS, dtype=bool)
     table[slots] = True
     return table
 
 
-def count_terms(docs: DataFrame, passed: np.ndarray, text_col: str) -> DataFrame:
-    """term, n: in how many documents each word stands that the filter passes."""
+def count_elsewhere(docs: DataFrame, passed: np.ndarray, text_col: str) -> DataFrame:
+    """term, n: in how many documents without base spans each word stands that the filter passes."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(passed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(shared.value).astype(bool)
-        coder, keys = WordCoder(1 << 20), np.zeros(0, dtype=np.int64)
+        coder, keys = WordCoder(1 << 18), np.zeros(0, dtype=np.int64)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for begin, end in text_chunks(texts, 16_000_000):
+            for _, texts in chunks_of(batch.column(0)):
                 if len(coder.words) > coder.limit:
                     coder.clear()
                     keys = np.zeros(0, dtype=np.int64)
-                codes, starts = coder.code([t.lower() for t in texts[begin:end]], _ONLY_LETTERS)
+                codes, starts = coder.code([t.casefold() for t in texts if not base_spans(t)], _WORD_BYTES)
                 fresh = coder.words[len(keys) :]
                 keys = np.concatenate([keys, np.fromiter(map(term_key, fresh), dtype=np.int64, count=len(fresh))])
                 at = np.flatnonzero(table[keys[codes] % (1 << FILTER_BITS)]) if len(codes) else codes
@@ -185,60 +198,105 @@ def count_terms(docs: DataFrame, passed: np.ndarray, text_col: str) -> DataFrame
                 found, n = np.unique(keys[once], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.int64()), pa.array(n.astype(np.int64))], names=["term", "n"])
 
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term long, n long")
-    return parts.groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term long, n long")
+
 
+def words_passed(found: DataFrame, passed: np.ndarray) -> DataFrame:
+    """row, content, entities, term, start, stop, first (in its document) of the found rows' words that the filter passes."""
+    shared = found.sparkSession.sparkContext.broadcast(np.packbits(passed))
 
-def disclosures(found: DataFrame, docs: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            words = batch.column(3)
+            flat = words.flatten()
+            terms = flat.field("term").to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+            at = np.flatnonzero(table[terms % (1 << FILTER_BITS)])
+            first = np.zeros(len(at), dtype=bool)
+            if len(at):
+                order = np.lexsort((terms[at], row[at]))
+                r, t = row[at][order], terms[at][order]
+                first[order[np.concatenate([[True], (r[1:] != r[:-1]) | (t[1:] != t[:-1])])]] = True
+            for i in range(0, len(at), 50_000):
+                own = at[i : i + 50_000]
+                rows = [batch.column(k).take(pa.array(row[own])) for k in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows, pa.array(terms[own]), *(flat.field(c).take(pa.array(own)) for c in ("start", "stop")), pa.array(first[i : i + 50_000])],
+                    names=["row", "content", "entities", "term", "start", "stop", "first"],
+                )
+
+    rows = found.select("row", "content", "entities", "words")
+    return rows.mapInArrow(run, "row long, content long, entities array<long>, term long, start int, stop int, first boolean")
+
+
+def disclosures(found: DataFrame, docs: DataFrame, scratch: Scratch, text_col: str, evidence: float = EVIDENCE) -> DataFrame:
     """entity, term, disclosure: pairs that reach GENERALISE."""
-    near = found.select("content", F.explode("near").alias("x"), "row").select("row", "content", "x.entity", "x.term").distinct()
-    together = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("content").alias("texts")).where(F.col("texts") >= SUPPORT)
-    together = scratch.save(together.drop("texts"), "together")
-    alone = found.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    counted = count_terms(docs, slots_of(together, docs.sparkSession), text_col)
-    size = found.count()
-    held = together.join(alone, "entity").join(counted, "term")
-    degree = 1 - F.try_divide(F.log2(F.col("n") / F.col("both")), F.log2(F.lit(float(size)) / F.col("n_entity")))
-    return scratch.save(held.select("entity", "term", degree.alias("disclosure")).where(F.col("disclosure") >= GENERALISE), "disclosures")
-
-
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, spans (kind, start, stop), terms (kind, start, stop, disclosure), by start within a kind.
-
-    Null texts are empty texts: no spans. Repeated rows are judged each by itself, but an
-    entity has to meet a word in SUPPORT different texts. Other columns are ignored.
+    size = float(found.count())
+    several = lambda c: F.min(c) != F.max(c)  # noqa: E731 - SUPPORT different texts
+    marked = found.where(F.size("entities") > 0)
+    entities = marked.select("content", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), several("content").alias("several"))
+    entities = scratch.save(entities.where("several").drop("several"), "entities")
+    # n(t) <= n(t, e) * (N / n(e)) ** (1 - GENERALISE), and n(t, e) <= n(e): more frequent words reveal nothing.
+    reach = F.pow("n_entity", F.lit(GENERALISE)) * F.pow(F.lit(size), F.lit(1 - GENERALISE))
+    most = entities.agg(F.max(reach)).first()[0] or 0.0
+    everything = np.ones(1 << FILTER_BITS, dtype=bool)
+    inside = words_passed(marked, everything).where("first").groupBy("term").agg(F.count(F.lit(1)).alias("n"), several("content").alias("several"))
+    inside = scratch.save(inside.where((F.col("n") <= most) & F.col("several")).drop("several"), "inside")
+    outside = count_elsewhere(docs, slots_of(inside), text_col).groupBy("term").agg(F.sum("n").alias("more"))
+    terms = inside.join(outside, "term", "left").select("term", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    terms = scratch.save(terms.where(F.col("n") <= most), "terms")
+    pairs = words_passed(marked, slots_of(terms)).where("first").select("content", "term", F.explode("entities").alias("entity"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), several("content").alias("several")).where("several")
+    held = scratch.save(pairs.drop("several"), "pairs").join(terms, "term").join(entities, "entity")
+    pmi, content = F.log2(F.lit(size) * F.col("both") / (F.col("n") * F.col("n_entity"))), F.log2(F.lit(size) / F.col("n_entity"))
+    held = held.select("entity", "term", F.try_divide(pmi, content).alias("disclosure"), (F.col("both") * pmi).alias("evidence"))
+    return scratch.save(held.where((F.col("disclosure") >= GENERALISE) & (F.col("evidence") >= evidence)).drop("evidence"), "disclosures")
+
+
+def cleaned(text: str, spans: str, terms: str) -> Column:
+    """The text with [email] and so on for spans, the class of generalised words, and nothing for removed ones."""
+    shown = lambda t: F.substring(F.col(text), t["start"] + 1, t["stop"] - t["start"])
+    kind = lambda w: F.when(w.rlike("^[0-9]+$"), "[number]").when(w.rlike("[0-9]"), "[code]").when(w.rlike(r"^\p{Lu}"), "[name]").otherwise("[word]")
+    marks = F.concat(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("by"))),
+        F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.when(t["disclosure"] >= REMOVE, "").otherwise(kind(shown(t))).alias("by"))),
+    )
+    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    between = lambda acc, m: F.substring(F.col(text), acc["at"] + 1, m["start"] - acc["at"])
+    step = lambda acc, m: F.struct(
+        F.when(m["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(between(acc, m), m["by"]))).alias("out"),
+        F.greatest(acc["at"], m["stop"]).alias("at"),
+    )
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text)))
+    return F.aggregate(F.sort_array(marks), begin, step, rest)
+
+
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evidence: float = EVIDENCE) -> DataFrame:
+    """One row per document: id, content, spans (kind, start, stop), terms (kind, start, stop, disclosure), by start within a kind, clean_text.
+
+    clean_text is the text without what was found, null where nothing was. Null texts are
+    empty texts: no spans. Repeated rows are judged each by itself, but an entity has to meet a
+    word in SUPPORT different texts. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.save(find_base(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "found")
-    strong = disclosures(found, docs, scratch, text_col)
-    words = found.select("row", F.explode("near").alias("x")).select("row", "x.*").join(strong, ["entity", "term"])
+    strong = disclosures(found, docs, scratch, text_col, evidence)
+    words = words_passed(found.where(F.size("entities") > 0), slots_of(strong)).join(strong, "term").where(F.array_contains("entities", F.col("entity")))
     term = F.struct(F.lit(TERM).alias("kind"), "start", "stop", F.max("disclosure").alias("disclosure"))
     words = words.groupBy("row", "start", "stop").agg(term.alias("t")).groupBy("row").agg(F.sort_array(F.collect_list("t")).alias("terms"))
-    base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans")
-    out = found.select("row", F.col("id").alias(id_col), base).join(words, "row", "left")
     none = F.array().cast("array<struct<kind:string,start:int,stop:int,disclosure:double>>")
-    return out.select(id_col, "spans", F.coalesce("terms", none).alias("terms"))
+    out = found.join(words, "row", "left").withColumn("terms", F.coalesce("terms", none))
+    return out.select(F.col("id").alias(id_col), "content", "spans", "terms", F.when(F.size("spans") > 0, cleaned("text", "spans", "terms")).alias("clean_text"))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with text cleaned: [email] and so on for base spans, [term] for generalised words, nothing for removed ones.
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evidence: float = EVIDENCE) -> DataFrame:
+    """The documents with text cleaned: [email] and so on for base spans, the class of generalised words, nothing for removed ones.
 
-    Found spans meet their texts by id, so ids have to be unique; rows without id, whose
-    spans can't be assigned, lose their text.
+    Rows meet their clean text by id and content, so rows that repeat an id, or have none, keep
+    what is theirs.
     """
-    spans = detect(docs, id_col, text_col)
-    marks = F.concat(
-        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("by"))),
-        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.when(s["disclosure"] >= REMOVE, "").otherwise(f"[{TERM}]").alias("by"))),
-    )
-    spans = spans.select(F.col(id_col).alias("__id"), F.sort_array(marks).alias("__marks"))
-    held = docs.join(spans, docs[id_col] == spans["__id"], "left").drop("__id")
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    part = lambda acc, m: F.substring(F.col(text_col), acc["at"] + 1, F.greatest(F.lit(0), m["start"] - acc["at"]))
-    step = lambda acc, m: F.struct(
-        F.when(m["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], part(acc, m), m["by"])).alias("out"),
-        F.greatest(acc["at"], m["stop"]).alias("at"),
-    )
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col)))
-    clean = F.aggregate("__marks", begin, step, rest)
-    return held.withColumn(text_col, F.when(F.col("__marks").isNotNull(), clean)).select(*docs.columns)
+    new = detect(docs, id_col, text_col, evidence).where("clean_text is not null").dropDuplicates([id_col, "content"])
+    new = new.select(F.col(id_col).alias("__id"), F.col("content").alias("__content"), F.col("clean_text").alias("__clean"))
+    held = docs.join(new, docs[id_col].eqNullSafe(new["__id"]) & (content_hash(docs[text_col].cast("string")) == new["__content"]), "left")
+    return held.withColumn(text_col, F.coalesce("__clean", text_col)).select(*docs.columns)
