@@ -32,9 +32,14 @@ def blank_to_null(text: str | Column) -> Column:
     return F.nullif(F.trim(col(text)), F.lit(""))
 
 
+def exact(value: str | Column) -> Column:
+    """The value as a decimal, in which sums don't depend on the order of rows; NaN and infinities count as missing."""
+    return col(value).cast("decimal(28,8)")
+
+
 def total(value: str | Column) -> Column:
-    """An exact sum, 0 over no rows: money is added as decimals, so no order of rows changes it."""
-    return F.coalesce(F.sum(col(value).cast("decimal(28,8)")), F.lit(0)).cast("double")
+    """An exact sum, 0 over no rows; missing values, and NaN, count as nothing."""
+    return F.coalesce(F.sum(exact(value)), F.lit(0)).cast("double")
 
 
 def fixed2(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import is_sale, item_sku, or_else, total
-from tideline.operators.sales import gross
+from tideline.operators.sales import first_line, gross
 from tideline.operators.stock import consolidate, stock_lines
 
 
@@ -35,7 +35,7 @@ def consolidated(listings: DataFrame, orders: DataFrame, stock: DataFrame | None
     between aggregates. stock: sku, total; by default the consolidated stock.
     """
     sku = F.coalesce(item_sku("seller_custom_field", "attributes", "seller_sku"), F.concat(F.lit("sem-sku-"), F.coalesce("id", F.lit("desconhecido"))))
-    first = F.get("order_items", F.lit(0))
+    first = first_line(orders)
     by_item = orders.where(is_sale()).select(first["item"]["id"].alias("id"), gross().alias("g"), or_else(first["quantity"], F.lit(1.0)).alias("q"))
     by_item = by_item.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("orders"), total("g").alias("gross"), total("q").alias("units"))
     rows = listings.withColumn("sku", sku).join(by_item, "id", "left")

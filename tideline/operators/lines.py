@@ -48,7 +48,7 @@ def with_shipments(lines: DataFrame, shipments: DataFrame) -> DataFrame:
 
 
 def shipment_totals(sale_lines: DataFrame) -> DataFrame:
-    """Adds ship_revenue and ship_units over all sale lines of a shipment, whatever the period.
+    """Adds ship_revenue and ship_units over all sale lines of a shipment, whatever the period, and first_of_order.
 
     Lines without shipment are dealt by order, so they never meet in one partition.
     """
@@ -57,7 +57,8 @@ def shipment_totals(sale_lines: DataFrame) -> DataFrame:
     held = sale_lines.withColumn("__key", F.coalesce("shipment_id", F.concat(F.lit("order:"), "order_id")))
     added = lambda x: F.sum(F.greatest(F.lit(0.0), x).cast("decimal(28,8)")).over(own).cast("double")
     held = held.withColumns({"ship_revenue": added(q * p), "ship_units": added(q)})
-    return held.drop("__key")
+    order = Window.partitionBy("__key", "order_id", "sku").orderBy("pos")
+    return held.withColumn("first_of_order", F.row_number().over(order) == 1).drop("__key")
 
 
 def freight_share(freight: Column, revenue: Column, quantity: Column, ship_revenue: Column, ship_units: Column) -> Column:
@@ -67,9 +68,18 @@ def freight_share(freight: Column, revenue: Column, quantity: Column, ship_reven
     return F.when(freight.isNull(), None).when(freight == 0, 0.0).when(ship_revenue > 0, by_revenue).when(ship_units > 0, by_units).otherwise(0.0)
 
 
+def as_lines(orders: DataFrame) -> DataFrame:
+    """Sale lines of orders, or of rows that are lines already."""
+    return orders.where(is_sale()) if "order_id" in orders.columns else order_lines(orders.where(is_sale()))
+
+
 def sale_lines(orders: DataFrame, shipments: DataFrame) -> DataFrame:
-    """All sale lines with revenue, sku, logistics and freight share. Periods are cut after this, never before."""
-    lines = order_lines(orders.where(is_sale())).withColumn("sku", line_sku("seller_sku", "item_id"))
+    """All sale lines with revenue, sku, logistics and freight share. Periods are cut after this, never before.
+
+    first_of_order marks one line of each SKU in an order, so orders are counted by a sum. Lines
+    of an order lie in one partition by shipment, so the mark costs a sort and no shuffle.
+    """
+    lines = as_lines(orders).withColumn("sku", line_sku("seller_sku", "item_id"))
     lines = shipment_totals(lines)
     lines = with_shipments(lines, shipments)
     lines = lines.withColumns({"quantity": F.coalesce("quantity", F.lit(1.0)), "unit_price": F.coalesce("unit_price", F.lit(0.0))})
@@ -80,6 +90,6 @@ def sale_lines(orders: DataFrame, shipments: DataFrame) -> DataFrame:
 
 def shipment_base(orders: DataFrame) -> DataFrame:
     """shipment_id, revenue, units: what freight is shared by."""
-    lines = order_lines(orders.where(is_sale())).where(F.col("shipment_id").isNotNull())
+    lines = as_lines(orders).where(F.col("shipment_id").isNotNull())
     q, p = F.coalesce("quantity", F.lit(1.0)), F.coalesce("unit_price", F.lit(0.0))
     return lines.groupBy("shipment_id").agg(total(F.greatest(F.lit(0.0), q * p)).alias("revenue"), total(F.greatest(F.lit(0.0), q)).alias("units"))

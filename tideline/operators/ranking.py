@@ -7,11 +7,13 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.columns import total
+from tideline.functions.columns import exact, total
 from tideline.operators.margin import percent_of
 
 CRITERIA = ("revenue", "units", "margin")
 DEFAULT_LIMIT, MAX_LIMIT = 5, 20
+#: Ranges in which a whole ranking is numbered.
+RANGES = 512
 
 
 def ranking_limit(n: float | None) -> int:
@@ -21,40 +23,59 @@ def ranking_limit(n: float | None) -> int:
     return max(1, min(MAX_LIMIT, math.floor(n)))
 
 
-def labels_by_revenue(lines: DataFrame) -> DataFrame:
-    """sku, label: the title with the most revenue; then the shortest, then the first in order."""
-    by_title = lines.where(F.coalesce(F.col("title") != "", F.lit(False))).groupBy("sku", "title").agg(total("revenue").alias("r"))
-    order = Window.partitionBy("sku").orderBy(F.desc("r"), F.length("title"), F.collate("title", "UNICODE"), "title")
-    return by_title.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("sku", F.col("title").alias("label"))
-
-
 def ranking_rows(lines: DataFrame) -> DataFrame:
-    """One row per SKU with everything a ranking shows.
+    """One row per SKU with everything a ranking shows, from one pass over the lines.
 
+    Lines are added up by SKU and title, then by SKU: label is the title with the most revenue,
+    then the shortest, then the first in order; item_ids are the items, in order.
     cost_coverage: total, parcial or ausente, judged by units; money that needs costs is
     null where it is ausente, and counts the costed part alone where it is parcial.
     """
     costed = F.col("unit_cost").isNotNull()
-    known = lambda c: total(F.when(costed, F.col(c)))
-    rows = lines.groupBy("sku").agg(
-        total("revenue").alias("revenue"),
-        total("quantity").alias("units"),
-        F.count_distinct("order_id").alias("orders"),
-        F.count_distinct("item_id").alias("items"),
-        known("revenue").alias("costed_revenue"),
-        known("quantity").alias("costed_units"),
-        total(F.when(~costed, F.col("quantity"))).alias("uncosted_units"),
-        known("marketplace_fee").alias("marketplace_fee"),
-        known("shipping_fee").alias("shipping_fee"),
-        known("cost").alias("cost"),
+    sums = {
+        "revenue": F.col("revenue"),
+        "units": F.col("quantity"),
+        "costed_revenue": F.when(costed, F.col("revenue")),
+        "costed_units": F.when(costed, F.col("quantity")),
+        "uncosted_units": F.when(~costed, F.col("quantity")),
+        "marketplace_fee": F.when(costed, F.col("marketplace_fee")),
+        "shipping_fee": F.when(costed, F.col("shipping_fee")),
+        "cost": F.when(costed, F.col("cost")),
+    }
+    by_title = lines.groupBy("sku", "title").agg(*[F.sum(exact(v)).alias(c) for c, v in sums.items()], F.count_if("first_of_order").alias("orders"), F.collect_set("item_id").alias("item_ids"))
+    named = F.coalesce(F.col("title") != "", F.lit(False))
+    label = F.struct(F.coalesce("revenue", F.lit(0)).alias("r"), (-F.length("title")).alias("n"), F.col("title"))
+    rows = by_title.groupBy("sku").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in sums],
+        F.sum("orders").alias("orders"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        F.collect_list(F.when(named, label)).alias("labels"),
     )
+    later = lambda a, b: (b["r"] > a["r"]) | (b["r"] == a["r"]) & ((b["n"] > a["n"]) | (b["n"] == a["n"]) & (F.struct(F.collate(b["title"], "UNICODE").alias("t"), b["title"]) < F.struct(F.collate(a["title"], "UNICODE").alias("t"), a["title"])))
+    best = F.aggregate("labels", F.get("labels", F.lit(0)), lambda a, b: F.when(later(a, b), b).otherwise(a))
+    rows = rows.withColumns({"label": F.coalesce(best["title"], F.lit("")), "items": F.size("item_ids").cast("long")}).drop("labels")
     coverage = F.when(F.col("costed_units") == 0, "ausente").when(F.col("uncosted_units") == 0, "total").otherwise("parcial")
     rows = rows.withColumn("cost_coverage", coverage)
     rows = rows.withColumn("margin", F.col("costed_revenue") - F.col("marketplace_fee") - F.col("shipping_fee") - F.col("cost"))
     rows = rows.withColumn("margin_pct", percent_of("margin", "costed_revenue"))
     money = ("marketplace_fee", "shipping_fee", "cost", "margin", "margin_pct")
-    rows = rows.withColumns({c: F.when(F.col("cost_coverage") != "ausente", F.col(c)) for c in money})
-    return rows.join(labels_by_revenue(lines), "sku", "left").withColumn("label", F.coalesce("label", F.lit("")))
+    return rows.withColumns({c: F.when(F.col("cost_coverage") != "ausente", F.col(c)) for c in money})
+
+
+def numbered(rows: DataFrame, order: list) -> DataFrame:
+    """Adds position over a global order. Rows are numbered in RANGES ranges of the first key at once, and ranges by the rows before them.
+
+    order: the first key descending, then others. Nothing but a row per range passes through one task.
+    """
+    key = order[0]
+    bounds = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    width = F.greatest((F.col("high") - F.col("low")) / RANGES, F.lit(1e-9))
+    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("__range", F.coalesce(F.floor((F.col("high") - F.col(key)) / width), F.lit(RANGES + 1))).drop("low", "high")
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc(key), *order[1:]))
+    held = ranged.withColumn("__own", own).join(F.broadcast(before), "__range")
+    return held.withColumn("position", (F.col("__own") + F.col("__before")).cast("int")).drop("__range", "__own", "__before")
 
 
 def ranking(lines: DataFrame, criterion: str = "revenue", limit: float | None = None, everything: bool = False) -> DataFrame:
@@ -65,12 +86,11 @@ def ranking(lines: DataFrame, criterion: str = "revenue", limit: float | None =
     key = criterion if criterion in CRITERIA else "revenue"
     rows = ranking_rows(lines)
     rows = rows.where("cost_coverage = 'total'") if key == "margin" else rows
-    order = [F.desc(key), F.collate("sku", "UNICODE"), F.col("sku")]
+    ties = [F.collate("sku", "UNICODE"), F.col("sku")]
     if everything:
-        # One number per SKU over a global order: ranks by range, not in a single task.
-        return rows.orderBy(*order)
-    top = rows.orderBy(*order).limit(ranking_limit(limit))
-    return top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+        return numbered(rows, [key, *ties]).orderBy("position")
+    top = rows.orderBy(F.desc(key), *ties).limit(ranking_limit(limit))
+    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc(key), *ties)))
 
 
 def margin_coverage(rows: DataFrame) -> DataFrame:

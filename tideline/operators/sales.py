@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tideline.functions.columns import is_sale, or_else, percent_change, total
 from tideline.functions.dates import in_optional_period, in_period, instant, with_civil_date
 from tideline.operators.costs import Fees
-from tideline.operators.lines import order_lines
+from tideline.operators.lines import as_lines
 
 
 def paid() -> Column:
@@ -28,17 +28,25 @@ def gross() -> Column:
     return or_else("paid_amount", or_else("total_amount", F.lit(0.0)))
 
 
-def units_of_order() -> Column:
+def units_of_order(orders: DataFrame) -> Column:
+    """The units of an order's lines, or those that stand in units."""
+    if "units" in orders.columns:
+        return F.col("units")
     return F.coalesce(F.aggregate("order_items", F.lit(0.0), lambda acc, x: acc + F.coalesce(x["quantity"], F.lit(1.0))), F.lit(0.0))
 
 
+def first_line(orders: DataFrame) -> Column:
+    """The first of an order's lines, or what stands in first_item."""
+    return F.col("first_item") if "first_item" in orders.columns else F.get("order_items", F.lit(0))
+
+
 def sales_in(orders: DataFrame, start: date | None, end: date | None) -> DataFrame:
     return with_civil_date(orders.where(is_sale())).where(in_period("civil_date", start, end))
 
 
 def sales_summary(orders: DataFrame, start: date, end: date) -> DataFrame:
     """One row: revenue (paid), orders, units, average_ticket (null without orders)."""
-    rows = sales_in(orders, start, end).agg(total(paid()).alias("revenue"), F.count(F.lit(1)).alias("orders"), total(units_of_order()).alias("units"))
+    rows = sales_in(orders, start, end).agg(total(paid()).alias("revenue"), F.count(F.lit(1)).alias("orders"), total(units_of_order(orders)).alias("units"))
     return rows.withColumn("average_ticket", F.try_divide("revenue", F.col("orders").cast("double")))
 
 
@@ -47,7 +55,7 @@ def windows_summary(orders: DataFrame, windows: dict[str, tuple[date, date]]) ->
     rows = with_civil_date(orders.where(is_sale())).where(F.col("civil_date").isNotNull())
     spans = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in windows.items()])
     inside = F.filter(spans, lambda w: F.col("civil_date").between(w["a"], w["b"]))
-    rows = rows.select(paid().alias("p"), units_of_order().alias("u"), F.explode(inside).alias("w"))
+    rows = rows.select(paid().alias("p"), units_of_order(orders).alias("u"), F.explode(inside).alias("w"))
     found = rows.groupBy(F.col("w.window").alias("window")).agg(total("p").alias("revenue"), F.count(F.lit(1)).alias("orders"), total("u").alias("units"))
     names = orders.sparkSession.createDataFrame([(n,) for n in windows], "window string")
     out = names.join(found, "window", "left").fillna(0.0, ["revenue", "units"]).fillna(0, ["orders"])
@@ -61,7 +69,7 @@ def compare_periods(orders: DataFrame, now: tuple[date, date], before: tuple[dat
     rows = rows.where(inside["now"] | inside["before"])
     aggs = []
     for n, c in inside.items():
-        aggs += [total(F.when(c, paid())).alias(f"revenue_{n}"), F.count_if(c).alias(f"orders_{n}"), total(F.when(c, units_of_order())).alias(f"units_{n}")]
+        aggs += [total(F.when(c, paid())).alias(f"revenue_{n}"), F.count_if(c).alias(f"orders_{n}"), total(F.when(c, units_of_order(orders))).alias(f"units_{n}")]
     out = rows.agg(*aggs)
     for n in inside:
         out = out.withColumn(f"ticket_{n}", F.try_divide(f"revenue_{n}", F.col(f"orders_{n}").cast("double")))
@@ -78,7 +86,7 @@ def gross_and_net(orders: DataFrame, start: date | None, end: date | None, fees:
 
 def sales_by_first_item(orders: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
     """item_id, orders, units, revenue: the whole order's amount goes to its first item."""
-    first = F.get("order_items", F.lit(0))
+    first = first_line(orders)
     rows = with_civil_date(orders.where(is_sale())).where(in_optional_period("civil_date", start, end))
     rows = rows.select(first["item"]["id"].alias("item_id"), or_else(first["quantity"], F.lit(1.0)).alias("q"), paid().alias("p"))
     rows = rows.where(F.coalesce(F.col("item_id") != "", F.lit(False)))
@@ -86,9 +94,11 @@ def sales_by_first_item(orders: DataFrame, start: date | None = None, end: date
 
 
 def _sku_lines(orders: DataFrame, sku_map: DataFrame, start: date | None, end: date | None) -> DataFrame:
-    lines = order_lines(orders.where(is_sale())).where(in_optional_period("civil_date", start, end))
+    lines = as_lines(orders).where(in_optional_period("civil_date", start, end))
     codes = sku_map.select("item_id", F.col("sku").alias("map_sku"))
-    return lines.dropDuplicates(["order_id", "item_id", "pos"]).join(codes, "item_id")
+    # Orders may be repeated; lines that are given as such are not.
+    lines = lines if "order_id" in orders.columns else lines.dropDuplicates(["order_id", "item_id", "pos"])
+    return lines.join(codes, "item_id")
 
 
 def sku_detail(orders: DataFrame, sku_map: DataFrame, sku: str, start: date | None = None, end: date | None = None) -> DataFrame:
@@ -158,7 +168,7 @@ def cancel_reasons(cancelled: DataFrame, labels: DataFrame | None = None) -> Dat
 
 def units_by_item(orders: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
     """item_id, units over all lines."""
-    lines = order_lines(orders.where(is_sale())).where(in_optional_period("civil_date", start, end))
+    lines = as_lines(orders).where(in_optional_period("civil_date", start, end))
     lines = lines.where(F.coalesce(F.col("item_id") != "", F.lit(False)))
     return lines.groupBy("item_id").agg(total(or_else("quantity", F.lit(1.0))).alias("units"))
 

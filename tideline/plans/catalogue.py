@@ -29,15 +29,15 @@ def shown(df: DataFrame, *names: str) -> DataFrame:
 
 
 def priced(s: SparkSession, d: str) -> DataFrame:
-    return margin.priced_lines(star.orders(s, d), star.shipments(s, d), star.RULES, *NOW)
+    return margin.priced_lines(star.order_lines(s, d), star.shipments(s, d), star.RULES, *NOW)
 
 
 def units(s: SparkSession, d: str) -> DataFrame:
-    return sales.units_by_item(star.orders(s, d), date(1997, 11, 10), TODAY)
+    return sales.units_by_item(star.order_lines(s, d), date(1997, 11, 10), TODAY)
 
 
 def sku_weekly(s: SparkSession, d: str) -> DataFrame:
-    found = sales.sales_by_sku(star.orders(s, d), star.sku_map(s, d), *NOW, week_of=F.weekofyear)
+    found = sales.sales_by_sku(star.order_lines(s, d), star.sku_map(s, d), *NOW, week_of=F.weekofyear)
     weeks = found.select("sku", "units", "revenue", F.explode("by_week").alias("week", "week_units"))
     return shown(weeks)
 
@@ -64,11 +64,11 @@ def question_revenue(s: SparkSession, d: str) -> DataFrame:
 def fixed_windows(s: SparkSession, d: str) -> DataFrame:
     from tideline.operators.dashboard import fixed_windows as windows
 
-    return shown(sales.windows_summary(star.orders(s, d), windows(TODAY, *NOW)))
+    return shown(sales.windows_summary(star.order_facts(s, d), windows(TODAY, *NOW)))
 
 
 def cost_rule_match(s: SparkSession, d: str) -> DataFrame:
-    rows = lines.order_lines(star.orders(s, d)).withColumn("rule", costs.rule_of("title", "seller_sku", star.RULES))
+    rows = star.order_lines(s, d).withColumn("rule", costs.rule_of("title", "seller_sku", star.RULES))
     rows = rows.select(F.coalesce("rule.rule_id", F.lit("none")).alias("rule_id"), F.coalesce("rule.via", F.lit("none")).alias("via"))
     return rows.groupBy("rule_id", "via").agg(F.count(F.lit(1)).alias("lines"))
 
@@ -85,7 +85,7 @@ def unit_cost(s: SparkSession, d: str) -> DataFrame:
 
 
 def freight_share(s: SparkSession, d: str) -> DataFrame:
-    rows = lines.sale_lines(star.orders(s, d), star.shipments(s, d)).where(dates.in_period("civil_date", *NOW))
+    rows = lines.sale_lines(star.order_lines(s, d), star.shipments(s, d)).where(dates.in_period("civil_date", *NOW))
     return shown(rows.groupBy("sku").agg(margin.total("freight_share").alias("freight"), F.count("freight_share").alias("lines_known"), F.count(F.lit(1)).alias("lines")))
 
 
@@ -140,28 +140,28 @@ def stock_view(view: str, mode: str):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "sales_summary": lambda s, d: shown(sales.sales_summary(star.orders(s, d), *NOW)),
-    "sales_summary_empty_period": lambda s, d: shown(sales.sales_summary(star.orders(s, d), date(2031, 1, 1), date(2031, 1, 31))),
+    "sales_summary": lambda s, d: shown(sales.sales_summary(star.order_facts(s, d), *NOW)),
+    "sales_summary_empty_period": lambda s, d: shown(sales.sales_summary(star.order_facts(s, d), date(2031, 1, 1), date(2031, 1, 31))),
     "gross_net_period": lambda s, d: shown(sales.gross_and_net(star.order_heads(s, d), *NOW)),
-    "sales_by_first_item": lambda s, d: shown(sales.sales_by_first_item(star.orders(s, d), *NOW)),
-    "sku_detail": lambda s, d: shown(sales.sku_detail(star.orders(s, d), star.sku_map(s, d), "Brand#13", *NOW)),
+    "sales_by_first_item": lambda s, d: shown(sales.sales_by_first_item(star.order_facts(s, d), *NOW)),
+    "sku_detail": lambda s, d: shown(sales.sku_detail(star.order_lines(s, d), star.sku_map(s, d), "Brand#13", *NOW)),
     "sku_weekly": sku_weekly,
     "revenue_monthly_text": lambda s, d: shown(sales.revenue_by_text_month(star.order_heads(s, d))),
     "revenue_daily_month": lambda s, d: shown(sales.revenue_by_day(star.order_heads(s, d), 1997, 3)),
     "cancel_reasons": lambda s, d: shown(sales.cancel_reasons(star.order_heads(s, d).where("status = 'cancelled'"))),
-    "units_by_item": lambda s, d: shown(sales.units_by_item(star.orders(s, d), *NOW)),
+    "units_by_item": lambda s, d: shown(sales.units_by_item(star.order_lines(s, d), *NOW)),
     "status_counts": lambda s, d: sales.status_counts(star.order_heads(s, d)),
     "dedup_first_wins": dedup_first_wins,
     "slim_projection": slim_projection,
     "coverage_window": coverage_window,
     "period_clip": period_clip,
-    "compare_periods": lambda s, d: shown(sales.compare_periods(star.orders(s, d), NOW, BEFORE)),
+    "compare_periods": lambda s, d: shown(sales.compare_periods(star.order_facts(s, d), NOW, BEFORE)),
     "fixed_windows": fixed_windows,
     "question_revenue": question_revenue,
     "cost_rule_match": cost_rule_match,
     "kit_multiplier": kit_multiplier,
     "unit_cost": unit_cost,
-    "shipment_base": lambda s, d: shown(lines.shipment_base(star.orders(s, d))),
+    "shipment_base": lambda s, d: shown(lines.shipment_base(star.order_lines(s, d))),
     "freight_share": freight_share,
     "freight_coverage": lambda s, d: shown(shipping.freight_coverage(star.order_heads(s, d), star.shipments(s, d))),
     "margin_total": lambda s, d: shown(margin.margin_total(priced(s, d)), *"revenue marketplace_fee shipping_fee cost units margin margin_pct revenue_without_cost without_cost real_freight available warnings".split()),
@@ -173,12 +173,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ranking_revenue": lambda s, d: shown(ranking.ranking(priced(s, d), "revenue"), *"position sku label revenue units orders items cost_coverage".split()),
     "ranking_units": lambda s, d: shown(ranking.ranking(priced(s, d), "units", 10), *"position sku units orders".split()),
     "ranking_margin": lambda s, d: shown(ranking.ranking(priced(s, d), "margin", 20), *"position sku margin margin_pct".split()),
-    "ranking_everything": lambda s, d: shown(ranking.ranking(priced(s, d), "revenue", everything=True), *"sku revenue cost_coverage margin".split()),
+    "ranking_everything": lambda s, d: shown(ranking.ranking(priced(s, d), "revenue", everything=True), *"position sku revenue cost_coverage margin".split()),
     "margin_coverage": lambda s, d: shown(ranking.margin_coverage(ranking.ranking_rows(priced(s, d)))),
     "margin_route_totals": lambda s, d: shown(ranking.margin_totals(ranking.ranking_rows(priced(s, d)))),
     "catalog_counts": lambda s, d: catalog.catalog_counts(star.listings(s, d)),
     "slim_listings": lambda s, d: shown(catalog.slim_listings(star.listings(s, d)), "id", "title", "status", "price", "available_quantity", "inventory_id"),
-    "consolidated": lambda s, d: shown(catalog.consolidated(star.listings(s, d), star.orders(s, d))),
+    "consolidated": lambda s, d: shown(catalog.consolidated(star.listings(s, d), star.order_facts(s, d))),
     "stock_own_legacy": stock_view("own", stock.LEGACY),
     "stock_own_safe": stock_view("own", stock.SAFE),
     "stock_full_safe": stock_view("full", stock.SAFE),

@@ -185,7 +185,7 @@ SELECT grouping(sku) = 1 AS is_total, sku, round(sum(r), 2) AS revenue, round(su
 SELECT CAST({TOP.format('revenue')} AS INTEGER) AS position, sku, label, round(revenue, 2) AS revenue, round(units, 2) AS units, orders, items, cost_coverage FROM rk JOIN lb USING (sku) QUALIFY {TOP.format('rk.revenue')} <= 5""",
     "ranking_units": f"""{BASE} SELECT CAST({TOP.format('rk.units')} AS INTEGER) AS position, sku, round(units, 2) AS units, orders FROM rk QUALIFY {TOP.format('rk.units')} <= 10""",
     "ranking_margin": f"""{BASE} SELECT CAST({TOP.format('rk.margin')} AS INTEGER) AS position, sku, round(margin, 2) AS margin, round(margin_pct, 2) AS margin_pct FROM rk WHERE cost_coverage = 'total' QUALIFY {TOP.format('rk.margin')} <= 20""",
-    "ranking_everything": f"""{BASE} SELECT sku, round(revenue, 2) AS revenue, cost_coverage, round(margin, 2) AS margin FROM rk""",
+    "ranking_everything": f"""{BASE} SELECT CAST({TOP.format('rk.revenue')} AS INTEGER) AS position, sku, round(revenue, 2) AS revenue, cost_coverage, round(margin, 2) AS margin FROM rk""",
     "margin_coverage": f"""{BASE} SELECT round(coalesce(sum(revenue) FILTER (WHERE cost_coverage = 'total'), 0), 2) AS covered_revenue, round(sum(revenue), 2) AS revenue, count(*) FILTER (WHERE cost_coverage <> 'total') AS excluded,
 round(coalesce(sum(revenue) FILTER (WHERE cost_coverage = 'total'), 0) / sum(revenue), 4) AS fraction FROM rk""",
     "margin_route_totals": f"""{BASE}, t AS (SELECT sum(revenue) AS revenue, sum(units) AS units, sum(costed_revenue) AS costed_revenue, sum(marketplace_fee) AS marketplace_fee, sum(shipping_fee) AS shipping_fee, sum(cost) AS cost, sum(margin) AS margin, count(*) AS skus FROM rk)

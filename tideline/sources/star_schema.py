@@ -1,6 +1,8 @@
 """Orders, shipments, listings and rules made from star-schema tables.
 
-Orders are nested as the engine stores them; one shuffle by order key nests the lines.
+orders() nests them as the engine stores them; one shuffle by order key nests the lines.
+order_lines() and order_facts() are the same sales at the grain of lines and of orders, for
+operators that need no nesting: filters on orders then reach the scans.
 """
 
 from __future__ import annotations
@@ -43,6 +45,39 @@ def order_heads(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def parts(spark: SparkSession, folder: str) -> DataFrame:
+    """p_partkey and what a line says of its item: item_id, title, seller_sku."""
+    k = F.col("p_partkey")
+    return read(spark, folder, "part").select(
+        k, F.concat(F.lit("P"), k.cast("string")).alias("item_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.when(k % 17 != 0, F.col("p_brand")).alias("seller_sku")
+    )
+
+
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per line, with the columns of operators.lines.order_lines."""
+    heads = order_heads(spark, folder).select("ordinal", F.col("id").alias("order_id"), "status", "civil_date", "date_created", F.col("buyer.nickname").alias("buyer"), F.col("shipping.id").alias("shipment_id"))
+    line = read(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", (F.col("l_linenumber") - 1).cast("int").alias("pos"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price")
+    )
+    held = line.join(parts(spark, folder), F.col("l_partkey") == F.col("p_partkey")).join(heads, F.col("l_orderkey") == F.col("ordinal"))
+    return held.select(
+        "order_id", "pos", "status", "civil_date", "date_created", "buyer", "shipment_id", F.lit(None).cast("string").alias("own_logistic_type"), "item_id", "title", "seller_sku", "quantity", "unit_price"
+    )
+
+
+def order_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders without lines, but with what their lines come to: units, and first_item (item, quantity).
+
+    Lines are added up by order key where they stand, so little of them is shuffled.
+    """
+    first = F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("f")
+    of_lines = read(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("units"), first)
+    item = F.struct(F.concat(F.lit("P"), F.col("f.l_partkey").cast("string")).alias("id"))
+    of_lines = of_lines.select("l_orderkey", "units", F.struct(item.alias("item"), F.col("f.l_quantity").alias("quantity")).alias("first_item"))
+    heads = order_heads(spark, folder)
+    return heads.join(of_lines, heads["ordinal"] == of_lines["l_orderkey"], "left").drop("l_orderkey").withColumn("units", F.coalesce("units", F.lit(0.0)))
+
+
 def orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their lines; an order without lines has an empty list."""
     p = read(spark, folder, "part").select("p_partkey", "p_name", "p_type", "p_brand")
