@@ -99,9 +99,17 @@ def unit_cost(product_cost: str | Column, logistic_type: str | Column, n_bottles
     return (col(product_cost) + F.lit(logistics.freight)) * n + F.when(is_fulfilment(logistic_type), 0.0).otherwise(logistics.packaging)
 
 
-def with_costs(lines: DataFrame, rules, logistics: Logistics = Logistics()) -> DataFrame:
-    """Adds rule_id, product_cost, via, bottles and unit_cost to lines with title, seller_sku and logistic_type."""
-    held = lines.withColumn("__rule", rule_of("title", "seller_sku", rules))
+def with_rules(items: DataFrame, rules) -> DataFrame:
+    """Adds rule_id, product_cost, via and bottles to rows with title and seller_sku: lines, or the items that lines share."""
+    held = items.withColumn("__rule", rule_of("title", "seller_sku", rules))
     held = held.withColumns({"rule_id": F.col("__rule.rule_id"), "product_cost": F.col("__rule.product_cost"), "via": F.col("__rule.via")})
-    held = held.withColumn("bottles", F.when(F.col("rule_id").isNotNull(), bottles("title")).otherwise(F.lit(1))).drop("__rule")
+    return held.withColumn("bottles", F.when(F.col("rule_id").isNotNull(), bottles("title")).otherwise(F.lit(1))).drop("__rule")
+
+
+def with_costs(lines: DataFrame, rules, logistics: Logistics = Logistics()) -> DataFrame:
+    """Adds rule_id, product_cost, via, bottles and unit_cost to lines with title, seller_sku and logistic_type.
+
+    Lines whose items have had their rules found already keep them.
+    """
+    held = lines if "product_cost" in lines.columns else with_rules(lines, rules)
     return held.withColumn("unit_cost", unit_cost("product_cost", "logistic_type", F.col("bottles"), logistics))

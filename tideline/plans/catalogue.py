@@ -29,7 +29,7 @@ def shown(df: DataFrame, *names: str) -> DataFrame:
 
 
 def priced(s: SparkSession, d: str) -> DataFrame:
-    return margin.priced_lines(star.order_lines(s, d), star.shipments(s, d), star.RULES, *NOW)
+    return margin.priced_lines(star.order_lines(s, d, star.RULES), star.shipments(s, d), star.RULES, *NOW)
 
 
 def units(s: SparkSession, d: str) -> DataFrame:

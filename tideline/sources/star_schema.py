@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators.costs import CostRule
+from tideline.operators.costs import CostRule, with_rules
 
 RULES = (
     CostRule(1, "brand_low", 310.0, match=("zzz",), sku=("Brand#1", "Brand#2", "Brand#3", "Brand#4")),
@@ -53,16 +53,21 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per line, with the columns of operators.lines.order_lines."""
+def order_lines(spark: SparkSession, folder: str, rules=None) -> DataFrame:
+    """One row per line, with the columns of operators.lines.order_lines; with rules also each item's cost rule.
+
+    Rules are found once for each part, before lines meet them.
+    """
+    items = parts(spark, folder) if rules is None else with_rules(parts(spark, folder), rules)
     heads = order_heads(spark, folder).select("ordinal", F.col("id").alias("order_id"), "status", "civil_date", "date_created", F.col("buyer.nickname").alias("buyer"), F.col("shipping.id").alias("shipment_id"))
     line = read(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", (F.col("l_linenumber") - 1).cast("int").alias("pos"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price")
     )
-    held = line.join(parts(spark, folder), F.col("l_partkey") == F.col("p_partkey")).join(heads, F.col("l_orderkey") == F.col("ordinal"))
+    held = line.join(items, F.col("l_partkey") == F.col("p_partkey")).join(heads, F.col("l_orderkey") == F.col("ordinal"))
     return held.select(
-        "order_id", "pos", "status", "civil_date", "date_created", "buyer", "shipment_id", F.lit(None).cast("string").alias("own_logistic_type"), "item_id", "title", "seller_sku", "quantity", "unit_price"
-    )
+        "order_id", "pos", "status", "civil_date", "date_created", "buyer", "shipment_id", F.lit(None).cast("string").alias("own_logistic_type"), "item_id", "title", "seller_sku", "quantity", "unit_price",
+        *items.columns[4:],
+    )
 
 
 def order_facts(spark: SparkSession, folder: str) -> DataFrame:
