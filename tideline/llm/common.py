@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -54,6 +56,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def content_hash(text: Column) -> Column:
+    """Tells texts apart, with the id beside it; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def uniform_from_hash(*parts: Column) -> Column:
     """A number in (0, 1) fixed by the parts: 52 bits of their MD5, at the middle of their cell."""
     digest = F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts]))
@@ -77,6 +84,19 @@ def small_join(df: DataFrame, small: DataFrame, key: str, salt_by: Column, rows:
     return left.join(right, on, "left").drop("__key", "__salt", "__salt_r")
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, size: str, most: int = BROADCAST_ROWS, total: int | None = None) -> DataFrame:
+    """Inner join on a key of which few values may hold most of the left rows.
+
+    right: one row for each key, with the number of left rows that have it in size. Keys with
+    more than one in most of them number fewer than most, whatever the input, so these are
+    broadcast and their left rows stay where they are; the others are joined by a shuffle.
+    """
+    total = left.count() if total is None else total
+    hot = right.where(F.col(size) * most > total)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(size) * most <= total), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold).drop(size)
+
+
 class WordCoder:
     """Numbers the words of texts; the same word keeps its number until the coder is cleared."""
 
@@ -122,6 +142,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and then what it freed goes back to the system: workers wait for their next task, and would hold it meanwhile."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def text_chunks(texts: list[str], max_chars: int = 4_000_000):
     """Index ranges of consecutive texts of about max_chars together; a longer text stands alone."""
     begin = total = 0

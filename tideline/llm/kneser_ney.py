@@ -26,10 +26,10 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordCoder, small_join, sum_by_part, text_chunks
+from .common import Scratch, WordCoder, chunks_of, content_hash, frugal, small_join, sum_by_part, text_chunks
 
 ORDER = 4
 RUNNING_ORDER = 5
@@ -38,6 +38,8 @@ SYMBOLS = 1 << BITS
 #: Entries of a shard, about.
 SHARD_ROWS = 1 << 21
 SPACE = 32
+#: The mean over n symbols scatters by about this much over the root of n.
+SPREAD = 1.5
 
 
 def symbols(text: str) -> np.ndarray:
@@ -61,7 +63,7 @@ def units(texts: list[str], running: bool) -> tuple[np.ndarray, np.ndarray, list
 
 
 def chunk_chars(running: bool) -> int:
-    return 2_000_000 if running else 16_000_000
+    return 2_000_000 if running else 8_000_000
 
 
 def word_ngrams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +91,9 @@ def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for lang, rows in by_language(langs):
-                own = [texts[i] for i in rows]
-                for begin, end in text_chunks(own, chunk_chars(running)):
-                    codes, _, words = units(own[begin:end], running)
+            for begin, texts in chunks_of(batch.column(1), chunk_chars(running)):
+                for lang, rows in by_language(batch.column(0).slice(begin, len(texts)).to_pylist()):
+                    codes, _, words = units([texts[i] for i in rows], running)
                     if not len(codes):
                         continue
                     keys, starts = word_ngrams(words, order_of(running))
@@ -105,7 +105,7 @@ def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
                         names=["lang", "key", "n"],
                     )
 
-    parts = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(count, "lang string, key long, n long")
+    parts = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(frugal(count), "lang string, key long, n long")
     return parts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
@@ -246,14 +246,36 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard
     return collect(estimate(count_ngrams(docs, lang_col, text_col, running), scratch, order_of(running)), shard_rows, running)
 
 
+def perplexities(docs: DataFrame, model: Model, id_col: str, lang_col: str, text_col: str) -> DataFrame:
+    """id, lang, content (hash of the text), n_symbols, log_perplexity (null without words), of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in chunks_of(batch.column(3)):
+                ids, langs, content = (batch.column(i).slice(begin, len(texts)) for i in (0, 1, 2))
+                for lang, own in by_language(langs.to_pylist()):
+                    logs, n = model.score(lang, [texts[i] for i in own])
+                    value, at = np.where(n > 0, -logs / np.maximum(n, 1), np.nan), pa.array(own)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(at), pa.array([lang] * len(own), type=pa.string()), content.take(at), pa.array(n), pa.array(value, from_pandas=True)],
+                        names=["id", "lang", "content", "n_symbols", "log_perplexity"],
+                    )
+
+    rows = docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), content_hash(F.col(text_col)), F.col(text_col).cast("string"))
+    return rows.mapInArrow(frugal(run), "id long, lang string, content long, n_symbols long, log_perplexity double")
+
+
+def spread(n: str) -> Column:
+    """How far the mean over n symbols scatters, about: short texts get that much more room."""
+    return F.coalesce(F.try_divide(F.lit(SPREAD), F.sqrt(n)), F.lit(0.0))
+
+
 def quantiles_by_language(scored: DataFrame, wanted: list[float], lang: str = "lang", value: str = "log_perplexity", cells: int = 1000) -> DataFrame:
     """lang, q0, q1, ...: the wanted quantiles, each rounded up to 1 / cells.
 
     Values are counted in cells of that width, so any number of rows shrinks to few before
     they are ordered, and the result depends on neither order nor partitions.
     """
-    from pyspark.sql import Window
-
     counted = scored.where(F.col(value).isNotNull()).groupBy(F.col(lang).alias("lang"), F.ceil(F.col(value) * cells).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("cell"))
     everything = F.sum("n").over(Window.partitionBy("lang"))

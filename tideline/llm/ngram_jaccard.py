@@ -28,14 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordCoder, mix64, text_chunks
+from .common import Scratch, WordCoder, chunks_of, content_hash, frugal, hot_join, mix64
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
 #: Sets in a block of step 4.
-BLOCK = 128
+BLOCK = 256
+#: Sets of small components that one group of step 4 takes, about.
+GROUP_SETS = 512
+#: Hubs whose n-grams are broadcast, at most: those with more than one in so many of all pairs.
+HOT_HUBS = 64
 SEED = 20_240
 #: For comparisons of sizes with products of the threshold.
 EPSILON = 1e-9
@@ -107,53 +111,61 @@ def band_hashes(hashes: np.ndarray, ends: np.ndarray, bands: int, rows: int) ->
     return out
 
 
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, content: null texts are empty ones. Rows that repeat an id, or have none, are told apart by their contents."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("content", content_hash(F.col("text")))
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, set_id (null without words), n (its n-grams), bands."""
+    """id, content (hash of the text), set_id (null without words), n (its n-grams), bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in text_chunks(texts):
-                hashes, ends = shingle_sets(texts[begin:end], words)
+            for begin, texts in chunks_of(batch.column(2), 2_000_000):
+                hashes, ends = shingle_sets(texts, words)
                 keys = [set_key(hashes[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 sizes = np.diff(ends)
                 made = iter(band_hashes(hashes, ends, bands, rows).astype(np.int64) if len(hashes) else ())
                 values = [next(made) if n else None for n in sizes]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, end - begin), pa.array(keys, type=pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(values, type=pa.list_(pa.int64()))],
-                    names=["id", "set_id", "n", "bands"],
+                    [*(batch.column(i).slice(begin, len(texts)) for i in (0, 1)), pa.array(keys, type=pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(values, type=pa.list_(pa.int64()))],
+                    names=["id", "content", "set_id", "n", "bands"],
                 )
 
-    rows_in = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows_in.mapInArrow(sign, "id long, set_id binary, n int, bands array<long>")
+    rows_in = rows_of(docs, id_col, text_col).select("id", "content", "text")
+    return rows_in.mapInArrow(frugal(sign), "id long, content long, set_id binary, n int, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """set_id, grams for the wanted (id, set_id): the n-gram sets, read from the texts again."""
+    """set_id, grams for the wanted (id, content, set_id), one for each set: the n-gram sets, read from the texts again."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wants, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in text_chunks(texts):
-                hashes, ends = shingle_sets(texts[begin:end], words)
+            for begin, texts in chunks_of(batch.column(1), 2_000_000):
+                wants = batch.column(0).slice(begin, len(texts)).to_pylist()
+                hashes, ends = shingle_sets(texts, words)
                 sets = [hashes[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                # Rows that share an id but not a text meet the same wanted set; only its own text makes it.
-                own = [k for k, s in enumerate(sets) if set_key(s) == wants[begin + k]]
+                # Of texts with one hash only the set's own makes it.
+                own = [k for k, s in enumerate(sets) if set_key(s) == wants[k]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([wants[begin + k] for k in own], type=pa.binary()), pa.array([sets[k].astype(np.int64) for k in own], type=pa.list_(pa.int64()))],
+                    [pa.array([wants[k] for k in own], type=pa.binary()), pa.array([sets[k].astype(np.int64) for k in own], type=pa.list_(pa.int64()))],
                     names=["set_id", "grams"],
                 )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = wanted.select("id", "set_id").join(texts, "id").select("set_id", "text")
-    return found.mapInArrow(make, "set_id binary, grams array<long>")
+    texts = rows_of(docs, id_col, text_col)
+    with_id = wanted.where("id is not null").join(texts, ["id", "content"]).select("set_id", "text")
+    alone = texts.where("id is null").groupBy("content").agg(F.first("text").alias("text"))
+    without = wanted.where("id is null").join(alone, "content").select("set_id", "text")
+    found = with_id.unionByName(without)
+    return found.mapInArrow(frugal(make), "set_id binary, grams array<long>")
 
 
 def with_grams(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) with the n-gram sets of both: ga, gb."""
     left = sets.select(F.col("set_id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(left, "a").join(right, "b")
+    hubs = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")).join(sets.select(F.col("set_id").alias("b"), F.col("grams").alias("gb")), "b")
+    return hot_join(pairs.join(left, "a"), hubs, "b", "pairs", HOT_HUBS, pairs.count())
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -222,7 +234,8 @@ def links_inside(members: DataFrame, sets: DataFrame, threshold: float) -> DataF
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # A task takes two blocks of a large component, or some small components whole.
-    shard = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(4096))).otherwise(
+    small = max(1, members.count() // GROUP_SETS)
+    shard = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(small))).otherwise(
         F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other"))
     )
     dealt = dealt.withColumn("shard", shard).join(sets, "set_id")
@@ -239,8 +252,8 @@ def with_hubs(met: DataFrame) -> DataFrame:
     original, or a copy close to it, becomes the hub of most buckets of its group.
     """
     degree = met.groupBy("set_id").agg(F.sum("members").alias("degree"))
-    hubs = met.join(degree, "set_id").groupBy("bucket").agg(F.max(F.struct("degree", "set_id")).alias("top"))
-    return met.join(hubs.select("bucket", F.col("top.set_id").alias("hub")), "bucket").select("bucket", "set_id", "n", "hub")
+    hubs = met.join(degree, "set_id").groupBy("bucket").agg(F.max(F.struct("degree", "set_id")).alias("top"), F.count(F.lit(1)).alias("held"))
+    return hot_join(met, hubs.select("bucket", F.col("top.set_id").alias("hub"), "held"), "bucket", "held").select("bucket", "set_id", "n", "hub")
 
 
 def fits(x, y, threshold: float):
@@ -294,35 +307,24 @@ def beside_hub(opened: DataFrame, grams: DataFrame, threshold: float) -> DataFra
     return rows.join(mixed, "bucket")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    threshold: float = THRESHOLD,
-    words: int = WORDS,
-    recall: float = RECALL,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per document: id, class_id (smallest id of its component), n_links, set_size, rep_id (smallest id with the same set).
-
-    n_links counts the other documents whose similarity reaches the threshold, equal ones
-    included. Null and empty texts have no n-grams: a class of their own each, without
-    links. Repeated rows are copies of each other. Rows without id take part; a class in
-    which no row has an id has none either. Other columns are ignored.
-    """
+def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """id, content, class_id, n_links, n, rep_id, first: of each row; first: whether (id, content) is the first of its class."""
     scratch = Scratch(docs.sparkSession, "ngram-jaccard")
     bands, rows = bands_for(threshold, recall)
     signed = scratch.save(signatures(docs, bands, rows, words, id_col, text_col), "signatures")
-    reps = signed.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = scratch.save(reps, "sets")
+    of_set = signed.where("set_id is not null").groupBy("set_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "content"))
+    reps = of_set.agg(first.alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = scratch.save(reps.withColumn("rep_id", F.col("own.id")), "sets")
 
     placed = reps.select("set_id", "n", F.explode("bands").alias("bucket"))
-    crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = scratch.save(placed.join(crowded, "bucket"), "meetings")
+    crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("held", F.col("members"))
+    met = scratch.save(hot_join(placed, crowded, "bucket", "held"), "meetings")
     shared = scratch.save(with_hubs(met), "buckets")
-    wanted = shared.select("set_id").distinct().join(reps.select("set_id", F.col("rep_id").alias("id")), "set_id")
+    wanted = shared.select("set_id").distinct().join(reps.select("set_id", "own.id", "own.content"), "set_id")
     grams = scratch.save(full_sets(docs, wanted, words, id_col, text_col).dropDuplicates(["set_id"]), "grams")
 
-    to_hub = shared.where("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
+    to_hub = scratch.save(shared.where("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct(), "to-hub")
     tested = scratch.save(verified(to_hub, grams), "hub-pairs")
     links = tested.where(F.col("similarity") >= threshold).select("a", "b")
     comps = components(links, scratch)
@@ -332,7 +334,7 @@ def near_duplicates(
     second = labelled(with_hubs(other).select(F.col("set_id").alias("a"), "n", F.col("hub").alias("b")).where("a <> b").distinct(), comps, "a", "ca")
     sizes = reps.select(F.col("set_id").alias("b"), F.col("n").alias("nb"))
     second = labelled(second, comps, "b", "cb").where("ca <> cb").join(sizes, "b").where(fits(F.col("n"), F.col("nb"), threshold))
-    second = second.select("a", "b").union(pairs_within_hub(opened, threshold)).distinct()
+    second = scratch.save(second.select("a", "b").union(pairs_within_hub(opened, threshold)).distinct(), "second")
     more = scratch.save(verified(second, grams).where(F.col("similarity") >= threshold).select("a", "b"), "second-pairs")
     if more.limit(1).count():
         links = links.union(more)
@@ -344,27 +346,52 @@ def near_duplicates(
     state = scratch.save(state.join(mixed, "bucket"), "left-open")
     x, y = state.alias("x"), state.alias("y")
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n"), F.col("y.n"), threshold))
-    rest = rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
+    rest = scratch.save(rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct(), "last")
     more = scratch.save(verified(rest, grams).where(F.col("similarity") >= threshold).select("a", "b"), "last-pairs")
     if more.limit(1).count():
         comps = components(links.union(more), scratch)
 
-    members = reps.select("set_id", "rep_id", "copies").join(comps, "set_id")
-    whole = members.groupBy("comp").agg(F.min("rep_id").alias("class_id"), F.count(F.lit(1)).alias("of"))
-    members = scratch.save(members.join(whole, "comp"), "members")
+    members = reps.select("set_id", "own", "copies").join(comps, "set_id")
+    whole = members.groupBy("comp").agg(F.min("own").alias("top"), F.count(F.lit(1)).alias("of"))
+    members = scratch.save(members.drop("own").join(whole, "comp"), "members")
     inside = links_inside(members.select("set_id", "comp", "copies", "of"), grams, threshold)
-    known = members.select("set_id", "class_id").join(inside, "set_id", "left")
-    facts = reps.select("set_id", "rep_id", "copies").join(known, "set_id", "left")
-    facts = scratch.save(facts.select("set_id", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "facts")
+    known = members.select("set_id", "top").join(inside, "set_id", "left")
+    facts = reps.select("set_id", "rep_id", "own", "copies").join(known, "set_id", "left")
+    facts = facts.select("set_id", "rep_id", F.coalesce("top", "own").alias("top"), "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    facts = scratch.save(facts, "facts")
+
+    some = hot_join(signed.where("set_id is not null").select("id", "content", "set_id", "n"), facts, "set_id", "copies")
+    is_first = F.col("id").eqNullSafe(F.col("top.id")) & (F.col("content") == F.col("top.content"))
+    some = some.select("id", "content", F.col("top.id").alias("class_id"), "n_links", "n", "rep_id", is_first.alias("first"))
+    none = signed.where("set_id is null").select("id", "content", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n", F.col("id").alias("rep_id"), F.lit(True).alias("first"))
+    return some.unionByName(none)
 
-    some = signed.where("set_id is not null").select("id", "set_id", "n").join(facts, "set_id")
-    none = signed.where("set_id is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n", F.col("id").alias("rep_id"))
-    out = some.select("id", "class_id", "n_links", "n", "rep_id").unionByName(none)
-    return out.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("n").cast("long").alias("set_size"), "rep_id")
+
+def near_duplicates(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    words: int = WORDS,
+    recall: float = RECALL,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per document: id, class_id (smallest id of its component), n_links, set_size, rep_id (smallest id with the same set).
+
+    n_links counts the other documents whose similarity reaches the threshold, equal ones
+    included. Null and empty texts have no n-grams: a class of their own each, without
+    links. Repeated rows are copies of each other. Rows without id take part; a class in
+    which no row has an id has none either. Other columns are ignored.
+    """
+    found = classified(docs, threshold, words, recall, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("n").cast("long").alias("set_size"), "rep_id")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, that with the smallest id, with all its columns; rows without id stay."""
-    found = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col)
-    gone = found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__id"))
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    """One document of each class, that with the smallest id (without ids: the smallest hash), with all its columns.
+
+    Rows are told apart by id and text, so rows with one id and different texts are judged each
+    by itself; rows that repeat both stay together.
+    """
+    found = classified(docs, threshold, WORDS, RECALL, id_col, text_col)
+    gone = found.where(~F.col("first")).select(F.col("id").alias("__id"), F.col("content").alias("__content")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (content_hash(docs[text_col]) == gone["__content"]), "left_anti")

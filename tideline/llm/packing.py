@@ -16,14 +16,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCoder, sum_by_part, text_chunks
+from .common import WordCoder, chunks_of, frugal, sum_by_part
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
 #: Words whose ids a Python worker keeps; then it starts anew, which costs time and nothing else.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 19
 #: Words that a worker keeps beyond the end of a task, where the memory is for others.
-IDLE_WORDS = 1 << 19
+IDLE_WORDS = 1 << 17
 
 # The pre-tokens of the tokenizer file, and the names of its added tokens.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -149,15 +149,15 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE_TOKENS, i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = encoder(tokenizer_path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in text_chunks(texts):
-                tokens, starts = by.encode(texts[begin:end])
+            for begin, texts in chunks_of(batch.column(1), 2_000_000):
+                ids = batch.column(0).slice(begin, len(texts)).to_pylist()
+                tokens, starts = by.encode(texts)
                 rows: list[tuple] = []
-                for k in range(end - begin):
+                for k in range(len(texts)):
                     own = np.append(tokens[starts[k] : starts[k + 1]], np.uint32(END_ID)).astype("<u4")
                     at = 0
                     for n in binary_lengths(len(own), longest):
-                        rows.append((ids[begin + k], at, n, len(own), own[at : at + n].tobytes()))
+                        rows.append((ids[k], at, n, len(own), own[at : at + n].tobytes()))
                         at += n
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -167,6 +167,6 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE_TOKENS, i
         if len(by.coder.words) > IDLE_WORDS:
             by.clear()
 
-    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
+    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(frugal(cut), PIECES)
     pieces = pieces.withColumn("bucket", F.log2(F.col("length")).cast("int")).sortWithinPartitions(F.desc("length"))
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordCoder, chunks_of
+from .common import Scratch, WordCoder, chunks_of, content_hash, frugal
 
 # The base kinds in order, and their patterns. They are matched part by part,
 # so that no run of characters is read again and again.
@@ -161,12 +161,7 @@ def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, len(texts)) for i in (0, 1)), *columns], names=["id", "content", "spans", "entities", "words", "text"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long"), content_hash(text), text).mapInArrow(run, FOUND)
-
-
-def content_hash(text) -> Column:
-    """Tells texts apart; null counts as empty."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return docs.select(F.col(id_col).cast("long"), content_hash(text), text).mapInArrow(frugal(run), FOUND)
 
 
 def slots_of(keys: DataFrame) -> np.ndarray:
@@ -198,7 +193,7 @@ def count_elsewhere(docs: DataFrame, passed: np.ndarray, text_col: str) -> DataF
                 found, n = np.unique(keys[once], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.int64()), pa.array(n.astype(np.int64))], names=["term", "n"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term long, n long")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(frugal(run), "term long, n long")
 
 
 def words_passed(found: DataFrame, passed: np.ndarray) -> DataFrame:
@@ -227,7 +222,7 @@ def words_passed(found: DataFrame, passed: np.ndarray) -> DataFrame:
                 )
 
     rows = found.select("row", "content", "entities", "words")
-    return rows.mapInArrow(run, "row long, content long, entities array<long>, term long, start int, stop int, first boolean")
+    return rows.mapInArrow(frugal(run), "row long, content long, entities array<long>, term long, start int, stop int, first boolean")
 
 
 def disclosures(found: DataFrame, docs: DataFrame, scratch: Scratch, text_col: str, evidence: float = EVIDENCE) -> DataFrame:
@@ -298,5 +293,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
     """
     new = detect(docs, id_col, text_col, evidence).where("clean_text is not null").dropDuplicates([id_col, "content"])
     new = new.select(F.col(id_col).alias("__id"), F.col("content").alias("__content"), F.col("clean_text").alias("__clean"))
-    held = docs.join(new, docs[id_col].eqNullSafe(new["__id"]) & (content_hash(docs[text_col].cast("string")) == new["__content"]), "left")
+    held = docs.join(new, docs[id_col].eqNullSafe(new["__id"]) & (content_hash(docs[text_col]) == new["__content"]), "left")
     return held.withColumn(text_col, F.coalesce("__clean", text_col)).select(*docs.columns)

@@ -1,28 +1,23 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted running text.
 
 The counts of the trusted documents are joined, shard by shard, with totals, discounts and
-shorter orders (kneser_ney.estimate); every document's perplexity then follows, and a
-language's limit is a quantile of what its trusted documents reach, with a margin for
-texts that the model hasn't seen.
+shorter orders (kneser_ney.estimate); every document's perplexity then follows. One in HELD_OUT
+of the trusted documents isn't counted: a language's limit is a quantile of what these reach,
+so it is that of texts which the model hasn't seen.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney
-from .common import Scratch, small_join, text_chunks
+from .common import Scratch, small_join
 
-#: The quantile of trusted documents' log perplexity that is the limit, and what is added to it.
+#: The quantile of held-out trusted documents' log perplexity that is the limit, and what is added to it.
 QUANTILE = 0.98
-MARGIN = 0.2
-#: The mean over n symbols scatters by about this much over the root of n, so short texts get that much more room.
-SPREAD = 1.5
+MARGIN = 0.02
+HELD_OUT = 5
 
 
 def trusted_only(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -34,23 +29,8 @@ def trusted_only(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     return docs.join(good.hint("merge"), docs[id_col] == good["__id"], "left_semi")
 
 
-def perplexities(docs: DataFrame, model: kneser_ney.Model, id_col: str, lang_col: str, text_col: str) -> DataFrame:
-    """id, lang, n_symbols, log_perplexity (null without words)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, langs, texts = batch.column(0), batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
-            for lang, rows in kneser_ney.by_language(langs):
-                for begin, end in text_chunks([texts[i] for i in rows]):
-                    own = rows[begin:end]
-                    logs, n = model.score(lang, [texts[i] for i in own])
-                    value = np.where(n > 0, -logs / np.maximum(n, 1), np.nan)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(own)), pa.array([lang] * len(own), type=pa.string()), pa.array(n), pa.array(value, from_pandas=True)],
-                        names=["id", "lang", "n_symbols", "log_perplexity"],
-                    )
-
-    rows = docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "id long, lang string, n_symbols long, log_perplexity double")
+def held_out(id_col: str):
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(HELD_OUT)) == 0
 
 
 def classify(
@@ -66,15 +46,18 @@ def classify(
 
     A document without words has no perplexity and isn't kept. A language without trusted
     documents has no limit: nothing speaks against its documents, so those with words are
-    kept. Repeated rows are judged alike; other columns are ignored.
+    kept; where none of them is held out, all of them give the limit. Repeated rows are judged
+    alike; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "quality-classifier")
     trusted = trusted_only(docs.select(id_col, lang_col, text_col), labels, id_col)
-    model = kneser_ney.train(trusted, lang_col, text_col, running=True)
-    scored = scratch.save(perplexities(docs, model, id_col, lang_col, text_col), "scored")
-    known = trusted_only(scored.withColumnRenamed("id", id_col), labels, id_col)
-    limits = kneser_ney.quantiles_by_language(known, [quantile]).select("lang", (F.col("q0") + margin).alias("limit"))
+    model = kneser_ney.train(trusted.where(~held_out(id_col)), lang_col, text_col, running=True)
+    scored = scratch.save(kneser_ney.perplexities(docs, model, id_col, lang_col, text_col), "scored")
+    known = trusted_only(scored.withColumnRenamed("id", id_col), labels, id_col).withColumn("value", F.col("log_perplexity") - kneser_ney.spread("n_symbols"))
+    known = scratch.save(known.select(id_col, "lang", "value"), "known")
+    all_of, unseen = (kneser_ney.quantiles_by_language(x, [quantile], value="value") for x in (known, known.where(held_out(id_col))))
+    limits = small_join(all_of.withColumnRenamed("q0", "seen"), unseen, "lang", F.col("lang")).select("lang", (F.coalesce("q0", "seen") + margin).alias("limit"))
     out = small_join(scored, scratch.save(limits, "limits"), "lang", F.col("id"))
-    out = out.withColumn("limit", F.col("limit") + F.try_divide(F.lit(SPREAD), F.sqrt("n_symbols")))
+    out = out.withColumn("limit", F.col("limit") + kneser_ney.spread("n_symbols"))
     kept = F.col("log_perplexity").isNotNull() & F.coalesce(F.col("log_perplexity") <= F.col("limit"), F.lit(True))
     return out.select(F.col("id").alias(id_col), "lang", "n_symbols", "log_perplexity", "limit", kept.alias("kept"))

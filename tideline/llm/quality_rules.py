@@ -1,9 +1,11 @@
 """Quality rules: word statistics, repetition, and language-specific bands of n-gram perplexity.
 
-Two models (kneser_ney) are counted: one of words over all documents, and one of running
-text, which sees the order of words, over each distinct text once. A document is rejected
-when a base rule fails, or when either log perplexity leaves its language's band: the
-quantiles LOW and HIGH of the language's documents that pass the base rules.
+A first model (kneser_ney), of words, is counted over all documents. It sees junk as well, so
+the likelier part of each language's texts under it, up to the quantile REFERENCE, becomes the
+reference that a second model is counted over: one of running text, which sees the order of
+words, over each distinct text once. A document is rejected when a base rule fails, or when
+either log perplexity leaves its language's band: the quantiles LOW and HIGH of the language's
+documents that pass the base rules. Short texts get more room (kneser_ney.spread).
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney
-from .common import ASCII_SPACE, Scratch, WordCoder, mix64, small_join, sum_by_part, text_chunks
+from .common import ASCII_SPACE, Scratch, WordCoder, chunks_of, content_hash, frugal, mix64, small_join, sum_by_part
 
 #: Fixed values of the base rules.
 SYMBOL_CHARS = b"#*$%&|<>"
@@ -25,8 +27,10 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 
 #: The band: quantiles of the language's documents that pass the base rules.
-LOW = 0.01
-HIGH = 0.95
+LOW = 0.005
+HIGH = 0.96
+#: The quantile of a language's log perplexities up to which its texts are the second model's reference.
+REFERENCE = 0.8
 #: Parts of a nat to which quantiles are rounded up; the lower one is taken a part lower, so that its document is inside.
 CELLS = 1000
 
@@ -80,15 +84,13 @@ def text_statistics(texts: list[str], codes: np.ndarray, starts: np.ndarray, wor
 
 
 def measure(docs: DataFrame, model: kneser_ney.Model, running: kneser_ney.Model, id_col: str, lang_col: str, text_col: str) -> DataFrame:
-    """id, lang, the statistics, log_perplexity and running_perplexity (null without words), in one pass over the texts."""
+    """id, lang, content, the statistics, log_perplexity and running_perplexity (null without words), in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs = batch.column(0), batch.column(1).to_pylist()
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for lang, rows in kneser_ney.by_language(langs):
-                for begin, end in text_chunks([texts[i] for i in rows], 16_000_000):
-                    own = rows[begin:end]
+            for begin, texts in chunks_of(batch.column(3), 8_000_000):
+                ids, langs, content = (batch.column(i).slice(begin, len(texts)) for i in (0, 1, 2))
+                for lang, own in kneser_ney.by_language(langs.to_pylist()):
                     part = [texts[i] for i in own]
                     coder = WordCoder()
                     codes, starts = coder.code(part)
@@ -98,12 +100,48 @@ def measure(docs: DataFrame, model: kneser_ney.Model, running: kneser_ney.Model,
                     logs, n = running.score(lang, part)
                     whole = np.where(n > 0, -logs / np.maximum(n, 1), np.nan)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(own)), pa.array([lang] * len(own), type=pa.string()), *[pa.array(found[c]) for c in STATS], pa.array(value, from_pandas=True), pa.array(whole, from_pandas=True)],
-                        names=["id", "lang", *STATS, "log_perplexity", "running_perplexity"],
+                        [ids.take(pa.array(own)), pa.array([lang] * len(own), type=pa.string()), content.take(pa.array(own)), *[pa.array(found[c]) for c in STATS], pa.array(value, from_pandas=True), pa.array(whole, from_pandas=True)],
+                        names=["id", "lang", "content", *STATS, "log_perplexity", "running_perplexity"],
                     )
 
-    schema = f"id long, lang string, {', '.join(f'{c} long' for c in STATS)}, log_perplexity double, running_perplexity double"
-    return docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    schema = f"id long, lang string, content long, {', '.join(f'{c} long' for c in STATS)}, log_perplexity double, running_perplexity double"
+    rows = docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), content_hash(F.col(text_col)), F.col(text_col).cast("string"))
+    return rows.mapInArrow(frugal(run), schema)
+
+
+def same_row(docs: DataFrame, rows: DataFrame, id_col: str, lang_col: str, text_col: str) -> Column:
+    """Whether a document is one of the rows (__id, __lang, __content)."""
+    return docs[id_col].cast("long").eqNullSafe(rows["__id"]) & docs[lang_col].cast("string").eqNullSafe(rows["__lang"]) & (content_hash(docs[text_col]) == rows["__content"])
+
+
+def reference(docs: DataFrame, model: kneser_ney.Model, scratch: Scratch, id_col: str, lang_col: str, text_col: str) -> DataFrame:
+    """The likelier texts of each language under the model, one document of each distinct text (rows that repeat an id and its text count each)."""
+    scored = kneser_ney.perplexities(docs, model, id_col, lang_col, text_col).where(F.col("log_perplexity").isNotNull())
+    scored = scratch.save(scored.withColumn("value", F.col("log_perplexity") - kneser_ney.spread("n_symbols")), "first-scores")
+    limits = scratch.save(kneser_ney.quantiles_by_language(scored, [REFERENCE], value="value", cells=CELLS), "reference-limits")
+    likely = small_join(scored, limits, "lang", F.col("id")).where("value <= q0")
+    likely = likely.groupBy(F.col("lang").alias("__lang"), F.col("content").alias("__content")).agg(F.min("id").alias("__id"))
+    return docs.join(likely, same_row(docs, likely, id_col, lang_col, text_col), "left_semi")
+
+
+def measured_and_banded(docs: DataFrame, id_col: str, lang_col: str, text_col: str, low: float, high: float) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "quality-rules")
+    docs = docs.select(id_col, lang_col, text_col)
+    model = kneser_ney.train(docs, lang_col, text_col)
+    running = kneser_ney.train(reference(docs, model, scratch, id_col, lang_col, text_col), lang_col, text_col, running=True)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    room = kneser_ney.spread("n_symbols")
+    measured = measure(docs, model, running, id_col, lang_col, text_col).withColumns({"base_failed": failed, "n_symbols": F.col("word_chars") + F.col("n_words")})
+    judged = measured = scratch.save(measured, "measured")
+    inside = F.lit(True)
+    for value, name in (("log_perplexity", "band"), ("running_perplexity", "running")):
+        good = measured.where(~F.col("base_failed"))
+        least, most = (kneser_ney.quantiles_by_language(good.withColumn("value", F.col(value) + side), [q], value="value", cells=CELLS) for q, side in ((low, room), (high, -room)))
+        bands = small_join(least.select("lang", (F.col("q0") - 1 / CELLS).alias("least")), most.withColumnRenamed("q0", "most"), "lang", F.col("lang"))
+        judged = small_join(judged, scratch.save(bands, f"{name}s"), "lang", F.col("id"))
+        judged = judged.withColumns({f"{name}_low": F.col("least") - room, f"{name}_high": F.col("most") + room}).drop("least", "most")
+        inside &= F.coalesce(F.col(value).between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(False))
+    return judged.withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -113,23 +151,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
     without a language are one more language. Repeated rows are judged alike, each by its
     own row. Other columns of the input are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "quality-rules")
-    model = kneser_ney.train(docs, lang_col, text_col)
-    running = kneser_ney.train(docs.select(lang_col, text_col).distinct(), lang_col, text_col, running=True)
-    measured = scratch.save(measure(docs, model, running, id_col, lang_col, text_col), "measured")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged, inside = measured, F.lit(True)
-    for value, name in (("log_perplexity", "band"), ("running_perplexity", "running")):
-        bands = kneser_ney.quantiles_by_language(measured.where(~failed), [low, high], value=value, cells=CELLS)
-        bands = scratch.save(bands.select("lang", (F.col("q0") - 1 / CELLS).alias(f"{name}_low"), F.col("q1").alias(f"{name}_high")), f"{name}s")
-        judged = small_join(judged, bands, "lang", F.col("id"))
-        inside &= F.coalesce(F.col(value).between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(False))
-    return judged.withColumn("base_failed", failed).select(
-        F.col("id").alias(id_col), *STATS, "base_failed", "log_perplexity", "band_low", "band_high", "running_perplexity", "running_low", "running_high", (~F.col("base_failed") & inside).alias("kept")
-    )
+    out = measured_and_banded(docs, id_col, lang_col, text_col, low, high)
+    return out.select(F.col("id").alias(id_col), *STATS, "base_failed", "log_perplexity", "band_low", "band_high", "running_perplexity", "running_low", "running_high", "kept")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The documents that pass, with all their columns; rows with one id stay if any of them passes."""
-    good = judge(docs, id_col, lang_col, text_col).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(good["__id"]), "left_semi")
+    """The documents that pass, with all their columns. Rows that share an id are judged each by its own language and text."""
+    good = measured_and_banded(docs, id_col, lang_col, text_col, LOW, HIGH).where("kept")
+    good = good.select(F.col("id").alias("__id"), F.col("lang").alias("__lang"), F.col("content").alias("__content")).distinct()
+    return docs.join(good, same_row(docs, good, id_col, lang_col, text_col), "left_semi")

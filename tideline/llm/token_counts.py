@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sum_by_part, text_chunks
+from .common import chunks_of, frugal, sum_by_part
 
 SPACE = "▁"
 #: How much lower than the lowest piece an unknown character scores (fixed value).
@@ -143,13 +143,11 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = counter(vocabulary_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in text_chunks(texts):
-                part = texts[begin:end]
+            for begin, part in chunks_of(batch.column(1)):
                 sizes = [len(t.encode("utf-8", "surrogatepass")) for t in part]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), pa.array(by.count(part)), pa.array(sizes, type=pa.int64())], names=["id", "n_tokens", "n_bytes"]
+                    [batch.column(0).slice(begin, len(part)), pa.array(by.count(part)), pa.array(sizes, type=pa.int64())], names=["id", "n_tokens", "n_bytes"]
                 )
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "id long, n_tokens long, n_bytes long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), "id long, n_tokens long, n_bytes long").withColumnRenamed("id", id_col)
