@@ -1,13 +1,13 @@
-"""Periods, questions, snapshots and ingest."""
+"""Periods, queries, snapshots and ingest."""
 
 from datetime import date, datetime, timezone
 
 import pytest
 
 from tests.test_sales import order, orders
-from tideline.plans import periods, question
+from tideline.plans import periods
 from tideline.plans.periods import Period, Window
-from tideline.plans.service import Snapshot, ask
+from tideline.plans.service import Query, Snapshot, run, united, without_margin
 from tideline.sources import snapshots, star_schema
 from tideline.streaming import ingest
 
@@ -47,68 +47,42 @@ def test_request_periods():
             periods.period_of_request(bad, TODAY)
 
 
-@pytest.mark.parametrize(
-    ("text", "kind", "start", "end"),
-    [
-        ("quanto vendemos hoje?", "today", "2026-07-23", "2026-07-23"),
-        ("faturamento de ontem", "yesterday", "2026-07-22", "2026-07-22"),
-        ("vendas desta semana", "current_week", "2026-07-20", "2026-07-23"),
-        ("vendas da semana passada", "previous_week", "2026-07-13", "2026-07-19"),
-        ("receita deste mês", "current_month", "2026-07-01", "2026-07-23"),
-        ("receita do mês passado", "previous_month", "2026-06-01", "2026-06-30"),
-        ("vendas nos últimos 15 dias", "last_n_days", "2026-07-09", "2026-07-23"),
-        ("faturamento em março", "month", "2026-03-01", "2026-03-31"),
-        ("faturamento em dezembro", "month", "2025-12-01", "2025-12-31"),
-        ("faturamento entre 01/03/2026 e 15/03/2026", "range", "2026-03-01", "2026-03-15"),
-        ("vendas de 5 a 10 de maio", "range", "2026-05-05", "2026-05-10"),
-        ("vendas em 2025", "year", "2025-01-01", "2025-12-31"),
-        ("vendas em 25/12", "date", "2025-12-25", "2025-12-25"),
-    ],
-)
-def test_questions_with_a_period(text, kind, start, end):
-    p = question.read_question(text, TODAY).query.period
-    assert (p.kind, str(p.start), str(p.end)) == (kind, start, end)
-
-
-@pytest.mark.parametrize(
-    ("text", "kind", "reason"),
-    [
-        ("", "ambiguous", "consulta_vaga"),
-        ("qual a senha do sistema?", "out_of_scope", "conteudo_sensivel"),
-        ("vendas do produto X ontem", "out_of_scope", "assunto_nao_suportado"),
-        ("estoque de hoje", "out_of_scope", "assunto_nao_suportado"),
-        ("quanto vendemos", "ambiguous", "periodo_ausente"),
-        ("ontem", "ambiguous", "metrica_ausente"),
-        ("bom dia", "out_of_scope", "sem_intencao_de_vendas"),
-        ("vendas nos últimos 400 dias", "invalid_period", "janela_excessiva"),
-        ("vendas em 31/02/2026", "invalid_period", "data_inexistente"),
-        ("vendas entre 15/03/2026 e 01/03/2026", "invalid_period", "intervalo_invertido"),
-        ("vendas entre 15/03/2026", "invalid_period", "intervalo_incompleto"),
-    ],
-)
-def test_questions_refused(text, kind, reason):
-    found = question.read_question(text, TODAY)
-    assert (found.kind, found.reason) == (kind, reason)
-
-
-def test_comparison_ranking_and_continuity():
-    q = question.read_question("compare as vendas desta semana com a semana passada", TODAY).query
-    assert q.intent == "sales_comparison" and str(q.compare.end) == "2026-07-16"
-    top = question.read_question("top 3 produtos mais vendidos este mês", TODAY).query
-    assert (top.intent, top.rank_by, top.limit) == ("sales_ranking", "units", 3)
-    again = question.read_question("e ontem?", TODAY, top).query
-    assert (again.intent, again.period.kind, again.metric) == ("sales_ranking", "yesterday", "units")
+def test_periods_by_name():
+    assert periods.last_days(TODAY, 15) == Period(date(2026, 7, 9), TODAY)
+    assert periods.month_of(2026, 3, TODAY) == Period(date(2026, 3, 1), date(2026, 3, 31)) and periods.month_of(2026, 7, TODAY).end == TODAY
+    assert periods.month_of(2025, 12, TODAY).end == date(2025, 12, 31)
+    for bad in (lambda: periods.last_days(TODAY, 400), lambda: periods.last_days(TODAY, 0), lambda: periods.month_of(2026, 8, TODAY)):
+        with pytest.raises(periods.PeriodError):
+            bad()
+    week, month, year = (periods.so_far_and_before(TODAY, u) for u in ("week", "month", "year"))
+    assert week == (Period(date(2026, 7, 20), TODAY), Period(date(2026, 7, 13), date(2026, 7, 16)))
+    assert month[1] == Period(date(2026, 6, 1), date(2026, 6, 23)) and year[1] == Period(date(2025, 1, 1), date(2025, 7, 23))
+    assert periods.so_far_and_before(date(2028, 2, 29), "year")[1].end == date(2027, 2, 28)
+    assert periods.so_far_and_before(date(2026, 3, 31), "month")[1] == Period(date(2026, 2, 1), date(2026, 2, 28))
 
 
-def test_asking_a_snapshot(spark):
+def test_queries_over_a_snapshot(spark):
     folder = "/root/testdata/sf0.001"
-    held = Snapshot.of(star_schema.orders(spark, folder), star_schema.shipments(spark, folder), star_schema.RULES)
-    answer, result = ask("top 4 produtos por faturamento em 1997", held, date(1998, 5, 1))
-    assert answer.kind == "recognized" or answer.reason
-    answer, result = ask("ranking de produtos entre 01/02/1997 e 31/12/1997", held, date(1998, 5, 1))
-    assert result.coverage.kind == "total" and result.rows.count() == 5
-    _, none = ask("vendas em 01/02/1990", held, date(1998, 5, 1))
+    nested = Snapshot.of(star_schema.orders(spark, folder), star_schema.shipments(spark, folder), star_schema.RULES)
+    flat = Snapshot.of(star_schema.order_heads(spark, folder), star_schema.shipments(spark, folder), star_schema.RULES, lines=star_schema.order_lines(spark, folder), facts=star_schema.order_facts(spark, folder))
+    year = Period(date(1997, 1, 1), date(1997, 12, 31))
+    for query in (
+        Query("sales_summary", "revenue", year),
+        Query("sales_summary", "margin", year),
+        Query("sales_comparison", "revenue", year, compare=Period(date(1996, 1, 1), date(1996, 12, 31))),
+        Query("sales_ranking", "margin", year, rank_by="margin", limit=7),
+        Query("sales_ranking", "units", year, rank_by="units"),
+    ):
+        one, other = (run(query, s) for s in (nested, flat))
+        assert one.coverage.kind == "total" and one.rows.columns == other.rows.columns
+        assert [tuple(r) for r in one.rows.collect()] == [tuple(r) for r in other.rows.collect()], query
+        assert ("antes_de_publicidade" in one.warnings) == (query.rank_by == "margin")
+    none = run(Query("sales_summary", "revenue", Period(date(1990, 2, 1), date(1990, 2, 1))), flat)
     assert none.rows is None and none.coverage.kind == "indisponivel"
+    assert run(Query("sales_summary", "revenue", Period(date(1997, 2, 2), date(1997, 2, 1))), flat).warnings == ("periodo_invalido",)
+    early = Period(date(1990, 1, 1), date(1996, 12, 31))
+    assert run(Query("sales_comparison", "revenue", early, compare=early), flat).warnings.count("cobertura_parcial_inicio") == 1
+    assert united(("a", "b"), ("b", "c")) == ("a", "b", "c") and without_margin(("custo_parcial", "x")) == ("x",)
 
 
 def test_snapshots(spark, tmp_path):
@@ -135,10 +109,25 @@ def test_snapshots(spark, tmp_path):
         store.publish(rows, complete=False)
     with pytest.raises(snapshots.SnapshotError):
         store.read(1)
+    with pytest.raises(snapshots.SnapshotError):  # a second writer of the same version
+        store._write_text("manifest-00000003.json", "{}")
     assert snapshots.decode_cursor(snapshots.encode_cursor(3, 7, "orders")) == {"v": 3, "o": 7, "a": "orders"}
     assert [snapshots.normal_page_size(x) for x in (1, 500, 501, True, "9")] == [1, 500, 200, 200, 200]
 
 
+def test_shipments_are_cleaned_and_damage_counts_as_none(spark, tmp_path):
+    store = snapshots.ShipmentStore(spark, f"file://{tmp_path}/ships")
+    rows = spark.createDataFrame([("9", "a", -1.0), ("10", "b", 2.0), (" ", "a", 1.0), ("11", None, 1.0), ("12", "", 1.0)], "shipment_id string, logistic_type string, custo_frete double")
+    store.publish(rows)
+    assert [tuple(r) for r in store.page()["rows"].drop("seq").collect()] == [("10", "b", 2.0), ("9", "a", None)]
+    (tmp_path / "ships" / "manifest-00000001.json").write_text("{bad")
+    assert store.read() is None and store.publish(rows).version == 2 and store.read().count() == 2
+    with pytest.raises(snapshots.SnapshotError):
+        strict = snapshots.SnapshotStore(spark, f"file://{tmp_path}/ships")
+        (tmp_path / "ships" / "manifest-00000002.json").write_text("{bad")
+        strict.read()
+
+
 def test_shipment_rows_of_both_forms(spark):
     raw = spark.createDataFrame([("1", '{"logistic_type":"x","custo_frete":2.5}'), ("2", "drop_off"), ("3", '{"logistic_type":"y","custo_frete":-1}'), ("", "x"), ("4", "{bad"), ("5", None)], "shipment_id string, value string")
     assert {tuple(r) for r in snapshots.read_shipments(raw).collect()} == {("1", "x", 2.5), ("2", "drop_off", None), ("3", "y", None)}

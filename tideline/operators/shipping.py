@@ -28,14 +28,22 @@ def resolved(shipments: DataFrame) -> DataFrame:
     return shipments.where(clean_cost().isNotNull())
 
 
+def batch_size(limit: float) -> int:
+    return DEFAULT_BATCH if not math.isfinite(limit) else max(0, min(MAX_BATCH, math.floor(limit)))
+
+
 def pending_shipments(orders: DataFrame, shipments: DataFrame, limit: float | None = DEFAULT_BATCH) -> DataFrame:
     """shipment_id, newest of sales' shipments not resolved yet, newest first, dates missing last; limit None gives all."""
     rows = sale_shipments(orders).join(resolved(shipments).select("shipment_id"), "shipment_id", "left_anti")
     rows = rows.orderBy((F.col("newest") == ""), F.desc("newest"), "shipment_id")
-    if limit is None:
-        return rows
-    n = DEFAULT_BATCH if not math.isfinite(limit) else max(0, min(MAX_BATCH, math.floor(limit)))
-    return rows.limit(n)
+    return rows if limit is None else rows.limit(batch_size(limit))
+
+
+def pending_counts(orders: DataFrame, shipments: DataFrame, limit: float = DEFAULT_BATCH) -> DataFrame:
+    """One row: shipments, resolved, batch (pending ones of the next batch), remaining (those after it)."""
+    rows = freight_coverage(orders, shipments)
+    n = F.lit(batch_size(limit)).cast("long")
+    return rows.select("shipments", "resolved", F.least("pending", n).alias("batch"), F.greatest(F.lit(0).cast("long"), F.col("pending") - n).alias("remaining"))
 
 
 def freight_coverage(orders: DataFrame, shipments: DataFrame) -> DataFrame:
@@ -63,5 +71,3 @@ def shipments_by_type(shipments: DataFrame) -> DataFrame:
 
 def shipment_ids_of(shipments: DataFrame, logistic_type: str) -> DataFrame:
     return shipments.where(F.col("logistic_type") == logistic_type).select("shipment_id").orderBy("shipment_id")
-
-

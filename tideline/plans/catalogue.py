@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -12,8 +13,8 @@ from tideline.functions import dates, text
 from tideline.operators import catalog, costs, lines, margin, orders, ranking, sales, shipping, stock
 from tideline.plans import periods
 from tideline.plans.oracles import BEFORE, NOW, SQL
-from tideline.plans.question import read_question
-from tideline.plans.service import Snapshot, run
+from tideline.plans.service import Query, Snapshot, run
+from tideline.sources import snapshots
 from tideline.sources import star_schema as star
 
 #: Columns that are ratios get four places, other fractions two.
@@ -47,18 +48,25 @@ def coverage_window(s: SparkSession, d: str) -> DataFrame:
     return bounds.select("oldest_date", "newest_date")
 
 
+def snapshot(s: SparkSession, d: str) -> Snapshot:
+    return Snapshot.of(star.order_heads(s, d), star.shipments(s, d), star.RULES, lines=star.order_lines(s, d, star.RULES), facts=star.order_facts(s, d))
+
+
 def period_clip(s: SparkSession, d: str) -> DataFrame:
     """Sales of a period that reaches beyond the data, clipped to it on the driver."""
-    snapshot = Snapshot.of(star.orders(s, d), star.shipments(s, d), star.RULES)
-    found = periods.coverage(periods.Period(date(1994, 1, 1), date(1995, 6, 30)), snapshot.window)
-    rows = sales.sales_summary(snapshot.orders, found.covered.start, found.covered.end)
+    held = snapshot(s, d)
+    found = periods.coverage(periods.Period(date(1994, 1, 1), date(1995, 6, 30)), held.window)
+    rows = sales.sales_summary(held.facts, found.covered.start, found.covered.end)
     return shown(rows.withColumns({"coverage": F.lit(found.kind), "covered_from": F.lit(found.covered.start), "covered_to": F.lit(found.covered.end)}))
 
 
-def question_revenue(s: SparkSession, d: str) -> DataFrame:
-    """A question, read on the driver and run: the revenue of March 1997."""
-    query = read_question("Qual foi o faturamento em março de 1997?", TODAY).query or read_question("faturamento entre 01/03/1997 e 31/03/1997", TODAY).query
-    return shown(run(query, Snapshot.of(star.orders(s, d), star.shipments(s, d), star.RULES)).rows)
+def typed(intent: str, metric: str, period: periods.Period, *names: str, **more):
+    """A query's rows over the snapshot."""
+
+    def build(s: SparkSession, d: str) -> DataFrame:
+        return shown(run(Query(intent, metric, period, **more), snapshot(s, d)).rows, *names)
+
+    return build
 
 
 def fixed_windows(s: SparkSession, d: str) -> DataFrame:
@@ -90,9 +98,11 @@ def freight_share(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_window(s: SparkSession, d: str) -> DataFrame:
-    """Rows 401 to 600 by id: a page is a range of ordinals."""
-    o = star.order_heads(s, d)
-    return shown(o.where(F.col("ordinal").between(400, 599)).select("id", "status", "ordinal", "total_amount"))
+    """The third page of a published snapshot, 200 rows by ordinal."""
+    store = snapshots.SnapshotStore(s, f"{snapshots.shared_folder(s)}/page-window-{uuid.uuid4().hex}", ("ordinal",))
+    made = store.publish(star.order_heads(s, d))
+    page = store.page(snapshots.encode_cursor(made.version, 400, "orders"), 200)
+    return shown(page["rows"], "id", "status", "ordinal", "total_amount")
 
 
 def civil_day_shift(s: SparkSession, d: str) -> DataFrame:
@@ -157,7 +167,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "period_clip": period_clip,
     "compare_periods": lambda s, d: shown(sales.compare_periods(star.order_facts(s, d), NOW, BEFORE)),
     "fixed_windows": fixed_windows,
-    "question_revenue": question_revenue,
+    "question_revenue": typed("sales_summary", "revenue", periods.month_of(1997, 3, TODAY), "revenue", "orders", "units", "average_ticket"),
+    "question_rolling": typed("sales_summary", "units", periods.last_days(TODAY, 30)),
+    "question_empty": typed("sales_summary", "orders", periods.Period(date(1995, 6, 18), date(1995, 6, 18))),
+    "question_comparison": typed("sales_comparison", "revenue", periods.Period(*NOW), compare=periods.Period(*BEFORE)),
+    "question_ranking": typed("sales_ranking", "units", periods.Period(*NOW), rank_by="units", limit=3),
+    "question_margin": typed("sales_summary", "margin", periods.Period(*NOW), "revenue", "cost", "margin", "available", "warnings"),
     "cost_rule_match": cost_rule_match,
     "kit_multiplier": kit_multiplier,
     "unit_cost": unit_cost,
@@ -183,10 +198,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stock_own_safe": stock_view("own", stock.SAFE),
     "stock_full_safe": stock_view("full", stock.SAFE),
     "stock_consolidated": lambda s, d: stock.consolidate(stock.stock_lines(star.listings(s, d))),
-    "stock_audit_safe": lambda s, d: stock.audit(stock.stock_lines(star.listings(s, d))).drop("reason"),
+    "stock_audit_safe": lambda s, d: stock.audit(stock.stock_lines(star.listings(s, d))),
     "stock_alerts": lambda s, d: stock.alerts(stock.stock_lines(star.listings(s, d))),
     "stock_class": lambda s, d: shown(stock.stock_by_sku(star.listings(s, d), units(s, d)).withColumn("days_of_stock", F.col("days_of_stock").cast("double")), "sku", "stock", "sold", "velocity", "days_of_stock", "class"),
     "pending_shipments": lambda s, d: shipping.pending_shipments(star.order_heads(s, d), star.shipments(s, d), None),
+    "pending_counts": lambda s, d: shipping.pending_counts(star.order_heads(s, d), star.shipments(s, d), 50),
     "pending_batch": lambda s, d: shipping.pending_shipments(star.order_heads(s, d), star.shipments(s, d), 50),
     "shipments_by_type": lambda s, d: shipping.shipments_by_type(star.shipments(s, d)),
     "merge_refresh": merge_refresh,

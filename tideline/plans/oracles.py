@@ -120,6 +120,10 @@ def summary_of(rows: str) -> str:
     round(CASE WHEN count(*) > 0 THEN sum(paid) / count(*) END, 2) AS average_ticket FROM {rows}"""
 
 
+def with_note(rows: str) -> str:
+    return f"""SELECT *, CASE WHEN orders = 0 THEN 'sem_dados_no_periodo' ELSE '' END AS warnings FROM ({summary_of(rows)})"""
+
+
 def between(a: date, b: date) -> str:
     return f"(SELECT s.*, coalesce(u.units, 0) AS units FROM s LEFT JOIN u ON u.oid = s.id WHERE d BETWEEN DATE '{a}' AND DATE '{b}')"
 
@@ -135,6 +139,8 @@ SQL = {
     "sales_summary": summary_of("now"),
     "sales_summary_empty_period": summary_of(between(date(2031, 1, 1), date(2031, 1, 31))),
     "question_revenue": summary_of(between(date(1997, 3, 1), date(1997, 3, 31))),
+    "question_rolling": with_note(between(date(1997, 11, 11), date(1997, 12, 10))),
+    "question_empty": with_note(between(date(1995, 6, 18), date(1995, 6, 18))),
     "gross_net_period": f"""{BASE}, g AS (SELECT sum(total) AS x FROM now)
 SELECT round(x, 2) AS gross, round(-x * 0.148::DOUBLE, 2) AS marketplace_fee, round(-x * 0.144::DOUBLE, 2) AS shipping_fee, round(x - x * 0.148::DOUBLE - x * 0.144::DOUBLE, 2) AS net, true AS estimated FROM g""",
     "sales_by_first_item": f"""{BASE} SELECT item AS item_id, count(*) AS orders, round(sum(q), 2) AS units, round(sum(paid), 2) AS revenue FROM now JOIN l ON l.oid = now.id WHERE pos = 1 GROUP BY item""",
@@ -202,8 +208,15 @@ FROM st LEFT JOIN f ON f.item = st.item_id JOIN cs ON cs.sku = st.sku GROUP BY s
     "stock_full_safe": view_sql("full", "safe"),
     "stock_consolidated": f"""{BASE} {consolidated_stock('safe')} SELECT sku, own, full_classic, full_premium, "full", own + "full" AS total, own_without_id_ignored FROM cs""",
     "stock_audit_safe": f"""{BASE}, a AS (SELECT *, coalesce(key, 'sem-inventory') AS dedup_key, NOT is_full AND key IS NULL AND coalesce(bool_or(NOT is_full AND key IS NOT NULL AND safe <> 0) OVER (PARTITION BY sku), false) AS dropped FROM st)
-SELECT sku, item_id, CASE WHEN is_full THEN 'full' ELSE 'proprio' END AS origin, dedup_key, quantity AS original, safe AS quantity,
-       row_number() OVER (PARTITION BY sku, is_full, dedup_key ORDER BY safe DESC, (is_full AND premium) DESC, item_id) = 1 AND NOT dropped AS considered FROM a""",
+SELECT sku, item_id, CASE WHEN is_full THEN 'full' ELSE 'proprio' END AS origin, dedup_key, quantity AS original, safe AS quantity, n = 1 AND NOT dropped AS considered,
+       CASE WHEN dropped THEN 'Ignorado: há estoque próprio com inventory_id.'
+            WHEN n = 1 AND size = 1 THEN CASE WHEN is_full THEN 'Único anúncio da chave ' || dedup_key || ' — saldo considerado.' WHEN key IS NULL THEN 'Único anúncio próprio sem inventory_id — saldo considerado.' ELSE 'Saldo próprio independente (inventory_id distinto soma).' END
+            WHEN n = 1 THEN 'Vencedor determinístico' || CASE WHEN is_full THEN ' da chave ' || dedup_key ELSE ' (' || dedup_key || ')' END || '.'
+            ELSE 'Deduplicado' || CASE WHEN is_full THEN ' na chave ' || dedup_key ELSE ' (' || dedup_key || ')' END || ': perdeu para ' || wi || ' por ' ||
+                 CASE WHEN wq <> safe THEN 'saldo maior (' || CAST(wq AS BIGINT) || ' > ' || CAST(safe AS BIGINT) || ')' WHEN is_full AND wp <> premium THEN 'empate de saldo resolvido por premium'
+                      ELSE 'empate de saldo' || CASE WHEN is_full THEN ' e classe' ELSE '' END || ' resolvido por itemId lexical (' || wi || ' < ' || item_id || ')' END || '.' END AS reason
+FROM (SELECT *, row_number() OVER g AS n, count(*) OVER (PARTITION BY sku, is_full, dedup_key) AS size, first_value(item_id) OVER g AS wi, first_value(safe) OVER g AS wq, first_value(premium) OVER g AS wp
+      FROM a WINDOW g AS (PARTITION BY sku, is_full, dedup_key ORDER BY safe DESC, (is_full AND premium) DESC, item_id))""",
     "stock_alerts": f"""{BASE} {consolidated_stock('safe')} SELECT sku, 'saldo_negativo_normalizado' AS kind, item_id FROM st WHERE quantity < 0
 UNION ALL SELECT sku, 'proprio_sem_inventory_ignorado', NULL FROM cs WHERE own_without_id_ignored""",
     "stock_class": f"""{BASE} {consolidated_stock('safe', "status = 'active'")}, ui AS (SELECT item, sum(q) AS n FROM sl WHERE d BETWEEN DATE '1997-11-10' AND DATE '1997-12-10' GROUP BY item),
@@ -211,6 +224,8 @@ f AS (SELECT sku, coalesce(sum(n), 0) AS sold FROM st LEFT JOIN ui ON item = ite
 x AS (SELECT *, CASE WHEN velocity > 0 THEN floor(stock / velocity + 0.5) END AS days_of_stock FROM v)
 SELECT sku, stock, sold, velocity, days_of_stock, CASE WHEN days_of_stock IS NULL THEN 'semvenda' WHEN days_of_stock < 30 THEN 'ruptura' WHEN days_of_stock < 90 THEN 'alerta' WHEN days_of_stock <= 365 THEN 'ok' ELSE 'excesso' END AS class FROM x""",
     "pending_shipments": f"{BASE} {PENDING}",
+    "pending_counts": f"""{BASE}, x AS (SELECT count(DISTINCT ship) AS shipments, count(DISTINCT ship) FILTER (WHERE custo_frete IS NOT NULL) AS resolved FROM s JOIN sh ON shipment_id = ship)
+SELECT shipments, resolved, least(shipments - resolved, 50) AS batch, greatest(0, shipments - resolved - 50) AS remaining FROM x""",
     "pending_batch": f"{BASE} {PENDING} ORDER BY newest DESC, shipment_id LIMIT 50",
     "shipments_by_type": f"{BASE} SELECT logistic_type, count(*) AS shipments FROM sh GROUP BY 1",
     "merge_refresh": f"""{BASE} {REFRESHED}, m AS (SELECT * FROM ref UNION ALL SELECT * FROM base WHERE id NOT IN (SELECT id FROM ref)) SELECT status, count(*) AS orders, round(sum(total), 2) AS amount FROM m GROUP BY 1""",
@@ -222,3 +237,7 @@ SELECT sku, stock, sold, velocity, days_of_stock, CASE WHEN days_of_stock IS NUL
     "civil_day_shift": """SELECT CAST(timezone('America/Sao_Paulo', timezone('UTC', o_orderdate + to_hours(CAST(o_orderkey % 24 AS BIGINT)))) AS DATE) AS civil_day, count(*) AS orders FROM orders GROUP BY 1""",
     "event_hours": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 2) AS amount FROM events GROUP BY 1, 2",
 }
+SQL["question_comparison"] = SQL["compare_periods"]
+SQL["question_margin"] = f"SELECT revenue, cost, margin, available, warnings FROM ({SQL['margin_total']})"
+SQL["question_ranking"] = f"""{BASE}, lt AS (SELECT sku, title, sum(revenue) AS r FROM pl GROUP BY ALL), lb AS (SELECT sku, title AS label FROM lt QUALIFY row_number() OVER (PARTITION BY sku ORDER BY r DESC, length(title), title) = 1)
+SELECT CAST({TOP.format('rk.units')} AS INTEGER) AS position, sku, label, round(revenue, 2) AS revenue, round(units, 2) AS units, orders FROM rk JOIN lb USING (sku) QUALIFY {TOP.format('rk.units')} <= 3"""

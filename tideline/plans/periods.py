@@ -14,6 +14,7 @@ GOOD_RESULTS = ("ok", "sem_novos")
 #: Covered share that both sides of a comparison need.
 COMPARABLE = 0.7
 MAX_DAYS = 730
+MAX_ROLLING_DAYS = 365
 DEFAULT_DAYS = 7
 
 
@@ -130,3 +131,34 @@ def period_of_request(query: dict[str, object], today: date, default_days: int =
 
 def civil_today(now: datetime) -> date:
     return now.astimezone(SELLER_ZONE).date()
+
+
+def last_days(today: date, n: int) -> Period:
+    """The n days up to and with today."""
+    if not 1 <= n <= MAX_ROLLING_DAYS:
+        raise PeriodError("janela_excessiva")
+    return Period(today - timedelta(days=n - 1), today)
+
+
+def month_of(year: int, month: int, today: date) -> Period:
+    """A calendar month, as far as it has come."""
+    first = date(year, month, 1)
+    if first > today:
+        raise PeriodError("data_inexistente")
+    after = date(year + month // 12, month % 12 + 1, 1)
+    return Period(first, min(after - timedelta(days=1), today))
+
+
+def so_far_and_before(today: date, unit: str) -> tuple[Period, Period]:
+    """The current week, month or year up to today, and as much of the one before."""
+    if unit == "week":
+        first = today - timedelta(days=today.weekday())
+        before = first - timedelta(days=7)
+        return Period(first, today), Period(before, before + (today - first))
+    if unit == "month":
+        first = today.replace(day=1)
+        last = first - timedelta(days=1)
+        return Period(first, today), Period(last.replace(day=1), last.replace(day=min(today.day, last.day)))
+    first = date(today.year, 1, 1)
+    leap = (today.month, today.day) == (2, 29)
+    return Period(first, today), Period(date(today.year - 1, 1, 1), date(today.year - 1, today.month, 28 if leap else today.day))

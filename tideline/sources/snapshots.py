@@ -1,8 +1,10 @@
-"""Versioned tables: each version a folder, a small manifest naming current and previous.
+"""Versioned tables: each version a folder of Parquet and a small manifest of its own.
 
-A version is written whole, then the manifest is replaced in one rename; readers see the
-old version or the new one. The version before the previous one is deleted afterwards.
-Rows carry a global ordinal (position in the sorted version), so pages read only the chunks they need.
+A version is written once and whole, in order, then its manifest appears by one exclusive
+rename: readers see the old version or the new one, and of two writers of one version the
+second fails. The newest manifest is current and names the previous one; older versions are
+deleted. Rows have a global ordinal, seq: their place in their range partition plus the rows
+of the partitions before it (which the manifest holds), so pages read only what they need.
 """
 
 from __future__ import annotations
@@ -10,13 +12,19 @@ from __future__ import annotations
 import base64
 import json
 import re
+import tempfile
+import uuid
 from dataclasses import asdict, dataclass
+from itertools import accumulate
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.columns import blank_to_null
+from tideline.operators.shipping import clean_cost
+
 PAGE_SIZE, MAX_PAGE_SIZE = 200, 500
-CHUNK_ROWS = 500
 CURSOR_CHARS = 512
 
 
@@ -24,7 +32,9 @@ CURSOR_CHARS = 512
 class Manifest:
     version: int
     rows: int
-    chunk_rows: int
+    #: The rows of each range partition, in order.
+    sizes: tuple[int, ...] = ()
+    path: str = ""
     oldest_date: str | None = None
     newest_date: str | None = None
     updated_at: str | None = None
@@ -35,94 +45,117 @@ class SnapshotError(RuntimeError):
     pass
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; a temporary one only in local mode without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tideline-")
+
+
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, order_by: tuple[str, ...] = ("date_created", "id")):
-        self.spark, self.root, self.order_by = spark, root.rstrip("/"), order_by
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
+    """tolerant: a damaged manifest counts as none; else it is an error."""
+
+    def __init__(self, spark: SparkSession, root: str, order_by: tuple[str, ...] = ("date_created", "id"), tolerant: bool = False):
+        self.spark, self.root, self.order_by, self.tolerant = spark, root.rstrip("/"), order_by, tolerant
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path = self._hadoop.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _read_text(self, name: str) -> str | None:
-        path = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(path):
-            return None
+    def _read_text(self, path) -> str:
         stream = self._fs.open(path)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode(errors="replace")
         finally:
             stream.close()
 
     def _write_text(self, name: str, text: str) -> None:
-        """Written beside and renamed, so that no reader sees half a manifest."""
-        target, beside = self._path(f"{self.root}/{name}"), self._path(f"{self.root}/.{name}.new")
-        out = self._fs.create(beside, True)
+        """Written beside, then renamed unless the name is taken."""
+        beside, target = self._path(f"{self.root}/.{name}-{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
+        out = self._fs.create(beside, False)
         out.write(bytearray(text.encode()))
         out.close()
-        old = self._path(f"{self.root}/.{name}.old")
-        if self._fs.exists(target):
-            self._fs.delete(old, False)
-            self._fs.rename(target, old)
-        self._fs.rename(beside, target)
+        qualified = [self._fs.makeQualified(p) for p in (beside, target)]
+        context = self._hadoop.FileContext.getFileContext(qualified[0].toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(*qualified, self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            self._fs.delete(beside, False)
+            raise SnapshotError(f"{name} is there already: the base changed during the publication") from e
+
+    def _versions(self) -> list[int]:
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(m[1]) for m in map(re.compile(r"manifest-(\d{8})\.json").fullmatch, names) if m)
 
     def manifests(self) -> dict[str, Manifest | None]:
-        """current and previous; a damaged manifest is an error, none at all is not."""
-        text = self._read_text("manifest.json") or self._read_text(".manifest.json.old")
-        if text is None:
+        """current and previous; none before the first version."""
+        held = self._versions()
+        if not held:
             return {"current": None, "previous": None}
         try:
-            found = json.loads(text)
-            return {k: Manifest(**found[k]) if found.get(k) else None for k in ("current", "previous")}
-        except (ValueError, TypeError, KeyError, AttributeError) as e:
+            found = json.loads(self._read_text(self._path(f"{self.root}/manifest-{held[-1]:08d}.json")))
+            made = {k: Manifest(**found[k] | {"sizes": tuple(found[k]["sizes"])}) if found.get(k) else None for k in ("current", "previous")}
+        except (ValueError, TypeError, KeyError, AttributeError, Py4JJavaError) as e:
+            if self.tolerant:
+                return {"current": None, "previous": None}
             raise SnapshotError("the manifest can't be read") from e
+        if made["current"] is None or not made["current"].complete:
+            raise SnapshotError("the manifest names no complete version")
+        return made
 
     def folder(self, version: int) -> str:
         return f"{self.root}/v{version:08d}"
 
-    def publish(self, rows: DataFrame, updated_at: str | None = None, complete: bool = True, chunk_rows: int = CHUNK_ROWS) -> Manifest:
+    def publish(self, rows: DataFrame, updated_at: str | None = None, complete: bool = True) -> Manifest:
         """Writes a new version and makes it current; incomplete ones are refused."""
         if not complete:
             raise SnapshotError("an incomplete snapshot isn't published")
-        before = self.manifests()
-        version = before["current"].version + 1 if before["current"] else 1
-        path = self.folder(version)
-        ordered = rows.drop("seq", "chunk_id").orderBy(*self.order_by)
-        staging = f"{self.root}/staging-{version:08d}"
-        ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staging)
-        staged = self.spark.read.parquet(staging)
-        # Offsets of the range partitions: as many rows as there are partitions, not records.
-        sizes = staged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).orderBy("part").collect()
-        offsets, seen = [], 0
-        for r in sizes:
-            offsets.append((r["part"], r["first"], seen))
-            seen += r["n"]
-        starts = self.spark.createDataFrame(offsets, "part int, first long, base long")
-        numbered = staged.join(F.broadcast(starts), "part").withColumn("seq", F.col("at") - F.col("first") + F.col("base")).drop("part", "at", "first", "base")
-        numbered.withColumn("chunk_id", F.floor(F.col("seq") / chunk_rows).cast("long")).write.mode("overwrite").parquet(path)
-        self._fs.delete(self._path(staging), True)
-        bounds = (None, None)
-        if "date_created" in rows.columns:
-            bounds = tuple(self.spark.read.parquet(path).where("date_created <> ''").agg(F.min("date_created"), F.max("date_created")).first())
-        made = Manifest(version, seen, chunk_rows, bounds[0], bounds[1], updated_at, True)
+        before, held = self.manifests(), self._versions()
+        version = held[-1] + 1 if held else 1
+        path = f"{self.folder(version)}/{uuid.uuid4().hex}"
+        ordered = rows.drop("seq").orderBy(*self.order_by)
+        # Both numbers are of the range partitions in which rows are written.
+        ordered.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+        written = self.spark.read.parquet(path)
+        has_dates = "date_created" in rows.columns
+        dates = [f(F.when(F.col("date_created") != "", F.col("date_created"))) for f in (F.min, F.max)] if has_dates else [F.lit(None).cast("string")] * 2
+        # As many rows as there are partitions, not records.
+        parts = written.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), dates[0].alias("low"), dates[1].alias("high")).collect()
+        sizes = [0] * (max((r["__part"] for r in parts), default=-1) + 1)
+        for r in parts:
+            sizes[r["__part"]] = r["n"]
+        low, high = min((r["low"] for r in parts if r["low"]), default=None), max((r["high"] for r in parts if r["high"]), default=None)
+        made = Manifest(version, sum(sizes), tuple(sizes), path, low, high, updated_at, True)
         kept = before["current"]
-        self._write_text("manifest.json", json.dumps({"current": asdict(made), "previous": asdict(kept) if kept else None}))
-        gone = before["previous"]
-        if gone and gone.version not in (made.version, kept.version if kept else None):
-            self._fs.delete(self._path(self.folder(gone.version)), True)
+        self._write_text(f"manifest-{version:08d}.json", json.dumps({"current": asdict(made), "previous": asdict(kept) if kept else None}))
+        for old in held:
+            if kept is None or old < kept.version:
+                self._fs.delete(self._path(f"{self.root}/manifest-{old:08d}.json"), False)
+                self._fs.delete(self._path(self.folder(old)), True)
         return made
 
     def read(self, version: int | None = None, check: bool = False) -> DataFrame | None:
-        """A version's rows, the current one by default; None before the first. check compares its count with the manifest."""
+        """A version's rows with seq, the current one by default; None before the first. check compares its count with the manifest."""
         held = self.manifests()
         found = held["current"] if version is None else next((m for m in held.values() if m and m.version == version), None)
         if found is None:
             if version is None:
                 return None
             raise SnapshotError(f"version {version} is gone")
-        if not self._fs.exists(self._path(self.folder(found.version))):
-            raise SnapshotError(f"version {found.version} has no files")
-        rows = self.spark.read.parquet(self.folder(found.version))
+        rows = self._rows(found)
         if check and rows.count() != found.rows:
             raise SnapshotError(f"version {found.version} has not the {found.rows} rows of its manifest")
-        return rows
+        return rows.drop("__part", "__at")
+
+    def _rows(self, found: Manifest) -> DataFrame:
+        if not self._fs.exists(self._path(found.path)):
+            raise SnapshotError(f"version {found.version} has no files")
+        before = F.get(F.lit(list(accumulate(found.sizes, initial=0))), F.col("__part"))
+        return self.spark.read.parquet(found.path).withColumn("seq", F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33) + before)
 
     def page(self, cursor: str | None = None, page_size: object = PAGE_SIZE, target: str = "orders") -> dict:
         """rows (DataFrame), next cursor, total. A cursor names its version; one that is gone says snapshot_changed."""
@@ -138,12 +171,27 @@ class SnapshotStore:
         if found is None:
             return {"error": "snapshot_changed"}
         start = at["o"] if at else 0
-        low, high = start // found.chunk_rows, (start + size - 1) // found.chunk_rows
-        rows = self.read(found.version).where(F.col("chunk_id").between(low, high) & F.col("seq").between(start, start + size - 1)).orderBy("seq")
         end = start + size
+        # The page's rows are runs of written numbers, which Parquet's statistics find.
+        runs = F.lit(False)
+        for part, (n, before) in enumerate(zip(found.sizes, accumulate(found.sizes, initial=0))):
+            if before < end and start < before + n:
+                runs |= F.col("__at").between((part << 33) + max(0, start - before), (part << 33) + min(n, end - before) - 1)
+        rows = self._rows(found).where(runs).drop("__part", "__at").orderBy("seq")
         return {"rows": rows, "total": found.rows, "version": found.version, "next": encode_cursor(found.version, end, target) if end < found.rows else None}
 
 
+class ShipmentStore(SnapshotStore):
+    """Shipments by id. Rows without id or type aren't published, and a damaged manifest counts as none: shipments are looked up again."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__(spark, root, ("shipment_id",), tolerant=True)
+
+    def publish(self, rows: DataFrame, updated_at: str | None = None, complete: bool = True) -> Manifest:
+        named = blank_to_null("shipment_id").isNotNull() & blank_to_null("logistic_type").isNotNull()
+        return super().publish(rows.where(named).select("shipment_id", "logistic_type", clean_cost().alias("custo_frete")), updated_at, complete)
+
+
 def normal_page_size(n: object) -> int:
     return n if isinstance(n, int) and not isinstance(n, bool) and 1 <= n <= MAX_PAGE_SIZE else PAGE_SIZE
 
@@ -172,5 +220,5 @@ def read_shipments(raw: DataFrame) -> DataFrame:
     parsed = F.from_json("value", "logistic_type string, custo_frete double")
     bare = F.when(~F.col("value").startswith("{"), F.trim(F.translate("value", '"', "")))
     rows = raw.select("shipment_id", F.coalesce(parsed["logistic_type"], bare).alias("logistic_type"), parsed["custo_frete"].alias("c"))
-    cost = F.when((F.col("c") >= 0) & (F.col("c") < float("inf")), F.col("c")).alias("custo_frete")
+    cost = clean_cost("c").alias("custo_frete")
     return rows.where(F.coalesce((F.trim("shipment_id") != "") & (F.col("logistic_type") != ""), F.lit(False))).select("shipment_id", "logistic_type", cost)
