@@ -284,4 +284,4 @@ def test_swaps_keep_identity_neutral(spark):
         gap[fairness] = abs(math.log(a / (1 - a)) - math.log(b / (1 - b)))
         assert m.score(["quiet vile road"])[0] > 0.5
     assert gap[1.0] < 0.25 * gap[0.0]
-    assert toxicity.swapped("The Muslims, too", toxicity.IDENTITY_TERMS, 1) == ["The jews, too"] and toxicity.swapped("none", toxicity.IDENTITY_TERMS) == []
+    assert toxicity.swapped("The Muslims, too", (("muslims", "jews"),), 1) == ["The jews, too"] and toxicity.swapped("none", toxicity.IDENTITY_TERMS) == []

@@ -14,15 +14,18 @@ doesn't justify.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordCoder, mix64, text_chunks
+from .common import Scratch, WordCoder, chunks_of, frugal, mix64
 
 #: Labelled texts of each label that the classifier is fitted on, at most (those with the smallest hashes).
 SAMPLE = 10_000
@@ -38,20 +41,49 @@ STEPS = 300
 #: Counterfactuals made from one text, at most.
 SWAPS = 3
 
-#: Identity terms by kind; a term is swapped for the others of its kind. A parameter.
-IDENTITY_TERMS = (
-    ("women", "men", "girls", "boys", "frauen", "männer", "femmes", "hommes", "mujeres", "hombres"),
-    ("woman", "man", "girl", "boy", "frau", "mann", "femme", "homme", "mujer", "hombre"),
-    ("muslim", "jewish", "christian", "hindu", "buddhist", "atheist", "muslimisch", "jüdisch", "christlich", "musulman", "juif", "chrétien", "musulmán", "judío", "cristiano"),
-    ("muslims", "jews", "christians", "hindus", "buddhists", "atheists", "muslime", "juden", "christen", "musulmans", "juifs", "chrétiens", "musulmanes", "judíos", "cristianos"),
-    ("black", "white", "asian", "latino", "african", "european", "arab", "schwarz", "weiß", "noir", "blanc", "negro", "blanco"),
-    ("gay", "lesbian", "straight", "bisexual", "transgender", "queer", "schwul", "lesbisch", "lesbienne", "gai"),
-    ("immigrants", "refugees", "foreigners", "natives", "citizens", "einwanderer", "flüchtlinge", "ausländer", "immigrés", "réfugiés", "étrangers", "inmigrantes", "refugiados", "extranjeros"),
-    ("disabled", "blind", "deaf", "autistic", "behindert", "handicapé", "discapacitado"),
-    ("old", "young", "elderly", "teenage"),
+#: Identity terms by kind and language; a term is swapped for the others of its group. A parameter.
+IDENTITY_TERMS = tuple(
+    tuple(group.split())
+    for group in (
+        "women men girls boys",
+        "frauen männer mädchen jungen",
+        "femmes hommes filles garçons",
+        "mujeres hombres niñas niños",
+        "woman man girl boy",
+        "frau mann",
+        "femme homme",
+        "mujer hombre",
+        "muslim jewish christian hindu buddhist atheist",
+        "muslimisch jüdisch christlich hinduistisch buddhistisch",
+        "musulman juif chrétien hindou bouddhiste",
+        "musulmán judío cristiano hindú budista",
+        "muslims jews christians hindus buddhists atheists",
+        "muslime juden christen buddhisten atheisten",
+        "musulmans juifs chrétiens bouddhistes athées",
+        "musulmanes judíos cristianos budistas ateos",
+        "black white asian latino african european arab",
+        "schwarz weiß asiatisch afrikanisch europäisch arabisch",
+        "noir blanc asiatique africain européen arabe",
+        "negro blanco asiático africano europeo",
+        "gay lesbian straight bisexual transgender queer",
+        "schwul lesbisch bisexuell",
+        "gai lesbienne hétérosexuel",
+        "homosexual lesbiana heterosexual",
+        "immigrants refugees foreigners natives citizens",
+        "einwanderer flüchtlinge ausländer einheimische bürger",
+        "immigrés réfugiés étrangers citoyens",
+        "inmigrantes refugiados extranjeros ciudadanos",
+        "disabled blind deaf autistic",
+        "behindert taub autistisch",
+        "handicapé aveugle sourd",
+        "discapacitado ciego sordo",
+        "old young elderly teenage",
+    )
 )
 
 #: What each byte of a lower-case text is read as: punctuation parts words.
+#: The same words with their places.
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -109,20 +141,25 @@ def features_by_text(texts: list[str], wanted: np.ndarray | None = None) -> tupl
 
 
 def swapped(text: str, terms: tuple[tuple[str, ...], ...], most: int = SWAPS) -> list[str]:
-    """Counterfactuals of a text: each identity term replaced by another of its kind."""
-    kind = {t: (group, i) for group in terms for i, t in enumerate(group)}
-    words = text.split(" ")
-    bare = [w.strip(".,;:!?\"'()").lower() for w in words]
-    at = [i for i, w in enumerate(bare) if w in kind]
-    if not at:
+    """Counterfactuals of a text: each identity term replaced by another of its group, by the same step for all.
+
+    Words are parted as the features part them. The steps begin at a place that the text's hash
+    chooses, so over all texts every term is tied to every other of its group.
+    """
+    place = {t: (group, i) for group in terms for i, t in enumerate(group)}
+    found = [(m.span(), *place[m[0].lower()]) for m in _WORD.finditer(text) if m[0].lower() in place]
+    if not found:
         return []
+    begin = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    longest = max(len(group) for _, group, _ in found)
     out = []
-    for shift in range(1, most + 1):
-        new = list(words)
-        for i in at:
-            group, place = kind[bare[i]]
-            new[i] = words[i].lower().replace(bare[i], group[(place + shift) % len(group)])
-        out.append(" ".join(new))
+    for k in range(min(most, longest - 1)):
+        parts, at = [], 0
+        for (a, b), group, i in found:
+            step = 1 + (begin + k) % (len(group) - 1) if len(group) > 1 else 0
+            parts += [text[at:a], group[(i + step) % len(group)]]
+            at = b
+        out.append("".join(parts) + text[at:])
     return out
 
 
@@ -133,17 +170,17 @@ def count_features(sample: DataFrame) -> DataFrame:
         # Sums by task have a fixed size, so no batch leaves rows of its own.
         sums = np.zeros((2, 1 << HASH_BITS), dtype=np.int32)
         for batch in batches:
-            texts, label = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_numpy()
-            for begin, end in text_chunks(texts):
-                text, feature = features_by_text(texts[begin:end])
+            label = batch.column(1).to_numpy()
+            for begin, texts in chunks_of(batch.column(0)):
+                text, feature = features_by_text(texts)
                 for y in (0, 1):
-                    sums[y] += np.bincount(feature[label[begin:end][text] == y], minlength=1 << HASH_BITS).astype(np.int32)
+                    sums[y] += np.bincount(feature[label[begin : begin + len(texts)][text] == y], minlength=1 << HASH_BITS).astype(np.int32)
         seen = np.flatnonzero(sums.any(axis=0))
         for i in range(0, len(seen), 100_000):
             own = seen[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums[1, own].astype(np.int64)), pa.array(sums[0, own].astype(np.int64))], names=["feature", "toxic", "clean"])
 
-    parts = sample.select("text", "label").mapInArrow(run, "feature long, toxic long, clean long")
+    parts = sample.select("text", "label").mapInArrow(frugal(run), "feature long, toxic long, clean long")
     return parts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -239,28 +276,31 @@ def train(
         own = np.full(1 << HASH_BITS, -1, dtype=np.int64)
         own[places] = np.arange(len(places))
         for batch in batches:
-            texts, label = [t or "" for t in batch.column(0).to_pylist()], batch.column(1)
-            for begin, end in text_chunks(texts):
-                part = texts[begin:end]
+            for begin, part in chunks_of(batch.column(0)):
                 others = [swapped(t, terms) for t in part]
-                flat = part + [x for o in others for x in o]
-                text, feature = features_by_text(flat, own)
-                lists = np.split(feature, np.searchsorted(text, np.arange(1, len(flat))))
-                ends = np.cumsum([len(part), *map(len, others)])
-                made = [[v.tolist() for v in lists[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [label.slice(begin, end - begin), pa.array([v.tolist() for v in lists[: len(part)]], type=pa.list_(pa.int32())), pa.array(made, type=pa.list_(pa.list_(pa.int32())))],
-                    names=["label", "features", "others"],
-                )
-
-    table = picked.mapInArrow(run, "label int, features array<int>, others array<array<int>>").toArrow()
-    labels_of = table.column("label").to_numpy().astype(np.float64)
-    lists = table.column("features").to_pylist()
-    others = table.column("others").to_pylist()
-    origin = np.array([i for i, o in enumerate(others) for _ in o], dtype=np.int64)
-    lists += [v for o in others for v in o]
-    rows = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
-    cols = np.array([x for v in lists for x in v], dtype=np.int64)
+                made = [x for o in others for x in o]
+                text, feature = features_by_text(part + made, own)
+                ends = np.searchsorted(text, np.arange(len(part) + len(made) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int16)))
+                labels = batch.column(1).slice(begin, len(part)).to_numpy(zero_copy_only=False)
+                origin = np.repeat(np.arange(len(part)), [len(o) for o in others])
+                base = int(batch.column(2)[begin].as_py())  # names the chunk's texts apart from all others
+                columns = [pa.array(np.append(base + np.arange(len(part)), base + origin)), pa.array(np.arange(len(lists)) >= len(part)), pa.array(np.append(labels, labels[origin]).astype(np.int8))]
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=["text", "made", "label", "features"])
+
+    numbered = picked.select("text", "label", F.monotonically_increasing_id().alias("row"))
+    table = numbered.mapInArrow(frugal(run), "text long, made boolean, label tinyint, features array<short>").toArrow().combine_chunks()
+    scratch.keep()
+    shared.destroy()
+    # Texts first, counterfactuals after them; all as arrays.
+    table = table.take(pc.sort_indices(table, [("made", "ascending"), ("text", "ascending")]))
+    made, text = (table.column(c).to_numpy() for c in ("made", "text"))
+    n = int((~made).sum())
+    labels_of = table.column("label").to_numpy()[:n].astype(np.float64)
+    origin = np.searchsorted(text[:n], text[n:])
+    features = table.column("features").combine_chunks()
+    rows = np.repeat(np.arange(len(table)), pc.list_value_length(features).to_numpy())
+    cols = features.flatten().to_numpy().astype(np.int64)
     weights, bias = fit(rows, cols, labels_of, origin, n_features, fairness=fairness)
     return Classifier(wanted, weights, bias, identity_terms)
 
@@ -280,11 +320,10 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
         wanted[places] = np.arange(len(places))
         own = Classifier(wanted, weights, bias)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in text_chunks(texts, 8_000_000):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(own.score(texts[begin:end]))], names=["id", "score"])
+            for begin, texts in chunks_of(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(own.score(texts))], names=["id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, score double")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(frugal(run), "id long, score double")
     return rows.withColumnRenamed("id", id_col)
 
 
