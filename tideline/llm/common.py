@@ -42,9 +42,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = count()
+        self._saved: list[tuple[str, str]] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{next(self._n):02d}-{name}"
+        path = f"{self.root}/{next(self._n):02d}-{name.replace(' ', '-')}"
+        self._saved.append((name, path))
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -55,6 +57,14 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but those of these names: nothing reads them any more."""
+        gone = [path for name, path in self._saved if name not in names]
+        self._saved = [x for x in self._saved if x[0] in names]
+        for folder in gone if names else [*gone, self.root]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def content_hash(text: Column) -> Column:
     """Tells texts apart, with the id beside it; null counts as empty."""

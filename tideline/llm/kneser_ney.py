@@ -177,6 +177,11 @@ class Model:
     shards: list[Any]
     running: bool = False
 
+    def destroy(self) -> None:
+        """Frees the shards everywhere, once all scores are written."""
+        for x in self.shards:
+            x.destroy()
+
     def load(self, i: int) -> Shard:
         if len(self.shards) == 1:
             return self.shards[0].value
@@ -243,7 +248,9 @@ def collect(parts: DataFrame, shard_rows: int = SHARD_ROWS, running: bool = Fals
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_rows: int = SHARD_ROWS, running: bool = False) -> Model:
     """A model for each language of the documents; null texts count as empty, no language as one of its own."""
     scratch = Scratch(docs.sparkSession, "kneser-ney")
-    return collect(estimate(count_ngrams(docs, lang_col, text_col, running), scratch, order_of(running)), shard_rows, running)
+    model = collect(estimate(count_ngrams(docs, lang_col, text_col, running), scratch, order_of(running)), shard_rows, running)
+    scratch.keep()
+    return model
 
 
 def perplexities(docs: DataFrame, model: Model, id_col: str, lang_col: str, text_col: str) -> DataFrame:

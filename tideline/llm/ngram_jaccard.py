@@ -359,6 +359,7 @@ def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_
     facts = reps.select("set_id", "rep_id", "own", "copies").join(known, "set_id", "left")
     facts = facts.select("set_id", "rep_id", F.coalesce("top", "own").alias("top"), "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     facts = scratch.save(facts, "facts")
+    scratch.keep("signatures", "facts")
 
     some = hot_join(signed.where("set_id is not null").select("id", "content", "set_id", "n"), facts, "set_id", "copies")
     is_first = F.col("id").eqNullSafe(F.col("top.id")) & (F.col("content") == F.col("top.content"))

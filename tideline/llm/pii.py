@@ -277,6 +277,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evid
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.save(find_base(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "found")
     strong = disclosures(found, docs, scratch, text_col, evidence)
+    scratch.keep("found", "disclosures")
     words = words_passed(found.where(F.size("entities") > 0), slots_of(strong)).join(strong, "term").where(F.array_contains("entities", F.col("entity")))
     term = F.struct(F.lit(TERM).alias("kind"), "start", "stop", F.max("disclosure").alias("disclosure"))
     words = words.groupBy("row", "start", "stop").agg(term.alias("t")).groupBy("row").agg(F.sort_array(F.collect_list("t")).alias("terms"))

@@ -53,11 +53,13 @@ def classify(
     trusted = trusted_only(docs.select(id_col, lang_col, text_col), labels, id_col)
     model = kneser_ney.train(trusted.where(~held_out(id_col)), lang_col, text_col, running=True)
     scored = scratch.save(kneser_ney.perplexities(docs, model, id_col, lang_col, text_col), "scored")
+    model.destroy()
     known = trusted_only(scored.withColumnRenamed("id", id_col), labels, id_col).withColumn("value", F.col("log_perplexity") - kneser_ney.spread("n_symbols"))
     known = scratch.save(known.select(id_col, "lang", "value"), "known")
     all_of, unseen = (kneser_ney.quantiles_by_language(x, [quantile], value="value") for x in (known, known.where(held_out(id_col))))
     limits = small_join(all_of.withColumnRenamed("q0", "seen"), unseen, "lang", F.col("lang")).select("lang", (F.coalesce("q0", "seen") + margin).alias("limit"))
     out = small_join(scored, scratch.save(limits, "limits"), "lang", F.col("id"))
+    scratch.keep("scored", "limits")
     out = out.withColumn("limit", F.col("limit") + kneser_ney.spread("n_symbols"))
     kept = F.col("log_perplexity").isNotNull() & F.coalesce(F.col("log_perplexity") <= F.col("limit"), F.lit(True))
     return out.select(F.col("id").alias(id_col), "lang", "n_symbols", "log_perplexity", "limit", kept.alias("kept"))

@@ -133,6 +133,8 @@ def measured_and_banded(docs: DataFrame, id_col: str, lang_col: str, text_col: s
     room = kneser_ney.spread("n_symbols")
     measured = measure(docs, model, running, id_col, lang_col, text_col).withColumns({"base_failed": failed, "n_symbols": F.col("word_chars") + F.col("n_words")})
     judged = measured = scratch.save(measured, "measured")
+    for m in (model, running):
+        m.destroy()
     inside = F.lit(True)
     for value, name in (("log_perplexity", "band"), ("running_perplexity", "running")):
         good = measured.where(~F.col("base_failed"))
@@ -141,6 +143,7 @@ def measured_and_banded(docs: DataFrame, id_col: str, lang_col: str, text_col: s
         judged = small_join(judged, scratch.save(bands, f"{name}s"), "lang", F.col("id"))
         judged = judged.withColumns({f"{name}_low": F.col("least") - room, f"{name}_high": F.col("most") + room}).drop("least", "most")
         inside &= F.coalesce(F.col(value).between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(False))
+    scratch.keep("measured", "bands", "runnings")
     return judged.withColumn("kept", ~F.col("base_failed") & inside)
 
 
