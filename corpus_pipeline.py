@@ -57,10 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written as Parquet and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
     for name, stage in STAGES:
-        written = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        if before is not None:
-            scratch.drop(before)
-        docs = before = written
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.keep(name)
     return docs
