@@ -50,13 +50,6 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table of save() that nothing reads any more."""
-        jvm = self.spark._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
     def keep(self, *names: str) -> None:
         """Deletes all tables but those of these names: nothing reads them any more."""
         gone = [path for name, path in self._saved if name not in names]
