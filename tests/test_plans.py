@@ -143,7 +143,9 @@ def test_stream_of_pages_is_merged(spark, tmp_path):
     orders(spark, order("10", "cancelled", paid=1.0), order("12", paid=1.0)).coalesce(1).write.mode("append").json(pages)
     ingest.start(spark, pages, store, f"{tmp_path}/ck").awaitTermination()
     assert {(r.id, r.status) for r in store.read().collect()} == {("10", "cancelled"), ("11", "paid"), ("12", "paid")}
-    assert ingest.apply_batch(store, orders(spark, order("12", paid=1.0)))["result"] == "sem_novos"
+    assert store.status() | {"updated_at": 0, "newest_date": 0, "oldest_date": 0} == {"version": 2, "rows": 3, "oldest_date": 0, "newest_date": 0, "updated_at": 0, "last_result": "ok", "last_sync_at": None}
+    assert ingest.apply_batch(store, orders(spark, order("12", paid=1.0)), "2026-08-05T13:29:00Z")["result"] == "sem_novos"
+    assert store.status()["last_result"] == "sem_novos" and store.status()["last_sync_at"] == "2026-08-05T13:29:00Z"
 
 
 def test_pages_stop_after_the_known_window():

@@ -138,6 +138,19 @@ class SnapshotStore:
                 self._fs.delete(self._path(self.folder(old)), True)
         return made
 
+    def note(self, result: str, at: str | None) -> None:
+        """Keeps how the last ingest ended, and when."""
+        out = self._fs.create(self._path(f"{self.root}/status.json"), True)
+        out.write(bytearray(json.dumps({"last_result": result, "last_sync_at": at}).encode()))
+        out.close()
+
+    def status(self) -> dict:
+        """version, rows, oldest_date, newest_date, updated_at of the current version, last_result and last_sync_at of the last ingest; None where unknown."""
+        now, path = self.manifests()["current"], self._path(f"{self.root}/status.json")
+        said = json.loads(self._read_text(path)) if self._fs.exists(path) else {"last_result": None, "last_sync_at": None}
+        facts = {c: getattr(now, c) if now else None for c in ("version", "rows", "oldest_date", "newest_date", "updated_at")}
+        return facts | {"rows": facts["rows"] or 0} | said
+
     def read(self, version: int | None = None, check: bool = False) -> DataFrame | None:
         """A version's rows with seq, the current one by default; None before the first. check compares its count with the manifest."""
         held = self.manifests()

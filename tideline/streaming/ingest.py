@@ -29,7 +29,9 @@ def apply_batch(store: SnapshotStore, batch: DataFrame, updated_at: str | None =
     """
     batch = first_seen(batch).persist()  # read for the counts and for the merge
     try:
-        return _apply(store, batch, updated_at, full)
+        done = _apply(store, batch, updated_at, full)
+        store.note(done["result"], updated_at)
+        return done
     finally:
         batch.unpersist()
 
