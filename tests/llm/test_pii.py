@@ -15,7 +15,7 @@ def brute(texts):
     n = len(texts)
     holds, words, entities = defaultdict(set), [], []
     for i, t in enumerate(texts):
-        spans = pii.base_spans(t)
+        spans = pii.protected_spans(t)
         own = [(m[0].casefold(), *m.span()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", t) if not any(m.start() < e and m.end() > s for _, s, e in spans)]
         words.append(own)
         entities.append({x for k, s, e in spans for x in pii.entity_keys(k, t[s:e])})
@@ -49,6 +49,8 @@ def made():
         if i % 50 == 3:
             words[1] = f"agent{r.randrange(4)}"
         texts.append(" ".join(words))
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    texts += [f'{r.choice(common)} passkey = "{key()}" {r.choice(common)}' for _ in range(12)]
     return texts + texts[:20] + ["", "ſtraße 1.2.3.4 İx"]
 
 
@@ -66,6 +68,11 @@ def test_terms_by_definition(spark):
         assert want and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_secrets_by_their_own_information():
+    text = 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" or aaaaaaaaaaaaaaaaaaaaaaaa1 or averyveryverylongwordofletters 12345678901234567890123 sk4aB9xQ2mZ7pL0vT5nR8 a.2abc3ff2ca8fb1e4c565a0eb@x.de'
+    assert [text[a:b] for _, a, b in pii.find_secrets(text, pii.base_spans(text))] == ["2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", "sk4aB9xQ2mZ7pL0vT5nR8"]
+
+
 def test_one_document_entities_count_by_their_class(spark):
     texts = [f"plain words {'abcdefghij'[i % 10] * 3} here" for i in range(400)] + [f"the Hydra desk u{i}@hydra.example, {i} here" for i in range(6)]
     rows = pii.detect(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()

@@ -1,8 +1,10 @@
 """Personal data: patterns for the base kinds, and terms that reveal them.
 
-Base spans (mail and network addresses, card and phone numbers) are found by pattern. A
-value found is a protected entity, and so is its class (an address's domain, a number's
-leading digits, a network), so that values of one document count as well. A word anywhere in
+Base spans (mail and network addresses, card and phone numbers) are found by pattern, and
+secrets (keys, tokens) by their own information: long runs of letters and digits with many
+bits a character. A value found is a protected entity, and so is its class (an address's
+domain, a number's leading digits, a network, all secrets), so that values of one document
+count as well. A word anywhere in
 a document can give its entities away. How much it does is estimated from the corpus: with
 n(x) the documents that hold x, among N,
 
@@ -18,7 +20,9 @@ REMOVE are removed.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,7 @@ from .common import Scratch, WordCoder, chunks_of, content_hash, frugal
 # so that no run of characters is read again and again.
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
+SECRET = "secret"
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
@@ -40,6 +45,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
+#: Secrets: runs of at least so many letters and digits, both among them, with at least so many bits a character.
+SECRET_RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}(?![A-Za-z0-9])")
+SECRET_BITS = 3.0
 #: Distinct texts in which word and entity have to stand together (told apart by the least and the greatest hash).
 SUPPORT = 2
 #: Bits of evidence that a pair needs.
@@ -105,6 +113,21 @@ def find_phones(text: str) -> list[tuple[int, int]]:
 FINDERS = dict(zip(KINDS, (find_emails, find_ips, find_cards, find_phones), strict=True))
 
 
+def bits_per_character(run: str) -> float:
+    """Entropy of the run's characters."""
+    return -sum(n / len(run) * math.log2(n / len(run)) for n in Counter(run).values())
+
+
+def find_secrets(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Secrets that overlap no span."""
+    found = []
+    for m in SECRET_RUN.finditer(text):
+        run, (a, b) = m[0], m.span()
+        if not run.isalpha() and not run.isdigit() and bits_per_character(run) >= SECRET_BITS and not any(a < e and b > s for _, s, e in taken):
+            found.append((SECRET, a, b))
+    return found
+
+
 def entity_keys(kind: str, value: str) -> tuple[int, int]:
     """Of a value and of its class: mail domain, network, first six digits of a card or four of a phone number."""
     if kind == "email":
@@ -113,6 +136,8 @@ def entity_keys(kind: str, value: str) -> tuple[int, int]:
     elif kind == "ip":
         plain = ".".join(part.lstrip("0") or "0" for part in value.split("."))
         group = ".".join(plain.split(".")[:2])
+    elif kind == SECRET:
+        plain, group = value, ""
     else:
         plain = NOT_DIGIT.sub("", value)
         group = plain[: 6 if kind == "card" else 4]
@@ -128,6 +153,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(k, s, e) for k, f in FINDERS.items() for s, e in f(text)]
 
 
+def protected_spans(text: str) -> list[tuple[str, int, int]]:
+    """The base spans, then secrets."""
+    base = base_spans(text)
+    return base + find_secrets(text, base)
+
+
 def words_beside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
     """(term, start, end) of all words outside the spans."""
     covered = np.zeros(len(text) + 1, dtype=bool)
@@ -137,7 +168,7 @@ def words_beside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int
 
 
 FOUND = (
-    "id long, content long, spans array<struct<kind string, start int, stop int>>, entities array<long>,"
+    "id long, content long, spans array<struct<kind string, start int, stop int>>, secrets array<struct<kind string, start int, stop int>>, entities array<long>,"
     " words array<struct<term long, start int, stop int>>, text string"
 )
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
@@ -145,20 +176,21 @@ _WORDS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop
 
 
 def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, content (hash of the text), base spans by kind and start; where there are any also entities, the other words, and the text."""
+    """id, content (hash of the text), base spans by kind and start, secrets; where there are any also entities, the other words, and the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in chunks_of(batch.column(2)):
-                spans, entities, words, held = [], [], [], []
+                spans, secrets, entities, words, held = [], [], [], [], []
                 for text in texts:
-                    own = base_spans(text)
-                    spans.append([{"kind": k, "start": s, "stop": e} for k, s, e in own])
+                    own = protected_spans(text)
+                    for into, kinds in ((spans, KINDS), (secrets, (SECRET,))):
+                        into.append([{"kind": k, "start": s, "stop": e} for k, s, e in own if k in kinds])
                     entities.append(sorted({x for k, s, e in own for x in entity_keys(k, text[s:e])}))
                     words.append([{"term": t, "start": s, "stop": e} for t, s, e in words_beside(text, own)] if own else [])
                     held.append(text if own else None)
-                columns = [pa.array(spans, type=_SPAN), pa.array(entities, type=pa.list_(pa.int64())), pa.array(words, type=_WORDS), pa.array(held, type=pa.string())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, len(texts)) for i in (0, 1)), *columns], names=["id", "content", "spans", "entities", "words", "text"])
+                columns = [pa.array(spans, type=_SPAN), pa.array(secrets, type=_SPAN), pa.array(entities, type=pa.list_(pa.int64())), pa.array(words, type=_WORDS), pa.array(held, type=pa.string())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, len(texts)) for i in (0, 1)), *columns], names=["id", "content", "spans", "secrets", "entities", "words", "text"])
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long"), content_hash(text), text).mapInArrow(frugal(run), FOUND)
@@ -173,7 +205,7 @@ def slots_of(keys: DataFrame) -> np.ndarray:
 
 
 def count_elsewhere(docs: DataFrame, passed: np.ndarray, text_col: str) -> DataFrame:
-    """term, n: in how many documents without base spans each word stands that the filter passes."""
+    """term, n: in how many documents without protected values each word stands that the filter passes."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(passed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +216,7 @@ def count_elsewhere(docs: DataFrame, passed: np.ndarray, text_col: str) -> DataF
                 if len(coder.words) > coder.limit:
                     coder.clear()
                     keys = np.zeros(0, dtype=np.int64)
-                codes, starts = coder.code([t.casefold() for t in texts if not base_spans(t)], _WORD_BYTES)
+                codes, starts = coder.code([t.casefold() for t in texts if not protected_spans(t)], _WORD_BYTES)
                 fresh = coder.words[len(keys) :]
                 keys = np.concatenate([keys, np.fromiter(map(term_key, fresh), dtype=np.int64, count=len(fresh))])
                 at = np.flatnonzero(table[keys[codes] % (1 << FILTER_BITS)]) if len(codes) else codes
@@ -249,7 +281,7 @@ def disclosures(found: DataFrame, docs: DataFrame, scratch: Scratch, text_col: s
     return scratch.save(held.where((F.col("disclosure") >= GENERALISE) & (F.col("evidence") >= evidence)).drop("evidence"), "disclosures")
 
 
-def cleaned(text: str, spans: str, terms: str) -> Column:
+def cleaned(text: str, spans: Column, terms: str) -> Column:
     """The text with [email] and so on for spans, the class of generalised words, and nothing for removed ones."""
     shown = lambda t: F.substring(F.col(text), t["start"] + 1, t["stop"] - t["start"])
     kind = lambda w: F.when(w.rlike("^[0-9]+$"), "[number]").when(w.rlike("[0-9]"), "[code]").when(w.rlike(r"^\p{Lu}"), "[name]").otherwise("[word]")
@@ -268,7 +300,7 @@ def cleaned(text: str, spans: str, terms: str) -> Column:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evidence: float = EVIDENCE) -> DataFrame:
-    """One row per document: id, content, spans (kind, start, stop), terms (kind, start, stop, disclosure), by start within a kind, clean_text.
+    """One row per document: id, content, spans and secrets (kind, start, stop), terms (kind, start, stop, disclosure), by start within a kind, clean_text.
 
     clean_text is the text without what was found, null where nothing was. Null texts are
     empty texts: no spans. Repeated rows are judged each by itself, but an entity has to meet a
@@ -283,7 +315,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evid
     words = words.groupBy("row", "start", "stop").agg(term.alias("t")).groupBy("row").agg(F.sort_array(F.collect_list("t")).alias("terms"))
     none = F.array().cast("array<struct<kind:string,start:int,stop:int,disclosure:double>>")
     out = found.join(words, "row", "left").withColumn("terms", F.coalesce("terms", none))
-    return out.select(F.col("id").alias(id_col), "content", "spans", "terms", F.when(F.size("spans") > 0, cleaned("text", "spans", "terms")).alias("clean_text"))
+    found_any = F.size("spans") + F.size("secrets") > 0
+    return out.select(F.col("id").alias(id_col), "content", "spans", "secrets", "terms", F.when(found_any, cleaned("text", F.concat("spans", "secrets"), "terms")).alias("clean_text"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evidence: float = EVIDENCE) -> DataFrame:

@@ -98,8 +98,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     plain = F.transform("terms", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    everything = spans_text(F.concat("spans", plain)).alias("spans")
-    more = [F.size("terms").cast("long").alias("n_terms"), (F.size("spans") > 0).cast("int").alias("personal"), "clean_text"]
+    everything = spans_text(F.concat("spans", "secrets", plain)).alias("spans")
+    more = [F.size("secrets").cast("long").alias("n_secrets"), F.size("terms").cast("long").alias("n_terms"), (F.size("spans") + F.size("secrets") > 0).cast("int").alias("personal"), "clean_text"]
     return found.select("doc_id", *counts, F.sha2(spans_text("spans"), 256).alias("base_sha256"), everything, *more)
 
 
