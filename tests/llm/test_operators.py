@@ -61,7 +61,9 @@ def brute_kneser_ney(texts):
             grams.update(line[i : i + 4] for i in range(len(w) + 1))
     tables = {4: grams}
     for k in (3, 2, 1):
-        tables[k] = Counter(g[1:] for g in tables[k + 1])
+        tables[k] = Counter()
+        for g, n in tables[k + 1].items():
+            tables[k][g[1:]] += n if k > 1 and g[1] == " " else 1
     model = {}
     for k, table in tables.items():
         n = Counter(table.values())

@@ -3,9 +3,10 @@
 Every scan partition reduces its rows to a run of text digests. In each round, runs
 whose numbers agree but for their last bits are exchanged and merged (2 ** fan_in_bits of
 them at once, that is fan_in_bits binomial rounds in one exchange), until one run is left.
-Each level keeps the smallest identifier of a digest. A digest stands for a text only
-together with the text's length and a second, independent hash; rows that differ in one
-of them are never merged, at any level.
+Spark groups these keys by a sort aggregate: rows are sorted by digest where a run is made,
+and runs are merged in order. Each level keeps the smallest identifier of a digest. A digest
+stands for a text only together with the text's length and a second, independent hash; rows
+that differ in one of them are never merged, at any level.
 
 A text held by a third of all rows reaches each merge as one row per run, at most
 2 ** fan_in_bits rows a key, and results go back by (digest, run), so no task gets the group.

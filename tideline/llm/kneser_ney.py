@@ -121,17 +121,29 @@ def discounts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang").agg(*n).select("lang", *[sane(x, i).alias(f"d{i}") for i, x in enumerate(d, 1)])
 
 
-def estimate(top: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame:
+def initial(level: int, running: bool) -> Column:
+    """Whether n-grams of that level begin before the first character: with a space, in running text with two."""
+    first = lambda i: F.shiftright("key", BITS * (level - i)).bitwiseAND(F.lit(SYMBOLS - 1)) == SPACE
+    if level < 2 + running:
+        return F.lit(False)
+    return first(1) & first(2) if running else first(1)
+
+
+def estimate(top: DataFrame, scratch: Scratch, running: bool = False) -> DataFrame:
     """lang, level, kind, key, value, n: all parts of the model.
 
+    Shorter n-grams count the characters to their left, but those that begin before the first
+    character, to whose left nothing else can stand, their occurrences.
+
     kind 0: (count - discount) / total of an n-gram of that level; kind 1: the weight that
     its context, key, gives to the next shorter level.
     """
-    parts, level = [], top
+    parts, level, order = [], top, order_of(running)
     for k in range(order, 0, -1):
         if k < order:
             shorter = F.col("key").bitwiseAND(F.lit((1 << BITS * k) - 1))
-            level = level.groupBy("lang", shorter.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+            level = level.groupBy("lang", shorter.alias("key")).agg(F.count(F.lit(1)).alias("left"), F.sum("n").alias("all"))
+            level = level.select("lang", "key", F.when(initial(k, running), F.col("all")).otherwise(F.col("left")).alias("n"))
         level = scratch.save(level, f"level{k}")
         off = scratch.save(discounts(level), f"discounts{k}")
         context = F.shiftright("key", BITS)
@@ -248,7 +260,7 @@ def collect(parts: DataFrame, shard_rows: int = SHARD_ROWS, running: bool = Fals
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_rows: int = SHARD_ROWS, running: bool = False) -> Model:
     """A model for each language of the documents; null texts count as empty, no language as one of its own."""
     scratch = Scratch(docs.sparkSession, "kneser-ney")
-    model = collect(estimate(count_ngrams(docs, lang_col, text_col, running), scratch, order_of(running)), shard_rows, running)
+    model = collect(estimate(count_ngrams(docs, lang_col, text_col, running), scratch, running), shard_rows, running)
     scratch.keep()
     return model
 
