@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 
 from tideline.plans import catalogue
 
-RUNS = 1
+RUNS = 5
 HEADLINE = (
     "sales_summary", "gross_net_period", "sku_weekly", "units_by_item", "compare_periods", "freight_share", "margin_total",
     "margin_by_sku", "ranking_revenue", "consolidated", "stock_class", "pending_shipments", "merge_refresh",
