@@ -11,7 +11,8 @@ a bucket, and pairs are verified on the full sets:
 3. under hubs that still hold several components, the pairs across components that can reach
    the threshold: those that share enough n-grams which the hub lacks (found by prefixes of
    these n-grams, with hubs of their own first), or come close enough by the hub's alone.
-   So nothing that banding proposes stays undecided;
+   What these leave open is compared bucket by bucket, in blocks, so nothing that banding
+   proposes stays undecided, and no pair without a link becomes a row;
 4. inside a component all pairs are counted by block products of membership matrices, which
    gives each document its number of links without a row per pair.
 """
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordCoder, chunks_of, content_hash, frugal, hot_join, mix64
@@ -34,9 +35,9 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
-#: Sets in a block of step 4.
+#: Sets in a block of steps 3 and 4.
 BLOCK = 256
-#: Sets of small components that one group of step 4 takes, about.
+#: Sets of small components or buckets that one group takes, about.
 GROUP_SETS = 512
 #: Hubs whose n-grams are broadcast, at most: those with more than one in so many of all pairs.
 HOT_HUBS = 64
@@ -197,29 +198,33 @@ def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components not final after {most} rounds")
 
 
+def similarities(grams: pd.Series) -> np.ndarray:
+    """The Jaccard similarity of all pairs of a block of sets, by products of membership matrices."""
+    lengths = np.array([len(g) for g in grams])
+    flat = np.concatenate([np.asarray(g, dtype=np.int64) for g in grams])
+    owner = np.repeat(np.arange(len(grams)), lengths)
+    distinct, column = np.unique(flat, return_inverse=True)
+    shared = np.bincount(column, minlength=len(distinct)) > 1
+    order = np.argsort(column, kind="stable")
+    order = order[shared[column[order]]]
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(grams), len(grams)), dtype=np.float64)
+    width = 4096
+    for low in range(0, len(distinct), width):
+        i, j = np.searchsorted(column, [low, low + width])
+        if i < j:
+            block = np.zeros((len(grams), width), dtype=np.float32)
+            block[owner[i:j], column[i:j] - low] = 1
+            common += block @ block.T
+    return common / (lengths[:, None] + lengths[None, :] - common)
+
+
 def count_block_links(members: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links between the sets of two blocks, or within one: set_id and the documents it is linked to there."""
     found = []
     for _, part in members.groupby("comp", sort=False):
         sizes = part["copies"].to_numpy()
-        lengths = np.array([len(g) for g in part["grams"]])
-        flat = np.concatenate([np.asarray(g, dtype=np.int64) for g in part["grams"]])
-        owner = np.repeat(np.arange(len(part)), lengths)
-        distinct, column = np.unique(flat, return_inverse=True)
-        shared = np.bincount(column, minlength=len(distinct)) > 1
-        order = np.argsort(column, kind="stable")
-        order = order[shared[column[order]]]
-        column, owner = column[order], owner[order]
-        common = np.zeros((len(part), len(part)), dtype=np.float64)
-        width = 4096
-        for low in range(0, len(distinct), width):
-            i, j = np.searchsorted(column, [low, low + width])
-            if i < j:
-                block = np.zeros((len(part), width), dtype=np.float32)
-                block[owner[i:j], column[i:j] - low] = 1
-                common += block @ block.T
-        union = lengths[:, None] + lengths[None, :] - common
-        linked = common / union >= threshold
+        linked = similarities(part["grams"]) >= threshold
         np.fill_diagonal(linked, False)
         side = part["block"].to_numpy()
         if (side != side[0]).any():
@@ -228,23 +233,41 @@ def count_block_links(members: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat(found, ignore_index=True)
 
 
+def block_bridges(members: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """a, b: of each two components with links between the block's sets, one link."""
+    found = []
+    for _, part in members.groupby("bucket", sort=False):
+        ids, (comp, _) = part["set_id"].to_numpy(), pd.factorize(part["comp"])
+        i, j = np.nonzero(np.triu((similarities(part["grams"]) >= threshold) & (comp[:, None] != comp[None, :])))
+        pair = np.minimum(comp[i], comp[j]) * len(part) + np.maximum(comp[i], comp[j])
+        _, first = np.unique(pair, return_index=True)
+        found.append(pd.DataFrame({"a": ids[i[first]], "b": ids[j[first]]}))
+    return pd.concat(found, ignore_index=True)
+
+
+def in_blocks(rows: DataFrame, group: str, sets: DataFrame) -> DataFrame:
+    """rows with shard, block and grams: a shard has two blocks of a large group, or some small groups whole. rows: set_id, group, of (its sets)."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("of") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    small = max(1, rows.count() // GROUP_SETS)
+    shard = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(small))).otherwise(F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")))
+    return dealt.withColumn("shard", shard).drop("blocks", "other", "of").join(sets, "set_id")
+
+
 def links_inside(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """set_id, linked: documents of other sets of its component within the threshold. members: set_id, comp, copies, of (sets in the component)."""
-    blocks = F.ceil(F.col("of") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # A task takes two blocks of a large component, or some small components whole.
-    small = max(1, members.count() // GROUP_SETS)
-    shard = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(small))).otherwise(
-        F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other"))
-    )
-    dealt = dealt.withColumn("shard", shard).join(sets, "set_id")
-    dealt = dealt.select("shard", "comp", "set_id", "block", "copies", "grams")
     run = lambda part: count_block_links(part, threshold)
-    counted = dealt.groupBy("shard").applyInPandas(run, "set_id binary, linked long")
+    counted = in_blocks(members, "comp", sets).groupBy("shard").applyInPandas(run, "set_id binary, linked long")
     return counted.groupBy("set_id").agg(F.sum("linked").alias("linked"))
 
 
+def bridges(state: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links between components whose sets meet in a bucket; pairs without a link are never rows. state: bucket, set_id, comp, of (sets in the bucket)."""
+    run = lambda part: block_bridges(part, threshold)
+    return in_blocks(state, "bucket", sets).groupBy("shard").applyInPandas(run, "a binary, b binary").distinct()
+
+
 def with_hubs(met: DataFrame) -> DataFrame:
     """bucket, set_id, n, hub: in each bucket the set that meets the most sets over all its buckets.
 
@@ -291,18 +314,24 @@ def pairs_within_hub(opened: DataFrame, threshold: float) -> DataFrame:
     return both.select(F.least("xa", "ya").alias("a"), F.greatest("xa", "ya").alias("b")).distinct()
 
 
-def beside_hub(opened: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+def beside_hub(opened: DataFrame, grams: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """bucket, set_id, n, members, comp: buckets of sets that share an n-gram which their hub lacks.
 
     All other linked pairs share at least c = t * |x| - |x & h| such n-grams, so in any fixed
-    order one of the first |x - h| - c + 1 of them: no more than that prefix is indexed.
+    order one of the first |x - h| - c + 1 of them: no more than that prefix is indexed. Rare
+    n-grams come first, so a passage that many texts share brings together only those that
+    have little else.
     """
     need = F.ceil(F.col("na") * (threshold - EPSILON))
     prefix = F.when(need - F.col("common") > 1, F.col("na") - need + 1).otherwise(F.col("na") - F.col("common"))
-    rest = F.slice(F.array_sort(F.array_except("ga", "gb")), F.lit(1), prefix.cast("int"))
     rows = with_grams(opened.select("a", "b", "na", "common", "comp"), grams)
-    rows = rows.select(F.col("a").alias("set_id"), F.col("na").alias("n"), "comp", "b", F.explode(rest).alias("gram"))
-    rows = rows.select(F.xxhash64("b", "gram").alias("bucket"), "set_id", "n", "comp")
+    rows = rows.select("a", "b", "na", "comp", prefix.cast("int").alias("prefix"), F.explode(F.array_except("ga", "gb")).alias("gram"))
+    rows = scratch.save(rows, "rest")
+    often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).withColumn("held", F.col("often"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "gram"))
+    rows = hot_join(rows, often, "gram", "held").withColumn("rank", rank).where("rank <= prefix")
+    rows = rows.select(F.xxhash64("b", "gram").alias("bucket"), F.col("a").alias("set_id"), F.col("na").alias("n"), "comp")
+    rows = scratch.save(rows, "prefixes")
     mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket", "members")
     return rows.join(mixed, "bucket")
 
@@ -330,7 +359,7 @@ def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_
     comps = components(links, scratch)
 
     opened = scratch.save(open_hubs(tested, comps), "open")
-    other = scratch.save(beside_hub(opened, grams, threshold), "beside")
+    other = scratch.save(beside_hub(opened, grams, threshold, scratch), "beside")
     second = labelled(with_hubs(other).select(F.col("set_id").alias("a"), "n", F.col("hub").alias("b")).where("a <> b").distinct(), comps, "a", "ca")
     sizes = reps.select(F.col("set_id").alias("b"), F.col("n").alias("nb"))
     second = labelled(second, comps, "b", "cb").where("ca <> cb").join(sizes, "b").where(fits(F.col("n"), F.col("nb"), threshold))
@@ -340,14 +369,11 @@ def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_
         links = links.union(more)
         comps = components(links, scratch)
 
-    # What these hubs leave open is tested pair by pair.
-    state = labelled(other.select("bucket", "set_id", "n"), comps, "set_id")
-    mixed = state.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-    state = scratch.save(state.join(mixed, "bucket"), "left-open")
-    x, y = state.alias("x"), state.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n"), F.col("y.n"), threshold))
-    rest = scratch.save(rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct(), "last")
-    more = scratch.save(verified(rest, grams).where(F.col("similarity") >= threshold).select("a", "b"), "last-pairs")
+    # What these hubs leave open is compared in blocks.
+    state = labelled(other.select("bucket", "set_id"), comps, "set_id")
+    mixed = state.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("of")).where("c0 <> c1").select("bucket", "of", F.col("of").alias("held"))
+    state = scratch.save(hot_join(state, mixed, "bucket", "held"), "left-open")
+    more = scratch.save(bridges(state, grams, threshold), "last-pairs")
     if more.limit(1).count():
         comps = components(links.union(more), scratch)
 
