@@ -130,8 +130,8 @@ def measured_and_banded(docs: DataFrame, id_col: str, lang_col: str, text_col: s
     model = kneser_ney.train(docs, lang_col, text_col)
     running = kneser_ney.train(reference(docs, model, scratch, id_col, lang_col, text_col), lang_col, text_col, running=True)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    room = kneser_ney.spread("n_symbols")
-    measured = measure(docs, model, running, id_col, lang_col, text_col).withColumns({"base_failed": failed, "n_symbols": F.col("word_chars") + F.col("n_words")})
+    room = kneser_ney.spread("predicted")
+    measured = measure(docs, model, running, id_col, lang_col, text_col).withColumns({"base_failed": failed, "predicted": F.col("word_chars") + F.col("n_words")})
     judged = measured = scratch.save(measured, "measured")
     for m in (model, running):
         m.destroy()
