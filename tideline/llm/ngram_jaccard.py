@@ -20,7 +20,7 @@ a bucket, and pairs are verified on the full sets:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +45,9 @@ SEED = 20_240
 #: For comparisons of sizes with products of the threshold.
 EPSILON = 1e-9
 
+#: Of UTF-8: A-Z lowered.
+LOWER_ASCII = bytes(range(256)).lower()
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,14 +63,14 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes:
     return best
 
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str], words: int = WORDS, ascii_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word n-grams, and where each text's hashes start.
 
-    Words are parted by ASCII white space and lowercased. A text of fewer words than an
-    n-gram has, but at least one, gives one n-gram of all its words.
+    Words are parted by ASCII white space and lowercased (ascii_only: A-Z alone). A text of
+    fewer words than an n-gram has, but at least one, gives one n-gram of all its words.
     """
     coder = WordCoder()
-    codes, starts = coder.code([t.lower() for t in texts])
+    codes, starts = coder.code(texts, LOWER_ASCII) if ascii_only else coder.code([t.lower() for t in texts])
     by_word = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coder.words), dtype=np.uint64, count=len(coder.words))
     h = by_word[codes] if len(codes) else np.zeros(0, dtype=np.uint64)
     sets: list[np.ndarray] = []
@@ -138,14 +141,14 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int, id_col: str,
     return rows_in.mapInArrow(frugal(sign), "id long, content long, set_id binary, n int, bands array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str, ascii_only: bool = False) -> DataFrame:
     """set_id, grams for the wanted (id, content, set_id), one for each set: the n-gram sets, read from the texts again."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in chunks_of(batch.column(1), 2_000_000):
                 wants = batch.column(0).slice(begin, len(texts)).to_pylist()
-                hashes, ends = shingle_sets(texts, words)
+                hashes, ends = shingle_sets(texts, words, ascii_only)
                 sets = [hashes[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 # Of texts with one hash only the set's own makes it.
                 own = [k for k, s in enumerate(sets) if set_key(s) == wants[k]]
@@ -336,22 +339,15 @@ def beside_hub(opened: DataFrame, grams: DataFrame, threshold: float, scratch: S
     return rows.join(mixed, "bucket")
 
 
-def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_col: str, text_col: str) -> DataFrame:
-    """id, content, class_id, n_links, n, rep_id, first: of each row; first: whether (id, content) is the first of its class."""
-    scratch = Scratch(docs.sparkSession, "ngram-jaccard")
-    bands, rows = bands_for(threshold, recall)
-    signed = scratch.save(signatures(docs, bands, rows, words, id_col, text_col), "signatures")
-    of_set = signed.where("set_id is not null").groupBy("set_id")
-    first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "content"))
-    reps = of_set.agg(first.alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = scratch.save(reps.withColumn("rep_id", F.col("own.id")), "sets")
+def linked_sets(placed: DataFrame, sizes: DataFrame, make_grams: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """set_id, comp of all sets with links, and set_id, grams: steps 1 to 3 over any buckets of candidates.
 
-    placed = reps.select("set_id", "n", F.explode("bands").alias("bucket"))
+    placed: set_id, n, bucket. sizes: set_id, n. make_grams: set_id, grams for the wanted set_id.
+    """
     crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("held", F.col("members"))
     met = scratch.save(hot_join(placed, crowded, "bucket", "held"), "meetings")
     shared = scratch.save(with_hubs(met), "buckets")
-    wanted = shared.select("set_id").distinct().join(reps.select("set_id", "own.id", "own.content"), "set_id")
-    grams = scratch.save(full_sets(docs, wanted, words, id_col, text_col).dropDuplicates(["set_id"]), "grams")
+    grams = scratch.save(make_grams(shared.select("set_id").distinct()).dropDuplicates(["set_id"]), "grams")
 
     to_hub = scratch.save(shared.where("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct(), "to-hub")
     tested = scratch.save(verified(to_hub, grams), "hub-pairs")
@@ -361,8 +357,8 @@ def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_
     opened = scratch.save(open_hubs(tested, comps), "open")
     other = scratch.save(beside_hub(opened, grams, threshold, scratch), "beside")
     second = labelled(with_hubs(other).select(F.col("set_id").alias("a"), "n", F.col("hub").alias("b")).where("a <> b").distinct(), comps, "a", "ca")
-    sizes = reps.select(F.col("set_id").alias("b"), F.col("n").alias("nb"))
-    second = labelled(second, comps, "b", "cb").where("ca <> cb").join(sizes, "b").where(fits(F.col("n"), F.col("nb"), threshold))
+    second = labelled(second, comps, "b", "cb").where("ca <> cb").join(sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
+    second = second.where(fits(F.col("n"), F.col("nb"), threshold))
     second = scratch.save(second.select("a", "b").union(pairs_within_hub(opened, threshold)).distinct(), "second")
     more = scratch.save(verified(second, grams).where(F.col("similarity") >= threshold).select("a", "b"), "second-pairs")
     if more.limit(1).count():
@@ -376,6 +372,23 @@ def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_
     more = scratch.save(bridges(state, grams, threshold), "last-pairs")
     if more.limit(1).count():
         comps = components(links.union(more), scratch)
+    return comps, grams
+
+
+def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """id, content, class_id, n_links, n, rep_id, first: of each row; first: whether (id, content) is the first of its class."""
+    scratch = Scratch(docs.sparkSession, "ngram-jaccard")
+    bands, rows = bands_for(threshold, recall)
+    signed = scratch.save(signatures(docs, bands, rows, words, id_col, text_col), "signatures")
+    of_set = signed.where("set_id is not null").groupBy("set_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "content"))
+    reps = of_set.agg(first.alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = scratch.save(reps.withColumn("rep_id", F.col("own.id")), "sets")
+
+    placed = reps.select("set_id", "n", F.explode("bands").alias("bucket"))
+    owners = reps.select("set_id", "own.id", "own.content")
+    make = lambda wanted: full_sets(docs, wanted.join(owners, "set_id"), words, id_col, text_col)
+    comps, grams = linked_sets(placed, reps.select("set_id", "n"), make, threshold, scratch)
 
     members = reps.select("set_id", "own", "copies").join(comps, "set_id")
     whole = members.groupBy("comp").agg(F.min("own").alias("top"), F.count(F.lit(1)).alias("of"))
