@@ -107,4 +107,4 @@ def test_pipeline_on_the_smallest_tables(spark):
     assert 0 < near.count() <= single.count()
     pieces = corpus_pipeline.run(spark, SMALL)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} <= {r.doc_id for r in near.collect()}
-    assert len(queries.queries()) == 11
+    assert len(queries.queries()) == 14
