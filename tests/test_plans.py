@@ -148,24 +148,5 @@ def test_stream_of_pages_is_merged(spark, tmp_path):
     assert store.status()["last_result"] == "sem_novos" and store.status()["last_sync_at"] == "2026-08-05T13:29:00Z"
 
 
-def test_pages_stop_after_the_known_window():
-    total = 1000
-    ids = [str(i) for i in range(total)]
-    fetch = lambda offset, limit: {"orders": [{"id": i} for i in ids[offset : offset + limit]], "total": total}
-    known = lambda x: {i for i in x if int(i) >= 60}
-    read = [o for _, rows in ingest.pages(fetch, known) for o in rows]
-    assert len(read) == 350
-    assert len([o for _, rows in ingest.pages(fetch, known, full=True) for o in rows]) == total
-    with pytest.raises(snapshots.SnapshotError):
-        list(ingest.pages(fetch, known, most=10))
-    calls = []
-
-    def flaky(offset, limit):
-        calls.append(offset)
-        return {"orders": [], "total": 0} if len(calls) > 2 else {}
-
-    assert ingest.fetch_with_retry(flaky, 0, 50, wait=lambda s: None) == {"orders": [], "total": 0}
-
-
 def test_civil_today():
     assert periods.civil_today(datetime(2026, 7, 24, 2, 0, tzinfo=timezone.utc)) == date(2026, 7, 23)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.places import beside, counts_before, in_ranges
 from tideline.sources.schemas import LINES
 
+#: Known orders that an incremental run looks at again, and orders of a page.
+KNOWN_WINDOW, PAGE_ROWS = 250, 50
+
 FIELDS = ("id", "status", "date_created", "paid_amount", "total_amount", "order_items", "buyer", "shipping")
 
 
@@ -63,3 +67,24 @@ def known_orders(refreshed: DataFrame, base: DataFrame) -> DataFrame:
 
 def unknown_orders(refreshed: DataFrame, base: DataFrame) -> DataFrame:
     return refreshed.join(base.select("id"), "id", "left_anti")
+
+
+def known_window(refreshed: DataFrame, base: DataFrame, order: list[Column], window: int = KNOWN_WINDOW, page: int = PAGE_ROWS) -> DataFrame:
+    """What an incremental run reads of a source's orders: position (from 0), known, and the orders.
+
+    It ends with the page on which the window-th known order stands; with fewer known ones it
+    reads all. The place of that order is found from the counts of ranges and from its own range.
+    order ends with something unique; of repeated ids each row counts.
+    """
+    known = base.select(F.col("id").alias("__known")).distinct()
+    rows = refreshed.join(known, F.col("id") == F.col("__known"), "left").withColumn("known", F.col("__known").isNotNull()).drop("__known")
+    placed = in_ranges(rows, order)
+    counts = counts_before(placed, known=F.col("known"))
+    crossing = counts.where((F.col("before_known") < window) & (F.col("before_known") + F.col("known") >= window)).select("part", "before", "before_known")
+    own = placed.where("known").join(F.broadcast(crossing), "part")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("place"))
+    last = own.withColumn("rank", F.col("before_known") + rank).where(F.col("rank") == window).select((F.col("before") + F.col("place")).alias("last"))
+    end = last.agg(F.max("last").alias("last")).select(((F.floor(F.col("last") / page) + 1) * page).alias("end"))
+    held = beside(placed, counts.select("part", "before"), ["part"]).withColumn("position", F.col("before") + F.col("place"))
+    held = held.join(F.broadcast(end), F.col("end").isNull() | (F.col("position") < F.col("end")))
+    return held.drop("part", "place", "before", "end")

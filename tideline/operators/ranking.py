@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import exact, total
+from tideline.functions.places import kept, numbered
 from tideline.operators.margin import percent_of
 
 CRITERIA = ("revenue", "units", "margin")
 DEFAULT_LIMIT, MAX_LIMIT = 5, 20
-#: Ranges in which a whole ranking is numbered.
-RANGES = 512
 
 
 def ranking_limit(n: float | None) -> int:
@@ -62,33 +61,19 @@ def ranking_rows(lines: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(F.col("cost_coverage") != "ausente", F.col(c)) for c in money})
 
 
-def numbered(rows: DataFrame, order: list) -> DataFrame:
-    """Adds position over a global order. Rows are numbered in RANGES ranges of the first key at once, and ranges by the rows before them.
-
-    order: the first key descending, then others. Nothing but a row per range passes through one task.
-    """
-    key = order[0]
-    bounds = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    width = F.greatest((F.col("high") - F.col("low")) / RANGES, F.lit(1e-9))
-    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("__range", F.coalesce(F.floor((F.col("high") - F.col(key)) / width), F.lit(RANGES + 1))).drop("low", "high")
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc(key), *order[1:]))
-    held = ranged.withColumn("__own", own).join(F.broadcast(before), "__range")
-    return held.withColumn("position", (F.col("__own") + F.col("__before")).cast("int")).drop("__range", "__own", "__before")
-
-
 def ranking(lines: DataFrame, criterion: str = "revenue", limit: float | None = None, everything: bool = False) -> DataFrame:
     """The first SKUs by criterion with their position; by margin only SKUs whose cost is fully known.
 
-    An unknown criterion counts as revenue. everything skips the limit.
+    An unknown criterion counts as revenue. everything skips the limit; rows are added up once
+    and numbered by ranges, so no task orders all of them.
     """
     key = criterion if criterion in CRITERIA else "revenue"
     rows = ranking_rows(lines)
     rows = rows.where("cost_coverage = 'total'") if key == "margin" else rows
     ties = [F.collate("sku", "UNICODE"), F.col("sku")]
     if everything:
-        return numbered(rows, [key, *ties]).orderBy("position")
+        rows = kept(rows)  # dealing into ranges reads them twice
+        return numbered(rows, [F.desc(key), *ties]).withColumn("position", F.col("position").cast("int"))
     top = rows.orderBy(F.desc(key), *ties).limit(ranking_limit(limit))
     return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc(key), *ties)))
 

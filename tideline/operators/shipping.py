@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import blank_to_null, is_sale, shipment_id
+from tideline.functions.places import numbered
 
 DEFAULT_BATCH, MAX_BATCH = 300, 1000
 
@@ -65,9 +66,13 @@ def merge_shipments(known: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def shipments_by_type(shipments: DataFrame) -> DataFrame:
-    """logistic_type, shipments (count): the types of all shipments. The ids of a type are a filter on the table, not a list in one row."""
+    """logistic_type, shipments (count): the types of all shipments."""
     return shipments.groupBy("logistic_type").agg(F.count(F.lit(1)).alias("shipments")).orderBy("logistic_type")
 
 
-def shipment_ids_of(shipments: DataFrame, logistic_type: str) -> DataFrame:
-    return shipments.where(F.col("logistic_type") == logistic_type).select("shipment_id").orderBy("shipment_id")
+def shipment_ids_by_type(shipments: DataFrame) -> DataFrame:
+    """logistic_type, place (from 1), shipment_id: every type's shipments in order of id, sorted by both.
+
+    A row for each shipment instead of a list for each type, so a type may hold most of them.
+    """
+    return numbered(shipments.select("logistic_type", "shipment_id"), [F.asc("shipment_id")], ["logistic_type"], "place")

@@ -18,6 +18,13 @@ PREMIUM = "gold_pro"
 WITHOUT_ID = "sem-inventory"
 # Days of stock at which a class ends.
 RUPTURE_DAYS, ALERT_DAYS, OK_DAYS = 30, 90, 365
+# Texts of an audit.
+BLOCK_IGNORED = "Ignorado: o grupo possui estoque próprio com inventory_id; todo o bloco sem inventory_id foi descartado pela regra legada anti-duplicação."
+FIRST_OF_KEY = {
+    "full": "Primeiro anúncio da chave — saldo considerado.",
+    "inv": "Saldo próprio independente (inventory_id distinto soma).",
+    "none": "Espelhos sem inventory_id compartilham o mesmo saldo — primeiro anúncio considerado.",
+}
 CLASS_ORDER = ("ruptura", "alerta", "ok", "excesso", "semvenda")
 
 
@@ -112,12 +119,59 @@ def audit(lines: DataFrame) -> DataFrame:
     )
     won = F.when(F.col("full"), F.concat(F.lit("Vencedor determinístico da chave "), F.col("dedup_key"), F.lit("."))).otherwise(F.concat(F.lit("Vencedor determinístico ("), F.col("dedup_key"), F.lit(").")))
     lost = F.concat(F.lit("Deduplicado"), of_key, F.lit(": perdeu para "), w["item_id"], F.lit(" por "), why, F.lit("."))
-    reason = F.when(F.col("dropped"), "Ignorado: há estoque próprio com inventory_id.").when((F.col("n") == 1) & (F.col("size") == 1), single).when(F.col("n") == 1, won).otherwise(lost)
+    reason = F.when(F.col("dropped"), BLOCK_IGNORED).when((F.col("n") == 1) & (F.col("size") == 1), single).when(F.col("n") == 1, won).otherwise(lost)
     counted = (F.col("n") == 1) & ~F.col("dropped")
     out = rows.select("sku", "item_id", F.when(F.col("full"), "full").otherwise("proprio").alias("origin"), "dedup_key", "original", "quantity", counted.alias("considered"), reason.alias("reason"))
     return out.orderBy("sku", F.collate("dedup_key", "UNICODE"), F.desc("considered"), F.collate("item_id", "UNICODE"))
 
 
+def legacy_audit(lines: DataFrame) -> DataFrame:
+    """Every listing (mode LEGACY): key, original and considered quantity, whether it counts, and why.
+
+    Listings of a key are judged as they arrive (by ordinal, those without one last): the first
+    counts until one with more stock comes, which then stands in its place. So a listing is
+    compared with the best before it, and one that is overtaken with the next record after it.
+    """
+    arrival = [F.asc_nulls_last("ordinal"), F.col("item_id")]
+    kind = F.when(F.col("full"), "full").when(F.col("key").isNotNull(), "inv").otherwise("none")
+    rows = lines.withColumns({"kind": kind, "dedup_key": F.coalesce("key", F.lit(WITHOUT_ID))})
+    of_key = Window.partitionBy("sku", "kind", "dedup_key")
+    best = F.max("quantity").over(of_key.orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1))
+    # Without an inventory id a first listing counts whatever its stock, and later ones need more than 0.
+    rows = rows.withColumn("first", best.isNull()).withColumn("best", F.when(F.col("kind") == "none", F.greatest(best, F.lit(0.0))).otherwise(best))
+    rows = rows.withColumn("record", F.col("first") | (F.col("quantity") > F.col("best")))
+    after = Window.partitionBy("sku", "kind", "dedup_key", "record").orderBy(*arrival)
+    rows = rows.withColumn("next", F.when(F.col("record"), F.lead(F.struct("item_id", "quantity")).over(after)))
+    # Each key's stock counts once, on its last record.
+    own = F.sum(F.when((F.col("kind") == "inv") & F.col("record") & F.col("next").isNull(), F.col("quantity"))).over(Window.partitionBy("sku"))
+    rows = rows.withColumn("dropped", (F.col("kind") == "none") & (F.coalesce(own, F.lit(0.0)) != 0))
+    key, q, n = F.col("dedup_key"), whole(F.col("quantity")), F.col("next")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    by_kind = lambda full, inv, none: F.when(F.col("kind") == "full", full).when(F.col("kind") == "inv", inv).otherwise(none)
+    first = by_kind(*[F.lit(t) for t in FIRST_OF_KEY.values()])
+    more = by_kind(
+        text("Mesma chave ", key, ": saldo maior vence; classe permanece a do primeiro anúncio (quirk legado, não determinístico)."),
+        F.lit("Mesmo inventory_id: saldo maior vence."),
+        F.lit("Espelhos sem inventory_id compartilham o mesmo saldo — maior saldo considerado."),
+    )
+    margin = text(" com saldo maior (", whole(n["quantity"]), " > ", q, ").")
+    beaten = by_kind(
+        text("Deduplicado: mesma chave ", key, "; venceu ", n["item_id"], margin),
+        text("Deduplicado: mesmo inventory_id; venceu ", n["item_id"], margin),
+        text("Espelho sem inventory_id: venceu ", n["item_id"], " com saldo maior."),
+    )
+    held = text(whole(F.col("best")), " (>= ", q, ").")
+    late = by_kind(
+        text("Deduplicado: mesma chave ", key, " já considerada com saldo ", held),
+        text("Deduplicado: mesmo inventory_id já considerado com saldo ", held),
+        F.lit("Espelho sem inventory_id com saldo menor ou igual — não somado."),
+    )
+    reason = F.when(F.col("dropped"), BLOCK_IGNORED).when(~F.col("record"), late).when(n.isNotNull(), beaten).when(F.col("first"), first).otherwise(more)
+    counted = F.col("record") & n.isNull() & ~F.col("dropped")
+    origin = by_kind(F.lit("full"), F.lit("proprio_com_inventory"), F.lit("proprio_sem_inventory"))
+    return rows.select("sku", "item_id", origin.alias("origin"), "dedup_key", "original", "quantity", counted.alias("considered"), reason.alias("reason"), "ordinal")
+
+
 def alerts(lines: DataFrame, mode: str = SAFE) -> DataFrame:
     """sku, kind, item_id (null for a whole SKU): what the numbers hide; in a fixed order."""
     kinds = F.array(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import dates, text
-from tideline.operators import catalog, costs, lines, margin, orders, ranking, sales, shipping, stock
+from tideline.operators import catalog, costs, dashboard, lines, margin, orders, ranking, sales, shipping, stock
 from tideline.plans import periods
 from tideline.plans.oracles import BEFORE, NOW, SQL
 from tideline.plans.service import Query, Snapshot, run
@@ -70,9 +70,7 @@ def typed(intent: str, metric: str, period: periods.Period, *names: str, **more)
 
 
 def fixed_windows(s: SparkSession, d: str) -> DataFrame:
-    from tideline.operators.dashboard import fixed_windows as windows
-
-    return shown(sales.windows_summary(star.order_facts(s, d), windows(TODAY, *NOW)))
+    return shown(sales.windows_summary(star.order_facts(s, d), dashboard.fixed_windows(TODAY, *NOW)))
 
 
 def cost_rule_match(s: SparkSession, d: str) -> DataFrame:
@@ -199,12 +197,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stock_full_safe": stock_view("full", stock.SAFE),
     "stock_consolidated": lambda s, d: stock.consolidate(stock.stock_lines(star.listings(s, d))),
     "stock_audit_safe": lambda s, d: stock.audit(stock.stock_lines(star.listings(s, d))),
+    "stock_audit_legacy": lambda s, d: stock.legacy_audit(stock.stock_lines(star.listings(s, d), stock.LEGACY)),
+    "dashboard_parts": lambda s, d: shown(dashboard.dashboard_rows(star.orders(s, d), NOW, TODAY, *NOW)),
     "stock_alerts": lambda s, d: stock.alerts(stock.stock_lines(star.listings(s, d))),
     "stock_class": lambda s, d: shown(stock.stock_by_sku(star.listings(s, d), units(s, d)).withColumn("days_of_stock", F.col("days_of_stock").cast("double")), "sku", "stock", "sold", "velocity", "days_of_stock", "class"),
     "pending_shipments": lambda s, d: shipping.pending_shipments(star.order_heads(s, d), star.shipments(s, d), None),
     "pending_counts": lambda s, d: shipping.pending_counts(star.order_heads(s, d), star.shipments(s, d), 50),
     "pending_batch": lambda s, d: shipping.pending_shipments(star.order_heads(s, d), star.shipments(s, d), 50),
     "shipments_by_type": lambda s, d: shipping.shipments_by_type(star.shipments(s, d)),
+    "shipment_ids_by_type": lambda s, d: shipping.shipment_ids_by_type(star.shipments(s, d)),
+    "refresh_known_window": lambda s, d: orders.known_window(star.refreshed(s, d), star.order_heads(s, d), [F.desc("date_created"), F.asc("id")]).select("id", "position", "known"),
     "merge_refresh": merge_refresh,
     "merge_counters": lambda s, d: orders.change_counts(star.order_heads(s, d).drop("cancel_detail"), star.refreshed(s, d)),
     "merge_upsert": merge_upsert,

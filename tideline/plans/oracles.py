@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from tideline.operators.stock import BLOCK_IGNORED, FIRST_OF_KEY
 from tideline.sources.star_schema import RULES
 
 NOW = (date(1997, 1, 1), date(1997, 12, 31))
@@ -209,7 +210,7 @@ FROM st LEFT JOIN f ON f.item = st.item_id JOIN cs ON cs.sku = st.sku GROUP BY s
     "stock_consolidated": f"""{BASE} {consolidated_stock('safe')} SELECT sku, own, full_classic, full_premium, "full", own + "full" AS total, own_without_id_ignored FROM cs""",
     "stock_audit_safe": f"""{BASE}, a AS (SELECT *, coalesce(key, 'sem-inventory') AS dedup_key, NOT is_full AND key IS NULL AND coalesce(bool_or(NOT is_full AND key IS NOT NULL AND safe <> 0) OVER (PARTITION BY sku), false) AS dropped FROM st)
 SELECT sku, item_id, CASE WHEN is_full THEN 'full' ELSE 'proprio' END AS origin, dedup_key, quantity AS original, safe AS quantity, n = 1 AND NOT dropped AS considered,
-       CASE WHEN dropped THEN 'Ignorado: há estoque próprio com inventory_id.'
+       CASE WHEN dropped THEN '{BLOCK_IGNORED}'
             WHEN n = 1 AND size = 1 THEN CASE WHEN is_full THEN 'Único anúncio da chave ' || dedup_key || ' — saldo considerado.' WHEN key IS NULL THEN 'Único anúncio próprio sem inventory_id — saldo considerado.' ELSE 'Saldo próprio independente (inventory_id distinto soma).' END
             WHEN n = 1 THEN 'Vencedor determinístico' || CASE WHEN is_full THEN ' da chave ' || dedup_key ELSE ' (' || dedup_key || ')' END || '.'
             ELSE 'Deduplicado' || CASE WHEN is_full THEN ' na chave ' || dedup_key ELSE ' (' || dedup_key || ')' END || ': perdeu para ' || wi || ' por ' ||
@@ -217,6 +218,34 @@ SELECT sku, item_id, CASE WHEN is_full THEN 'full' ELSE 'proprio' END AS origin,
                       ELSE 'empate de saldo' || CASE WHEN is_full THEN ' e classe' ELSE '' END || ' resolvido por itemId lexical (' || wi || ' < ' || item_id || ')' END || '.' END AS reason
 FROM (SELECT *, row_number() OVER g AS n, count(*) OVER (PARTITION BY sku, is_full, dedup_key) AS size, first_value(item_id) OVER g AS wi, first_value(safe) OVER g AS wq, first_value(premium) OVER g AS wp
       FROM a WINDOW g AS (PARTITION BY sku, is_full, dedup_key ORDER BY safe DESC, (is_full AND premium) DESC, item_id))""",
+    "stock_audit_legacy": f"""{BASE}, la AS (SELECT *, CASE WHEN is_full THEN 'full' WHEN key IS NOT NULL THEN 'inv' ELSE 'none' END AS kind, coalesce(key, 'sem-inventory') AS dedup_key FROM st),
+lb AS (SELECT *, max(quantity) OVER (PARTITION BY sku, kind, dedup_key ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM la),
+lc AS (SELECT *, before IS NULL AS first, CASE WHEN kind = 'none' THEN greatest(before, 0) ELSE before END AS best, before IS NULL OR quantity > CASE WHEN kind = 'none' THEN greatest(before, 0) ELSE before END AS record FROM lb),
+ld AS (SELECT *, CASE WHEN record THEN lead(item_id) OVER w END AS ni, CASE WHEN record THEN lead(quantity) OVER w END AS nq FROM lc WINDOW w AS (PARTITION BY sku, kind, dedup_key, record ORDER BY k)),
+le AS (SELECT *, kind = 'none' AND coalesce(sum(quantity) FILTER (WHERE kind = 'inv' AND record AND ni IS NULL) OVER (PARTITION BY sku), 0) <> 0 AS dropped FROM ld)
+SELECT sku, item_id, CASE kind WHEN 'full' THEN 'full' WHEN 'inv' THEN 'proprio_com_inventory' ELSE 'proprio_sem_inventory' END AS origin, dedup_key, quantity AS original, quantity, record AND ni IS NULL AND NOT dropped AS considered, k AS ordinal,
+       CASE WHEN dropped THEN '{BLOCK_IGNORED}'
+            WHEN NOT record THEN CASE kind WHEN 'none' THEN 'Espelho sem inventory_id com saldo menor ou igual — não somado.'
+                 ELSE CASE kind WHEN 'full' THEN 'Deduplicado: mesma chave ' || dedup_key || ' já considerada' ELSE 'Deduplicado: mesmo inventory_id já considerado' END || ' com saldo ' || CAST(best AS BIGINT) || ' (>= ' || CAST(quantity AS BIGINT) || ').' END
+            WHEN ni IS NOT NULL THEN CASE kind WHEN 'none' THEN 'Espelho sem inventory_id: venceu ' || ni || ' com saldo maior.'
+                 ELSE CASE kind WHEN 'full' THEN 'Deduplicado: mesma chave ' || dedup_key ELSE 'Deduplicado: mesmo inventory_id' END || '; venceu ' || ni || ' com saldo maior (' || CAST(nq AS BIGINT) || ' > ' || CAST(quantity AS BIGINT) || ').' END
+            WHEN first THEN CASE kind WHEN 'full' THEN '{FIRST_OF_KEY["full"]}' WHEN 'inv' THEN '{FIRST_OF_KEY["inv"]}' ELSE '{FIRST_OF_KEY["none"]}' END
+            ELSE CASE kind WHEN 'full' THEN 'Mesma chave ' || dedup_key || ': saldo maior vence; classe permanece a do primeiro anúncio (quirk legado, não determinístico).'
+                 WHEN 'inv' THEN 'Mesmo inventory_id: saldo maior vence.' ELSE 'Espelhos sem inventory_id compartilham o mesmo saldo — maior saldo considerado.' END END AS reason
+FROM le""",
+    "dashboard_parts": f"""{BASE}, r AS (SELECT s.*, coalesce(u.units, 0) AS units FROM s LEFT JOIN u ON u.oid = s.id),
+w AS (SELECT * FROM (VALUES ('hoje', DATE '1997-12-10', DATE '1997-12-10'), ('ultimos7', DATE '1997-12-04', DATE '1997-12-10'), ('mesAtual', DATE '1997-12-01', DATE '1997-12-10'), ('historico', DATE '{NOW[0]}', DATE '{NOW[1]}')) t(win, a, b)),
+gross AS (SELECT d, coalesce(nullif(paid, 0), total) AS g FROM s),
+x AS (
+    SELECT 'window' AS part, win AS key, units, paid AS amount FROM w JOIN r ON d BETWEEN a AND b
+    UNION ALL SELECT 'period', 'total', NULL, g FROM gross WHERE d BETWEEN DATE '{NOW[0]}' AND DATE '{NOW[1]}'
+    UNION ALL SELECT 'reputation', 'total', NULL, g FROM gross WHERE d BETWEEN DATE '1997-10-11' AND DATE '1997-12-10'
+    UNION ALL SELECT 'item', item, q, paid FROM s JOIN l ON l.oid = s.id WHERE pos = 1 AND d BETWEEN DATE '{NOW[0]}' AND DATE '{NOW[1]}'
+    UNION ALL SELECT 'stock', item, q, NULL FROM sl WHERE d BETWEEN DATE '1997-11-10' AND DATE '1997-12-10'
+    UNION ALL SELECT 'month', dc[1:7], NULL, paid FROM s
+    UNION ALL SELECT 'status', status, NULL, NULL FROM o WHERE status <> 'cancelled'
+)
+SELECT part, key, count(*) AS orders, round(coalesce(sum(units), 0), 2) AS units, round(coalesce(sum(amount), 0), 2) AS amount FROM x GROUP BY ALL""",
     "stock_alerts": f"""{BASE} {consolidated_stock('safe')} SELECT sku, 'saldo_negativo_normalizado' AS kind, item_id FROM st WHERE quantity < 0
 UNION ALL SELECT sku, 'proprio_sem_inventory_ignorado', NULL FROM cs WHERE own_without_id_ignored""",
     "stock_class": f"""{BASE} {consolidated_stock('safe', "status = 'active'")}, ui AS (SELECT item, sum(q) AS n FROM sl WHERE d BETWEEN DATE '1997-11-10' AND DATE '1997-12-10' GROUP BY item),
@@ -228,6 +257,10 @@ SELECT sku, stock, sold, velocity, days_of_stock, CASE WHEN days_of_stock IS NUL
 SELECT shipments, resolved, least(shipments - resolved, 50) AS batch, greatest(0, shipments - resolved - 50) AS remaining FROM x""",
     "pending_batch": f"{BASE} {PENDING} ORDER BY newest DESC, shipment_id LIMIT 50",
     "shipments_by_type": f"{BASE} SELECT logistic_type, count(*) AS shipments FROM sh GROUP BY 1",
+    "shipment_ids_by_type": f"{BASE} SELECT logistic_type, row_number() OVER (PARTITION BY logistic_type ORDER BY shipment_id) AS place, shipment_id FROM sh",
+    "refresh_known_window": f"""{BASE} {REFRESHED}, r AS (SELECT ref.id, row_number() OVER (ORDER BY dc DESC, ref.id) - 1 AS position, ref.id IN (SELECT id FROM base) AS known FROM ref JOIN o USING (k)),
+x AS (SELECT *, sum(CAST(known AS INTEGER)) OVER (ORDER BY position) AS seen FROM r), e AS (SELECT (position // 50 + 1) * 50 AS stop FROM x WHERE known AND seen = 250)
+SELECT id, position, known FROM r WHERE position < coalesce((SELECT max(stop) FROM e), 1 << 60)""",
     "merge_refresh": f"""{BASE} {REFRESHED}, m AS (SELECT * FROM ref UNION ALL SELECT * FROM base WHERE id NOT IN (SELECT id FROM ref)) SELECT status, count(*) AS orders, round(sum(total), 2) AS amount FROM m GROUP BY 1""",
     "merge_counters": f"""{BASE} {REFRESHED} SELECT count(*) FILTER (WHERE base.id IS NULL) AS "new", count(*) FILTER (WHERE base.total <> ref.total) AS changed, count(*) FILTER (WHERE base.total = ref.total) AS same FROM ref LEFT JOIN base USING (id)""",
     "merge_upsert": f"""{BASE}, m AS (SELECT logistic_type, CASE WHEN CAST(shipment_id AS BIGINT) % 14 = 0 THEN 9.5 ELSE custo_frete END AS c FROM sh) SELECT logistic_type, count(*) AS shipments, count(c) AS known, round(coalesce(sum(c), 0), 2) AS cost FROM m GROUP BY 1""",

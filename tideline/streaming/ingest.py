@@ -1,25 +1,26 @@
-"""Incremental ingest: a stream of order pages merged into a versioned snapshot.
+"""Incremental ingest: streams of order pages merged into a table of orders.
 
-Pages arrive as files (or from any streaming source); each micro-batch is one merge. The
-stream's checkpoint remembers what was read, and a batch that is run again after a failure
-merges to the same rows, so nothing is lost or counted twice.
+start() merges files of pages into a versioned snapshot, sync() pages of a remote source into
+a bucketed table. Each micro-batch is one merge. The stream's checkpoint remembers what was
+read, and a batch that is run again after a failure merges to the same rows, so nothing is
+lost or counted twice.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.operators.lines import first_seen
-from tideline.operators.orders import change_counts, merge_orders
+from tideline.operators.orders import KNOWN_WINDOW, change_counts, known_window, merge_orders
 from tideline.sources.schemas import ORDER
-from tideline.sources.snapshots import SnapshotError, SnapshotStore
+from tideline.sources.snapshots import SnapshotStore
+from tideline.streaming.buckets import BucketedOrders
+from tideline.streaming.paged_source import MAX_ORDERS, PAGES_AT_ONCE, Fetch, order_stream
 
-PAGE_ROWS = 50
-KNOWN_WINDOW = 250
-MAX_ORDERS = 50_000
+REVIEWED = "batch int, known long, last long, reached boolean"
 
 
 def apply_batch(store: SnapshotStore, batch: DataFrame, updated_at: str | None = None, full: bool = False) -> dict:
@@ -57,39 +58,54 @@ def start(spark: SparkSession, pages: str, store: SnapshotStore, checkpoint: str
     )
 
 
-def fetch_with_retry(fetch: Callable[[int, int], dict], offset: int, limit: int, retries: int = 2, wait: Callable[[float], None] = time.sleep) -> dict:
-    """One page {orders, total}; a malformed page counts as a failure. Waits grow by 0.2 seconds."""
-    for k in range(retries + 1):
-        try:
-            page = fetch(offset, limit)
-            if isinstance(page, dict) and isinstance(page.get("orders"), list) and isinstance(page.get("total"), int):
-                return page
-            error: Exception = SnapshotError("malformed page")
-        except Exception as e:  # noqa: BLE001 - whatever the source raises is tried again
-            error = e
-        if k < retries:
-            wait(0.2 * (k + 1))
-    raise error
+def reviewed(table: BucketedOrders, run: str) -> DataFrame:
+    """batch, known (orders reviewed that were known), last (position of the last order reviewed), reached: a row for each batch of a run."""
+    folder = f"runs/{run}/reviewed"
+    return table.spark.read.schema(REVIEWED).json(f"{table.root}/{folder}/*") if table.exists(folder) else table.spark.createDataFrame([], REVIEWED)
 
 
-def pages(fetch: Callable[[int, int], dict], known: Callable[[list[str]], set[str]], full: bool = False, start_at: int = 0, most: int = MAX_ORDERS) -> Iterator[tuple[int, list[dict]]]:
-    """(next offset, orders) page by page, newest first, from a remote source.
+def of_window(table: BucketedOrders, run: str, batch: DataFrame, batch_id: int) -> DataFrame:
+    """The batch up to the end of the run's window of known orders; what was reviewed is noted before anything is merged.
 
-    An incremental run stops at the end of the page on which KNOWN_WINDOW orders have been
-    reviewed since the first known one; more than most orders at the source end the run.
+    A batch that is run again keeps its own note, since its orders are known by then.
     """
-    offset, reviewed, met = start_at, 0, False
-    while True:
-        page = fetch_with_retry(fetch, offset, PAGE_ROWS)
-        if page["total"] > most:
-            raise SnapshotError("more orders than the safety limit")
-        if not page["orders"]:
-            return
-        offset += len(page["orders"])
-        old = known([str(o["id"]) for o in page["orders"]])
-        for o in page["orders"]:
-            met = met or str(o["id"]) in old
-            reviewed += met
-        yield offset, page["orders"]
-        if offset >= page["total"] or not full and reviewed >= KNOWN_WINDOW:
-            return
+    notes = {r.batch: r for r in reviewed(table, run).collect()}  # a row for each batch of the run
+    if any(r.reached for i, r in notes.items() if i < batch_id):
+        return batch.limit(0)
+    left = KNOWN_WINDOW - sum(r.known for i, r in notes.items() if i < batch_id)
+    if batch_id not in notes:
+        cut = known_window(batch.withColumnRenamed("position", "source_position"), table.read(), [F.asc("source_position")], left)
+        note = cut.agg(F.count_if("known").alias("known"), F.max("source_position").alias("last")).first()
+        row = (batch_id, note["known"], note["last"], note["known"] >= left)
+        table.spark.createDataFrame([row], REVIEWED).coalesce(1).write.mode("overwrite").json(f"{table.root}/runs/{run}/reviewed/{batch_id}")
+        last = note["last"]
+    else:
+        last = notes[batch_id].last
+    return batch.where(F.col("position") <= F.lit(last))
+
+
+def sync(spark: SparkSession, fetch: Fetch, table: BucketedOrders, run: str, full: bool = False, pages_at_once: int = PAGES_AT_ONCE, most: int = MAX_ORDERS) -> list[dict]:
+    """Reads a remote source, newest orders first, into the table; what each batch did.
+
+    An incremental run ends with the page on which KNOWN_WINDOW known orders have been
+    reviewed, a full one with the source. A run that was broken off goes on where its
+    checkpoint stands; a new run starts at the newest order again.
+    """
+    folder = f"{table.root}/runs/{run}"
+    done: list[dict] = []
+    ended = threading.Event()
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = batch if full else of_window(table, run, batch, batch_id)
+        done.append({"batch": batch_id, **table.merge(rows, f"{run}-{batch_id}")})
+        if not full and reviewed(table, run).where("reached").limit(1).count():
+            ended.set()
+
+    stream = order_stream(spark, fetch, f"{folder}/checkpoint", pages_at_once, most)
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").start()
+    while not query.awaitTermination(0.2):
+        now = query.status
+        idle = now["message"].startswith("Waiting") and not now["isDataAvailable"]
+        if (idle or ended.is_set()) and not now["isTriggerActive"]:
+            query.stop()
+    return done
