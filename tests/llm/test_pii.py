@@ -94,3 +94,25 @@ def test_sanitised_texts(spark):
     assert sorted(clean[404])[-1] == "another text [email]"
     # "desk" and the number come with the domain alone, "Hydra" and "x7" mostly.
     assert clean[402] == ["[name]   [code] [email]"]
+
+
+def test_documents_with_many_values_give_no_product(spark, monkeypatch):
+    """Two near copies with many addresses and words: rows of the order of words and entities."""
+    r = random.Random(7)
+    words = [f"zz{i}q" for i in range(2000)]
+    mails = [f"m{i}@d{i}.example" for i in range(300)]
+    both = words + mails
+    r.shuffle(both)
+    plain = [f"plain words {'abcdefghij'[i % 10] * 3} here" for i in range(3000)]
+    texts = [*plain, " ".join(both), " ".join([*both, "more"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    saved = {}
+    save = pii.Scratch.save
+    monkeypatch.setattr(pii.Scratch, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)))
+    monkeypatch.setattr(pii.Scratch, "keep", lambda self, *names: None)
+    for pairs in (1_000_000, 50):
+        saved.clear()
+        monkeypatch.setattr(pii, "PAIRS", pairs)
+        rows = {x.doc_id: x for x in pii.detect(docs).collect()}
+        assert sum(df.count() for name, df in saved.items() if name != "found") < 4 * (len(words) + 2 * len(mails))
+        assert [len(rows[i].terms) for i in (3000, 3001)] == [2000, 2000] and all(t.disclosure == 1.0 for t in rows[3000].terms)

@@ -59,6 +59,8 @@ REMOVE = 0.97
 WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 #: Slots of the filters through which words are counted and found: fixed, whatever the number of terms.
 FILTER_BITS = 22
+#: Pairs of a document's words and entities that one task counts, about.
+PAIRS = 1_000_000
 SEED = 31
 
 _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -229,7 +231,7 @@ def count_elsewhere(docs: DataFrame, passed: np.ndarray, text_col: str) -> DataF
 
 
 def words_passed(found: DataFrame, passed: np.ndarray) -> DataFrame:
-    """row, content, entities, term, start, stop, first (in its document) of the found rows' words that the filter passes."""
+    """row, content, salts, term, start, stop, first (in its document) of the found rows' words that the filter passes."""
     shared = found.sparkSession.sparkContext.broadcast(np.packbits(passed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,35 +252,69 @@ def words_passed(found: DataFrame, passed: np.ndarray) -> DataFrame:
                 rows = [batch.column(k).take(pa.array(row[own])) for k in (0, 1, 2)]
                 yield pa.RecordBatch.from_arrays(
                     [*rows, pa.array(terms[own]), *(flat.field(c).take(pa.array(own)) for c in ("start", "stop")), pa.array(first[i : i + 50_000])],
-                    names=["row", "content", "entities", "term", "start", "stop", "first"],
+                    names=["row", "content", "salts", "term", "start", "stop", "first"],
                 )
 
-    rows = found.select("row", "content", "entities", "words")
-    return rows.mapInArrow(frugal(run), "row long, content long, entities array<long>, term long, start int, stop int, first boolean")
+    rows = found.select("row", "content", salts().alias("salts"), "words")
+    return rows.mapInArrow(frugal(run), "row long, content long, salts int, term long, start int, stop int, first boolean")
 
 
-def disclosures(found: DataFrame, docs: DataFrame, scratch: Scratch, text_col: str, evidence: float = EVIDENCE) -> DataFrame:
-    """entity, term, disclosure: pairs that reach GENERALISE."""
+def salts() -> Column:
+    """Parts into which the pairs of a found row are dealt: one for each PAIRS of words and entities."""
+    return F.ceil(F.greatest(F.lit(1.0), F.size("words").cast("double") * F.size("entities") / PAIRS)).cast("int")
+
+
+def several(column: str) -> Column:
+    """SUPPORT different texts."""
+    return F.min(column) != F.max(column)
+
+
+def same_rows() -> list[Column]:
+    """Fingerprint of the rows that a term or an entity stands in, whatever their order."""
+    return [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"rows{k}") for k in (1, 2)]
+
+
+def disclosures(found: DataFrame, docs: DataFrame, scratch: Scratch, text_col: str, evidence: float = EVIDENCE) -> tuple[DataFrame, DataFrame]:
+    """term, class, and row, class, disclosure: the largest one, from GENERALISE on, with an entity of the row.
+
+    Terms that stand in the same documents have the same disclosures, and so have entities.
+    One of each such class stands for all, so documents that share all their words and values
+    give as many pairs as they have classes, not words times values.
+    """
     size = float(found.count())
-    several = lambda c: F.min(c) != F.max(c)  # noqa: E731 - SUPPORT different texts
     marked = found.where(F.size("entities") > 0)
-    entities = marked.select("content", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), several("content").alias("several"))
-    entities = scratch.save(entities.where("several").drop("several"), "entities")
+    of_entity = marked.select("row", "content", salts().alias("salts"), F.explode("entities").alias("entity"))
+    entities = of_entity.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), several("content").alias("several"), *same_rows())
+    entities = entities.where("several").groupBy("rows1", "rows2", "n_entity").agg(F.min("entity").alias("entity"))
+    entities = scratch.save(entities.select("entity", "n_entity"), "entities")
     # n(t) <= n(t, e) * (N / n(e)) ** (1 - GENERALISE), and n(t, e) <= n(e): more frequent words reveal nothing.
     reach = F.pow("n_entity", F.lit(GENERALISE)) * F.pow(F.lit(size), F.lit(1 - GENERALISE))
     most = entities.agg(F.max(reach)).first()[0] or 0.0
     everything = np.ones(1 << FILTER_BITS, dtype=bool)
-    inside = words_passed(marked, everything).where("first").groupBy("term").agg(F.count(F.lit(1)).alias("n"), several("content").alias("several"))
-    inside = scratch.save(inside.where((F.col("n") <= most) & F.col("several")).drop("several"), "inside")
+    inside = words_passed(marked, everything).where("first").groupBy("term").agg(F.count(F.lit(1)).alias("inside"), several("content").alias("several"), *same_rows())
+    inside = scratch.save(inside.where((F.col("inside") <= most) & F.col("several")).drop("several"), "inside")
     outside = count_elsewhere(docs, slots_of(inside), text_col).groupBy("term").agg(F.sum("n").alias("more"))
-    terms = inside.join(outside, "term", "left").select("term", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-    terms = scratch.save(terms.where(F.col("n") <= most), "terms")
-    pairs = words_passed(marked, slots_of(terms)).where("first").select("content", "term", F.explode("entities").alias("entity"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), several("content").alias("several")).where("several")
-    held = scratch.save(pairs.drop("several"), "pairs").join(terms, "term").join(entities, "entity")
+    terms = inside.join(outside, "term", "left").withColumn("n", F.col("inside") + F.coalesce("more", F.lit(0))).where(F.col("n") <= most)
+    terms = scratch.save(terms.select("term", "n", "inside", "rows1", "rows2"), "terms")
+    classes = scratch.save(terms.groupBy("rows1", "rows2", "inside", "n").agg(F.min("term").alias("class")), "classes")
+
+    of_class = words_passed(marked, slots_of(classes.select(F.col("class").alias("term")))).where("first").select("row", "content", "salts", F.col("term").alias("class"))
+    of_class = of_class.join(classes.select("class"), "class").withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int"))
+    of_class = scratch.save(of_class.drop("salts"), "terms by row")
+    of_entity = scratch.save(of_entity.join(entities.select("entity"), "entity"), "entities by row")
+    dealt = of_entity.select("row", "entity", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = of_class.join(dealt, ["row", "salt"]).groupBy("entity", "class").agg(F.count(F.lit(1)).alias("both"), several("content").alias("several")).where("several")
+    held = scratch.save(pairs.drop("several"), "pairs").join(classes.select("class", "n"), "class").join(entities, "entity")
     pmi, content = F.log2(F.lit(size) * F.col("both") / (F.col("n") * F.col("n_entity"))), F.log2(F.lit(size) / F.col("n_entity"))
-    held = held.select("entity", "term", F.try_divide(pmi, content).alias("disclosure"), (F.col("both") * pmi).alias("evidence"))
-    return scratch.save(held.where((F.col("disclosure") >= GENERALISE) & (F.col("evidence") >= evidence)).drop("evidence"), "disclosures")
+    held = held.select("entity", "class", F.try_divide(pmi, content).alias("disclosure"), (F.col("both") * pmi).alias("evidence"))
+    strong = scratch.save(held.where((F.col("disclosure") >= GENERALISE) & (F.col("evidence") >= evidence)).drop("evidence"), "strong")
+
+    # A strong pair shares a good part of its term's rows, so this join is of the order of its result.
+    near = of_class.select("row", "class").join(strong, "class").join(of_entity.select("row", "entity"), ["row", "entity"])
+    near = near.groupBy("row", "class").agg(F.max("disclosure").alias("disclosure"))
+    members = terms.join(classes, ["rows1", "rows2", "inside", "n"]).select("term", "class")
+    members = members.join(strong.select("class").distinct(), "class", "left_semi")
+    return scratch.save(members, "members"), scratch.save(near, "disclosures")
 
 
 def cleaned(text: str, spans: Column, terms: str) -> Column:
@@ -308,11 +344,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evid
     """
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.save(find_base(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "found")
-    strong = disclosures(found, docs, scratch, text_col, evidence)
-    scratch.keep("found", "disclosures")
-    words = words_passed(found.where(F.size("entities") > 0), slots_of(strong)).join(strong, "term").where(F.array_contains("entities", F.col("entity")))
-    term = F.struct(F.lit(TERM).alias("kind"), "start", "stop", F.max("disclosure").alias("disclosure"))
-    words = words.groupBy("row", "start", "stop").agg(term.alias("t")).groupBy("row").agg(F.sort_array(F.collect_list("t")).alias("terms"))
+    members, strong = disclosures(found, docs, scratch, text_col, evidence)
+    scratch.keep("found", "members", "disclosures")
+    words = words_passed(found.where(F.size("entities") > 0), slots_of(members)).select("row", "term", "start", "stop")
+    words = words.join(members, "term").join(strong, ["row", "class"])
+    term = F.struct(F.lit(TERM).alias("kind"), "start", "stop", "disclosure")
+    words = words.groupBy("row").agg(F.sort_array(F.collect_list(term)).alias("terms"))
     none = F.array().cast("array<struct<kind:string,start:int,stop:int,disclosure:double>>")
     out = found.join(words, "row", "left").withColumn("terms", F.coalesce("terms", none))
     found_any = F.size("spans") + F.size("secrets") > 0
