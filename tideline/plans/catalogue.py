@@ -79,6 +79,12 @@ def cost_rule_match(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("rule_id", "via").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def rule_table_match(s: SparkSession, d: str) -> DataFrame:
+    """Each part's rule from a table of as many rules."""
+    rows = costs.with_rule_table(star.parts(s, d), star.rule_table(s, d))
+    return shown(rows, "item_id", "rule_id", "product_cost", "via")
+
+
 def kit_multiplier(s: SparkSession, d: str) -> DataFrame:
     title = F.concat(F.lit("Kit com "), (F.col("p_partkey") % 30).cast("string"), F.lit(" Garrafas "), "p_name")
     part = star.read(s, d, "part")
@@ -172,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "question_ranking": typed("sales_ranking", "units", periods.Period(*NOW), rank_by="units", limit=3),
     "question_margin": typed("sales_summary", "margin", periods.Period(*NOW), "revenue", "cost", "margin", "available", "warnings"),
     "cost_rule_match": cost_rule_match,
+    "rule_table_match": rule_table_match,
     "kit_multiplier": kit_multiplier,
     "unit_cost": unit_cost,
     "shipment_base": lambda s, d: shown(lines.shipment_base(star.order_lines(s, d))),

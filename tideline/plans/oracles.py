@@ -169,6 +169,16 @@ r AS (SELECT s.*, coalesce(u.units, 0) AS units FROM s LEFT JOIN u ON u.oid = s.
 SELECT win AS "window", round(coalesce(sum(paid), 0), 2) AS revenue, count(id) AS orders, round(coalesce(sum(units), 0), 2) AS units, round(CASE WHEN count(id) > 0 THEN sum(paid) / count(id) END, 2) AS average_ticket
 FROM w LEFT JOIN r ON d BETWEEN a AND b GROUP BY win""",
     "cost_rule_match": f"""{BASE} SELECT coalesce({rule_case(lambda r, via: f"'{r.id}'")}, 'none') AS rule_id, coalesce({rule_case(lambda r, via: f"'{via}'")}, 'none') AS via, count(*) AS lines FROM l GROUP BY 1, 2""",
+    "rule_table_match": """WITH r AS (
+    SELECT p_partkey AS ordem, 'R' || p_partkey AS rule_id, (100 + p_partkey % 50)::DOUBLE AS cost, CASE WHEN p_partkey % 97 = 0 THEN p_brand END AS sku,
+           lower(split_part(p_name, ' ', -1) || ' ' || p_type) AS m1, '#' || p_partkey AS m2, CASE WHEN p_partkey % 3 <> 0 THEN split_part(p_name, ' ', 1) END AS tipo, CASE WHEN p_partkey % 5 <> 0 THEN p_name[2:4] END AS exclui FROM part
+), t AS (
+    SELECT DISTINCT lower(p_name || ' ' || p_type) AS t FROM part
+), h AS (
+    SELECT t, min(ordem) AS ordem FROM t JOIN r ON (contains(t, m1) OR contains(t, m2)) AND (tipo IS NULL OR contains(t, tipo)) AND (exclui IS NULL OR NOT contains(t, exclui)) GROUP BY t
+), k AS (SELECT sku, min(ordem) AS ordem FROM r WHERE sku IS NOT NULL GROUP BY sku)
+SELECT 'P' || p_partkey AS item_id, r.rule_id, r.cost AS product_cost, CASE WHEN k.ordem IS NOT NULL THEN 'sku' WHEN h.ordem IS NOT NULL THEN 'title' END AS via
+FROM part LEFT JOIN k ON k.sku = CASE WHEN p_partkey % 17 <> 0 THEN p_brand END LEFT JOIN h ON h.t = lower(p_name || ' ' || p_type) LEFT JOIN r ON r.ordem = coalesce(k.ordem, h.ordem)""",
     "kit_multiplier": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 30 BETWEEN 2 AND 24 THEN p_partkey % 30 ELSE 1 END AS INTEGER) AS bottles, p_name AS normal FROM part",
     "unit_cost": f"""{BASE} SELECT rule_id, logistic_type, round(min(unit_cost), 2) AS low, round(max(unit_cost), 2) AS high, count(*) AS lines FROM c GROUP BY 1, 2""",
     "shipment_base": f"""{BASE} SELECT ship AS shipment_id, round(sum(greatest(0, p * q)), 2) AS revenue, round(sum(greatest(0, q)), 2) AS units FROM sl GROUP BY ship""",

@@ -53,6 +53,22 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def rule_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A table of cost rules that grows with the parts: terms of their names and sizes, some with kinds, exclusions or a SKU."""
+    k = F.col("p_partkey")
+    first, last = F.get(F.split("p_name", " "), F.lit(0)), F.element_at(F.split("p_name", " "), -1)
+    some = lambda when, text: F.when(when, F.array(text)).otherwise(F.array().cast("array<string>"))
+    return read(spark, folder, "part").select(
+        k.cast("int").alias("ordem"),
+        F.concat(F.lit("R"), k.cast("string")).alias("id"),
+        (F.lit(100.0) + k % 50).alias("custo_produto"),
+        some(k % 97 == 0, F.col("p_brand")).alias("sku"),
+        F.array(F.concat(last, F.lit(" "), F.upper("p_type")), F.concat(F.lit("#"), k.cast("string"))).alias("match"),
+        some(k % 3 != 0, first).alias("tipo"),
+        some(k % 5 != 0, F.substring("p_name", 2, 3)).alias("exclui"),
+    )
+
+
 def order_lines(spark: SparkSession, folder: str, rules=None) -> DataFrame:
     """One row per line, with the columns of operators.lines.order_lines; with rules also each item's cost rule.
 
