@@ -43,8 +43,30 @@ def in_optional_period(day: str | Column, start: date | None, end: date | None)
     return F.lit(True) if start is None and end is None else in_period(day, start, end)
 
 
-def day_start(day: Column) -> Column:
-    return F.to_utc_timestamp(day.cast("timestamp_ntz").cast("timestamp"), ZONE)
+def zone_offset(micros: Column) -> Column:
+    """Microseconds by which the seller's clock is ahead of UTC at an instant."""
+    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(micros), ZONE)) - micros
+
+
+def _at(day: Column, micros: int) -> Column:
+    """The instant at which the seller's clock shows a time of the day.
+
+    The offset is first taken where the clock's time would be in UTC, and then once more at the
+    instant which that gives, so both sides of a change of the clock come out right. A time that
+    the clock skips or shows twice is settled by the same two steps.
+    """
+    shown = F.unix_date(day).cast("long") * F.lit(86_400_000_000) + F.lit(micros)
+    return F.timestamp_micros(shown - zone_offset(shown - zone_offset(shown)))
+
+
+def day_start(day: str | Column) -> Column:
+    """0:00:00.000 of a civil day in the seller's zone."""
+    return _at(col(day), 0)
+
+
+def day_end(day: str | Column) -> Column:
+    """23:59:59.999 of a civil day in the seller's zone."""
+    return _at(col(day), 86_399_999_000)
 
 
 def weeks_between(a: Column, b: Column) -> Column:

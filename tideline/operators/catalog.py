@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import is_sale, item_sku, or_else, total
+from tideline.operators.margin import by_locale
 from tideline.operators.sales import first_line, gross
 from tideline.operators.stock import consolidate, stock_lines
 
@@ -28,11 +31,12 @@ def catalog_counts(listings: DataFrame) -> DataFrame:
     return listings.agg(F.count(F.lit(1)).alias("total"), of("active"), of("paused"), of("closed"))
 
 
-def consolidated(listings: DataFrame, orders: DataFrame, stock: DataFrame | None = None) -> DataFrame:
+def consolidated(listings: DataFrame, orders: DataFrame, stock: DataFrame | None = None, stock_of: Callable[[], Column] | None = None) -> DataFrame:
     """One row per SKU: label, listings, sold, orders by first item, average prices, units, stock.
 
     Orders meet listings at item grain after they are summed by item, so both joins are
-    between aggregates. stock: sku, total; by default the consolidated stock.
+    between aggregates. stock: sku, total; by default the consolidated stock. stock_of: in its
+    place an aggregate over the listings of a group, found in the pass that finds the others.
     """
     sku = F.coalesce(item_sku("seller_custom_field", "attributes", "seller_sku"), F.concat(F.lit("sem-sku-"), F.coalesce("id", F.lit("desconhecido"))))
     first = first_line(orders)
@@ -49,8 +53,10 @@ def consolidated(listings: DataFrame, orders: DataFrame, stock: DataFrame | None
         F.coalesce(F.try_divide(total(F.when(priced, F.col("price"))), F.count_if(priced).cast("double")), F.lit(0.0)).alias("average_listing_price"),
         total("gross").alias("gross"),
         total("units").alias("units"),
+        *([stock_of().alias("stock")] if stock_of else []),
     )
     out = out.withColumn("average_sold_price", F.coalesce(F.try_divide("gross", "units"), F.lit(0.0))).drop("gross")
-    held = consolidate(stock_lines(listings)).select("sku", "total") if stock is None else stock.select("sku", "total")
-    out = out.join(held.withColumnRenamed("total", "stock"), "sku", "left")
-    return out.orderBy(F.desc("orders"), F.desc("sold"), "sku")
+    if stock_of is None:
+        held = consolidate(stock_lines(listings)).select("sku", "total") if stock is None else stock.select("sku", "total")
+        out = out.join(held.withColumnRenamed("total", "stock"), "sku", "left")
+    return out.orderBy(F.desc("orders"), F.desc("sold"), *by_locale())

@@ -19,9 +19,11 @@ def order_lines(orders: DataFrame, keep_empty: bool = False) -> DataFrame:
     """One row per line with position; keep_empty gives orders without lines a row without item."""
     explode = F.posexplode_outer if keep_empty else F.posexplode
     o = with_civil_date(orders)
-    o = o.select("id", "status", "civil_date", "date_created", "buyer", "shipping", explode("order_items").alias("pos", "line"))
+    arrival = F.col("ordinal") if "ordinal" in o.columns else F.lit(None).cast("long").alias("ordinal")
+    o = o.select("id", arrival, "status", "civil_date", "date_created", "buyer", "shipping", explode("order_items").alias("pos", "line"))
     return o.select(
         F.col("id").alias("order_id"),
+        "ordinal",
         "pos",
         "status",
         "civil_date",

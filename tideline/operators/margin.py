@@ -39,8 +39,9 @@ def percent_of(margin: str, revenue: str) -> Column:
 
 
 def shortest_title() -> Column:
-    """The shortest title that isn't empty, the first in order of text among equals."""
-    return F.min(F.when(F.col("title") != "", F.struct(F.length("title").alias("n"), "title")))["title"]
+    """The shortest title that isn't empty, of equally short ones the first seen: by the order's arrival, then its lines."""
+    arrival = [F.col("ordinal").isNull().alias("late"), "ordinal", "order_id", "pos"]
+    return F.min(F.when(F.col("title") != "", F.struct(F.length("title").alias("n"), *arrival, "title")))["title"]
 
 
 def _measures(costed: Column) -> list[Column]:
@@ -59,6 +60,11 @@ def _measures(costed: Column) -> list[Column]:
     ]
 
 
+def by_locale(name: str = "sku") -> list[Column]:
+    """A text in the order of a reader, not of its bytes; what that holds equal by bytes."""
+    return [F.collate(name, "UNICODE"), F.col(name)]
+
+
 def closed(rows: DataFrame) -> DataFrame:
     """Adds margin and margin_pct from the sums."""
     rows = rows.withColumn("margin", F.col("revenue") - F.col("marketplace_fee") - F.col("shipping_fee") - F.col("cost"))
@@ -76,7 +82,7 @@ def margin_by_sku(lines: DataFrame) -> DataFrame:
     """SKUs with known costs, best margin first."""
     costed = F.col("unit_cost").isNotNull()
     rows = closed(lines.where(costed).groupBy("sku").agg(shortest_title().alias("label"), *_measures(F.lit(True))))
-    return rows.drop("revenue_without_cost", "units_without_cost").orderBy(F.desc("margin"), "sku")
+    return rows.drop("revenue_without_cost", "units_without_cost").orderBy(F.desc("margin"), *by_locale())
 
 
 def margin_total(lines: DataFrame) -> DataFrame:
@@ -112,8 +118,8 @@ def without_cost_titles(lines: DataFrame) -> DataFrame:
 
 
 def best_margins(by_sku: DataFrame, n: int = 5) -> DataFrame:
-    return by_sku.orderBy(F.desc("margin"), "sku").limit(max(0, n))
+    return by_sku.orderBy(F.desc("margin"), *by_locale()).limit(max(0, n))
 
 
 def worst_margins(by_sku: DataFrame, n: int = 5) -> DataFrame:
-    return by_sku.orderBy("margin", F.desc("sku")).limit(max(0, n))
+    return by_sku.orderBy("margin", *[c.desc() for c in by_locale()]).limit(max(0, n))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.columns import exact, total
 from tideline.functions.places import kept, numbered
-from tideline.operators.margin import percent_of
+from tideline.operators.margin import by_locale, percent_of
 
 CRITERIA = ("revenue", "units", "margin")
 DEFAULT_LIMIT, MAX_LIMIT = 5, 20
@@ -61,6 +61,18 @@ def ranking_rows(lines: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(F.col("cost_coverage") != "ausente", F.col(c)) for c in money})
 
 
+def eligible(rows: DataFrame, key: str) -> DataFrame:
+    """By margin only SKUs whose cost is fully known."""
+    return rows.where("cost_coverage = 'total'") if key == "margin" else rows
+
+
+def first_rows(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n of the ranking rows with their position: a top-n, so nothing else is ordered."""
+    order = [F.desc(key), *by_locale()]
+    top = eligible(rows, key).orderBy(*order).limit(n)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
 def ranking(lines: DataFrame, criterion: str = "revenue", limit: float | None = None, everything: bool = False) -> DataFrame:
     """The first SKUs by criterion with their position; by margin only SKUs whose cost is fully known.
 
@@ -69,13 +81,10 @@ def ranking(lines: DataFrame, criterion: str = "revenue", limit: float | None =
     """
     key = criterion if criterion in CRITERIA else "revenue"
     rows = ranking_rows(lines)
-    rows = rows.where("cost_coverage = 'total'") if key == "margin" else rows
-    ties = [F.collate("sku", "UNICODE"), F.col("sku")]
     if everything:
-        rows = kept(rows)  # dealing into ranges reads them twice
-        return numbered(rows, [F.desc(key), *ties]).withColumn("position", F.col("position").cast("int"))
-    top = rows.orderBy(F.desc(key), *ties).limit(ranking_limit(limit))
-    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc(key), *ties)))
+        rows = kept(eligible(rows, key))  # dealing into ranges reads them twice
+        return numbered(rows, [F.desc(key), *by_locale()]).withColumn("position", F.col("position").cast("int"))
+    return first_rows(rows, key, ranking_limit(limit))
 
 
 def margin_coverage(rows: DataFrame) -> DataFrame:

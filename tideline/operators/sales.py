@@ -144,10 +144,11 @@ def revenue_by_day(orders: DataFrame, year: int, month: int) -> DataFrame:
     return rows.groupBy(F.dayofmonth("civil_date").alias("day")).agg(total(gross()).alias("revenue"))
 
 
-def cancel_reasons(cancelled: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def cancel_reasons(cancelled: DataFrame, labels: DataFrame | Callable[[Column], Column] | None = None) -> DataFrame:
     """group, code, orders, amount, description (of the first order seen); most frequent first.
 
-    labels: code, label. All orders given count, whatever their status.
+    labels: a table of code and label, or a function from the code to its label; where they have
+    none, or an empty one, the description stays. All orders given count, whatever their status.
     """
     group = F.coalesce(F.nullif("cancel_detail.group", F.lit("")), F.lit("desconhecido"))
     code = F.coalesce(F.nullif("cancel_detail.code", F.lit("")), F.lit("sem_detalhe"))
@@ -158,10 +159,12 @@ def cancel_reasons(cancelled: DataFrame, labels: DataFrame | None = None) -> Dat
         F.min(F.struct(F.col("ordinal").isNull().alias("late"), "ordinal", "id", "text")).alias("first"),
     )
     text = F.coalesce("first.text", F.lit("Sem descricao"))
-    if labels is not None:
+    if callable(labels):
+        text = F.coalesce(F.nullif(labels(F.col("code")), F.lit("")), text)
+    elif labels is not None:
         # One row per group and code is left here, so the join is small.
         out = out.join(labels.select("code", "label").dropDuplicates(["code"]), "code", "left")
-        text = F.coalesce("label", text)
+        text = F.coalesce(F.nullif("label", F.lit("")), text)
     out = out.select("group", "code", "orders", "amount", text.alias("description"))
     return out.orderBy(F.desc("orders"), F.concat_ws("::", "group", "code"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import dates, text
 from tideline.operators import catalog, costs, dashboard, lines, margin, orders, ranking, sales, shipping, stock
-from tideline.plans import periods
+from tideline.plans import documents, periods
 from tideline.plans.oracles import BEFORE, NOW, SQL
 from tideline.plans.service import Query, Snapshot, run
 from tideline.sources import snapshots
@@ -69,6 +69,26 @@ def typed(intent: str, metric: str, period: periods.Period, *names: str, **more)
     return build
 
 
+def opened(df: DataFrame) -> DataFrame:
+    """A document's fields as columns: names of nested ones joined by _, lists of words by commas."""
+    while any(t.startswith("struct") for _, t in df.dtypes):
+        df = df.select(*[c for n, t in df.dtypes for c in ([F.col(f"{n}.{f}").alias(f"{n}_{f}") for f in df.schema[n].dataType.names] if t.startswith("struct") else [F.col(n)])])
+    df = df.select(*[F.array_join(n, ",").alias(n) if t == "array<string>" else F.col(n) for n, t in df.dtypes])
+    return df.select(*[F.round(n, 4).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+
+
+def answered(intent: str, metric: str, period: periods.Period, **more):
+    """A query's document, its fields as columns; a ranking gives a row for each of its items."""
+
+    def build(s: SparkSession, d: str) -> DataFrame:
+        found = documents.document(Query(intent, metric, period, **more), snapshot(s, d))
+        if intent == "sales_ranking":
+            found = found.withColumn("item", F.explode("result.items")).drop("result")
+        return opened(found)
+
+    return build
+
+
 def fixed_windows(s: SparkSession, d: str) -> DataFrame:
     return shown(sales.windows_summary(star.order_facts(s, d), dashboard.fixed_windows(TODAY, *NOW)))
 
@@ -117,6 +137,27 @@ def civil_day_shift(s: SparkSession, d: str) -> DataFrame:
     return o.groupBy("civil_day").agg(F.count(F.lit(1)).alias("orders"))
 
 
+def day_bounds(s: SparkSession, d: str) -> DataFrame:
+    """Start and end of every civil day with orders, in milliseconds, and its length."""
+    days = star.order_heads(s, d).select("civil_date").distinct()
+    start, end = (F.unix_millis(x) for x in (dates.day_start("civil_date"), dates.day_end("civil_date")))
+    return days.select("civil_date", start.alias("start_ms"), end.alias("end_ms"), ((end - start + 1) / 3_600_000).cast("int").alias("hours"))
+
+
+def consolidated_by_group(s: SparkSession, d: str) -> DataFrame:
+    """The consolidated view with a caller's own stock of a group: what its active listings have."""
+    own = lambda: F.coalesce(F.sum(F.when(F.col("status") == "active", F.greatest(F.col("available_quantity"), F.lit(0.0)))), F.lit(0.0))
+    return shown(catalog.consolidated(star.listings(s, d), star.order_facts(s, d), stock_of=own), "sku", "label", "orders", "stock")
+
+
+def cancel_labels(s: SparkSession, d: str) -> DataFrame:
+    """Reasons for cancellation with a caller's labels for some of the codes."""
+    heads = star.order_heads(s, d).where("status = 'cancelled'")
+    coded = F.struct("cancel_detail.group", F.concat(F.lit("c"), (F.col("ordinal") % 4).cast("string")).alias("code"), "cancel_detail.description")
+    label = lambda code: F.when(code.isin("c1", "c2"), F.concat(F.lit("motivo "), F.upper(code))).when(code == "c3", "")
+    return shown(sales.cancel_reasons(heads.withColumn("cancel_detail", coded), label))
+
+
 def slim_projection(s: SparkSession, d: str) -> DataFrame:
     rows = orders.slim_orders(star.orders(s, d))
     return shown(rows.select("id", "status", F.size("order_items").cast("long").alias("lines"), F.col("buyer.nickname").alias("nickname"), F.col("shipping.id").alias("shipment"), "paid_amount"))
@@ -177,6 +218,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "question_comparison": typed("sales_comparison", "revenue", periods.Period(*NOW), compare=periods.Period(*BEFORE)),
     "question_ranking": typed("sales_ranking", "units", periods.Period(*NOW), rank_by="units", limit=3),
     "question_margin": typed("sales_summary", "margin", periods.Period(*NOW), "revenue", "cost", "margin", "available", "warnings"),
+    "document_summary": answered("sales_summary", "revenue", periods.month_of(1997, 3, TODAY)),
+    "document_comparison": answered("sales_comparison", "revenue", periods.Period(*NOW), compare=periods.Period(*BEFORE)),
+    "document_margin": answered("sales_summary", "margin", periods.Period(*NOW)),
+    "document_ranking_margin": answered("sales_ranking", "margin", periods.Period(*NOW), rank_by="margin", limit=20),
+    "document_ranking_units": answered("sales_ranking", "units", periods.Period(*NOW), rank_by="units", limit=3),
+    "day_bounds": day_bounds,
+    "consolidated_by_group": consolidated_by_group,
+    "cancel_labels": cancel_labels,
     "cost_rule_match": cost_rule_match,
     "rule_table_match": rule_table_match,
     "kit_multiplier": kit_multiplier,

@@ -65,7 +65,7 @@ WITH o AS (
            coalesce(freight, revenue * 0.144::DOUBLE) AS ship_fee FROM pl0
 ), c AS (SELECT *, unit_cost * q AS cost, revenue - fee - ship_fee - unit_cost * q AS margin FROM pl WHERE unit_cost IS NOT NULL
 ), ms AS (
-    SELECT sku, arg_min(title, (length(title), title)) AS label, sum(revenue) AS revenue, sum(fee) AS marketplace_fee, sum(ship_fee) AS shipping_fee, sum(cost) AS cost, sum(q) AS units,
+    SELECT sku, arg_min(title, (length(title), k, pos)) AS label, sum(revenue) AS revenue, sum(fee) AS marketplace_fee, sum(ship_fee) AS shipping_fee, sum(cost) AS cost, sum(q) AS units,
            coalesce(sum(ship_fee) FILTER (WHERE freight IS NOT NULL), 0) AS freight_real, coalesce(sum(ship_fee) FILTER (WHERE freight IS NULL), 0) AS freight_estimated,
            sum(revenue) - sum(fee) - sum(ship_fee) - sum(cost) AS margin
     FROM c GROUP BY sku
@@ -136,7 +136,58 @@ REFRESHED = """, base AS (SELECT id, status, total, k FROM o), ref AS (
 )"""
 TOP = "row_number() OVER (ORDER BY {} DESC, sku)"
 
+def document_head(intent: str, metric: str, a: str, b: str, kind: str) -> str:
+    """The query and coverage of a document, as columns."""
+    return f"""'{intent}' AS query_intent, '{metric}' AS query_metric, '{a}' AS "query_period_fromYmd", '{b}' AS "query_period_toYmd", true AS coverage_available, '{kind}' AS coverage_type,
+'{a}' AS "coverage_effectiveFromYmd", '{b}' AS "coverage_effectiveToYmd", (SELECT min(dc)[1:10] FROM o) AS "coverage_dataFromYmd", (SELECT max(dc)[1:10] FROM o) AS "coverage_dataToYmd\""""
+
+
+YEAR = (str(NOW[0]), str(NOW[1]))
+TICKET = "CASE WHEN count(*) > 0 THEN sum(paid) / count(*) END"
+RANKED = f"""{BASE}, lt AS (SELECT sku, title, sum(revenue) AS r FROM pl GROUP BY ALL), lb AS (SELECT sku, title AS label FROM lt QUALIFY row_number() OVER (PARTITION BY sku ORDER BY r DESC, length(title), title) = 1),
+tot AS (SELECT sum(revenue) AS revenue, sum(units) AS units, count(*) AS skus, count(*) FILTER (WHERE cost_coverage <> 'total') AS partly, coalesce(sum(revenue - costed_revenue) FILTER (WHERE cost_coverage <> 'total'), 0) AS uncosted,
+    coalesce(sum(uncosted_units) FILTER (WHERE cost_coverage <> 'total'), 0) AS uncosted_units, coalesce(sum(revenue) FILTER (WHERE cost_coverage = 'total'), 0) AS covered FROM rk),
+fr AS (SELECT coalesce(sum(ship_fee) FILTER (WHERE freight IS NOT NULL), 0) AS fr, coalesce(sum(ship_fee) FILTER (WHERE freight IS NULL), 0) AS fe, coalesce(sum(revenue) FILTER (WHERE freight IS NOT NULL), 0) AS rr, sum(revenue) AS ra FROM c)"""
+TOTALS = """round(tot.revenue, 4) AS "periodTotalsAllProducts_productRevenue", round(tot.units, 4) AS "periodTotalsAllProducts_units", tot.skus AS "periodTotalsAllProducts_distinctSkus\""""
+
 SQL = {
+    "document_summary": f"""{BASE} SELECT {document_head('sales_summary', 'revenue', '1997-03-01', '1997-03-31', 'total')}, round(sum(paid), 4) AS result_revenue, count(*) AS result_orders, round({TICKET}, 4) AS "result_averageTicket", round(sum(units), 4) AS result_units, '' AS warnings
+FROM {between(date(1997, 3, 1), date(1997, 3, 31))}""",
+    "document_comparison": f"""{BASE}, a AS (SELECT coalesce(sum(paid), 0) AS r, count(*) AS n, coalesce(sum(units), 0) AS u FROM now), b AS (SELECT coalesce(sum(paid), 0) AS r, count(*) AS n, coalesce(sum(units), 0) AS u FROM {between(*BEFORE)})
+SELECT {document_head('sales_comparison', 'revenue', *YEAR, 'total')}, '{BEFORE[0]}' AS "query_comparePeriod_fromYmd", '{BEFORE[1]}' AS "query_comparePeriod_toYmd",
+round(a.r, 4) AS result_revenue, a.n AS result_orders, round(a.r / a.n, 4) AS "result_averageTicket", round(a.u, 4) AS result_units,
+round(b.r, 4) AS compare_result_revenue, b.n AS compare_result_orders, round(b.r / b.n, 4) AS "compare_result_averageTicket", round(b.u, 4) AS compare_result_units,
+true AS compare_coverage_available, 'total' AS compare_coverage_type, '{BEFORE[0]}' AS "compare_coverage_effectiveFromYmd", '{BEFORE[1]}' AS "compare_coverage_effectiveToYmd", (SELECT min(dc)[1:10] FROM o) AS "compare_coverage_dataFromYmd", (SELECT max(dc)[1:10] FROM o) AS "compare_coverage_dataToYmd",
+round(a.r - b.r, 4) AS "compare_variation_revenueAbs", a.n - b.n AS "compare_variation_ordersAbs", round(a.u - b.u, 4) AS "compare_variation_unitsAbs", round((a.r - b.r) / b.r * 100, 4) AS "compare_variation_revenuePct",
+round((a.n - b.n)::DOUBLE / b.n * 100, 4) AS "compare_variation_ordersPct", round((a.u - b.u) / b.u * 100, 4) AS "compare_variation_unitsPct", true AS compare_comparable, 1.0::DOUBLE AS "compare_coverageFraction_current", 1.0::DOUBLE AS "compare_coverageFraction_previous", '' AS warnings FROM a, b""",
+    "document_margin": f"""{BASE}, t AS (SELECT coalesce(sum(revenue) FILTER (WHERE unit_cost IS NOT NULL), 0) AS r, sum(fee) FILTER (WHERE unit_cost IS NOT NULL) AS f, sum(ship_fee) FILTER (WHERE unit_cost IS NOT NULL) AS sf, sum(unit_cost * q) AS cost, sum(q) FILTER (WHERE unit_cost IS NOT NULL) AS u,
+coalesce(sum(revenue) FILTER (WHERE unit_cost IS NULL), 0) AS wr, coalesce(sum(q) FILTER (WHERE unit_cost IS NULL), 0) AS wu, sum(ship_fee) FILTER (WHERE unit_cost IS NOT NULL AND freight IS NOT NULL) AS fr, sum(ship_fee) FILTER (WHERE unit_cost IS NOT NULL AND freight IS NULL) AS fe, sum(revenue) FILTER (WHERE unit_cost IS NOT NULL AND freight IS NOT NULL) AS rr FROM pl),
+v AS (SELECT *, wr * 10 <= (r + wr) * 2 AS ok FROM t)
+SELECT {document_head('sales_summary', 'margin', *YEAR, 'total')}, CASE WHEN ok THEN round(r, 4) END AS "result_productRevenue", CASE WHEN ok THEN round(f, 4) END AS "result_mlFee", CASE WHEN ok THEN round(sf, 4) END AS "result_shippingFee", CASE WHEN ok THEN round(cost, 4) END AS result_cost,
+CASE WHEN ok THEN round(r - f - sf - cost, 4) END AS result_margin, CASE WHEN ok THEN round((r - f - sf - cost) / r * 100, 4) END AS "result_marginPct", CASE WHEN ok THEN round(u, 4) END AS result_units,
+round(wr, 4) AS "noCost_productRevenue", round(wu, 4) AS "noCost_units", round(wr / (r + wr), 4) AS "noCost_revenueShare", CASE WHEN ok THEN round(fr, 4) END AS "shippingCost_actual", CASE WHEN ok THEN round(fe, 4) END AS "shippingCost_estimatedByPercent", CASE WHEN ok THEN round(rr / r, 4) END AS "shippingCost_revenueShareActual",
+true AS "beforeAdvertising", true AS estimated, 'antes_de_publicidade' || CASE WHEN NOT ok THEN ',custo_insuficiente' WHEN wr > 0 THEN ',custo_parcial' ELSE '' END || CASE WHEN ok AND fe > 0 THEN ',frete_estimado' ELSE '' END AS warnings FROM v""",
+    "document_ranking_margin": f"""{RANKED}
+SELECT {document_head('sales_ranking', 'margin', *YEAR, 'total')}, 'margin' AS "query_rankBy", 20 AS query_limit, {TOTALS}, CAST({TOP.format('rk.margin')} AS INTEGER) AS item_rank, sku AS item_sku, label AS item_label, round(rk.units, 4) AS item_units, round(rk.revenue, 4) AS "item_productRevenue", orders AS item_orders,
+true AS "item_costKnown", round(rk.cost, 4) AS item_cost, round(rk.margin, 4) AS item_margin, round(rk.margin_pct, 4) AS "item_marginPct", tot.partly AS "noCost_skus", round(tot.uncosted, 4) AS "noCost_productRevenue", round(tot.uncosted_units, 4) AS "noCost_units", round(tot.uncosted / tot.revenue, 4) AS "noCost_revenueShare",
+round(tot.covered / tot.revenue, 4) AS "marginCoverage_revenueShareWithCost", tot.partly AS "marginCoverage_skusExcluded", round(fr.fr, 4) AS "shippingCost_actual", round(fr.fe, 4) AS "shippingCost_estimatedByPercent", round(rr / ra, 4) AS "shippingCost_revenueShareActual", true AS "beforeAdvertising", true AS estimated,
+'antes_de_publicidade' || CASE WHEN tot.partly > 0 THEN ',custo_parcial' ELSE '' END || CASE WHEN ra > rr THEN ',frete_estimado' ELSE '' END || CASE WHEN tot.partly > 0 THEN ',ranking_margem_cobertura_parcial' ELSE '' END AS warnings
+FROM rk JOIN lb USING (sku), tot, fr WHERE cost_coverage = 'total' QUALIFY {TOP.format('rk.margin')} <= 20""",
+    "document_ranking_units": f"""{RANKED}
+SELECT {document_head('sales_ranking', 'units', *YEAR, 'total')}, 'units' AS "query_rankBy", 3 AS query_limit, {TOTALS}, CAST({TOP.format('rk.units')} AS INTEGER) AS item_rank, sku AS item_sku, label AS item_label, round(rk.units, 4) AS item_units, round(rk.revenue, 4) AS "item_productRevenue", orders AS item_orders, '' AS warnings
+FROM rk JOIN lb USING (sku), tot QUALIFY {TOP.format('rk.units')} <= 3""",
+    "day_bounds": """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS civil_date FROM orders), b AS (
+    SELECT civil_date, civil_date::TIMESTAMP AS s, civil_date::TIMESTAMP + INTERVAL '86399999 milliseconds' AS e FROM d
+), o1 AS (
+    SELECT *, s - (timezone('America/Sao_Paulo', timezone('UTC', s)) - s) AS s1, e - (timezone('America/Sao_Paulo', timezone('UTC', e)) - e) AS e1 FROM b
+), o2 AS (
+    SELECT civil_date, epoch_ms(s - (timezone('America/Sao_Paulo', timezone('UTC', s1)) - s1)) AS start_ms, epoch_ms(e - (timezone('America/Sao_Paulo', timezone('UTC', e1)) - e1)) AS end_ms FROM o1
+)
+SELECT civil_date, start_ms, end_ms, CAST((end_ms - start_ms + 1) // 3600000 AS INTEGER) AS hours FROM o2""",
+    "consolidated_by_group": f"""{BASE}, f AS (SELECT item, count(*) AS orders FROM s JOIN l ON l.oid = s.id WHERE pos = 1 GROUP BY item)
+SELECT st.sku, arg_min(title, (length(title), k)) AS label, CAST(coalesce(sum(orders), 0) AS BIGINT) AS orders, round(coalesce(sum(safe) FILTER (WHERE status = 'active'), 0), 2) AS stock FROM st LEFT JOIN f ON f.item = st.item_id GROUP BY st.sku""",
+    "cancel_labels": f"""{BASE} SELECT split_part(priority, '-', -1) AS "group", 'c' || k % 4 AS code, count(*) AS orders, round(sum(total), 2) AS amount, CASE WHEN k % 4 IN (1, 2) THEN 'motivo C' || k % 4 ELSE arg_min(priority, k) END AS description
+FROM o WHERE status = 'cancelled' GROUP BY 1, 2, k % 4""",
     "sales_summary": summary_of("now"),
     "sales_summary_empty_period": summary_of(between(date(2031, 1, 1), date(2031, 1, 31))),
     "question_revenue": summary_of(between(date(1997, 3, 1), date(1997, 3, 31))),

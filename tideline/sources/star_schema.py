@@ -81,7 +81,7 @@ def order_lines(spark: SparkSession, folder: str, rules=None) -> DataFrame:
     )
     held = line.join(items, F.col("l_partkey") == F.col("p_partkey")).join(heads, F.col("l_orderkey") == F.col("ordinal"))
     return held.select(
-        "order_id", "pos", "status", "civil_date", "date_created", "buyer", "shipment_id", F.lit(None).cast("string").alias("own_logistic_type"), "item_id", "title", "seller_sku", "quantity", "unit_price",
+        "order_id", "ordinal", "pos", "status", "civil_date", "date_created", "buyer", "shipment_id", F.lit(None).cast("string").alias("own_logistic_type"), "item_id", "title", "seller_sku", "quantity", "unit_price",
         *items.columns[4:],
     )
 
