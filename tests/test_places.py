@@ -89,3 +89,21 @@ def test_a_whole_ranking_is_sorted(spark):
     lines = spark.range(900).select(F.concat(F.lit("s"), F.col("id") % 300).alias("sku"), F.lit("t").alias("title"), F.lit("i").alias("item_id"), F.exp(F.randn(1) * 2).alias("revenue"), F.lit(1.0).alias("quantity"), F.lit(True).alias("first_of_order"), *[F.lit(1.0).alias(c) for c in ("unit_cost", "marketplace_fee", "shipping_fee", "cost")])
     found = ranking.ranking(lines, everything=True).collect()
     assert [r.position for r in found] == list(range(1, 301)) and all(a.revenue >= b.revenue for a, b in zip(found, found[1:], strict=False))
+
+
+def test_lines_move_once_for_windows_and_shipments(spark):
+    from tideline.operators import lines
+
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(before, ("-1", "false"), strict=True):
+            spark.conf.set(c, v)
+        rows = spark.createDataFrame([("o1", 1, 0, "paid", "s1", None, "i", "t", "A", 1.0, 2.0), ("o2", 2, 0, "paid", None, "x", "i", "t", None, 1.0, 2.0)], "order_id string, ordinal long, pos int, status string, shipment_id string, own_logistic_type string, item_id string, title string, seller_sku string, quantity double, unit_price double")
+        ships = spark.createDataFrame([("s1", "drop_off", 4.0), ("o2", "drop_off", 9.0)], "shipment_id string, logistic_type string, custo_frete double")
+        found = lines.sale_lines(rows, ships)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(__key") == 1 and plan.count("Exchange") == 2
+        assert {(r.order_id, r.logistic_type, r.freight_share) for r in found.collect()} == {("o1", "drop_off", 4.0), ("o2", "x", None)} and "__key" not in found.columns
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)

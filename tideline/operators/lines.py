@@ -39,28 +39,35 @@ def order_lines(orders: DataFrame, keep_empty: bool = False) -> DataFrame:
     )
 
 
+def shared_key(shipment: Column, order_id: Column | None = None) -> Column:
+    """What lines and shipments are dealt by: the shipment, or the order where there is none."""
+    own = F.concat(F.lit("ship:"), shipment)
+    return own if order_id is None else F.coalesce(own, F.concat(F.lit("order:"), order_id))
+
+
 def with_shipments(lines: DataFrame, shipments: DataFrame) -> DataFrame:
-    """Adds logistic_type (the order's own, else the shipment's) and freight (null: unknown, 0: free).
+    """Adds logistic_type (the order's own, else the shipment's) and freight (null: unknown, 0: free) to lines with __key.
 
-    A plain equi-join: both sides may be of any size, and a shipment holds few lines.
+    A plain equi-join: both sides may be of any size, and a shipment holds few lines. Lines lie
+    by __key already (shipment_totals), so beyond the size of a broadcast only shipments move.
     """
-    ship = shipments.select(F.col("shipment_id").alias("__ship"), F.col("logistic_type").alias("__type"), F.col("custo_frete").alias("freight"))
-    held = lines.join(ship, lines["shipment_id"] == ship["__ship"], "left")
-    return held.withColumn("logistic_type", F.coalesce("own_logistic_type", "__type")).drop("__ship", "__type", "own_logistic_type")
+    ship = shipments.select(shared_key(F.col("shipment_id")).alias("__ship"), F.col("logistic_type").alias("__type"), F.col("custo_frete").alias("freight"))
+    held = lines.join(ship, lines["__key"] == ship["__ship"], "left")
+    return held.withColumn("logistic_type", F.coalesce("own_logistic_type", "__type")).drop("__ship", "__type", "own_logistic_type", "__key")
 
 
 def shipment_totals(sale_lines: DataFrame) -> DataFrame:
-    """Adds ship_revenue and ship_units over all sale lines of a shipment, whatever the period, and first_of_order.
+    """Adds ship_revenue and ship_units over all sale lines of a shipment, whatever the period, first_of_order, and __key.
 
     Lines without shipment are dealt by order, so they never meet in one partition.
     """
     q, p = F.coalesce("quantity", F.lit(1.0)), F.coalesce("unit_price", F.lit(0.0))
     own = Window.partitionBy("__key")
-    held = sale_lines.withColumn("__key", F.coalesce("shipment_id", F.concat(F.lit("order:"), "order_id")))
+    held = sale_lines.withColumn("__key", shared_key(F.col("shipment_id"), F.col("order_id")))
     added = lambda x: F.sum(F.greatest(F.lit(0.0), x).cast("decimal(28,8)")).over(own).cast("double")
     held = held.withColumns({"ship_revenue": added(q * p), "ship_units": added(q)})
     order = Window.partitionBy("__key", "order_id", "sku").orderBy("pos")
-    return held.withColumn("first_of_order", F.row_number().over(order) == 1).drop("__key")
+    return held.withColumn("first_of_order", F.row_number().over(order) == 1)
 
 
 def freight_share(freight: Column, revenue: Column, quantity: Column, ship_revenue: Column, ship_units: Column) -> Column:
