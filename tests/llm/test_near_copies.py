@@ -52,3 +52,37 @@ def test_hot_join_is_a_join(spark):
     want = sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
     for most in (1, 3, 20, 2000):
         assert sorted(map(tuple, common.hot_join(left, right, "k", "n", most).select("k", "id", "least").collect())) == want
+
+def test_sketches_pass_all_pairs_at_the_threshold(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    lost = pairs = far = 0
+    for _ in range(300):
+        n = int(r.integers(20, 800))
+        common = round(0.85 * n)
+        whole = r.integers(0, 1 << 64, size=n, dtype=np.uint64)
+        a, b = whole[: common + (n - common) // 2], np.concatenate([whole[:common], whole[common + (n - common) // 2 :]])
+        c = np.concatenate([whole[: n // 4], r.integers(0, 1 << 64, size=n, dtype=np.uint64)])
+        values = np.frombuffer(b"".join(ngram_jaccard.sketch(np.sort(x)) for x in (a, b, c)), dtype=np.uint8).reshape(3, -1)
+        close = ngram_jaccard.close_by_sketch(values, 0.85)
+        lost, pairs, far = lost + (not close[0, 1]), pairs + 1, far + (close[0, 2] and n > 200)
+    assert lost == 0 and far == 0
+
+
+def test_dense_and_sparse_blocks_give_the_same_links(spark, monkeypatch):
+    from tests.llm.test_hamming import brute
+    from tideline.llm import hamming_dedup
+
+    r = random.Random(12)
+    base = made(13, 200)
+    texts = []
+    for _ in range(60):
+        own = [w if r.random() > 0.1 else f"o{r.randrange(10**6)}" for w in base]
+        texts += [" ".join(own), changed(own, r.randrange(200)), changed(own, *r.sample(range(200), 9))]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for most in (0, 4, 10**6):
+        monkeypatch.setattr(ngram_jaccard, "PAIRS_A_SET", most)
+        assert sorted(map(tuple, hamming_dedup.near_duplicates(docs).collect())) == want

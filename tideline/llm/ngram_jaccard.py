@@ -42,6 +42,10 @@ GROUP_SETS = 512
 #: Hubs whose n-grams are broadcast, at most: those with more than one in so many of all pairs.
 HOT_HUBS = 64
 SEED = 20_240
+#: Values of a sketch, and how many deviations below the threshold its estimate may lie.
+SKETCH, DEVIATIONS = 128, 4.5
+#: Pairs for each set of a block that go on as rows; a block with more is compared on its full sets.
+PAIRS_A_SET = 4
 #: For comparisons of sizes with products of the threshold.
 EPSILON = 1e-9
 
@@ -141,8 +145,20 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int, id_col: str,
     return rows_in.mapInArrow(frugal(sign), "id long, content long, set_id binary, n int, bands array<long>")
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """SKETCH bytes: of each range of hashes the smallest one of the set, as a number from 1 to 255; 0 where it has none.
+
+    Two sets agree in a range that one of them has as often as their similarity says.
+    """
+    ranges = (hashes >> np.uint64(64 - (SKETCH - 1).bit_length())).astype(np.int64)
+    found, first = np.unique(ranges, return_index=True)
+    out = np.zeros(SKETCH, dtype=np.uint8)
+    out[found] = mix64(hashes[first]) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str, ascii_only: bool = False) -> DataFrame:
-    """set_id, grams for the wanted (id, content, set_id), one for each set: the n-gram sets, read from the texts again."""
+    """set_id, grams, sketch for the wanted (id, content, set_id), one for each set: the n-gram sets, read from the texts again."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,8 +169,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_
                 # Of texts with one hash only the set's own makes it.
                 own = [k for k, s in enumerate(sets) if set_key(s) == wants[k]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([wants[k] for k in own], type=pa.binary()), pa.array([sets[k].astype(np.int64) for k in own], type=pa.list_(pa.int64()))],
-                    names=["set_id", "grams"],
+                    [pa.array([wants[k] for k in own], type=pa.binary()), pa.array([sets[k].astype(np.int64) for k in own], type=pa.list_(pa.int64())), pa.array([sketch(sets[k]) for k in own], type=pa.binary())],
+                    names=["set_id", "grams", "sketch"],
                 )
 
     texts = rows_of(docs, id_col, text_col)
@@ -162,7 +178,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_
     alone = texts.where("id is null").groupBy("content").agg(F.first("text").alias("text"))
     without = wanted.where("id is null").join(alone, "content").select("set_id", "text")
     found = with_id.unionByName(without)
-    return found.mapInArrow(frugal(make), "set_id binary, grams array<long>")
+    return found.mapInArrow(frugal(make), "set_id binary, grams array<long>, sketch binary")
 
 
 def with_grams(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -258,17 +274,52 @@ def in_blocks(rows: DataFrame, group: str, sets: DataFrame) -> DataFrame:
     return dealt.withColumn("shard", shard).drop("blocks", "other", "of").join(sets, "set_id")
 
 
+def close_by_sketch(sketches: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets may reach the threshold: all that do, but for a chance of DEVIATIONS."""
+    out = np.zeros((len(sketches), len(sketches)), dtype=bool)
+    for i, one in enumerate(sketches):
+        same = ((sketches == one) & (one != 0)).sum(axis=1)
+        held = ((sketches != 0) | (one != 0)).sum(axis=1)
+        out[i] = same >= threshold * held - DEVIATIONS * np.sqrt(held * threshold * (1 - threshold)) - EPSILON
+    return out
+
+
+def pairs_by_sketch(members: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """a, b: pairs across components that may be linked; of a block with too many of them bucket, comp and shard of its sets instead, as rows without b."""
+    found = []
+    for bucket, part in members.groupby("bucket", sort=False):
+        ids, comp = part["set_id"].to_numpy(), pd.factorize(part["comp"])[0]
+        values = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(len(part), SKETCH)
+        i, j = np.nonzero(np.triu(close_by_sketch(values, threshold) & (comp[:, None] != comp[None, :])))
+        if len(i) > PAIRS_A_SET * len(part):
+            found.append(pd.DataFrame({"a": ids, "b": None, "bucket": bucket, "comp": part["comp"].to_numpy(), "shard": part["shard"].to_numpy()}))
+        else:
+            found.append(pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "bucket": bucket, "comp": None, "shard": None}))
+    return pd.concat(found, ignore_index=True)
+
+
 def links_inside(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """set_id, linked: documents of other sets of its component within the threshold. members: set_id, comp, copies, of (sets in the component)."""
     run = lambda part: count_block_links(part, threshold)
-    counted = in_blocks(members, "comp", sets).groupBy("shard").applyInPandas(run, "set_id binary, linked long")
+    counted = in_blocks(members, "comp", sets.select("set_id", "grams")).groupBy("shard").applyInPandas(run, "set_id binary, linked long")
     return counted.groupBy("set_id").agg(F.sum("linked").alias("linked"))
 
 
-def bridges(state: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: links between components whose sets meet in a bucket; pairs without a link are never rows. state: bucket, set_id, comp, of (sets in the bucket)."""
+def bridges(state: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """a, b: links between components whose sets meet in a bucket. state: bucket, set_id, comp, of (sets in the bucket).
+
+    Blocks are compared by sketches first, a small part of the sets. The pairs that these leave
+    are few for each set and are verified; in a block where they aren't, the full sets are
+    compared without a row for each pair.
+    """
+    near = lambda part: pairs_by_sketch(part, threshold)
+    blocks = in_blocks(state, "bucket", sets.select("set_id", "sketch")).select("shard", "bucket", "set_id", "comp", "sketch")
+    found = scratch.save(blocks.groupBy("shard").applyInPandas(near, "a binary, b binary, bucket long, comp binary, shard long"), "close pairs")
+    few = found.where("b is not null").select("a", "b").distinct()
+    links = verified(few, sets).where(F.col("similarity") >= threshold).select("a", "b")
     run = lambda part: block_bridges(part, threshold)
-    return in_blocks(state, "bucket", sets).groupBy("shard").applyInPandas(run, "a binary, b binary").distinct()
+    dense = found.where("b is null").select("shard", "bucket", F.col("a").alias("set_id"), "comp").join(sets.select("set_id", "grams"), "set_id")
+    return links.unionByName(dense.groupBy("shard").applyInPandas(run, "a binary, b binary")).distinct()
 
 
 def with_hubs(met: DataFrame) -> DataFrame:
@@ -369,7 +420,7 @@ def linked_sets(placed: DataFrame, sizes: DataFrame, make_grams: Callable[[DataF
     state = labelled(other.select("bucket", "set_id"), comps, "set_id")
     mixed = state.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("of")).where("c0 <> c1").select("bucket", "of", F.col("of").alias("held"))
     state = scratch.save(hot_join(state, mixed, "bucket", "held"), "left-open")
-    more = scratch.save(bridges(state, grams, threshold), "last-pairs")
+    more = scratch.save(bridges(state, grams, threshold, scratch), "last-pairs")
     if more.limit(1).count():
         comps = components(links.union(more), scratch)
     return comps, grams
