@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tideline.llm import phrases
@@ -60,13 +61,20 @@ def test_a_full_filter_only_costs_rows(spark, monkeypatch):
 
 
 def test_the_filter_passes_what_it_holds_and_little_else(spark):
-    grams = spark.range(5000).select(F.lit("en").alias("lang"), F.concat(F.lit("w"), F.col("id"), F.lit(" v")).alias("phrase"))
+    grams = spark.range(5000).select(F.lit("en").alias("lang"), F.concat(F.lit("w"), F.col("id"), F.lit(" v")).alias("phrase"), F.lit(2).alias("k"))
     held = phrases.filter_of(grams, 5000)
-    import numpy as np
-
-    key = lambda word: phrases.roll(phrases.roll(np.array([phrases.word_key(b"en")], dtype=np.uint64), np.uint64(phrases.word_key(word))), np.uint64(phrases.word_key(b"v")))
-    passed = held.passes(np.concatenate([key(f"w{i}".encode()) for i in range(10_000)]))
-    assert passed[:5000].all() and passed[5000:].mean() < 0.05
+    chunk = phrases.Chunk(pa.array([f"w{i} v" for i in range(10_000)]), pa.array(["en"] * 10_000))
+    passed = held.passes(chunk.keys(chunk.grams(2), 2))
+    assert len(passed) == 10_000 and passed[:5000].all() and passed[5000:].mean() < 0.05
+
+
+def test_words_of_a_chunk():
+    texts = ["Ab  c\td. e", None, "", "f" * 100, "g\x1ch, É", " ", "f" * 100 + " ab"]
+    chunk = phrases.Chunk(pa.array([*texts, "x"])[:-1], pa.array(["en"] * 7))
+    words = [chunk.raw[a : a + n].tobytes().decode() for a, n in zip(chunk.at, chunk.size, strict=True)]
+    assert words == ["ab", "c", "d", "e", "f" * 100, "g\x1ch", "É", "f" * 100, "ab"]
+    assert chunk.hash[4] == chunk.hash[7] and chunk.hash[0] == chunk.hash[8] and len(set(chunk.hash)) == 7
+    assert chunk.grams(2).tolist() == [0, 1, 7] and chunk.grams(3).tolist() == [0]
 
 
 def test_counts_beyond_64_bits_in_their_product(spark):

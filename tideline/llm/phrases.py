@@ -5,8 +5,8 @@ Texts are read once for each length k. An occurrence of k words is counted only
 The frequent grams of the level before are broadcast as a filter of fixed size (at most
 2 ** FILTER_BITS bits, whatever their number). What it passes wrongly costs a row and no
 result, since counts are exact and cut afterwards. Workers add up a chunk of text at a time,
-Spark adds up the chunks, and no text or phrase is hashed into a count. The level tables then
-give the parts' frequencies for every cut of a phrase.
+in whose bytes words are found and told apart (by 64 bits) as arrays; Spark adds up the
+chunks' phrases. The level tables then give the parts' frequencies for every cut of a phrase.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, Scratch, chunks_of, frugal, mix64, small_join
+from .common import SALTS, Scratch, frugal, mix64, small_join
 
 LEAST = 100
 LONGEST = 5
@@ -35,16 +35,13 @@ BITS_A_GRAM = 16
 CHUNK = 8_000_000
 SEED = 77
 
-#: Ends a piece. It is no byte of UTF-8.
-_END = b"\xff"
-_TABLE = bytes(b + 32 if 65 <= b <= 90 else 255 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
-def pieces(text: str) -> list[bytes]:
-    """Words in order, with an end mark wherever a piece ends."""
-    raw = text.encode("utf-8", "surrogatepass").translate(_TABLE)
-    return [*raw.replace(_END, b" \xff ").split(), _END]
+#: What each byte of UTF-8 is read as: A-Z lowered, tab as space, ends of pieces as one byte that UTF-8 lacks.
+_END = 255
+_TABLE = np.array([b + 32 if 65 <= b <= 90 else _END if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256)], dtype=np.uint8)
+_MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def roll(keys: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -53,8 +50,8 @@ def roll(keys: np.ndarray, following: np.ndarray) -> np.ndarray:
         return keys * _MUL + following
 
 
-def word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, SEED)
+def text_key(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text, SEED)
 
 
 class GramFilter:
@@ -74,76 +71,117 @@ class GramFilter:
 
 
 def filter_of(grams: DataFrame, n: int) -> GramFilter:
-    """The filter of the grams (lang, phrase), put together by Spark from 64-bit parts of its table."""
+    """The filter of the grams (lang, phrase, k), put together by Spark from 64-bit parts of its table."""
     bits = max(16, min(FILTER_BITS, math.ceil(math.log2(max(1, n) * BITS_A_GRAM))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.zeros(len(batch), dtype=np.uint64)
-            for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                key = np.array([word_key(lang.encode("utf-8", "surrogatepass"))], dtype=np.uint64)
-                for word in phrase.encode("utf-8", "surrogatepass").split(b" "):
-                    key = roll(key, np.array([word_key(word)], dtype=np.uint64))
-                keys[i] = key[0]
-            slots = np.concatenate(GramFilter.slots(keys, bits))
+            if not len(batch):
+                continue
+            chunk = Chunk(batch.column(1), batch.column(0))
+            k = batch.column(2)[0].as_py()  # one level, so one k
+            slots = np.concatenate(GramFilter.slots(chunk.keys(chunk.grams(k), k), bits))
             part, at = (slots >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slots & np.uint64(63))
             order = np.argsort(part, kind="stable")
             found, start = np.unique(part[order], return_index=True)
-            merged = np.bitwise_or.reduceat(at[order], start) if len(found) else at
+            merged = np.bitwise_or.reduceat(at[order], start)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(merged.view(np.int64))], names=["part", "held"])
 
-    parts = grams.select("lang", "phrase").mapInArrow(run, "part long, held long").groupBy("part").agg(F.bit_or("held").alias("held")).toArrow()
+    parts = grams.select("lang", "phrase", "k").mapInArrow(run, "part long, held long").groupBy("part").agg(F.bit_or("held").alias("held")).toArrow()
     table = np.zeros(1 << (bits - 6), dtype=np.uint64)
     table[parts.column(0).to_numpy()] = parts.column(1).to_numpy().view(np.uint64)
     return GramFilter(bits, table.view(np.uint8))
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes in a row as _TABLE reads them, and where each text starts (one more entry at the end)."""
+    held = pc.fill_null(texts, "").cast(pa.large_string())
+    starts = np.frombuffer(held.buffers()[1], dtype=np.int64)[held.offset : held.offset + len(held) + 1]
+    raw = np.frombuffer(held.buffers()[2] or b"", dtype=np.uint8)[starts[0] : starts[-1]]
+    return _TABLE[raw], starts - starts[0]
+
+
 class Chunk:
-    """The words of some texts as numbers, with their languages."""
-
-    def __init__(self, texts: list[str], langs: list[str]):
-        index: dict[bytes, int] = {_END: 0}
-        parts = []
-        for text in texts:
-            words = pieces(text)
-            for w in set(words):
-                index.setdefault(w, len(index))
-            parts.append(np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)))
-        self.words = list(index)
-        self.names = sorted(set(langs))
-        number = {name: i for i, name in enumerate(self.names)}
-        self.codes = np.concatenate(parts)
-        self.lang = np.repeat(np.array([number[x] for x in langs], dtype=np.int64), [len(p) for p in parts])
+    """The words of some texts: where they stand, their pieces and languages, and a 64-bit hash of each."""
+
+    def __init__(self, texts: pa.Array, langs: pa.Array):
+        self.raw, starts = bytes_of(texts)
+        n = len(self.raw)
+        inside = np.zeros(n + 2, dtype=bool)
+        inside[1:-1] = (self.raw != 32) & (self.raw != _END)
+        begins = inside[1:-1] & ~inside[:-2]
+        ends = inside[1:-1] & ~inside[2:]
+        edge = starts[(starts > 0) & (starts < n)]  # words don't run across texts
+        begins[edge] = inside[edge + 1]
+        ends[edge - 1] = inside[edge]
+        self.at = np.flatnonzero(begins)
+        self.size = np.flatnonzero(ends) + 1 - self.at
+        doc = np.searchsorted(starts, self.at, side="right") - 1
+        # Both numbers never fall, so their sum tells pieces apart.
+        self.piece = np.searchsorted(np.flatnonzero(self.raw == _END), self.at) + doc
+        names = langs.dictionary_encode()
+        self.names = [x.encode("utf-8", "surrogatepass") for x in names.dictionary.to_pylist()]
+        self.lang = names.indices.to_numpy(zero_copy_only=False)[doc] if len(doc) else doc
+        self.hash = self.word_hashes()
+
+    def word_hashes(self) -> np.ndarray:
+        h = np.zeros(len(self.at), dtype=np.uint64)
+        left = np.flatnonzero(self.size <= LONG_WORD)
+        j = 0
+        with np.errstate(over="ignore"):
+            while len(left):
+                h[left] = (h[left] + self.raw[self.at[left] + j].astype(np.uint64) + np.uint64(1)) * _MUL
+                j += 1
+                left = left[self.size[left] > j]
+            h = mix64(h + self.size.astype(np.uint64))
+        for i in np.flatnonzero(self.size > LONG_WORD):
+            h[i] = text_key(self.raw[self.at[i] : self.at[i] + self.size[i]].tobytes())
+        return h
+
+    def grams(self, k: int) -> np.ndarray:
+        """Where k words of one piece begin."""
+        return np.flatnonzero(self.piece[k - 1 :] == self.piece[: len(self.piece) - k + 1]) if len(self.at) >= k else np.zeros(0, dtype=np.int64)
+
+    def keys(self, first: np.ndarray, k: int) -> np.ndarray:
+        """Of the grams of k words that begin there: their languages and words."""
+        keys = np.array([text_key(x) for x in self.names], dtype=np.uint64)[self.lang[first]]
+        for j in range(k):
+            keys = roll(keys, self.hash[first + j])
+        return keys
 
     def candidates(self, k: int, frequent: GramFilter | None) -> np.ndarray:
         """Where k words of one piece begin whose (k-1)-grams pass the filter."""
-        n = len(self.codes)
-        if n < k:
-            return np.zeros(0, dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(self.codes == 0)])
-        inside = ends[k:] == ends[:-k]
         if k == 1:
-            return np.flatnonzero(inside)
-        by_word = np.fromiter(map(word_key, self.words), dtype=np.uint64, count=len(self.words))
-        by_lang = np.array([word_key(x.encode("utf-8", "surrogatepass")) for x in self.names], dtype=np.uint64)
-        some = np.flatnonzero(ends[k - 1 :] == ends[: -(k - 1)])
-        keys = by_lang[self.lang[some]]
-        for j in range(k - 1):
-            keys = roll(keys, by_word[self.codes[some + j]])
-        passed = np.zeros(n + 1, dtype=bool)
-        passed[some] = frequent.passes(keys)
-        return np.flatnonzero(inside & passed[: n - k + 1] & passed[1 : n - k + 2])
+            return self.grams(1)
+        some = self.grams(k - 1)
+        passed = np.zeros(len(self.at) + 1, dtype=bool)
+        passed[some] = frequent.passes(self.keys(some, k - 1))
+        every = self.grams(k)
+        return every[passed[every] & passed[every + 1]]
 
     def counts(self, at: np.ndarray, k: int) -> pa.RecordBatch:
         """lang, phrase, f of the distinct phrases of k words that begin there."""
-        ids, first, f = self.lang[at], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for j in range(k):  # ids stay below the number of places, so no product overflows
-            _, first, ids, f = np.unique(ids * len(self.words) + self.codes[at + j], return_index=True, return_inverse=True, return_counts=True)
-        begin = at[first]
-        words = pa.array([w.decode("utf-8", "surrogatepass") if i else "" for i, w in enumerate(self.words)])
-        columns = [words.take(pa.array(self.codes[begin + j])) for j in range(k)]
-        phrase = columns[0] if k == 1 else pc.binary_join_element_wise(*columns, " ")
-        return pa.RecordBatch.from_arrays([pa.array(self.names).take(pa.array(self.lang[begin])), phrase, pa.array(f.astype(np.int64))], names=["lang", "phrase", "f"])
+        _, first, f = np.unique(self.keys(at, k), return_index=True, return_counts=True)
+        words = at[first][:, None] + np.arange(k)
+        # Between the words of a piece stands a space, so each but the last is taken with the byte behind it.
+        sizes = self.size[words] + (np.arange(k) < k - 1)
+        ends = np.cumsum(sizes.ravel())
+        data = self.raw[np.arange(ends[-1]) + np.repeat(self.at[words].ravel() - (ends - sizes.ravel()), sizes.ravel())]
+        offsets = np.concatenate([np.zeros(1, dtype=np.int64), ends[k - 1 :: k]])
+        phrase = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.string())
+        lang = pa.array([x.decode("utf-8", "surrogatepass") for x in self.names]).take(pa.array(self.lang[at[first]]))
+        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(f.astype(np.int64))], names=["lang", "phrase", "f"])
+
+
+def pieces_of(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(texts, langs) of consecutive rows of about so many bytes together; a longer text stands alone."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(batch):
+        done = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + most, side="right")))
+        yield batch.column(1).slice(begin, end - begin), batch.column(0).slice(begin, end - begin)
+        begin = end
 
 
 def count_level(docs: DataFrame, k: int, frequent: Broadcast | None) -> DataFrame:
@@ -152,8 +190,8 @@ def count_level(docs: DataFrame, k: int, frequent: Broadcast | None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = frequent.value if frequent else None
         for batch in batches:
-            for begin, texts in chunks_of(batch.column(1), CHUNK):
-                chunk = Chunk(texts, batch.column(0).slice(begin, len(texts)).to_pylist())
+            for texts, langs in pieces_of(batch, CHUNK):
+                chunk = Chunk(texts, langs)
                 at = chunk.candidates(k, held)
                 if len(at):
                     yield chunk.counts(at, k)
