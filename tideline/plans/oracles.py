@@ -321,7 +321,7 @@ SELECT shipments, resolved, least(shipments - resolved, 50) AS batch, greatest(0
     "shipment_ids_by_type": f"{BASE} SELECT logistic_type, row_number() OVER (PARTITION BY logistic_type ORDER BY shipment_id) AS place, shipment_id FROM sh",
     "refresh_known_window": f"""{BASE} {REFRESHED}, r AS (SELECT ref.id, row_number() OVER (ORDER BY dc DESC, ref.id) - 1 AS position, ref.id IN (SELECT id FROM base) AS known FROM ref JOIN o USING (k)),
 x AS (SELECT *, sum(CAST(known AS INTEGER)) OVER (ORDER BY position) AS seen FROM r), e AS (SELECT (position // 50 + 1) * 50 AS stop FROM x WHERE known AND seen = 250)
-SELECT id, position, known FROM r WHERE position < coalesce((SELECT max(stop) FROM e), 1 << 60)""",
+SELECT id, position, known FROM r WHERE position < coalesce((SELECT max(stop) FROM e), 1000000000000)""",
     "merge_refresh": f"""{BASE} {REFRESHED}, m AS (SELECT * FROM ref UNION ALL SELECT * FROM base WHERE id NOT IN (SELECT id FROM ref)) SELECT status, count(*) AS orders, round(sum(total), 2) AS amount FROM m GROUP BY 1""",
     "merge_counters": f"""{BASE} {REFRESHED} SELECT count(*) FILTER (WHERE base.id IS NULL) AS "new", count(*) FILTER (WHERE base.total <> ref.total) AS changed, count(*) FILTER (WHERE base.total = ref.total) AS same FROM ref LEFT JOIN base USING (id)""",
     "merge_upsert": f"""{BASE}, m AS (SELECT logistic_type, CASE WHEN CAST(shipment_id AS BIGINT) % 14 = 0 THEN 9.5 ELSE custo_frete END AS c FROM sh) SELECT logistic_type, count(*) AS shipments, count(c) AS known, round(coalesce(sum(c), 0), 2) AS cost FROM m GROUP BY 1""",
