@@ -127,7 +127,7 @@ def near_duplicates(
     owners = sets.select("set_id", "own.id", "own.content")
     placed = sets.select("set_id", "n", F.explode("keys").alias("bucket"))
     make = lambda wanted: full_sets(docs, wanted.join(owners, "set_id"), words, id_col, text_col, ascii_only=True)
-    comps, _ = linked_sets(placed, sets.select("set_id", "n"), make, threshold, scratch)
+    comps, _, _ = linked_sets(placed, sets.select("set_id", "n"), make, threshold, scratch)
 
     members = sets.select("set_id", "own", "copies").join(comps, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     tops = members.groupBy("comp").agg(F.min("own").alias("top"), F.count(F.lit(1)).alias("of"))

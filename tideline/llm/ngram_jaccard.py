@@ -13,8 +13,9 @@ a bucket, and pairs are verified on the full sets:
    these n-grams, with hubs of their own first), or come close enough by the hub's alone.
    What these leave open is compared bucket by bucket, in blocks, so nothing that banding
    proposes stays undecided, and no pair without a link becomes a row;
-4. inside a component all pairs are counted by block products of membership matrices, which
-   gives each document its number of links without a row per pair.
+4. inside a component all pairs are counted by block products of membership matrices over what
+   tells its sets from one of them, which gives each document its number of links without a row
+   per pair.
 """
 
 from __future__ import annotations
@@ -217,9 +218,11 @@ def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components not final after {most} rounds")
 
 
-def similarities(grams: pd.Series) -> np.ndarray:
-    """The Jaccard similarity of all pairs of a block of sets, by products of membership matrices."""
+def common_counts(grams: pd.Series) -> np.ndarray:
+    """How many elements all pairs of a block of sets have in common, by products of membership matrices."""
     lengths = np.array([len(g) for g in grams])
+    if not lengths.sum():
+        return np.zeros((len(grams), len(grams)))
     flat = np.concatenate([np.asarray(g, dtype=np.int64) for g in grams])
     owner = np.repeat(np.arange(len(grams)), lengths)
     distinct, column = np.unique(flat, return_inverse=True)
@@ -235,20 +238,29 @@ def similarities(grams: pd.Series) -> np.ndarray:
             block = np.zeros((len(grams), width), dtype=np.float32)
             block[owner[i:j], column[i:j] - low] = 1
             common += block @ block.T
-    return common / (lengths[:, None] + lengths[None, :] - common)
+    return common
+
+
+def jaccard(common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return common / (sizes[:, None] + sizes[None, :] - common)
 
 
 def count_block_links(members: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between the sets of two blocks, or within one: set_id and the documents it is linked to there."""
+    """Links between the sets of two blocks, or within one: set_id and the documents it is linked to there.
+
+    Of sets x and y with what tells them from their component's base, |x & y| is the base less
+    what x lacks of it and what y lacks, plus what their differences have in common.
+    """
     found = []
     for _, part in members.groupby("comp", sort=False):
-        sizes = part["copies"].to_numpy()
-        linked = similarities(part["grams"]) >= threshold
+        copies, lacks = part["copies"].to_numpy(), part["lacks"].to_numpy()
+        common = part["base_n"].to_numpy()[0] - lacks[:, None] - lacks[None, :] + common_counts(part["unlike"])
+        linked = jaccard(common, part["n"].to_numpy()) >= threshold
         np.fill_diagonal(linked, False)
         side = part["block"].to_numpy()
         if (side != side[0]).any():
             linked &= side[:, None] != side[None, :]
-        found.append(pd.DataFrame({"set_id": part["set_id"].to_numpy(), "linked": (linked * sizes[None, :]).sum(axis=1)}))
+        found.append(pd.DataFrame({"set_id": part["set_id"].to_numpy(), "linked": (linked * copies[None, :]).sum(axis=1)}))
     return pd.concat(found, ignore_index=True)
 
 
@@ -257,21 +269,22 @@ def block_bridges(members: pd.DataFrame, threshold: float) -> pd.DataFrame:
     found = []
     for _, part in members.groupby("bucket", sort=False):
         ids, (comp, _) = part["set_id"].to_numpy(), pd.factorize(part["comp"])
-        i, j = np.nonzero(np.triu((similarities(part["grams"]) >= threshold) & (comp[:, None] != comp[None, :])))
+        alike = jaccard(common_counts(part["grams"]), part["grams"].map(len).to_numpy()) >= threshold
+        i, j = np.nonzero(np.triu(alike & (comp[:, None] != comp[None, :])))
         pair = np.minimum(comp[i], comp[j]) * len(part) + np.maximum(comp[i], comp[j])
         _, first = np.unique(pair, return_index=True)
         found.append(pd.DataFrame({"a": ids[i[first]], "b": ids[j[first]]}))
     return pd.concat(found, ignore_index=True)
 
 
-def in_blocks(rows: DataFrame, group: str, sets: DataFrame) -> DataFrame:
-    """rows with shard, block and grams: a shard has two blocks of a large group, or some small groups whole. rows: set_id, group, of (its sets)."""
+def in_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """rows with shard and block: a shard has two blocks of a large group, or some small groups whole. rows: set_id, group, of (its sets)."""
     dealt = rows.withColumn("blocks", F.ceil(F.col("of") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     small = max(1, rows.count() // GROUP_SETS)
     shard = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(small))).otherwise(F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")))
-    return dealt.withColumn("shard", shard).drop("blocks", "other", "of").join(sets, "set_id")
+    return dealt.withColumn("shard", shard).drop("blocks", "other", "of")
 
 
 def close_by_sketch(sketches: np.ndarray, threshold: float) -> np.ndarray:
@@ -298,10 +311,20 @@ def pairs_by_sketch(members: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat(found, ignore_index=True)
 
 
-def links_inside(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """set_id, linked: documents of other sets of its component within the threshold. members: set_id, comp, copies, of (sets in the component)."""
+def links_inside(members: DataFrame, sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """set_id, linked: documents of other sets of its component within the threshold. members: set_id, comp, copies, n, of (sets in the component).
+
+    Sets are compared by their differences from the component's base, its set with the most
+    links, so near copies are sent around as the few n-grams in which they differ.
+    """
     run = lambda part: count_block_links(part, threshold)
-    counted = in_blocks(members, "comp", sets.select("set_id", "grams")).groupBy("shard").applyInPandas(run, "set_id binary, linked long")
+    degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("degree"))
+    bases = members.select("set_id", "comp").join(degree, "set_id").groupBy("comp").agg(F.max(F.struct("degree", "set_id"))["set_id"].alias("base"), F.count(F.lit(1)).alias("held"))
+    bases = bases.join(sets.select(F.col("set_id").alias("base"), F.col("grams").alias("base_grams")), "base").drop("base")
+    own = hot_join(members.join(sets.select("set_id", "grams"), "set_id"), bases, "comp", "held", HOT_HUBS, members.count())
+    lacks = F.array_except("base_grams", "grams")
+    own = own.select("set_id", "comp", "copies", "n", "of", F.size("base_grams").alias("base_n"), F.size(lacks).alias("lacks"), F.concat(lacks, F.array_except("grams", "base_grams")).alias("unlike"))
+    counted = in_blocks(own, "comp").groupBy("shard").applyInPandas(run, "set_id binary, linked long")
     return counted.groupBy("set_id").agg(F.sum("linked").alias("linked"))
 
 
@@ -313,7 +336,7 @@ def bridges(state: DataFrame, sets: DataFrame, threshold: float, scratch: Scratc
     compared without a row for each pair.
     """
     near = lambda part: pairs_by_sketch(part, threshold)
-    blocks = in_blocks(state, "bucket", sets.select("set_id", "sketch")).select("shard", "bucket", "set_id", "comp", "sketch")
+    blocks = in_blocks(state.join(sets.select("set_id", "sketch"), "set_id"), "bucket").select("shard", "bucket", "set_id", "comp", "sketch")
     found = scratch.save(blocks.groupBy("shard").applyInPandas(near, "a binary, b binary, bucket long, comp binary, shard long"), "close pairs")
     few = found.where("b is not null").select("a", "b").distinct()
     links = verified(few, sets).where(F.col("similarity") >= threshold).select("a", "b")
@@ -374,7 +397,7 @@ def beside_hub(opened: DataFrame, grams: DataFrame, threshold: float, scratch: S
     All other linked pairs share at least c = t * |x| - |x & h| such n-grams, so in any fixed
     order one of the first |x - h| - c + 1 of them: no more than that prefix is indexed. Rare
     n-grams come first, so a passage that many texts share brings together only those that
-    have little else.
+    have little else. Of buckets that hold the same sets one stands for all.
     """
     need = F.ceil(F.col("na") * (threshold - EPSILON))
     prefix = F.when(need - F.col("common") > 1, F.col("na") - need + 1).otherwise(F.col("na") - F.col("common"))
@@ -386,12 +409,14 @@ def beside_hub(opened: DataFrame, grams: DataFrame, threshold: float, scratch: S
     rows = hot_join(rows, often, "gram", "held").withColumn("rank", rank).where("rank <= prefix")
     rows = rows.select(F.xxhash64("b", "gram").alias("bucket"), F.col("a").alias("set_id"), F.col("na").alias("n"), "comp")
     rows = scratch.save(rows, "prefixes")
-    mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket", "members")
-    return rows.join(mixed, "bucket")
+    same = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"sets{k}") for k in (1, 2)]
+    mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), *same).where("c0 <> c1")
+    mixed = mixed.groupBy("sets1", "sets2", "members").agg(F.min("bucket").alias("bucket"))
+    return rows.join(mixed.select("bucket", "members"), "bucket")
 
 
-def linked_sets(placed: DataFrame, sizes: DataFrame, make_grams: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """set_id, comp of all sets with links, and set_id, grams: steps 1 to 3 over any buckets of candidates.
+def linked_sets(placed: DataFrame, sizes: DataFrame, make_grams: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """set_id, comp of all sets with links, set_id, grams, and the links found (a, b): steps 1 to 3 over any buckets of candidates.
 
     placed: set_id, n, bucket. sizes: set_id, n. make_grams: set_id, grams for the wanted set_id.
     """
@@ -422,12 +447,13 @@ def linked_sets(placed: DataFrame, sizes: DataFrame, make_grams: Callable[[DataF
     state = scratch.save(hot_join(state, mixed, "bucket", "held"), "left-open")
     more = scratch.save(bridges(state, grams, threshold, scratch), "last-pairs")
     if more.limit(1).count():
-        comps = components(links.union(more), scratch)
-    return comps, grams
+        links = links.union(more)
+        comps = components(links, scratch)
+    return comps, grams, links
 
 
-def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_col: str, text_col: str) -> DataFrame:
-    """id, content, class_id, n_links, n, rep_id, first: of each row; first: whether (id, content) is the first of its class."""
+def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_col: str, text_col: str, count: bool = True) -> DataFrame:
+    """id, content, class_id, n_links (null unless they are to be counted), n, rep_id, first: of each row; first: whether (id, content) is the first of its class."""
     scratch = Scratch(docs.sparkSession, "ngram-jaccard")
     bands, rows = bands_for(threshold, recall)
     signed = scratch.save(signatures(docs, bands, rows, words, id_col, text_col), "signatures")
@@ -439,15 +465,15 @@ def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_
     placed = reps.select("set_id", "n", F.explode("bands").alias("bucket"))
     owners = reps.select("set_id", "own.id", "own.content")
     make = lambda wanted: full_sets(docs, wanted.join(owners, "set_id"), words, id_col, text_col)
-    comps, grams = linked_sets(placed, reps.select("set_id", "n"), make, threshold, scratch)
+    comps, grams, links = linked_sets(placed, reps.select("set_id", "n"), make, threshold, scratch)
 
-    members = reps.select("set_id", "own", "copies").join(comps, "set_id")
+    members = reps.select("set_id", "own", "copies", "n").join(comps, "set_id")
     whole = members.groupBy("comp").agg(F.min("own").alias("top"), F.count(F.lit(1)).alias("of"))
     members = scratch.save(members.drop("own").join(whole, "comp"), "members")
-    inside = links_inside(members.select("set_id", "comp", "copies", "of"), grams, threshold)
-    known = members.select("set_id", "top").join(inside, "set_id", "left")
+    known = members.select("set_id", "top")
+    known = known.join(links_inside(members.drop("top"), grams, links, threshold), "set_id", "left") if count else known.withColumn("linked", F.lit(None).cast("long"))
     facts = reps.select("set_id", "rep_id", "own", "copies").join(known, "set_id", "left")
-    facts = facts.select("set_id", "rep_id", F.coalesce("top", "own").alias("top"), "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    facts = facts.select("set_id", "rep_id", F.coalesce("top", "own").alias("top"), "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1 if count else F.col("linked")).alias("n_links"))
     facts = scratch.save(facts, "facts")
     scratch.keep("signatures", "facts")
 
@@ -483,6 +509,6 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     Rows are told apart by id and text, so rows with one id and different texts are judged each
     by itself; rows that repeat both stay together.
     """
-    found = classified(docs, threshold, WORDS, RECALL, id_col, text_col)
+    found = classified(docs, threshold, WORDS, RECALL, id_col, text_col, count=False)
     gone = found.where(~F.col("first")).select(F.col("id").alias("__id"), F.col("content").alias("__content")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (content_hash(docs[text_col]) == gone["__content"]), "left_anti")
