@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.places import numbered
+
 from .common import Scratch, small_join, uniform_from_hash
 
 #: Means above this are split into equal parts.
@@ -72,20 +74,40 @@ def mix(
     """Every document as often as its Poisson number says, in one global random order.
 
     Adds copy (0, 1, ...) and shuffle_key, in place of input columns of these names; sorted by
-    shuffle_key the rows are in the global order, and each output partition is sorted so. The same rows give the same copies; rows
-    with the same id get the same number. A document without id hashes as one of its own.
+    shuffle_key the rows are in the global order, and each output partition is sorted so. The
+    same rows give the same copies. Rows with the same id get the same number. Rows without id
+    are told apart by their contents, and equal ones by a number among them, so each of them
+    has a number of its own. Null texts and empty ones are documents like others; a null source
+    is a source of its own. An empty table gives no rows.
     """
-    docs = docs.drop("copy", "shuffle_key")
+    columns = docs.drop("copy", "shuffle_key").columns
+    docs = keyed(docs.select(*columns), id_col)
     table = poisson_table(source_rates(docs, weights, total, source_col))
     table = table.select(F.col("source").alias("__src"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    held = small_join(docs.withColumn("__src", F.col(source_col)), table, "__src", F.col(id_col))
-    chances = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda i: uniform_from_hash(F.lit(seed), F.col(id_col), i))
+    held = small_join(docs.withColumn("__src", F.col(source_col)), table, "__src", F.col("__own"))
+    chances = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda i: uniform_from_hash(F.lit(seed), F.col("__own"), i))
     below = lambda u: F.size(F.filter("__cdf", lambda c: c < u))
     number = F.aggregate("__chances", F.lit(0), lambda acc, u: acc + below(u))
     held = held.withColumn("__chances", chances)
     held = held.withColumn("__n", number).where("__n > 0")
-    held = held.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col("copy").cast("string")))
-    held = held.withColumn("shuffle_key", key)
+    held = held.select(*columns, "__own", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("copy"))
+    key = F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), "__own", F.col("copy").cast("string")))
+    held = held.withColumn("shuffle_key", key).drop("__own")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return held.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def keyed(docs: DataFrame, id_col: str) -> DataFrame:
+    """Adds __own, what a row's numbers are hashed from: its id; without one its contents and its number among equal rows.
+
+    Equal rows are exchangeable, so they are numbered in whatever order they stand, by ranges:
+    a table of one text without ids is numbered by all tasks.
+    """
+    found = docs.withColumn("__own", F.col(id_col).cast("string"))
+    without = docs.where(F.col(id_col).isNull())
+    if not without.limit(1).count():
+        return found
+    same = without.withColumn("__same", F.xxhash64(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))).withColumn("__row", F.monotonically_increasing_id())
+    twins = numbered(same, [F.asc("__row")], ["__same"], "__twin")
+    own = twins.withColumn("__own", F.concat_ws(":", F.lit("~"), F.col("__same").cast("string"), F.col("__twin").cast("string")))
+    return found.where(F.col(id_col).isNotNull()).unionByName(own.drop("__same", "__row", "__twin"))
