@@ -72,6 +72,29 @@ def test_mixing_edges(docs):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs, {}).count() == 0
 
 
+def test_rows_without_id_have_numbers_of_their_own(spark):
+    one = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("s").alias("source"))
+    mixed = one.union(one.limit(2000).withColumn("text", F.uuid())).union(spark.range(500).select("id", F.lit("x"), F.lit(None)))
+    for seed in range(1, 7):
+        out = mixing.mix(one, total=5_000, seed=seed)
+        assert abs(out.count() - 5_000) < 250 and out.columns == ["doc_id", "text", "source", "copy", "shuffle_key"]
+    out = mixing.mix(mixed, total=7_500, seed=3)
+    assert abs(out.count() - 7_500) < 400 and out.select("shuffle_key").distinct().count() == out.count()
+    assert sorted(map(str, mixing.mix(mixed.repartition(3), total=7_500, seed=3).collect())) == sorted(map(str, out.collect()))
+
+
+def test_pieces_of_copies_are_told_apart_and_shuffled(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of a text "), F.col("id")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    mixed = corpus_pipeline.source_mix(spark, docs, SMALL).union(docs.limit(50)).union(docs.limit(50))
+    pieces = corpus_pipeline.packing(spark, mixed, SMALL).collect()
+    assert len({(p.doc_row, p.start) for p in pieces}) == len(pieces) > len({(p.doc_id, p.start) for p in pieces})
+    longest = [p.doc_id for p in pieces if p.length == max(q.length for q in pieces)]
+    near = sum(abs(a - b) < 300 for a, b in zip(longest, longest[1:], strict=False)) / len(longest)
+    assert near < 0.3  # a fifth of random pairs lie so close
+    order = [(p.doc_row, p.start) for p in pieces]
+    assert sum(a[0] == b[0] for a, b in zip(order, order[1:], strict=False)) < 0.05 * len(order)
+
+
 def test_dedup_keeps_one_of_repeated_rows(docs):
     kept = exact_dedup.drop_exact_copies(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 1").count() == 1

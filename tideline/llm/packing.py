@@ -3,7 +3,8 @@
 A document's token ids are cut into pieces whose lengths are powers of two: as many of the
 longest as fit, then the binary digits of the rest. Each piece is a sequence by itself, so
 no sequence holds two documents and none is padded; sequences of one length form a bucket,
-from which batches of one shape are drawn. Rows leave each task sorted by bucket.
+from which batches of one shape are drawn. Rows leave each task sorted by bucket, and within a
+bucket in random order, so that pieces of one document don't follow each other.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ ADDED = ("<|startoftext|>", "<|endoftext|>")
 #: Words that normalisation does no more to than to lower their case.
 PLAIN = regex.compile(r"[\x21-\x7E¡-ÿ]+")
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_row long, doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -137,11 +138,12 @@ def binary_lengths(tokens: int, longest: int = SEQUENCE_TOKENS) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), bucket, sequence_id, offset.
+    """One row per piece: doc_row, doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), bucket, sequence_id, offset.
 
     longest is a power of two. A null or empty text is packed as its end id alone, so each
     row gives a piece at least; repeated rows and rows without id are packed like others,
-    each by itself. sequence_id is unique; other columns of the input are ignored.
+    each by itself, and doc_row tells them apart: it is unique to the input's row. sequence_id
+    is unique; other columns of the input are ignored.
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest has to be a power of two")
@@ -149,24 +151,24 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE_TOKENS, i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = encoder(tokenizer_path)
         for batch in batches:
-            for begin, texts in chunks_of(batch.column(1), 2_000_000):
-                ids = batch.column(0).slice(begin, len(texts)).to_pylist()
+            for begin, texts in chunks_of(batch.column(2), 2_000_000):
+                docs_of, ids = (batch.column(c).slice(begin, len(texts)).to_pylist() for c in (0, 1))
                 tokens, starts = by.encode(texts)
                 rows: list[tuple] = []
                 for k in range(len(texts)):
                     own = np.append(tokens[starts[k] : starts[k + 1]], np.uint32(END_ID)).astype("<u4")
                     at = 0
                     for n in binary_lengths(len(own), longest):
-                        rows.append((ids[k], at, n, len(own), own[at : at + n].tobytes()))
+                        rows.append((docs_of[k], ids[k], at, n, len(own), own[at : at + n].tobytes()))
                         at += n
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)],
-                    names=["doc_id", "start", "length", "doc_tokens", "ids"],
+                    [pa.array(c, type=t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.binary()], strict=True)],
+                    names=["doc_row", "doc_id", "start", "length", "doc_tokens", "ids"],
                 )
         if len(by.coder.words) > IDLE_WORDS:
             by.clear()
 
-    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(frugal(cut), PIECES)
-    pieces = pieces.withColumn("bucket", F.log2(F.col("length")).cast("int")).sortWithinPartitions(F.desc("length"))
+    pieces = docs.select(F.monotonically_increasing_id(), F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(frugal(cut), PIECES)
+    pieces = pieces.withColumn("bucket", F.log2(F.col("length")).cast("int")).sortWithinPartitions(F.desc("length"), F.xxhash64("doc_row", "start"))
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
