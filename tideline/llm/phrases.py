@@ -32,7 +32,9 @@ UNKNOWN = "und"
 FILTER_BITS = 27
 BITS_A_GRAM = 16
 #: Bytes of text that are counted at once.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
+#: Phrases that a worker hands on at once.
+PHRASES = 1 << 17
 SEED = 77
 
 #: Words of more bytes are hashed one by one.
@@ -159,18 +161,20 @@ class Chunk:
         every = self.grams(k)
         return every[passed[every] & passed[every + 1]]
 
-    def counts(self, at: np.ndarray, k: int) -> pa.RecordBatch:
+    def counts(self, at: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
         """lang, phrase, f of the distinct phrases of k words that begin there."""
-        _, first, f = np.unique(self.keys(at, k), return_index=True, return_counts=True)
-        words = at[first][:, None] + np.arange(k)
-        # Between the words of a piece stands a space, so each but the last is taken with the byte behind it.
-        sizes = self.size[words] + (np.arange(k) < k - 1)
-        ends = np.cumsum(sizes.ravel())
-        data = self.raw[np.arange(ends[-1]) + np.repeat(self.at[words].ravel() - (ends - sizes.ravel()), sizes.ravel())]
-        offsets = np.concatenate([np.zeros(1, dtype=np.int64), ends[k - 1 :: k]])
-        phrase = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.string())
-        lang = pa.array([x.decode("utf-8", "surrogatepass") for x in self.names]).take(pa.array(self.lang[at[first]]))
-        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(f.astype(np.int64))], names=["lang", "phrase", "f"])
+        _, every, f = np.unique(self.keys(at, k), return_index=True, return_counts=True)
+        langs = pa.array([x.decode("utf-8", "surrogatepass") for x in self.names])
+        for i in range(0, len(every), PHRASES):
+            first = at[every[i : i + PHRASES]]
+            words = (first[:, None] + np.arange(k)).ravel()
+            # Between the words of a piece stands a space, so each but the last is taken with the byte behind it.
+            sizes = self.size[words] + np.tile(np.arange(k) < k - 1, len(first))
+            ends = np.cumsum(sizes)
+            data = self.raw[np.arange(ends[-1]) + np.repeat(self.at[words] - (ends - sizes), sizes)]
+            offsets = np.concatenate([np.zeros(1, dtype=np.int64), ends[k - 1 :: k]])
+            phrase = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(self.lang[first])), phrase, pa.array(f[i : i + PHRASES].astype(np.int64))], names=["lang", "phrase", "f"])
 
 
 def pieces_of(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -194,7 +198,7 @@ def count_level(docs: DataFrame, k: int, frequent: Broadcast | None) -> DataFram
                 chunk = Chunk(texts, langs)
                 at = chunk.candidates(k, held)
                 if len(at):
-                    yield chunk.counts(at, k)
+                    yield from chunk.counts(at, k)
 
     return docs.mapInArrow(frugal(run), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
