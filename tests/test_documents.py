@@ -76,3 +76,28 @@ def test_callers_functions(spark):
     cancelled = spark.createDataFrame([(("g", "c1", "text"), 1.0, 1, "a"), (("g", "c2", "text"), 1.0, 2, "b"), (("g", "c3", None), 1.0, 3, "c")], "cancel_detail struct<`group`:string,code:string,description:string>, total_amount double, ordinal long, id string")
     label = lambda code: F.when(code == "c1", "label").when(code == "c2", "")
     assert {r.code: r.description for r in sales.cancel_reasons(cancelled, label).collect()} == {"c1": "label", "c2": "text", "c3": "Sem descricao"}
+
+
+def test_calendar_columns_are_those_of_the_periods(spark):
+    from datetime import timedelta
+
+    from tideline.plans.periods import so_far_and_before
+
+    days = [date(2023, 12, 20) + timedelta(days=i) for i in range(460)]
+    week, month = dates.elapsed_before("d", "week"), dates.elapsed_before("d", "month")
+    rows = spark.createDataFrame([(d,) for d in days], "d date").select("d", dates.monday_of("d").alias("m"), dates.month_bounds("d").alias("b"), dates.month_before("d").alias("p"), dates.weekday("d").alias("w"), week.alias("week"), month.alias("month")).collect()
+    for r in rows:
+        for unit, found in (("week", r.week), ("month", r.month)):
+            now, before = so_far_and_before(r.d, unit)
+            assert (found["first"], found["last"]) == (before.start, before.end) and now.start == (r.m if unit == "week" else r.b["first"])
+        assert r.w == r.d.isoweekday() % 7 and (r.b["last"] + timedelta(days=1)).day == 1 and r.p == (r.b["first"] - timedelta(days=1)).replace(day=1)
+
+
+def test_strict_instants(spark):
+    from tideline.plans.periods import parse_instant
+
+    good = ["2026-08-05T13:29:00Z", "2026-08-05T13:29-03:00", "2026-08-05T13:29:00.1+05:30"]
+    bad = ["2026-08-05", "2026-08-05T13:29:00", "2026-13-05T13:29:00Z", "2026-08-05 13:29:00Z", "20260805T132900Z", "", "2026-08-05T13:29:00.1234Z", None, "2026-08-05T25:00:00Z"]
+    rows = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", dates.is_iso_instant("t").alias("ok")).collect()
+    assert {r.t for r in rows if r.ok} == set(good)
+    assert all(parse_instant(t) for t in good) and not any(parse_instant(t) for t in bad)

@@ -77,3 +77,39 @@ def weeks_between(a: Column, b: Column) -> Column:
 def valid_day(text: str | Column) -> Column:
     """YYYY-MM-DD that exists in the calendar."""
     return F.coalesce(col(text).rlike(r"^\d{4}-\d{2}-\d{2}$") & col(text).try_cast("date").isNotNull(), F.lit(False))
+
+
+def is_iso_instant(text: str | Column) -> Column:
+    """A strict ISO instant: day, T, time (seconds and up to three decimals may follow), Z or an offset; and one that exists."""
+    form = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2})?(\.\d{1,3})?(Z|[+-]\d{2}:\d{2})$"
+    whole = F.regexp_replace(col(text), r"^(.{13}:\d{2})(Z|[+-])", "$1:00$2")  # seconds are read only where they stand
+    return F.coalesce(col(text).rlike(form) & instant(whole).isNotNull(), F.lit(False))
+
+
+def monday_of(day: str | Column) -> Column:
+    """The Monday of the day's week; a Sunday belongs to the week that began six days before."""
+    return F.trunc(col(day), "week")
+
+
+def month_bounds(day: str | Column) -> Column:
+    """struct(first, last): of the day's calendar month."""
+    return F.struct(F.trunc(col(day), "month").alias("first"), F.last_day(col(day)).alias("last"))
+
+
+def month_before(day: str | Column) -> Column:
+    """The first day of the calendar month before the day's."""
+    return F.add_months(F.trunc(col(day), "month"), -1)
+
+
+def weekday(day: str | Column) -> Column:
+    """0 for Sunday to 6 for Saturday."""
+    return F.dayofweek(col(day)) - 1
+
+
+def elapsed_before(day: str | Column, unit: str) -> Column:
+    """struct(first, last): as much of the unit before (week or month) as has gone by of the day's own."""
+    if unit == "week":
+        first = F.date_sub(monday_of(day), 7)
+        return F.struct(first.alias("first"), F.date_add(first, weekday(F.date_sub(col(day), 1))).alias("last"))
+    first = month_before(day)
+    return F.struct(first.alias("first"), F.least(F.date_add(first, F.dayofmonth(col(day)) - 1), F.last_day(first)).alias("last"))

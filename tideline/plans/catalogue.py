@@ -144,6 +144,15 @@ def day_bounds(s: SparkSession, d: str) -> DataFrame:
     return days.select("civil_date", start.alias("start_ms"), end.alias("end_ms"), ((end - start + 1) / 3_600_000).cast("int").alias("hours"))
 
 
+def calendar_of_sales(s: SparkSession, d: str) -> DataFrame:
+    """Sales by the Monday of their week, with the calendar that comparisons of that week use."""
+    rows = sales.sales_in(star.order_heads(s, d), *NOW).select(dates.monday_of("civil_date").alias("monday"), "civil_date", sales.paid().alias("amount"))
+    weeks = rows.groupBy("monday").agg(F.count(F.lit(1)).alias("orders"), margin.total("amount").alias("amount"), F.max("civil_date").alias("newest"))
+    month, week, before = dates.month_bounds("newest"), dates.elapsed_before("newest", "week"), dates.elapsed_before("newest", "month")
+    return shown(weeks.select("monday", "orders", "amount", "newest", dates.weekday("newest").alias("weekday"), month["first"].alias("month_first"), month["last"].alias("month_last"), dates.month_before("newest").alias("month_before"),
+                              week["first"].alias("week_before_first"), week["last"].alias("week_before_last"), before["last"].alias("month_before_last")))
+
+
 def consolidated_by_group(s: SparkSession, d: str) -> DataFrame:
     """The consolidated view with a caller's own stock of a group: what its active listings have."""
     own = lambda: F.coalesce(F.sum(F.when(F.col("status") == "active", F.greatest(F.col("available_quantity"), F.lit(0.0)))), F.lit(0.0))
@@ -224,6 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_ranking_margin": answered("sales_ranking", "margin", periods.Period(*NOW), rank_by="margin", limit=20),
     "document_ranking_units": answered("sales_ranking", "units", periods.Period(*NOW), rank_by="units", limit=3),
     "day_bounds": day_bounds,
+    "calendar_of_sales": calendar_of_sales,
     "consolidated_by_group": consolidated_by_group,
     "cancel_labels": cancel_labels,
     "cost_rule_match": cost_rule_match,

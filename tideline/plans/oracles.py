@@ -184,6 +184,9 @@ FROM rk JOIN lb USING (sku), tot QUALIFY {TOP.format('rk.units')} <= 3""",
     SELECT civil_date, epoch_ms(s - (timezone('America/Sao_Paulo', timezone('UTC', s1)) - s1)) AS start_ms, epoch_ms(e - (timezone('America/Sao_Paulo', timezone('UTC', e1)) - e1)) AS end_ms FROM o1
 )
 SELECT civil_date, start_ms, end_ms, CAST((end_ms - start_ms + 1) // 3600000 AS INTEGER) AS hours FROM o2""",
+    "calendar_of_sales": f"""{BASE}, w AS (SELECT CAST(date_trunc('week', d) AS DATE) AS monday, count(*) AS orders, round(sum(paid), 2) AS amount, max(d) AS newest FROM s WHERE d BETWEEN DATE '{NOW[0]}' AND DATE '{NOW[1]}' GROUP BY 1)
+SELECT monday, orders, amount, newest, CAST(dayofweek(newest) AS INTEGER) AS weekday, CAST(date_trunc('month', newest) AS DATE) AS month_first, last_day(newest) AS month_last, CAST(date_trunc('month', newest) - INTERVAL 1 MONTH AS DATE) AS month_before,
+monday - 7 AS week_before_first, monday - 7 + CAST(isodow(newest) - 1 AS INTEGER) AS week_before_last, least(CAST(date_trunc('month', newest) - INTERVAL 1 MONTH AS DATE) + CAST(day(newest) - 1 AS INTEGER), last_day(CAST(date_trunc('month', newest) - INTERVAL 1 MONTH AS DATE))) AS month_before_last FROM w""",
     "consolidated_by_group": f"""{BASE}, f AS (SELECT item, count(*) AS orders FROM s JOIN l ON l.oid = s.id WHERE pos = 1 GROUP BY item)
 SELECT st.sku, arg_min(title, (length(title), k)) AS label, CAST(coalesce(sum(orders), 0) AS BIGINT) AS orders, round(coalesce(sum(safe) FILTER (WHERE status = 'active'), 0), 2) AS stock FROM st LEFT JOIN f ON f.item = st.item_id GROUP BY st.sku""",
     "cancel_labels": f"""{BASE} SELECT split_part(priority, '-', -1) AS "group", 'c' || k % 4 AS code, count(*) AS orders, round(sum(total), 2) AS amount, CASE WHEN k % 4 IN (1, 2) THEN 'motivo C' || k % 4 ELSE arg_min(priority, k) END AS description

@@ -66,14 +66,15 @@ def parse_day(text: object) -> date | None:
         return None
 
 
-def parse_instant(text: str | None) -> datetime | None:
-    if not text:
+def parse_instant(text: object) -> datetime | None:
+    """A strict ISO instant with an offset, as functions.dates.is_iso_instant tells it."""
+    if not isinstance(text, str) or not re.fullmatch(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2})?(\.\d{1,3})?(Z|[+-]\d{2}:\d{2})", text, re.ASCII):
         return None
     try:
         found = datetime.fromisoformat(text)
     except ValueError:
         return None
-    return found if found.tzinfo else None
+    return found
 
 
 def known_until(window: Window) -> datetime | None:
