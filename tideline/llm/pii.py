@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -317,22 +318,43 @@ def disclosures(found: DataFrame, docs: DataFrame, scratch: Scratch, text_col: s
     return scratch.save(members, "members"), scratch.save(near, "disclosures")
 
 
-def cleaned(text: str, spans: Column, terms: str) -> Column:
-    """The text with [email] and so on for spans, the class of generalised words, and nothing for removed ones."""
-    shown = lambda t: F.substring(F.col(text), t["start"] + 1, t["stop"] - t["start"])
-    kind = lambda w: F.when(w.rlike("^[0-9]+$"), "[number]").when(w.rlike("[0-9]"), "[code]").when(w.rlike(r"^\p{Lu}"), "[name]").otherwise("[word]")
-    marks = F.concat(
-        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("by"))),
-        F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.when(t["disclosure"] >= REMOVE, "").otherwise(kind(shown(t))).alias("by"))),
-    )
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    between = lambda acc, m: F.substring(F.col(text), acc["at"] + 1, m["start"] - acc["at"])
-    step = lambda acc, m: F.struct(
-        F.when(m["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(between(acc, m), m["by"]))).alias("out"),
-        F.greatest(acc["at"], m["stop"]).alias("at"),
-    )
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text)))
-    return F.aggregate(F.sort_array(marks), begin, step, rest)
+def word_class(word: str) -> str:
+    """What a word is generalised to."""
+    if re.fullmatch("[0-9]+", word):
+        return "[number]"
+    if re.search("[0-9]", word):
+        return "[code]"
+    return "[name]" if unicodedata.category(word[0]) == "Lu" else "[word]"
+
+
+def cleaned(text: str, spans: list[dict], terms: list[dict]) -> str:
+    """The text with [email] and so on for spans, the class of generalised words, and nothing for removed ones, in one walk over both."""
+    marks = [(s["start"], s["stop"], f"[{s['kind']}]") for s in spans]
+    marks += [(t["start"], t["stop"], "" if t["disclosure"] >= REMOVE else word_class(text[t["start"] : t["stop"]])) for t in terms]
+    out, at = [], 0
+    for start, stop, by in sorted(marks):
+        if start >= at:  # of overlapping marks the first counts
+            out += [text[at:start], by]
+        at = max(at, stop)
+    return "".join([*out, text[at:]])
+
+
+_SPANS = "array<struct<kind string, start int, stop int>>"
+CLEANED = f"id long, content long, spans {_SPANS}, secrets {_SPANS}, terms array<struct<kind string, start int, stop int, disclosure double>>, clean_text string"
+
+
+def with_clean_text(rows: DataFrame) -> DataFrame:
+    """id, content, spans, secrets, terms as they are, and clean_text, null where nothing was found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                cleaned(text, spans + secrets, terms) if spans or secrets else None
+                for spans, secrets, terms, text in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(texts, type=pa.string())], names=["id", "content", "spans", "secrets", "terms", "clean_text"])
+
+    return rows.select("id", "content", "spans", "secrets", "terms", "text").mapInArrow(frugal(run), CLEANED)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evidence: float = EVIDENCE) -> DataFrame:
@@ -352,8 +374,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evid
     words = words.groupBy("row").agg(F.sort_array(F.collect_list(term)).alias("terms"))
     none = F.array().cast("array<struct<kind:string,start:int,stop:int,disclosure:double>>")
     out = found.join(words, "row", "left").withColumn("terms", F.coalesce("terms", none))
-    found_any = F.size("spans") + F.size("secrets") > 0
-    return out.select(F.col("id").alias(id_col), "content", "spans", "secrets", "terms", F.when(found_any, cleaned("text", F.concat("spans", "secrets"), "terms")).alias("clean_text"))
+    return with_clean_text(out).withColumnRenamed("id", id_col)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evidence: float = EVIDENCE) -> DataFrame:
