@@ -182,8 +182,8 @@ def status_counts(orders: DataFrame) -> DataFrame:
 
 
 def date_bounds(orders: DataFrame) -> DataFrame:
-    """One row: oldest and newest date text (compared as text), and the same by instant."""
-    dated = orders.where(F.coalesce(F.col("date_created") != "", F.lit(False)))
+    """One row: oldest and newest date text (compared as text), and the same by instant. Each text is read once, however many orders have it."""
+    dated = orders.where(F.coalesce(F.col("date_created") != "", F.lit(False))).select("date_created").distinct()
     moment = instant("date_created")
     return dated.agg(
         F.min("date_created").alias("oldest_date"),

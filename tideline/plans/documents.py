@@ -122,7 +122,7 @@ def ranking_document(q: Query, snapshot: Snapshot, found: Coverage) -> DataFrame
     by = q.rank_by if q.rank_by in ranking.CRITERIA else "revenue"
     by_margin, n = by == "margin", ranking.ranking_limit(q.limit)
     lines = priced(snapshot, found)
-    rows = kept(ranking.ranking_rows(lines))  # read for the first rows and for the totals
+    rows = kept(ranking.ranking_rows(lines, freight=True))  # read for the first rows and for the totals
     own = dict(rank=F.col("position"), sku=F.col("sku"), label=F.col("label"), units=F.col("units"), productRevenue=F.col("revenue"), orders=F.col("orders"))
     if by_margin:
         own |= dict(costKnown=F.col("cost_coverage") == "total", cost=F.col("cost"), margin=F.col("margin"), marginPct=F.col("margin_pct"))
@@ -131,13 +131,10 @@ def ranking_document(q: Query, snapshot: Snapshot, found: Coverage) -> DataFrame
     sums = rows.agg(
         total("revenue").alias("revenue"), total("units").alias("units"), F.count(F.lit(1)).alias("skus"), F.count_if(~full).alias("partly"),
         total(F.when(~full, F.col("revenue") - F.col("costed_revenue"))).alias("uncosted"), total(F.when(~full, F.col("uncosted_units"))).alias("uncosted_units"), total(F.when(full, F.col("revenue"))).alias("covered"),
+        total("freight_real").alias("freight_real"), total("freight_estimated").alias("freight_estimated"), total("real_revenue").alias("real_revenue"), total("costed_revenue").alias("all_revenue"),
     )
-    costed, share = F.col("unit_cost").isNotNull(), lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    freight = lines.where(costed).agg(
-        total(F.when(F.col("real"), F.col("shipping_fee"))).alias("freight_real"), total(F.when(~F.col("real"), F.col("shipping_fee"))).alias("freight_estimated"),
-        total(F.when(F.col("real"), F.col("revenue"))).alias("real_revenue"), total("revenue").alias("all_revenue"),
-    )
-    held = first.crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(freight))  # one row each
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    held = first.crossJoin(F.broadcast(sums))  # one row each
     notes = warnings_of(
         (*found.warnings, "antes_de_publicidade"),
         sem_dados_no_periodo=F.col("skus") == 0,
