@@ -35,3 +35,21 @@ def test_tables_go_when_nothing_reads_them(spark):
     import os
 
     assert not any(os.path.exists(p) for p in paths)
+
+
+def test_a_filter_passes_all_wanted_rows_and_few_others(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tideline.llm import common
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("id"), F.xxhash64("id").alias("content"), F.lit("text").alias("text"))
+    wanted = df.where("content % 50 = 0").select("id", "content")
+    key = F.xxhash64(F.coalesce("id", F.lit(-1).cast("long")), "content")
+    want, n = set(map(tuple, wanted.collect())), wanted.count()
+    for bits in (common.ROW_FILTER_BITS, 6):
+        monkeypatch.setattr(common, "ROW_FILTER_BITS", bits)
+        found = common.likely_in(df, wanted, key)
+        assert found.columns == df.columns and want <= set(map(tuple, found.select("id", "content").collect()))
+        if bits > 6:
+            assert n <= found.count() < 1.2 * n + 1500
+    assert common.likely_in(df, wanted.limit(0), key).count() == 0

@@ -126,7 +126,7 @@ def near_duplicates(
     sets = scratch.save(sets, "sets")
     owners = sets.select("set_id", "own.id", "own.content")
     placed = sets.select("set_id", "n", F.explode("keys").alias("bucket"))
-    make = lambda wanted: full_sets(docs, wanted.join(owners, "set_id"), words, id_col, text_col, ascii_only=True)
+    make = lambda wanted: full_sets(docs, scratch.save(wanted.join(owners, "set_id"), "wanted"), words, id_col, text_col, ascii_only=True)
     comps, _, _ = linked_sets(placed, sets.select("set_id", "n"), make, threshold, scratch)
 
     members = sets.select("set_id", "own", "copies").join(comps, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))

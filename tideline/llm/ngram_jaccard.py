@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordCoder, chunks_of, content_hash, frugal, hot_join, mix64
+from .common import Scratch, WordCoder, chunks_of, content_hash, frugal, hot_join, likely_in, mix64
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -159,7 +159,10 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str, ascii_only: bool = False) -> DataFrame:
-    """set_id, grams, sketch for the wanted (id, content, set_id), one for each set: the n-gram sets, read from the texts again."""
+    """set_id, grams, sketch for the wanted (id, content, set_id), one for each set: the n-gram sets, read from the texts again.
+
+    Texts that a filter of the wanted rows doesn't pass stay where they are.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +177,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_
                     names=["set_id", "grams", "sketch"],
                 )
 
-    texts = rows_of(docs, id_col, text_col)
+    texts = likely_in(rows_of(docs, id_col, text_col), wanted, F.xxhash64(F.coalesce("id", F.lit(-1).cast("long")), "content"))
     with_id = wanted.where("id is not null").join(texts, ["id", "content"]).select("set_id", "text")
     alone = texts.where("id is null").groupBy("content").agg(F.first("text").alias("text"))
     without = wanted.where("id is null").join(alone, "content").select("set_id", "text")
@@ -464,7 +467,7 @@ def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_
 
     placed = reps.select("set_id", "n", F.explode("bands").alias("bucket"))
     owners = reps.select("set_id", "own.id", "own.content")
-    make = lambda wanted: full_sets(docs, wanted.join(owners, "set_id"), words, id_col, text_col)
+    make = lambda wanted: full_sets(docs, scratch.save(wanted.join(owners, "set_id"), "wanted"), words, id_col, text_col)
     comps, grams, links = linked_sets(placed, reps.select("set_id", "n"), make, threshold, scratch)
 
     members = reps.select("set_id", "own", "copies", "n").join(comps, "set_id")
