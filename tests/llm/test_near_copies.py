@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from tideline.llm import common, ngram_jaccard
 from pyspark.sql import functions as F
 
@@ -86,3 +88,13 @@ def test_dense_and_sparse_blocks_give_the_same_links(spark, monkeypatch):
     for most in (0, 4, 10**6):
         monkeypatch.setattr(ngram_jaccard, "PAIRS_A_SET", most)
         assert sorted(map(tuple, hamming_dedup.near_duplicates(docs).collect())) == want
+
+
+def test_bits_of_ngrams_pass_all_pairs_at_the_threshold():
+    r = np.random.default_rng(5)
+    sets = [r.integers(0, 1 << 62, 400)]
+    sets += [np.concatenate([sets[0][k:], r.integers(0, 1 << 62, k)]) for k in (10, 30, 43, 60, 120, 300)]
+    i, j = np.triu_indices(len(sets), 1)
+    near = ngram_jaccard.may_reach([x & 0xFFFF for x in sets], i, j, 0.8)
+    exact = np.array([len(np.intersect1d(sets[x], sets[y])) / len(np.union1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)])
+    assert near[exact >= 0.8].all() and not near[exact < 0.7].any()

@@ -120,13 +120,16 @@ def near_duplicates(
     """
     scratch = Scratch(docs.sparkSession, "hamming-dedup")
     kept = chunk_keys(distance_for(threshold, recall))
-    signed = scratch.save(signed_sets(docs, kept, words, id_col, text_col), "signatures")
+    signed = scratch.save(signed_sets(docs, kept, words, id_col, text_col), "signatures and keys")
     own = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "content"))
-    sets = signed.where("set_id is not null").groupBy("set_id").agg(own.alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    sets = scratch.save(sets, "sets")
+    keyed = signed.where("set_id is not null").groupBy("set_id").agg(own.alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = scratch.save(keyed, "buckets of sets")
+    # What is needed to the end is little without the keys.
+    signed, sets = scratch.save(signed.drop("keys"), "signatures"), scratch.save(keyed.drop("keys"), "sets")
+    scratch.drop("signatures and keys")
     owners = sets.select("set_id", "own.id", "own.content")
-    placed = sets.select("set_id", "n", F.explode("keys").alias("bucket"))
-    make = lambda wanted: full_sets(docs, scratch.save(wanted.join(owners, "set_id"), "wanted"), words, id_col, text_col, ascii_only=True)
+    placed = keyed.select("set_id", "n", F.explode("keys").alias("bucket"))
+    make = lambda wanted: full_sets(docs, signed, scratch.save(wanted.join(owners, "set_id"), "wanted"), scratch, words, id_col, text_col, ascii_only=True)
     comps, _, _ = linked_sets(placed, sets.select("set_id", "n"), make, threshold, scratch)
 
     members = sets.select("set_id", "own", "copies").join(comps, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))

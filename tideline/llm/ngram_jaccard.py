@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordCoder, chunks_of, content_hash, frugal, hot_join, likely_in, mix64
+from .common import Scratch, WordCoder, chunks_of, content_hash, frugal, hot_join, key_filter, likely_in, mix64
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -47,6 +47,8 @@ SEED = 20_240
 SKETCH, DEVIATIONS = 128, 4.5
 #: Pairs for each set of a block that go on as rows; a block with more is compared on its full sets.
 PAIRS_A_SET = 4
+#: Sets made from several texts whose ids are broadcast, at most.
+REPEATED_SETS = 200_000
 #: For comparisons of sizes with products of the threshold.
 EPSILON = 1e-9
 
@@ -158,31 +160,36 @@ def sketch(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str, ascii_only: bool = False) -> DataFrame:
-    """set_id, grams, sketch for the wanted (id, content, set_id), one for each set: the n-gram sets, read from the texts again.
+def full_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, scratch: Scratch, words: int, id_col: str, text_col: str, ascii_only: bool = False) -> DataFrame:
+    """set_id, grams, sketch of the wanted (id, content, set_id), one row for each set, and of a few others: the n-gram sets, read from the texts again.
 
-    Texts that a filter of the wanted rows doesn't pass stay where they are.
+    Neither texts nor sets are moved: a filter of the wanted rows says which texts are read, and
+    the same filter over the signed rows (id, content, set_id) which sets are made from several
+    texts. Only of these one is picked by a shuffle.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in chunks_of(batch.column(1), 2_000_000):
-                wants = batch.column(0).slice(begin, len(texts)).to_pylist()
+            for _, texts in chunks_of(batch.column(0), 2_000_000):
                 hashes, ends = shingle_sets(texts, words, ascii_only)
-                sets = [hashes[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                # Of texts with one hash only the set's own makes it.
-                own = [k for k, s in enumerate(sets) if set_key(s) == wants[k]]
+                sets = [hashes[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True) if j > i]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([wants[k] for k in own], type=pa.binary()), pa.array([sets[k].astype(np.int64) for k in own], type=pa.list_(pa.int64())), pa.array([sketch(sets[k]) for k in own], type=pa.binary())],
+                    [pa.array([set_key(s) for s in sets], type=pa.binary()), pa.array([s.astype(np.int64) for s in sets], type=pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], type=pa.binary())],
                     names=["set_id", "grams", "sketch"],
                 )
 
-    texts = likely_in(rows_of(docs, id_col, text_col), wanted, F.xxhash64(F.coalesce("id", F.lit(-1).cast("long")), "content"))
-    with_id = wanted.where("id is not null").join(texts, ["id", "content"]).select("set_id", "text")
-    alone = texts.where("id is null").groupBy("content").agg(F.first("text").alias("text"))
-    without = wanted.where("id is null").join(alone, "content").select("set_id", "text")
-    found = with_id.unionByName(without)
-    return found.mapInArrow(frugal(make), "set_id binary, grams array<long>, sketch binary")
+    row = F.xxhash64(F.coalesce("id", F.lit(-1).cast("long")), "content")
+    passing = key_filter(wanted, row)
+    found = passing(rows_of(docs, id_col, text_col), row).select("text").mapInArrow(frugal(make), "set_id binary, grams array<long>, sketch binary")
+    several = passing(signed.where("set_id is not null").select("id", "content", "set_id"), row).groupBy("set_id").agg(F.count(F.lit(1)).alias("texts"))
+    several = scratch.save(several.where("texts > 1").select("set_id", F.lit(True).alias("again")), "several texts")
+    if several.count() <= REPEATED_SETS:
+        found = found.join(F.broadcast(several), "set_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    else:
+        found = found.withColumn("again", F.lit(True))
+    found = scratch.save(found, "made", "again")
+    one = scratch.save(found.where("again").drop("again").dropDuplicates(["set_id"]), "one of several")
+    return found.where("not again").drop("again").unionByName(one)
 
 
 def with_grams(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -193,9 +200,9 @@ def with_grams(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb, common, similarity: the sizes, common n-grams and exact Jaccard similarity of each pair."""
-    both = with_grams(pairs.select("a", "b"), sets)
-    both = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("common"))
+    """a, b, na, nb, common, similarity, beside: the sizes, common n-grams and exact Jaccard similarity of each pair, and what a has beside b."""
+    both = with_grams(pairs.select("a", "b"), sets).withColumn("beside", F.array_except("ga", "gb"))
+    both = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), (F.size("ga") - F.size("beside")).alias("common"), "beside")
     return both.withColumn("similarity", F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
 
 
@@ -300,6 +307,21 @@ def close_by_sketch(sketches: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
+def may_reach(parts: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs (i, j) of sets may reach the threshold by 16 bits of each n-gram: all that do, and few others.
+
+    Of x no more n-grams can be in y than have bits that y has, and the same the other way round.
+    """
+    held = np.zeros((len(parts), 1 << 16), dtype=bool)
+    for k, bits in enumerate(parts):
+        held[k, bits] = True
+    out = np.zeros(len(i), dtype=bool)
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        common = min(np.count_nonzero(held[y, parts[x]]), np.count_nonzero(held[x, parts[y]]))
+        out[k] = common >= threshold * (len(parts[x]) + len(parts[y]) - common) - EPSILON
+    return out
+
+
 def pairs_by_sketch(members: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """a, b: pairs across components that may be linked; of a block with too many of them bucket, comp and shard of its sets instead, as rows without b."""
     found = []
@@ -307,6 +329,10 @@ def pairs_by_sketch(members: pd.DataFrame, threshold: float) -> pd.DataFrame:
         ids, comp = part["set_id"].to_numpy(), pd.factorize(part["comp"])[0]
         values = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(len(part), SKETCH)
         i, j = np.nonzero(np.triu(close_by_sketch(values, threshold) & (comp[:, None] != comp[None, :])))
+        if len(i):
+            bits = [np.asarray(x).astype(np.int64) & 0xFFFF for x in part["bits"]]
+            near = may_reach(bits, i, j, threshold)
+            i, j = i[near], j[near]
         if len(i) > PAIRS_A_SET * len(part):
             found.append(pd.DataFrame({"a": ids, "b": None, "bucket": bucket, "comp": part["comp"].to_numpy(), "shard": part["shard"].to_numpy()}))
         else:
@@ -334,12 +360,13 @@ def links_inside(members: DataFrame, sets: DataFrame, links: DataFrame, threshol
 def bridges(state: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """a, b: links between components whose sets meet in a bucket. state: bucket, set_id, comp, of (sets in the bucket).
 
-    Blocks are compared by sketches first, a small part of the sets. The pairs that these leave
-    are few for each set and are verified; in a block where they aren't, the full sets are
-    compared without a row for each pair.
+    Blocks are compared by sketches first, and what these leave by 16 bits of each n-gram, a
+    quarter of the sets. The pairs that remain are few for each set and are verified; in a block
+    where they aren't, the full sets are compared without a row for each pair.
     """
     near = lambda part: pairs_by_sketch(part, threshold)
-    blocks = in_blocks(state.join(sets.select("set_id", "sketch"), "set_id"), "bucket").select("shard", "bucket", "set_id", "comp", "sketch")
+    bits = F.transform("grams", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - F.lit(1 << 15)).cast("short")).alias("bits")
+    blocks = in_blocks(state.join(sets.select("set_id", "sketch", bits), "set_id"), "bucket").select("shard", "bucket", "set_id", "comp", "sketch", "bits")
     found = scratch.save(blocks.groupBy("shard").applyInPandas(near, "a binary, b binary, bucket long, comp binary, shard long"), "close pairs")
     few = found.where("b is not null").select("a", "b").distinct()
     links = verified(few, sets).where(F.col("similarity") >= threshold).select("a", "b")
@@ -394,22 +421,26 @@ def pairs_within_hub(opened: DataFrame, threshold: float) -> DataFrame:
     return both.select(F.least("xa", "ya").alias("a"), F.greatest("xa", "ya").alias("b")).distinct()
 
 
-def beside_hub(opened: DataFrame, grams: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def beside_hub(opened: DataFrame, tested: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """bucket, set_id, n, members, comp: buckets of sets that share an n-gram which their hub lacks.
 
     All other linked pairs share at least c = t * |x| - |x & h| such n-grams, so in any fixed
     order one of the first |x - h| - c + 1 of them: no more than that prefix is indexed. Rare
     n-grams come first, so a passage that many texts share brings together only those that
-    have little else. Of buckets that hold the same sets one stands for all.
+    have little else. Those of one row come before all others and bring nothing together, so
+    they are only counted. Of buckets that hold the same sets one stands for all.
     """
     need = F.ceil(F.col("na") * (threshold - EPSILON))
     prefix = F.when(need - F.col("common") > 1, F.col("na") - need + 1).otherwise(F.col("na") - F.col("common"))
-    rows = with_grams(opened.select("a", "b", "na", "common", "comp"), grams)
-    rows = rows.select("a", "b", "na", "comp", prefix.cast("int").alias("prefix"), F.explode(F.array_except("ga", "gb")).alias("gram"))
+    rows = tested.select("a", "b", "beside").join(opened.select("a", "b", "na", "common", "comp"), ["a", "b"])
+    rows = rows.select("a", "b", "na", "comp", prefix.cast("int").alias("prefix"), F.size("beside").alias("of"), F.explode("beside").alias("gram"))
     rows = scratch.save(rows, "rest")
-    often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).withColumn("held", F.col("often"))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "gram"))
-    rows = hot_join(rows, often, "gram", "held").withColumn("rank", rank).where("rank <= prefix")
+    often = scratch.save(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1").withColumn("held", F.col("often")), "often")
+    rows = scratch.save(likely_in(rows, often, F.col("gram")), "shared rest")
+    own = Window.partitionBy("a", "b")
+    rank = F.row_number().over(own.orderBy("often", "gram"))
+    alone = F.col("of") - F.count(F.lit(1)).over(own)
+    rows = hot_join(rows, often, "gram", "held").withColumns({"rank": rank, "alone": alone}).where("alone + rank <= prefix")
     rows = rows.select(F.xxhash64("b", "gram").alias("bucket"), F.col("a").alias("set_id"), F.col("na").alias("n"), "comp")
     rows = scratch.save(rows, "prefixes")
     same = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"sets{k}") for k in (1, 2)]
@@ -421,20 +452,26 @@ def beside_hub(opened: DataFrame, grams: DataFrame, threshold: float, scratch: S
 def linked_sets(placed: DataFrame, sizes: DataFrame, make_grams: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """set_id, comp of all sets with links, set_id, grams, and the links found (a, b): steps 1 to 3 over any buckets of candidates.
 
-    placed: set_id, n, bucket. sizes: set_id, n. make_grams: set_id, grams for the wanted set_id.
+    placed: set_id, n, bucket. sizes: set_id, n. make_grams: set_id, grams, sketch, once for each wanted set_id.
     """
     crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("held", F.col("members"))
+    crowded = scratch.save(crowded, "crowded")
+    placed = scratch.save(likely_in(placed, crowded, F.col("bucket")), "placed")
+    scratch.drop("buckets of sets")
     met = scratch.save(hot_join(placed, crowded, "bucket", "held"), "meetings")
     shared = scratch.save(with_hubs(met), "buckets")
-    grams = scratch.save(make_grams(shared.select("set_id").distinct()).dropDuplicates(["set_id"]), "grams")
+    scratch.drop("crowded", "placed", "meetings")
+    grams = make_grams(shared.select("set_id").distinct())
 
     to_hub = scratch.save(shared.where("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct(), "to-hub")
     tested = scratch.save(verified(to_hub, grams), "hub-pairs")
     links = tested.where(F.col("similarity") >= threshold).select("a", "b")
+    scratch.drop("wanted", "buckets", "to-hub")
     comps = components(links, scratch)
 
-    opened = scratch.save(open_hubs(tested, comps), "open")
-    other = scratch.save(beside_hub(opened, grams, threshold, scratch), "beside")
+    opened = scratch.save(open_hubs(tested.drop("beside"), comps), "open")
+    other = scratch.save(beside_hub(opened, tested, threshold, scratch), "beside")
+    scratch.drop("rest", "often", "shared rest", "prefixes")
     second = labelled(with_hubs(other).select(F.col("set_id").alias("a"), "n", F.col("hub").alias("b")).where("a <> b").distinct(), comps, "a", "ca")
     second = labelled(second, comps, "b", "cb").where("ca <> cb").join(sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
     second = second.where(fits(F.col("n"), F.col("nb"), threshold))
@@ -445,6 +482,7 @@ def linked_sets(placed: DataFrame, sizes: DataFrame, make_grams: Callable[[DataF
         comps = components(links, scratch)
 
     # What these hubs leave open is compared in blocks.
+    scratch.drop("second", "open")
     state = labelled(other.select("bucket", "set_id"), comps, "set_id")
     mixed = state.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("of")).where("c0 <> c1").select("bucket", "of", F.col("of").alias("held"))
     state = scratch.save(hot_join(state, mixed, "bucket", "held"), "left-open")
@@ -459,15 +497,18 @@ def classified(docs: DataFrame, threshold: float, words: int, recall: float, id_
     """id, content, class_id, n_links (null unless they are to be counted), n, rep_id, first: of each row; first: whether (id, content) is the first of its class."""
     scratch = Scratch(docs.sparkSession, "ngram-jaccard")
     bands, rows = bands_for(threshold, recall)
-    signed = scratch.save(signatures(docs, bands, rows, words, id_col, text_col), "signatures")
+    signed = scratch.save(signatures(docs, bands, rows, words, id_col, text_col), "signatures and bands")
     of_set = signed.where("set_id is not null").groupBy("set_id")
     first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "content"))
-    reps = of_set.agg(first.alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = scratch.save(reps.withColumn("rep_id", F.col("own.id")), "sets")
+    banded = of_set.agg(first.alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    banded = scratch.save(banded.withColumn("rep_id", F.col("own.id")), "buckets of sets")
+    # What is needed to the end is little without the bands.
+    signed, reps = scratch.save(signed.drop("bands"), "signatures"), scratch.save(banded.drop("bands"), "sets")
+    scratch.drop("signatures and bands")
 
-    placed = reps.select("set_id", "n", F.explode("bands").alias("bucket"))
+    placed = banded.select("set_id", "n", F.explode("bands").alias("bucket"))
     owners = reps.select("set_id", "own.id", "own.content")
-    make = lambda wanted: full_sets(docs, scratch.save(wanted.join(owners, "set_id"), "wanted"), words, id_col, text_col)
+    make = lambda wanted: full_sets(docs, signed, scratch.save(wanted.join(owners, "set_id"), "wanted"), scratch, words, id_col, text_col)
     comps, grams, links = linked_sets(placed, reps.select("set_id", "n"), make, threshold, scratch)
 
     members = reps.select("set_id", "own", "copies", "n").join(comps, "set_id")
