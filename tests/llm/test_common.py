@@ -53,3 +53,15 @@ def test_a_filter_passes_all_wanted_rows_and_few_others(spark, monkeypatch):
         if bits > 6:
             assert n <= found.count() < 1.2 * n + 1500
     assert common.likely_in(df, wanted.limit(0), key).count() == 0
+
+
+def test_wanted_rows_are_found_without_moving_the_others(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "BITS_A_ROW", 1)  # so that the filter passes many wrongly
+    df = spark.range(20_000).select(F.xxhash64("id").alias("k"), F.col("id").cast("string").alias("text"))
+    keys, wanted = df.select(F.col("k").alias("key")), df.where("pmod(k, 3) = 0").select(F.col("k").alias("key"))
+    expected = sorted(df.where("pmod(k, 3) = 0").toPandas()["text"])
+    for most in (common.KEYS_APART, 0):
+        monkeypatch.setattr(common, "KEYS_APART", most)
+        found = common.rows_in(df.unionByName(df), F.col("k"), keys, wanted, common.Scratch(spark, "rows-in"))
+        assert sorted(found.toPandas()["text"]) == sorted(expected * 2)
+        assert most == 0 or "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
