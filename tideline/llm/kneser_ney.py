@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordCoder, chunks_of, content_hash, frugal, small_join, sum_by_part, text_chunks
+from .common import Scratch, WordCoder, chunks_of, content_hash, frugal, give_back, small_join, sum_by_part, text_chunks
 
 ORDER = 4
 RUNNING_ORDER = 5
@@ -45,7 +45,9 @@ SPREAD = 1.5
 def symbols(text: str) -> np.ndarray:
     """Code points below SYMBOLS as they are, others by a hash into the same range."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    return np.where(points < SYMBOLS, points, (points * 2654435761 >> 7) % SYMBOLS)
+    high = np.flatnonzero(points >= SYMBOLS)
+    points[high] = (points[high] * 2654435761 >> 7) % SYMBOLS
+    return points
 
 
 def order_of(running: bool) -> int:
@@ -203,6 +205,9 @@ class Model:
 
     def log_probability(self, lang: str | None, keys: np.ndarray) -> np.ndarray:
         """Natural logarithms of the interpolated probabilities of n-grams (distinct ones, for speed)."""
+        # In order, so that neighbours are looked up at neighbouring places.
+        order = np.argsort(keys)
+        keys = keys[order]
         p = np.full(len(keys), 1.0 / SYMBOLS)
         place = shard_of(keys >> BITS & (1 << 2 * BITS) - 1, max(1, len(self.shards)))
         for i in range(len(self.shards)):
@@ -214,7 +219,9 @@ class Model:
                 part = own & ((1 << BITS * k) - 1)
                 q = shard.find(lang, k, 0, part, 0.0) + shard.find(lang, k, 1, part >> BITS, 1.0) * q
             p[at] = q
-        return np.log(p)
+        out = np.empty(len(p))
+        out[order] = np.log(p)
+        return out
 
     def score(self, lang: str | None, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of log probabilities and number of predicted characters of each text."""
@@ -254,6 +261,7 @@ def collect(parts: DataFrame, shard_rows: int = SHARD_ROWS, running: bool = Fals
     for i in range(shards):
         own = rows if shards == 1 else rows.where((F.col("shard") == i) | F.col("shard").isNull())
         held.append(parts.sparkSession.sparkContext.broadcast(shard(own.drop("shard").toArrow())))
+        give_back()
     return Model(held, running)
 
 
