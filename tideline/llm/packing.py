@@ -10,6 +10,7 @@ bucket in random order, so that pieces of one document don't follow each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ KEPT_WORDS = 1 << 19
 IDLE_WORDS = 1 << 17
 
 # The pre-tokens of the tokenizer file, and the names of its added tokens.
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")  # and the ends of lines
 ADDED = ("<|startoftext|>", "<|endoftext|>")
 #: Words that normalisation does no more to than to lower their case.
 PLAIN = regex.compile(r"[\x21-\x7E¡-ÿ]+")
@@ -89,12 +90,14 @@ class WordEncoder:
 
     def learn(self, words: list[bytes]) -> None:
         """Appends the ids of new words to the table."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [t.isalnum() and t.isascii() or not any(a in t for a in ADDED) and PLAIN.fullmatch(t) is not None for t in texts]
-        split = [PRE_TOKEN.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        self.learn_pre_tokens([p for p in dict.fromkeys(p for s in split for p in s) if p not in self.pre])
-        n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        codes = np.fromiter((self.pre[x] for s in split for x in s), dtype=np.int64, count=int(n.sum()))
+        texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
+        plain = [t.isascii() and t.isprintable() and "<|" not in t or not any(a in t for a in ADDED) and PLAIN.fullmatch(t) is not None for t in texts]
+        # One search over all plain words, a line for each word; those that aren't plain leave theirs empty.
+        found = PRE_TOKEN.findall("\n".join([t if p else "" for t, p in zip(texts, plain, strict=True)]).lower() + "\n")
+        self.learn_pre_tokens([p for p in dict.fromkeys(found) if p not in self.pre and p != "\n"])
+        codes = np.fromiter(map(self.pre.get, found, repeat(-1)), dtype=np.int64, count=len(found))
+        n = np.diff(np.flatnonzero(codes < 0), prepend=-1) - 1
+        codes = codes[codes >= 0]
         size = self.pre_at[codes + 1] - self.pre_at[codes]
         sizes = sum_by_part(size, np.concatenate([[0], np.cumsum(n)]))
         ids = gather(self.pre_ids, self.pre_at[codes], size)
