@@ -65,3 +65,37 @@ def test_wanted_rows_are_found_without_moving_the_others(spark, monkeypatch, tmp
         found = common.rows_in(df.unionByName(df), F.col("k"), keys, wanted, common.Scratch(spark, "rows-in"))
         assert sorted(found.toPandas()["text"]) == sorted(expected * 2)
         assert most == 0 or "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def workers(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_what_follows_a_filter_runs_in_its_worker(spark, monkeypatch):
+    monkeypatch.setattr(common, "BITS_A_ROW", 1)
+    df = spark.range(20_000).select(F.xxhash64("id").alias("k"), F.col("id").cast("string").alias("text"))
+    keys, wanted = df.select(F.col("k").alias("key")), df.where("pmod(k, 3) = 0").select(F.col("k").alias("key"))
+    then = lambda batches: (b.select(["text"]) for b in batches)
+    expected = sorted(df.where("pmod(k, 3) = 0").toPandas()["text"])
+    for most in (common.KEYS_APART, 0):
+        monkeypatch.setattr(common, "KEYS_APART", most)
+        found = common.wanted_rows(keys, wanted, common.Scratch(spark, "picked"))(df.unionByName(df), F.col("k"), [F.col("text")], then, "text string")
+        assert sorted(found.toPandas()["text"]) == sorted(expected * 2)
+        assert most == 0 or workers(found) == 1
+
+
+def test_texts_go_through_one_worker_a_task(spark, monkeypatch):
+    from tideline.llm import kneser_ney, ngram_jaccard, quality_rules
+    from tideline.llm.common import Scratch
+
+    seen = []
+    docs = spark.createDataFrame([(i, "en", f"one two three four five six number {i % 7} and more of it") for i in range(40)], "doc_id long, lang string, text string")
+    ngrams, save = kneser_ney.count_ngrams, Scratch.save
+    monkeypatch.setattr(kneser_ney, "count_ngrams", lambda *a, **b: seen.append(ngrams(*a, **b)) or seen[-1])
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, by=None: (name == "made" and seen.append(df), save(self, df, name, by))[1])
+    assert quality_rules.judge(docs).count() == 40
+    assert ngram_jaccard.near_duplicates(docs).count() == 40
+    # Two models and the full sets; what picks the set's copies is a table without texts.
+    assert len(seen) == 3 and [workers(x) for x in seen[:2]] == [1, 1]
+    texts = [x for x in seen[2]._jdf.queryExecution().executedPlan().toString().split("\n") if "MapInArrow" in x]
+    assert len(texts) == 1

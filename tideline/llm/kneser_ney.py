@@ -19,7 +19,7 @@ workers hold one at a time, so neither driver nor worker ever holds more than a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -88,8 +88,12 @@ def by_language(langs: list[str | None]) -> Iterator[tuple[str | None, np.ndarra
         yield (None if lang is None or lang != lang else lang), rows.to_numpy()
 
 
-def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", running: bool = False) -> DataFrame:
-    """lang, key, n: counts of the longest n-grams, those of one batch already added up."""
+def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", running: bool = False, only: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """lang, key, n: counts of the longest n-grams, those of one batch already added up.
+
+    only: takes docs, columns, a function of batches and its schema, and applies that to these
+    columns of the documents that count; all of them count by default.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +111,8 @@ def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
                         names=["lang", "key", "n"],
                     )
 
-    parts = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(frugal(count), "lang string, key long, n long")
+    columns, schema = [F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")], "lang string, key long, n long"
+    parts = only(docs, columns, count, schema) if only else docs.select(*columns).mapInArrow(frugal(count), schema)
     return parts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
@@ -265,10 +270,10 @@ def collect(parts: DataFrame, shard_rows: int = SHARD_ROWS, running: bool = Fals
     return Model(held, running)
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_rows: int = SHARD_ROWS, running: bool = False) -> Model:
-    """A model for each language of the documents; null texts count as empty, no language as one of its own."""
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_rows: int = SHARD_ROWS, running: bool = False, only: Callable[..., DataFrame] | None = None) -> Model:
+    """A model for each language of the documents (only: see count_ngrams); null texts count as empty, no language as one of its own."""
     scratch = Scratch(docs.sparkSession, "kneser-ney")
-    model = collect(estimate(count_ngrams(docs, lang_col, text_col, running), scratch, running), shard_rows, running)
+    model = collect(estimate(count_ngrams(docs, lang_col, text_col, running, only), scratch, running), shard_rows, running)
     scratch.keep()
     return model
 

@@ -180,7 +180,8 @@ def full_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, scratch: Sc
 
     row = F.xxhash64(F.coalesce("id", F.lit(-1).cast("long")), "content")
     passing = key_filter(wanted, row)
-    found = passing(rows_of(docs, id_col, text_col), row).select("text").mapInArrow(frugal(make), "set_id binary, grams array<long>, sketch binary")
+    texts = rows_of(docs, id_col, text_col).select("text", row.alias("row"))
+    found = passing(texts, F.col("row"), then=make, schema="set_id binary, grams array<long>, sketch binary")
     several = passing(signed.where("set_id is not null").select("id", "content", "set_id"), row).groupBy("set_id").agg(F.count(F.lit(1)).alias("texts"))
     several = scratch.save(several.where("texts > 1").select("set_id", F.lit(True).alias("again")), "several texts")
     if several.count() <= REPEATED_SETS:

@@ -10,7 +10,7 @@ documents that pass the base rules. Short texts get more room (kneser_ney.spread
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney
-from .common import ASCII_SPACE, Scratch, WordCoder, chunks_of, content_hash, frugal, mix64, rows_in, small_join, sum_by_part
+from .common import ASCII_SPACE, Scratch, WordCoder, chunks_of, content_hash, frugal, mix64, rows_in, small_join, sum_by_part, wanted_rows
 
 #: Fixed values of the base rules.
 SYMBOL_CHARS = b"#*$%&|<>"
@@ -118,22 +118,29 @@ def document_key(id_col: str, lang_col: str, text_col: str) -> Column:
     return row_key(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), content_hash(F.col(text_col)))
 
 
-def reference(docs: DataFrame, model: kneser_ney.Model, scratch: Scratch, id_col: str, lang_col: str, text_col: str) -> DataFrame:
-    """The likelier texts of each language under the model, one document of each distinct text (rows that repeat an id and its text count each)."""
+def reference_rows(docs: DataFrame, model: kneser_ney.Model, scratch: Scratch, id_col: str, lang_col: str, text_col: str) -> Callable[..., DataFrame]:
+    """What picks (wanted_rows) the likelier texts of each language under the model, one document of each distinct text (rows that repeat an id and its text count each)."""
     scored = kneser_ney.perplexities(docs, model, id_col, lang_col, text_col)
     scored = scratch.save(scored.withColumn("value", F.col("log_perplexity") - kneser_ney.spread("n_symbols")), "first-scores")
     limits = scratch.save(kneser_ney.quantiles_by_language(scored, [REFERENCE], value="value", cells=CELLS), "reference-limits")
     likely = small_join(scored, limits, "lang", F.col("id")).where("value <= q0")
     likely = likely.groupBy("lang", "content").agg(F.min("id").alias("id"))
     key = row_key(F.col("id"), F.col("lang"), F.col("content")).alias("key")
-    return rows_in(docs, document_key(id_col, lang_col, text_col), scored.select(key), likely.select(key), scratch)
+    return wanted_rows(scored.select(key), likely.select(key), scratch)
+
+
+def reference(docs: DataFrame, model: kneser_ney.Model, scratch: Scratch, id_col: str, lang_col: str, text_col: str) -> DataFrame:
+    """The documents that reference_rows picks."""
+    return reference_rows(docs, model, scratch, id_col, lang_col, text_col)(docs, document_key(id_col, lang_col, text_col))
 
 
 def measured_and_banded(docs: DataFrame, id_col: str, lang_col: str, text_col: str, low: float, high: float) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "quality-rules")
     docs = docs.select(id_col, lang_col, text_col)
     model = kneser_ney.train(docs, lang_col, text_col)
-    running = kneser_ney.train(reference(docs, model, scratch, id_col, lang_col, text_col), lang_col, text_col, running=True)
+    picked = reference_rows(docs, model, scratch, id_col, lang_col, text_col)
+    only = lambda df, columns, then, schema: picked(df, document_key(id_col, lang_col, text_col), columns, then, schema)
+    running = kneser_ney.train(docs, lang_col, text_col, running=True, only=only)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     room = kneser_ney.spread("predicted")
     measured = measure(docs, model, running, id_col, lang_col, text_col).withColumns({"base_failed": failed, "predicted": F.col("word_chars") + F.col("n_words")})
