@@ -74,3 +74,19 @@ def test_mixed_pages_against_a_plain_search(spark):
         tags = [r.choice(["<p>{}</p>", "<p><a href='/x'>{}</a></p>", "<div class=ad>{}</div>", "<h2>{}</h2>"] + ["<article>{}</article>", "<main>{}</main>"] * (i % 3 > 0)) for _ in blocks]
         pages.append((i, f"http://h{i % 2}.example/{i}", "".join(t.format(b) for t, b in zip(tags, blocks, strict=True))))
     assert texts(spark, pages) == plain(pages)
+
+
+def test_forgotten_words_keep_their_numbers(monkeypatch):
+    blocks = ["a b c d e a", "", "b f g a", "h i"]
+    whole = [x.tolist() for x in html.numbered_tokens(blocks)]
+    monkeypatch.setattr(html, "WORDS_HELD", 2)
+    monkeypatch.setattr(html, "NUMBERS", html.WordNumbers())
+    assert [x.tolist() for x in html.numbered_tokens(blocks)] == whole and len(html.NUMBERS) <= 2
+    assert whole[1:] == [[6, 0, 4, 2], [0, 6, 6, 10]] and len(set(whole[0])) == 9 and all(x % 2 for x in whole[0])
+
+
+def test_the_filter_grows_with_what_is_wanted(spark):
+    keys = spark.range(1000).selectExpr("xxhash64(id) AS key")
+    table, bits = html.slots_of(keys)
+    slots = {x.key % (1 << bits) for x in keys.collect()}
+    assert bits == 15 and {i * 64 + b for i, word in enumerate(table.tolist()) for b in range(64) if word >> b & 1} == slots
